@@ -127,10 +127,10 @@ def global_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     )
 
 
-def _walk(frame: pd.DataFrame, state: float) -> list[float]:
+def _walk(factors, offsets, state: float) -> list[float]:
     """Value on entry to each affine step e -> a*e + b."""
     entries = []
-    for a, b in zip(frame["a"], frame["b"]):
+    for a, b in zip(factors, offsets):
         entries.append(state)
         state = b if a == 0.0 else a * state + b
     return entries
@@ -140,74 +140,89 @@ def ema(
     df: DataFrame,
     keys: list[str],
     pos: str,
-    value: str,
+    values: dict[str, str],
     decay: float,
-    name: str = "ema",
     seed_floor: float | None = None,
     block: int | None = None,
     fan: int = 4096,
 ) -> DataFrame:
-    """Exponential moving average per key; the first value seeds it.
+    """Exponential moving averages per key; the first value seeds each.
 
-    Inside a block the average is a closed form over a running sum. Blocks are
-    affine steps; they are composed per super-block of at most `fan` blocks, then
-    walked, so no task ever holds a whole key.
+    values maps an output column to an input column. Inside a block the average
+    is a closed form over a running sum. Blocks are affine steps; they are
+    composed per super-block of at most `fan` blocks, then walked, so no task
+    ever holds a whole key.
     """
     limit = max(1, int(250.0 / -math.log(decay)))
     block = min(block or BLOCK_ROWS, limit)
     d = F.lit(float(decay))
-    rows = df.withColumn("_block", block_of(pos, block))
+    names = list(values)
     inside = Window.partitionBy(*keys, "_block").orderBy(pos)
     growing = inside.rowsBetween(Window.unboundedPreceding, 0)
-    seed = F.col("_first") if seed_floor is None else F.greatest(F.col("_first"), F.lit(seed_floor))
 
-    local = (
-        rows.withColumn("_k", F.row_number().over(inside))
-        .withColumn("_s", F.sum(F.col(value) * F.pow(d, -F.col("_k"))).over(growing))
-        .withColumn("_first", F.first(value).over(growing))
-    )
-    size, total, first = F.col("_k"), F.col("_s"), F.col("_first")
-    seeded = F.pow(d, size - 1) * seed + (1.0 - d) * F.pow(d, size) * (total - first / d)
+    local = df.withColumn("_block", block_of(pos, block)).withColumn("_k", F.row_number().over(inside))
+    for name, value in values.items():
+        grown = F.sum(F.col(value) * F.pow(d, -F.col("_k"))).over(growing)
+        local = local.withColumn(f"_s_{name}", grown).withColumn(f"_f_{name}", F.first(value).over(growing))
+
+    size = F.col("_k")
+
+    def seeded(name: str) -> Column:
+        first, total = F.col(f"_f_{name}"), F.col(f"_s_{name}")
+        seed = first if seed_floor is None else F.greatest(first, F.lit(seed_floor))
+        return F.pow(d, size - 1) * seed + (1.0 - d) * F.pow(d, size) * (total - first / d)
+
+    def offset(name: str) -> Column:
+        return F.when(F.col("_start"), seeded(name)).otherwise((1.0 - d) * F.pow(d, size) * F.col(f"_s_{name}"))
 
     origin = df.groupBy(*keys).agg(F.min(pos).alias("_origin"))
+    ends = [F.max_by(f"_s_{name}", "_k").alias(f"_s_{name}") for name in names]
+    ends += [F.min_by(f"_f_{name}", "_k").alias(f"_f_{name}") for name in names]
     steps = (
         local.groupBy(*keys, "_block")
-        .agg(F.max("_k").alias("_k"), F.max_by("_s", "_k").alias("_s"), F.min_by("_first", "_k").alias("_first"))
+        .agg(F.max("_k").alias("_k"), *ends)
         .join(origin, keys)
         .withColumn("_start", F.col("_block") == F.floor(F.col("_origin") / block))
-        .withColumn("a", F.when(F.col("_start"), 0.0).otherwise(F.pow(d, size)))
-        .withColumn("b", F.when(F.col("_start"), seeded).otherwise((1.0 - d) * F.pow(d, size) * total))
         .withColumn("_super", F.floor(F.col("_block") / fan))
-        .select(*keys, "_block", "_super", "a", "b")
+        .select(
+            *keys, "_block", "_super", F.when(F.col("_start"), 0.0).otherwise(F.pow(d, size)).alias("_a"),
+            *[offset(name).alias(f"_b_{name}") for name in names],
+        )
     )
+    offsets = [f"_b_{name}" for name in names]
     compose = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("_block", "a", "b"))),
-        F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")),
+        F.array_sort(F.collect_list(F.struct("_block", "_a", *offsets))),
+        F.struct(F.lit(1.0).alias("_a"), *[F.lit(0.0).alias(b) for b in offsets]),
         lambda acc, step: F.struct(
-            (acc["a"] * step["a"]).alias("a"),
-            F.when(step["a"] == 0.0, step["b"]).otherwise(acc["b"] * step["a"] + step["b"]).alias("b"),
+            (acc["_a"] * step["_a"]).alias("_a"),
+            *[F.when(step["_a"] == 0.0, step[b]).otherwise(acc[b] * step["_a"] + step[b]).alias(b) for b in offsets],
         ),
     )
     supers = steps.groupBy(*keys, "_super").agg(compose.alias("_step")).select(*keys, "_super", "_step.*")
     types = ", ".join(f"`{key}` {dict(df.dtypes)[key]}" for key in keys)
+    entries = [f"_e_{name}" for name in names]
+    entry_types = ", ".join(f"`{entry}` double" for entry in entries)
 
     def enter_supers(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_super")
-        return pdf[[*keys, "_super"]].assign(_entry=_walk(pdf, math.nan))
+        walked = {f"_e_{n}": _walk(pdf["_a"], pdf[f"_b_{n}"], math.nan) for n in names}
+        return pdf[[*keys, "_super"]].assign(**walked)
 
     def enter_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block")
-        return pdf[[*keys, "_block"]].assign(_entry=_walk(pdf, pdf["_entry"].iloc[0]))
+        walked = {f"_e_{n}": _walk(pdf["_a"], pdf[f"_b_{n}"], pdf[f"_e_{n}"].iloc[0]) for n in names}
+        return pdf[[*keys, "_block"]].assign(**walked)
 
-    super_entry = supers.groupBy(*keys).applyInPandas(enter_supers, f"{types}, _super bigint, _entry double")
+    super_entry = supers.groupBy(*keys).applyInPandas(enter_supers, f"{types}, _super bigint, {entry_types}")
     entry = (
         steps.join(super_entry, [*keys, "_super"])
         .groupBy(*keys, "_super")
-        .applyInPandas(enter_blocks, f"{types}, _block bigint, _entry double")
-    )
-    carried = F.pow(d, size) * (F.col("_entry") + (1.0 - d) * total)
-    return (
-        local.join(entry, [*keys, "_block"])
-        .withColumn(name, F.when(F.col("_entry").isNull() | F.isnan("_entry"), seeded).otherwise(carried))
-        .select(*df.columns, name)
+        .applyInPandas(enter_blocks, f"{types}, _block bigint, {entry_types}")
     )
+
+    def average(name: str) -> Column:
+        carried = F.pow(d, size) * (F.col(f"_e_{name}") + (1.0 - d) * F.col(f"_s_{name}"))
+        fresh = F.col(f"_e_{name}").isNull() | F.isnan(f"_e_{name}")
+        return F.when(fresh, seeded(name)).otherwise(carried)
+
+    return local.join(entry, [*keys, "_block"]).select(*df.columns, *[average(name).alias(name) for name in names])

@@ -11,7 +11,7 @@ from lumatable.plans.registry import query, table
 
 # The phase names of this log, searched in this order for the tail.
 PRIORITY = ("purchase", "click")
-EMA_DECAY = 0.9
+EMA_DECAY = 0.98
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,9 +271,9 @@ def duration(spark, sf):
 
 
 @query("q_ema", f"""WITH {LOG} SELECT run, pos, round(list_reduce(list(loss) OVER (PARTITION BY run ORDER BY pos
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: 0.9::DOUBLE * a + (1 - 0.9::DOUBLE) * x), 6) AS ema FROM log""")
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: 0.98::DOUBLE * a + (1 - 0.98::DOUBLE) * x), 6) AS ema FROM log""")
 def ema(spark, sf):
-    series = ordered.ema(log(spark, sf).select("run", "pos", "loss"), ["run"], "pos", "loss", EMA_DECAY)
+    series = ordered.ema(log(spark, sf).select("run", "pos", "loss"), ["run"], "pos", {"ema": "loss"}, EMA_DECAY)
     return series.select("run", "pos", F.round("ema", 6).alias("ema"))
 
 
@@ -288,9 +288,8 @@ def ema(spark, sf):
   SELECT run, pos, round(w1, 6) AS weight, round(CASE WHEN n <= 5 THEN loss + k ELSE loss + w1 * k END, 6) AS total FROM w""")
 def ema_weights(spark, sf):
     rows = log(spark, sf).select("run", "pos", "loss", "k")
-    for name in ("loss", "k"):
-        rows = ordered.ema(rows, ["run"], "pos", name, 0.98, f"{name}_ema", seed_floor=1e-6)
     rows = ordered.numbered(rows, ["run"], "pos", "n")
+    rows = ordered.ema(rows, ["run"], "pos", {"loss_ema": "loss", "k_ema": "k"}, EMA_DECAY, seed_floor=1e-6)
     ratio = F.greatest("loss_ema", F.lit(1e-6)) / F.greatest("k_ema", F.lit(1e-6))
     weight = F.least(F.lit(4.0), F.greatest(F.lit(0.25), ratio))
     plain = F.col("loss") + F.col("k")
