@@ -154,9 +154,14 @@ def dft_weights(shapes: DataFrame, axis: str, half: bool) -> DataFrame:
 
 
 def apply_axis(
-    pixels: DataFrame, axis: str, weights: DataFrame, sums: dict[str, Column], planes: list[str] = PLANE
+    pixels: DataFrame, axis: str, weights: DataFrame, sums: dict[str, Column],
+    planes: list[str] = PLANE, carry: list[str] = (),
 ) -> DataFrame:
-    """Sum pixels times weights along one axis; sums may use any pixel and weight columns."""
+    """Sum pixels times weights along one axis; sums may use any pixel and weight columns.
+
+    Columns in carry keep their value at each place: they ride through the same
+    shuffle instead of being joined back (the weights must hold s = o, as blurs do).
+    """
     if "th" not in pixels.columns:
         pixels = pixels.withColumn("th", F.col("h")).withColumn("tw", F.col("w"))
     other = "x" if axis == "y" else "y"
@@ -164,29 +169,57 @@ def apply_axis(
     return (
         pixels.join(side, [*SHAPE, axis])
         .groupBy(*planes, *SHAPE, other, F.col("o").alias(axis))
-        .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
+        .agg(
+            *[F.sum(expr).alias(name) for name, expr in sums.items()],
+            *[F.max(F.when(F.col(axis) == F.col("o"), F.col(name))).alias(name) for name in carry],
+        )
     )
 
 
 def separable(
     pixels: DataFrame, taps_x: Column, taps_y: Column, values: list[str], border: str,
-    planes: list[str] = PLANE, shapes: DataFrame | None = None,
+    planes: list[str] = PLANE, shapes: DataFrame | None = None, carry: list[str] = (),
 ) -> DataFrame:
     """Correlate value columns with taps_x along rows, then taps_y along columns."""
     shapes = shapes_of(pixels) if shapes is None else shapes
     sums = {name: F.col(name) * F.col("k") for name in values}
-    across = apply_axis(pixels, "x", tap_weights(shapes, "x", {"k": taps_x}, border), sums, planes)
-    down = apply_axis(across, "y", tap_weights(shapes, "y", {"k": taps_y}, border), sums, planes)
+    across = apply_axis(pixels, "x", tap_weights(shapes, "x", {"k": taps_x}, border), sums, planes, carry)
+    down = apply_axis(across, "y", tap_weights(shapes, "y", {"k": taps_y}, border), sums, planes, carry)
     return down.drop("th", "tw")
 
 
 def gaussian_blur(
-    pixels: DataFrame, sigma: Column, values: list[str], planes: list[str] = PLANE, shapes: DataFrame | None = None
+    pixels: DataFrame, sigma: Column, values: list[str], planes: list[str] = PLANE,
+    shapes: DataFrame | None = None, carry: list[str] = (),
 ) -> DataFrame:
     """Blur with a sigma per shape (an expression of h and w), mirrored border."""
     sigma = F.greatest(sigma, F.lit(1e-3))
     taps = gaussian_taps(blur_size(sigma), sigma)
-    return separable(pixels, taps, taps, values, "reflect", planes, shapes)
+    return separable(pixels, taps, taps, values, "reflect", planes, shapes, carry)
+
+
+def blur_maps(
+    pixels: DataFrame, maps: dict[str, Column], sigmas: dict[str, Column], planes: list[str] = PLANE,
+    shapes: DataFrame | None = None, carry: list[str] = (),
+) -> DataFrame:
+    """Several maps, each with its own sigma, blurred in one pass per axis.
+
+    Kernels of a shape are padded with zeros to the widest, so all maps share the
+    two shuffles.
+    """
+    shapes = shapes_of(pixels) if shapes is None else shapes
+    taps = {}
+    floors = {name: F.greatest(sigma, F.lit(1e-3)) for name, sigma in sigmas.items()}
+    widest = F.greatest(*[blur_size(sigma) for sigma in floors.values()], F.lit(0))
+    for name, sigma in floors.items():
+        size = blur_size(sigma)
+        pad = F.array_repeat(F.lit(0.0), ((widest - size) / 2).cast("int"))
+        taps[f"k_{name}"] = F.concat(pad, gaussian_taps(size, sigma), pad)
+    first = {name: expr * F.col(f"k_{name}") for name, expr in maps.items()}
+    again = {name: F.col(name) * F.col(f"k_{name}") for name in maps}
+    across = apply_axis(pixels, "x", tap_weights(shapes, "x", taps, "reflect"), first, planes, carry)
+    down = apply_axis(across, "y", tap_weights(shapes, "y", taps, "reflect"), again, planes, carry)
+    return down.drop("th", "tw")
 
 
 def resize(
