@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumatable.functions.binding import bound
+
 _RANGE = float(1 << 32)
 
 
@@ -49,23 +51,33 @@ def normal(ident: Column, label: str | Column, seed: int = 42) -> Column:
 def poisson(ident: Column, label: str | Column, mean: Column, seed: int = 42) -> Column:
     """Poisson draw by walking the cumulative distribution up to a uniform draw.
 
-    The walk is long enough for the smallest tail a 32-bit uniform can reach.
+    The walk is long enough for the smallest tail a 32-bit uniform can reach. Draw
+    and mean travel in the accumulator, so the hash is computed once.
     """
-    target = unit(ident, label, seed)
     steps = F.ceil(mean + 12.0 * F.sqrt(mean) + 30.0).cast("int")
-    start = F.struct(
-        F.exp(-mean).alias("term"),
-        F.exp(-mean).alias("total"),
-        F.when(F.exp(-mean) <= target, 1).otherwise(0).alias("n"),
-    )
 
-    def step(acc: Column, index: Column) -> Column:
-        term = acc["term"] * mean / index
-        total = acc["total"] + term
-        return F.struct(
-            term.alias("term"),
-            total.alias("total"),
-            (acc["n"] + F.when(total <= target, 1).otherwise(0)).alias("n"),
+    def walk(given: Column) -> Column:
+        start = F.struct(
+            given["target"].alias("target"),
+            given["mean"].alias("mean"),
+            given["term"].alias("term"),
+            given["term"].alias("total"),
+            F.when(given["term"] <= given["target"], 1).otherwise(0).alias("n"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["n"])
+        def step(acc: Column, index: Column) -> Column:
+            term = acc["term"] * acc["mean"] / index
+            return F.struct(
+                acc["target"].alias("target"),
+                acc["mean"].alias("mean"),
+                term.alias("term"),
+                (acc["total"] + term).alias("total"),
+                (acc["n"] + F.when(acc["total"] + term <= acc["target"], 1).otherwise(0)).alias("n"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), given["steps"]), start, step, lambda acc: acc["n"])
+
+    given = F.struct(
+        unit(ident, label, seed).alias("target"), mean.alias("mean"), F.exp(-mean).alias("term"), steps.alias("steps")
+    )
+    return bound(given, walk)

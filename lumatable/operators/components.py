@@ -7,6 +7,8 @@ jumping over tile components only; each round is cut with a reliable checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,47 +20,64 @@ TILE = 256
 _SHIFT = 1 << 31
 
 
-def _tile_roots(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of the smallest member of each pixel's component inside one tile."""
-    y, x = y - y.min() + 1, x - x.min() + 1
-    grid = np.full((y.max() + 2, x.max() + 2), -1, dtype=np.int64)
-    order = np.lexsort((x, y))
-    grid[y[order], x[order]] = np.arange(len(y))
+def _roots(place: np.ndarray, row: int) -> np.ndarray:
+    """Smallest member of each pixel's component; place is sorted and one line holds `row` places.
+
+    Tiles are laid out with an empty rim, so neighbours of different tiles never meet.
+    """
     here, there = [], []
-    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
-        other = grid[y[order] + dy, x[order] + dx]
-        linked = other >= 0
-        here.append(np.flatnonzero(linked))
-        there.append(other[linked])
+    for step in (1, row - 1, row, row + 1):
+        at = np.searchsorted(place, place + step)
+        found = np.flatnonzero(place[np.minimum(at, len(place) - 1)] == place + step)
+        here.append(found)
+        there.append(at[found])
     here, there = np.concatenate(here), np.concatenate(there)
-    parent = np.arange(len(y))
+    parent = np.arange(len(place))
     while True:
         a, b = parent[here], parent[there]
         if np.array_equal(a, b):
-            break
+            return parent
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
         while not np.array_equal(parent, parent[parent]):
             parent = parent[parent]
-    roots = np.empty(len(y), dtype=np.int64)
-    roots[order] = order[parent]
-    return roots
 
 
 def tile_components(foreground: DataFrame, tile: int = TILE) -> DataFrame:
-    """(image_id, y, x, ty, tx, node): a node is a component inside one tile, named by a member pixel."""
+    """(image_id, y, x, ty, tx, node): a node is a component inside one tile, named by a member pixel.
+
+    Rows arrive sorted by tile; every Arrow batch is labelled tile by tile in one
+    go, and the last tile of a batch waits for the rest of its rows.
+    """
     ident = dict(foreground.dtypes)["image_id"]
+    key = ["image_id", "ty", "tx"]
     tiled = foreground.select(
         "image_id", F.col("y").cast("bigint"), F.col("x").cast("bigint"),
         F.floor(F.col("y") / tile).cast("bigint").alias("ty"), F.floor(F.col("x") / tile).cast("bigint").alias("tx"),
     )
+    row = tile + 2
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        roots = _tile_roots(y, x)
+        first = (pdf[key] != pdf[key].shift()).any(axis=1).to_numpy()
+        place = (np.cumsum(first) * row + y % tile + 1) * row + x % tile + 1
+        roots = _roots(place, row)
         return pdf.assign(node=y[roots] * _SHIFT + x[roots])
 
+    def label_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for pdf in batches:
+            pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = (pdf[key] == pdf[key].iloc[-1]).all(axis=1)
+            waiting, whole = pdf[last], pdf[~last]
+            if len(whole):
+                yield label(whole)
+        if waiting is not None and len(waiting):
+            yield label(waiting)
+
     schema = f"image_id {ident}, y bigint, x bigint, ty bigint, tx bigint, node bigint"
-    return tiled.groupBy("image_id", "ty", "tx").applyInPandas(label, schema)
+    return tiled.repartition(*key).sortWithinPartitions(*key, "y", "x").mapInPandas(label_batches, schema)
 
 
 def border_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:

@@ -50,15 +50,17 @@ def flatten_json(df: DataFrame, ident: str, text: str, depth: int = 4) -> DataFr
     levels = levels.withColumn("_path", F.array("_at")).drop("_at")
     for _ in range(depth - 1):
         nested = F.when(F.col("value").startswith("{"), json_entries(F.col("value")))
-        levels = levels.select(
-            ident, "key", "value", "_path", nested.isNotNull().alias("_is_node"),
-            F.posexplode_outer(nested).alias("_at", "_key", "_value"),
-        ).where(~F.col("_is_node") | F.col("_at").isNotNull())
-        levels = levels.select(
-            ident,
-            F.coalesce("_key", "key").alias("key"),
-            F.when(F.col("_is_node"), F.col("_value")).otherwise(F.col("value")).alias("value"),
-            F.when(F.col("_is_node"), F.concat("_path", F.array("_at"))).otherwise(F.col("_path")).alias("_path"),
+        child = F.col("_at").isNotNull()
+        # An empty object has no leaves; text that only looks like an object is a leaf.
+        levels = (
+            levels.select(ident, "key", "value", "_path", F.posexplode_outer(nested).alias("_at", "_key", "_value"))
+            .where(child | ~F.coalesce(F.col("value").rlike(r"^\{\s*\}$"), F.lit(False)))
+            .select(
+                ident,
+                F.when(child, F.col("_key")).otherwise(F.col("key")).alias("key"),
+                F.when(child, F.col("_value")).otherwise(F.col("value")).alias("value"),
+                F.when(child, F.concat("_path", F.array("_at"))).otherwise(F.col("_path")).alias("_path"),
+            )
         )
     return levels.groupBy(ident, "key").agg(F.max_by("value", "_path").alias("value"))
 

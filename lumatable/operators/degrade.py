@@ -133,7 +133,7 @@ def auto_taps(size: Column) -> Column:
     """Smoothing kernel whose sigma follows from its size; fixed tables up to seven taps."""
     taps = pixels.gaussian_taps(size, 0.3 * ((size - 1) * 0.5 - 1.0) + 0.8)
     for length, values in SMALL_KERNELS.items():
-        taps = F.when(size == length, pixels.constant_taps(values)).otherwise(taps)
+        taps = F.when(size == length, F.array(*[F.lit(value) for value in values])).otherwise(taps)
     return taps
 
 
@@ -141,11 +141,12 @@ def light_blur_size(side: Column) -> Column:
     return F.floor(side * LIGHT_BLUR).cast("int").bitwiseOR(F.lit(1))
 
 
-def soften_lights(px: DataFrame, mask: str, carry: list[str], shapes: DataFrame | None = None) -> DataFrame:
+def soften_lights(px: DataFrame, mask: str, carry: list[str], shapes: DataFrame) -> DataFrame:
     """Smooth the light mask; sides below 50 pixels have a one-tap kernel and need no call."""
-    taps_x, taps_y = auto_taps(light_blur_size(F.col("w"))), auto_taps(light_blur_size(F.col("h")))
-    soft = pixels.separable(px, taps_x, taps_y, [mask], "reflect", shapes=shapes, carry=carry)
-    return soft.withColumn(mask, colour.clip(F.col(mask)))
+    for axis, side in (("x", "w"), ("y", "h")):
+        tapped = pixels.with_shape_taps(px, {"k": auto_taps(light_blur_size(F.col(side)))}, shapes)
+        px = pixels.apply_taps(tapped, axis, {mask: F.col(mask) * F.col("_t.k")}, "reflect", carry=carry)
+    return px.withColumn(mask, colour.clip(F.col(mask)))
 
 
 def tone_value(v: Column, mask: Column, gamma: Column, attenuation: Column, boost: Column) -> Column:
@@ -186,15 +187,18 @@ def vignette(px: DataFrame) -> DataFrame:
     return px.withColumns({name: colour.to_uint8(F.col(name) * used) for name in DARK})
 
 
-def motion_blur(px: DataFrame, taps: str) -> DataFrame:
-    """Blur the images that drew it; the others do not enter the shuffle."""
-    keep = [c for c in px.columns if c not in ("h", "w", "y", "x", *DARK, taps, "image_id")]
-    still = px.where(F.col("use_motion_blur") != 1).drop(taps)
-    moving = px.where(F.col("use_motion_blur") == 1)
-    blurred = pixels.correlate(moving, taps, list(DARK))
-    blurred = blurred.withColumns({name: F.rint(name).cast("int") for name in DARK})
-    kept = moving.select("image_id", "y", "x", *keep)
-    return still.unionByName(blurred.join(kept, ["image_id", "y", "x"]))
+def blur_taps() -> Column:
+    """Motion kernel of images that drew one; the others keep a single tap."""
+    still = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(1.0).alias("k")))
+    moving = pixels.motion_taps(F.col("motion_blur_kernel"), F.col("motion_blur_angle"))
+    return F.when(F.col("use_motion_blur") == 1, moving).otherwise(still)
+
+
+def motion_blur(px: DataFrame, taps: str = "taps") -> DataFrame:
+    """Blur dr, dg, db with the kernel of each image; all other columns ride along."""
+    carry = [c for c in px.columns if c not in ("image_id", "h", "w", "y", "x", *DARK, taps)]
+    blurred = pixels.correlate(px, taps, list(DARK), carry=carry)
+    return blurred.withColumns({name: F.rint(name).cast("int") for name in DARK})
 
 
 def noisy(value: Column, ident: Column, channel: str, y: Column, x: Column, k: Column, sigma: Column, seed: int = 42) -> Column:
@@ -247,7 +251,7 @@ def prepare(images: DataFrame, params: dict[str, Column], seed: int = 42) -> Dat
     return drawn.withColumns(
         {
             "lights": lights(F.col("image_id"), F.col("h"), F.col("w"), seed=seed),
-            "taps": pixels.motion_taps(F.col("motion_blur_kernel"), F.col("motion_blur_angle")),
+            "taps": blur_taps(),
         }
     )
 
@@ -257,13 +261,15 @@ def degrade(
 ) -> DataFrame:
     """Whole degradation of images with interleaved 8-bit RGB data: (image_id, h, w, y, x, r, g, b, dr, dg, db).
 
-    The JPEG step is left out; its two parameters are drawn all the same.
+    One shuffle of image rows; after it every step stays in its task. The JPEG step
+    is left out; its two parameters are drawn all the same.
     """
-    keep = [*PARAMS, "lights", "taps"]
-    px = pixels.rgb_pixels(prepare(images, params, seed), keep=keep)
+    rows = prepare(pixels.by_image(images), params, seed)
+    px = pixels.rgb_pixels(rows, keep=[*PARAMS, "lights", "taps"])
     px = px.withColumns({c: F.col(c).cast("int") for c in RGB})
     px = px.withColumn("mask", light_level(F.col("y"), F.col("x"), F.col("lights"))).drop("lights")
     if soften:
-        px = soften_lights(px, "mask", [*RGB, *PARAMS, "taps"], shapes)
-    px = noise(motion_blur(vignette(tone(px, "mask")), "taps"), seed)
+        known = pixels.shapes_of(images) if shapes is None else shapes
+        px = soften_lights(px, "mask", [*RGB, *PARAMS, "taps"], known)
+    px = noise(motion_blur(vignette(tone(px, "mask"))), seed)
     return exposure_guard(px).select("image_id", "h", "w", "y", "x", *RGB, *DARK)

@@ -93,15 +93,15 @@ def star(seed: int = 42) -> Column:
     return (draws.unit(F.col("image_id"), label, seed) < STAR_SHARE).cast("double")
 
 
-def render_gradient_sky(px: DataFrame, randomize: bool, seed: int = 42, shapes: DataFrame | None = None) -> DataFrame:
+def render_gradient_sky(px: DataFrame, randomize: bool, seed: int = 42) -> DataFrame:
     """sky_r, sky_g, sky_b columns of a rendered night sky."""
     names = [f"sky_{c}" for c in RGB]
     if not randomize:
         return px.withColumns({name: gradient_sky(i) for i, name in enumerate(names)})
     base = px.withColumns({name: noisy_sky(i, seed) for i, name in enumerate(names)}).withColumn("_star", star(seed))
-    taps = pixels.gaussian_taps(F.lit(STAR_SIZE), F.lit(STAR_SIGMA))
+    weights = pixels.gaussian_weights(STAR_SIZE, STAR_SIGMA)
     carry = [c for c in base.columns if c not in ("image_id", "h", "w", "y", "x", "_star")]
-    lit = pixels.separable(base, taps, taps, ["_star"], "reflect", shapes=shapes, carry=carry)
+    lit = pixels.separable(base, weights, ["_star"], "reflect", carry=carry)
     shine = {name: colour.clip(F.col(name) + F.col("_star") * STAR_COLOUR[i]) for i, name in enumerate(names)}
     return lit.withColumns(shine).drop("_star")
 
@@ -111,16 +111,17 @@ def pick_asset(ident: Column, n_assets: int, seed: int = 42) -> Column:
     return draws.whole_between(ident, "asset", 0, n_assets - 1, seed)
 
 
-def attach_assets(px: DataFrame, assets: DataFrame, n_assets: int, seed: int = 42) -> DataFrame:
-    """sky_* columns from asset pixels (asset_id, h, w, y, x, r, g, b), each resized once per image shape in use."""
+def attach_assets(px: DataFrame, shapes: DataFrame, assets: DataFrame, n_assets: int, seed: int = 42) -> DataFrame:
+    """sky_* columns from asset pixels (asset_id, h, w, y, x, r, g, b), each fitted once to every image shape.
+
+    The fitted assets grow with the number of shapes, not of images; Spark's own
+    size threshold decides whether they are broadcast.
+    """
+    wanted = shapes.select(F.col("h").alias("_ah"), F.col("w").alias("_aw"))
+    fitted = pixels.resize(assets.crossJoin(wanted), F.col("_ah"), F.col("_aw"), list(RGB), ["asset_id"])
+    sky = fitted.select("asset_id", "h", "w", "y", "x", *[F.col(c).alias(f"sky_{c}") for c in RGB])
     chosen = px.withColumn("asset_id", pick_asset(F.col("image_id"), n_assets, seed))
-    wanted = chosen.select("asset_id", F.col("h").alias("th"), F.col("w").alias("tw")).distinct()
-    aimed = assets.join(wanted, "asset_id")
-    fitted = pixels.resize(aimed, F.col("th"), F.col("tw"), list(RGB), planes=["asset_id"])
-    return chosen.join(
-        fitted.select("asset_id", "h", "w", "y", "x", *[F.col(c).alias(f"sky_{c}") for c in RGB]),
-        ["asset_id", "h", "w", "y", "x"],
-    ).drop("asset_id")
+    return chosen.join(sky, ["asset_id", "h", "w", "y", "x"]).drop("asset_id")
 
 
 def sky_means(px: DataFrame) -> DataFrame:
@@ -151,29 +152,31 @@ def near_field() -> Column:
     return colour.clip(0.10 + 0.90 * F.pow(height_share(), F.lit(1.6)))
 
 
-def blurred_maps(px: DataFrame, carry: list[str], shapes: DataFrame | None = None) -> DataFrame:
+def blurred_maps(px: DataFrame, carry: list[str], shapes: DataFrame) -> DataFrame:
     """Every blurred map of the synthesis in one pass per axis; class masks ride along."""
     side = longer_side()
-    maps = {f"soft_{g}": F.col(mask_name(g)) for g in GROUPS}
-    sigmas = {name: side * SOFT_SIGMA for name in maps}
-    maps |= {
-        "pool": mix(FOCUS),
-        "ambient": F.col(mask_name("sky")),
-        "road_glow": colour.clip(F.col(mask_name("road"))) * near_field(),
-        "emissive": mix(EMISSIVE),
-    }
-    sigmas |= {
+    widths = {
+        "soft": side * SOFT_SIGMA,
         "pool": F.greatest(F.lit(3.0), side * POOL_SIGMA),
         "ambient": side * AMBIENT_SIGMA,
-        "road_glow": side * ROAD_SIGMA,
+        "road": side * ROAD_SIGMA,
         "emissive": side * EMISSIVE_SIGMA,
     }
-    masks = [mask_name(g) for g in GROUPS]
-    # The road glow depends on y, so y is a plain column of the input here.
-    prepared = px.withColumns({f"_{name}": expr for name, expr in maps.items()})
-    return pixels.blur_maps(
-        prepared, {name: F.col(f"_{name}") for name in maps}, sigmas, shapes=shapes, carry=[*carry, *masks]
+    maps = {f"soft_{g}": ("soft", F.col(mask_name(g))) for g in GROUPS} | {
+        "pool": ("pool", F.col("_pool")),
+        "ambient": ("ambient", F.col(mask_name("sky"))),
+        "road_glow": ("road", F.col("_road")),
+        "emissive": ("emissive", F.col("_emissive")),
+    }
+    mixed = px.withColumns(
+        {
+            "_pool": mix(FOCUS),
+            "_road": colour.clip(F.col(mask_name("road"))) * near_field(),
+            "_emissive": mix(EMISSIVE),
+        }
     )
+    masks = [mask_name(g) for g in GROUPS]
+    return pixels.blur_maps(mixed, widths, maps, shapes, carry=[*carry, *masks])
 
 
 def setting(index: int) -> Column:
@@ -232,18 +235,22 @@ def emissive(image: Column, source: Column) -> Column:
 
 
 def synthesize(
-    px: DataFrame, space: str = LABEL_IDS, randomize: bool = True, assets: DataFrame | None = None, n_assets: int = 0,
-    apply_base_noise: bool = True, seed: int = 42, shapes: DataFrame | None = None,
+    px: DataFrame, shapes: DataFrame, space: str = LABEL_IDS, randomize: bool = True,
+    assets: DataFrame | None = None, n_assets: int = 0, apply_base_noise: bool = True, seed: int = 42,
     tile: int = components.TILE, one_tile: bool = False,
 ) -> DataFrame:
-    """Night version dr, dg, db of r, g, b in [0, 1] with label_id (and an optional confidence)."""
+    """Night version dr, dg, db of r, g, b in [0, 1] with label_id (and an optional confidence).
+
+    Unpack px from rows partitioned by image: then only the sky pixels, the per-image
+    figures and the asset pixels are shuffled.
+    """
     masked = class_masks(px, space)
     usable = sky_usable(masked, tile, one_tile).select("image_id", "usable")
     flagged = masked.join(usable, "image_id")
     if assets is not None and n_assets:
-        skies = match_sky(attach_assets(flagged, assets, n_assets, seed))
+        skies = match_sky(attach_assets(flagged, shapes, assets, n_assets, seed))
     else:
-        skies = render_gradient_sky(flagged, randomize, seed, shapes)
+        skies = render_gradient_sky(flagged, randomize, seed)
     sky_names = [f"sky_{c}" for c in RGB]
     maps = blurred_maps(skies, [*RGB, *sky_names, "usable"], shapes)
     alpha = F.when(F.col("usable") == 1, F.col("soft_sky")).otherwise(0.0)

@@ -9,6 +9,7 @@ Positions must be whole numbers, unique within a key; keys must not be null.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -127,13 +128,35 @@ def global_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     )
 
 
-def _walk(factors, offsets, state: float) -> list[float]:
-    """Value on entry to each affine step e -> a*e + b."""
-    entries = []
-    for a, b in zip(factors, offsets):
-        entries.append(state)
-        state = b if a == 0.0 else a * state + b
-    return entries
+def _entry_values(steps: DataFrame, group: list[str], order: str, names: list[str], start: bool) -> DataFrame:
+    """Value on entry to each affine step e -> a*e + b, per group in order.
+
+    Groups pass through a task as a sorted stream, so only one state per value is
+    held. Without `start` a group begins unknown, otherwise with its _e_ columns.
+    """
+    types = dict(steps.dtypes)
+    entries = [f"_e_{name}" for name in names]
+    kept = [*group, order]
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{e}` double" for e in entries])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, []
+        for pdf in batches:
+            keys = list(pdf[group].itertuples(index=False, name=None))
+            factors = pdf["_a"].tolist()
+            offsets = list(zip(*[pdf[f"_b_{name}"].tolist() for name in names]))
+            starts = list(zip(*[pdf[e].tolist() for e in entries])) if start else None
+            seen = []
+            for i, key in enumerate(keys):
+                if key != current:
+                    current, state = key, starts[i] if start else (math.nan,) * len(names)
+                seen.append(state)
+                a = factors[i]
+                state = tuple(b if a == 0.0 else a * e + b for e, b in zip(state, offsets[i]))
+            columns = dict(zip(entries, zip(*seen))) if seen else {e: [] for e in entries}
+            yield pdf[kept].assign(**columns)
+
+    return steps.repartition(*group).sortWithinPartitions(*kept).mapInPandas(walk, schema)
 
 
 def ema(
@@ -199,30 +222,12 @@ def ema(
         ),
     )
     supers = steps.groupBy(*keys, "_super").agg(compose.alias("_step")).select(*keys, "_super", "_step.*")
-    types = ", ".join(f"`{key}` {dict(df.dtypes)[key]}" for key in keys)
-    entries = [f"_e_{name}" for name in names]
-    entry_types = ", ".join(f"`{entry}` double" for entry in entries)
-
-    def enter_supers(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_super")
-        walked = {f"_e_{n}": _walk(pdf["_a"], pdf[f"_b_{n}"], math.nan) for n in names}
-        return pdf[[*keys, "_super"]].assign(**walked)
-
-    def enter_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        walked = {f"_e_{n}": _walk(pdf["_a"], pdf[f"_b_{n}"], pdf[f"_e_{n}"].iloc[0]) for n in names}
-        return pdf[[*keys, "_block"]].assign(**walked)
-
-    super_entry = supers.groupBy(*keys).applyInPandas(enter_supers, f"{types}, _super bigint, {entry_types}")
-    entry = (
-        steps.join(super_entry, [*keys, "_super"])
-        .groupBy(*keys, "_super")
-        .applyInPandas(enter_blocks, f"{types}, _block bigint, {entry_types}")
-    )
+    super_entry = _entry_values(supers, keys, "_super", names, start=False)
+    entry = _entry_values(steps.join(super_entry, [*keys, "_super"]), [*keys, "_super"], "_block", names, start=True)
 
     def average(name: str) -> Column:
         carried = F.pow(d, size) * (F.col(f"_e_{name}") + (1.0 - d) * F.col(f"_s_{name}"))
         fresh = F.col(f"_e_{name}").isNull() | F.isnan(f"_e_{name}")
         return F.when(fresh, seeded(name)).otherwise(carried)
 
-    return local.join(entry, [*keys, "_block"]).select(*df.columns, *[average(name).alias(name) for name in names])
+    return local.join(entry.drop("_super"), [*keys, "_block"]).select(*df.columns, *[average(name).alias(name) for name in names])

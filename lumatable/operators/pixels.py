@@ -1,15 +1,16 @@
-"""Pixel tables and the three ways to combine pixels.
+"""Pixel tables and the ways to combine pixels.
 
 A pixel table has one row per pixel: image_id, h, w, y, x and value columns; more
 columns (a channel, say) may be added to `planes`, the keys of one 2-D plane.
 
-* axis weights: any separable linear operator (resize, blur, Sobel, DFT) is a
-  small table (shape, source index s, output index o, weights) joined to one axis
-  and summed. The sum is partially aggregated before its shuffle, and its keys
-  are pixel coordinates, so a large image spreads over many tasks.
-* scatter: every source pixel emits its contributions to output pixels, which are
-  summed; used where source and output are not separable (rotation, motion blur).
-* plain columns: anything that needs one pixel only.
+Every operator that combines pixels is a scatter: a source pixel emits its
+weighted contributions to output places, and a grouped sum collects them. Weights
+come from expressions or from short tap arrays, never from a join on pixels.
+
+Image rows are compact, their pixels are some twenty times larger. `by_image`
+partitions the rows by image_id before they are unpacked; unpacking keeps that
+partitioning, so grouped sums, windows and joins on image_id and coordinates need
+no further shuffle. Image ids are unique rows, hence no id is hot.
 """
 
 from __future__ import annotations
@@ -19,10 +20,18 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumatable.session import small_side
+from lumatable.functions.binding import bound
+from lumatable.session import BROADCAST_ROWS
 
 PLANE = ["image_id"]
-SHAPE = ["h", "w", "th", "tw"]
+UNPACK = 4
+
+
+def by_image(images: DataFrame) -> DataFrame:
+    """Partition image rows by image_id, several partitions per input split as pixels outgrow rows."""
+    spark = images.sparkSession
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return images.repartition(max(at_least, UNPACK * images.rdd.getNumPartitions()), "image_id")
 
 
 def gray_pixels(images: DataFrame, data: str = "data", keep: list[str] = ()) -> DataFrame:
@@ -58,181 +67,193 @@ def channels_long(rgb: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Axis weights
+# One axis at a time
 # ---------------------------------------------------------------------------
 
 
 def known_shapes(spark: SparkSession, shapes: list[tuple[int, int]]) -> DataFrame:
-    rows = [(*shape, *shape) if len(shape) == 2 else shape for shape in shapes]
-    return spark.createDataFrame(rows, "h int, w int, th int, tw int")
+    return spark.createDataFrame(shapes, "h int, w int")
 
 
-def shapes_of(pixels: DataFrame) -> DataFrame:
-    """Distinct shapes in a table; th, tw default to the shape itself."""
-    kept = pixels.select(*[c for c in SHAPE if c in pixels.columns]).distinct()
-    if "th" not in kept.columns:
-        kept = kept.withColumn("th", F.col("h")).withColumn("tw", F.col("w"))
-    return kept
+def shapes_of(rows: DataFrame) -> DataFrame:
+    """Distinct shapes; take them from image rows where there are any, not from pixels."""
+    return rows.select("h", "w").distinct()
 
 
-def fold_index(place: Column, size: Column, border: str) -> Column:
-    """Source index for a place outside the axis: mirrored without the edge, or null when zero."""
-    if border == "zero":
-        return F.when((place >= 0) & (place < size), place)
-    period = 2 * (size - 1)
-    wrapped = F.pmod(place, F.greatest(period, F.lit(1)))
-    return F.when(size == 1, 0).when(wrapped < size, wrapped).otherwise(period - wrapped)
-
-
-def tap_weights(shapes: DataFrame, axis: str, taps: dict[str, Column], border: str = "zero") -> DataFrame:
-    """Weights of a 1-D correlation. taps maps a weight column to an odd-length array per shape."""
-    size = F.col("h" if axis == "y" else "w")
+def with_shape_taps(px: DataFrame, taps: dict[str, Column], shapes: DataFrame) -> DataFrame:
+    """Adds _taps, one array of weights per shape; the shapes are counted before they are broadcast."""
     named = ",".join(f"{name}:double" for name in taps)
-    zipped = F.arrays_zip(*taps.values()).cast(f"array<struct<{named}>>")
-    radius = F.floor(F.size(next(iter(taps.values()))) / 2)
-    spread = (
-        shapes.withColumn("_r", radius)
-        .select(*SHAPE, "_r", F.explode(F.sequence(F.lit(0), size - 1)).alias("o"), zipped.alias("_taps"))
-        .select(*SHAPE, "o", "_r", F.posexplode("_taps").alias("_j", "_t"))
-        .withColumn("s", fold_index(F.col("o") + F.col("_j") - F.col("_r"), size, border).cast("int"))
-        .where(F.col("s").isNotNull())
-    )
-    return spread.groupBy(*SHAPE, "s", "o").agg(*[F.sum(f"_t.{name}").alias(name) for name in taps])
+    table = shapes.select("h", "w", F.arrays_zip(*taps.values()).cast(f"array<struct<{named}>>").alias("_taps"))
+    few = shapes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return px.join(F.broadcast(table) if few else table, ["h", "w"])
 
 
-def constant_taps(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(value)) for value in values])
+def literal_taps(taps: dict[str, tuple[float, ...]]) -> Column:
+    """Tap array of fixed weights."""
+    rows = zip(*taps.values())
+    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(taps, row)]) for row in rows])
 
 
-def gaussian_taps(ksize: Column, sigma: Column) -> Column:
-    """Normalised Gaussian of ksize taps, sigma per shape."""
-    centre = (ksize - 1) / 2.0
-    raw = F.transform(
-        F.sequence(F.lit(0), (ksize - 1).cast("int")),
-        lambda j: F.exp(-(j - centre) * (j - centre) / (2.0 * sigma * sigma)),
-    )
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, value: acc + value)
-    return F.transform(raw, lambda value: value / total)
-
-
-def blur_size(sigma: Column) -> Column:
-    """Odd kernel size for a sigma: at least 3, about 4 sigma wide."""
-    return F.greatest(F.lit(3), F.rint(sigma * 4.0).cast("int").bitwiseOR(F.lit(1)))
-
-
-def resize_weights(shapes: DataFrame, axis: str) -> DataFrame:
-    """Bilinear weights from h x w to th x tw, pixel centres at half steps, clamped at the edge."""
-    size, target = (F.col("h"), F.col("th")) if axis == "y" else (F.col("w"), F.col("tw"))
-    place = F.greatest((F.col("o") + 0.5) * size / target - 0.5, F.lit(0.0))
-    low = F.least(F.floor(F.col("_p")), size - 1)
-    part = F.col("_p") - low
-    pair = F.array(
-        F.struct(low.cast("int").alias("s"), (1.0 - part).alias("k")),
-        F.struct(F.least(low + 1, size - 1).cast("int").alias("s"), part.alias("k")),
-    )
-    return (
-        shapes.select(*SHAPE, F.explode(F.sequence(F.lit(0), target - 1)).alias("o"))
-        .withColumn("_p", place)
-        .select(*SHAPE, "o", F.explode(pair).alias("_t"))
-        .groupBy(*SHAPE, F.col("_t.s").alias("s"), "o")
-        .agg(F.sum("_t.k").alias("k"))
-        .where(F.col("k") > 0)
-    )
+def mirror(place: Column, size: Column) -> Column:
+    """Index a place outside the axis is mirrored onto; the edge itself is not repeated."""
+    period = 2 * (size - 1)
+    wrapped = F.pmod(place, F.greatest(period, F.lit(1)))
+    return F.when(size == 1, 0).when(wrapped < size, wrapped).otherwise(period - wrapped)
 
 
-def dft_weights(shapes: DataFrame, axis: str, half: bool) -> DataFrame:
-    """Cosine and sine of the discrete Fourier transform; half keeps the non-redundant outputs."""
-    size = F.col("h" if axis == "y" else "w")
-    last = F.floor(size / 2).cast("int") if half else size - 1
-    angle = F.lit(2.0 * math.pi) * (F.col("s") * F.col("o") % size) / size
-    return (
-        shapes.select(*SHAPE, F.explode(F.sequence(F.lit(0), size - 1)).alias("s"), last.alias("_last"))
-        .select(*SHAPE, "s", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("o"))
-        .withColumn("cos", F.cos(angle))
-        .withColumn("sin", F.sin(angle))
-    )
+def _places(place: Column, size: Column, radius: Column) -> Column:
+    """Places in [-radius, size-1+radius] whose mirror is this index, itself included."""
+    before = F.when((place > 0) & (place <= radius), -place)
+    after = F.when((place < size - 1) & (place >= size - 1 - radius), 2 * (size - 1) - place)
+    direct = F.array_compact(F.array(place, before, after))
+    # A kernel wider than the image wraps more than once.
+    wide = F.filter(F.sequence(-radius, size - 1 + radius), lambda p: mirror(p, size) == place)
+    near = (place <= radius) | (place >= size - 1 - radius)
+    return F.when(radius >= size, wide).when(near, direct).otherwise(F.array(place))
 
 
-def apply_axis(
-    pixels: DataFrame, axis: str, weights: DataFrame, sums: dict[str, Column],
-    planes: list[str] = PLANE, carry: list[str] = (),
+def apply_taps(
+    px: DataFrame, axis: str, sums: dict[str, Column], border: str, planes: list[str] = PLANE, carry: list[str] = ()
 ) -> DataFrame:
-    """Sum pixels times weights along one axis; sums may use any pixel and weight columns.
+    """Correlate along one axis with the weights in _taps, which sums refer to as _t.<name>.
 
-    Columns in carry keep their value at each place: they ride through the same
-    shuffle instead of being joined back (the weights must hold s = o, as blurs do).
+    Borders are "zero" or "reflect". Columns in carry keep their value at each place:
+    they ride in the same grouping instead of being joined back.
     """
-    if "th" not in pixels.columns:
-        pixels = pixels.withColumn("th", F.col("h")).withColumn("tw", F.col("w"))
-    other = "x" if axis == "y" else "y"
-    side = small_side(weights.withColumnRenamed("s", axis))
+    size, place, other = F.col("h" if axis == "y" else "w"), F.col(axis), "x" if axis == "y" else "y"
+    sized = px.withColumn("_r", F.floor(F.size("_taps") / 2).cast("int"))
+    placed = sized.withColumn("_p", place if border == "zero" else F.explode(_places(place, size, F.col("_r"))))
+    kept = [c for c in placed.columns if c != "_taps"]
+    landed = placed.select(*kept, F.posexplode("_taps").alias("_j", "_t")).withColumn(
+        "_o", F.col("_p") - F.col("_j") + F.col("_r")
+    )
     return (
-        pixels.join(side, [*SHAPE, axis])
-        .groupBy(*planes, *SHAPE, other, F.col("o").alias(axis))
+        landed.where(F.col("_o").between(0, size - 1))
+        .groupBy(*planes, "h", "w", other, F.col("_o").alias(axis))
         .agg(
             *[F.sum(expr).alias(name) for name, expr in sums.items()],
-            *[F.max(F.when(F.col(axis) == F.col("o"), F.col(name))).alias(name) for name in carry],
+            *[F.max(F.when(place == F.col("_o"), F.col(name))).alias(name) for name in carry],
         )
     )
 
 
-def separable(
-    pixels: DataFrame, taps_x: Column, taps_y: Column, values: list[str], border: str,
-    planes: list[str] = PLANE, shapes: DataFrame | None = None, carry: list[str] = (),
-) -> DataFrame:
-    """Correlate value columns with taps_x along rows, then taps_y along columns."""
-    shapes = shapes_of(pixels) if shapes is None else shapes
-    sums = {name: F.col(name) * F.col("k") for name in values}
-    across = apply_axis(pixels, "x", tap_weights(shapes, "x", {"k": taps_x}, border), sums, planes, carry)
-    down = apply_axis(across, "y", tap_weights(shapes, "y", {"k": taps_y}, border), sums, planes, carry)
-    return down.drop("th", "tw")
+def gaussian_taps(ksize: Column, sigma: Column) -> Column:
+    """Normalised Gaussian of ksize taps."""
 
+    def raw(given: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), given["size"] - 1),
+            lambda j: F.exp(-F.pow((j - (given["size"] - 1) / 2.0) / given["sigma"], F.lit(2.0)) / 2.0),
+        )
 
-def gaussian_blur(
-    pixels: DataFrame, sigma: Column, values: list[str], planes: list[str] = PLANE,
-    shapes: DataFrame | None = None, carry: list[str] = (),
+    def normalised(values: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
+        return bound(total, lambda whole: F.transform(values, lambda value: value / whole))
+
+    given = F.struct(ksize.cast("int").alias("size"), sigma.cast("double").alias("sigma"))
+    return bound(bound(given, raw), normalised)
+
+
+def gaussian_weights(ksize: int, sigma: float) -> tuple[float, ...]:
+    """The same for a fixed size and sigma."""
+    raw = [math.exp(-(((j - (ksize - 1) / 2) / sigma) ** 2) / 2) for j in range(ksize)]
+    return tuple(value / sum(raw) for value in raw)
+
+
+def blur_size(sigma: Column) -> Column:
+    """Odd kernel size for a sigma: at least 3, about 4 sigma wide."""
+    return F.greatest(F.lit(3), F.rint(sigma * 4.0).cast("int").bitwiseOR(F.lit(1)))
+
+
+def separable(
+    px: DataFrame, weights: tuple[float, ...], values: list[str], border: str,
+    planes: list[str] = PLANE, carry: list[str] = (),
 ) -> DataFrame:
-    """Blur with a sigma per shape (an expression of h and w), mirrored border."""
-    sigma = F.greatest(sigma, F.lit(1e-3))
-    taps = gaussian_taps(blur_size(sigma), sigma)
-    return separable(pixels, taps, taps, values, "reflect", planes, shapes, carry)
+    """Correlate value columns with the same fixed weights along both axes."""
+    sums = {name: F.col(name) * F.col("_t.k") for name in values}
+    for axis in ("x", "y"):
+        px = apply_taps(px.withColumn("_taps", literal_taps({"k": weights})), axis, sums, border, planes, carry)
+    return px
 
 
 def blur_maps(
-    pixels: DataFrame, maps: dict[str, Column], sigmas: dict[str, Column], planes: list[str] = PLANE,
-    shapes: DataFrame | None = None, carry: list[str] = (),
+    px: DataFrame, widths: dict[str, Column], maps: dict[str, tuple[str, Column]], shapes: DataFrame,
+    planes: list[str] = PLANE, carry: list[str] = (),
 ) -> DataFrame:
-    """Several maps, each with its own sigma, blurred in one pass per axis.
+    """Several maps blurred in one pass per axis, mirrored border.
 
-    Kernels of a shape are padded with zeros to the widest, so all maps share the
-    two shuffles.
+    widths names the sigmas, as expressions of h and w; maps gives each output a
+    width and a source expression. Kernels are padded with zeros to the widest.
     """
-    shapes = shapes_of(pixels) if shapes is None else shapes
+    sigmas = {name: F.greatest(sigma, F.lit(1e-3)) for name, sigma in widths.items()}
+    widest = F.greatest(*[blur_size(sigma) for sigma in sigmas.values()], F.lit(0))
     taps = {}
-    floors = {name: F.greatest(sigma, F.lit(1e-3)) for name, sigma in sigmas.items()}
-    widest = F.greatest(*[blur_size(sigma) for sigma in floors.values()], F.lit(0))
-    for name, sigma in floors.items():
+    for name, sigma in sigmas.items():
         size = blur_size(sigma)
         pad = F.array_repeat(F.lit(0.0), ((widest - size) / 2).cast("int"))
-        taps[f"k_{name}"] = F.concat(pad, gaussian_taps(size, sigma), pad)
-    first = {name: expr * F.col(f"k_{name}") for name, expr in maps.items()}
-    again = {name: F.col(name) * F.col(f"k_{name}") for name in maps}
-    across = apply_axis(pixels, "x", tap_weights(shapes, "x", taps, "reflect"), first, planes, carry)
-    down = apply_axis(across, "y", tap_weights(shapes, "y", taps, "reflect"), again, planes, carry)
-    return down.drop("th", "tw")
+        taps[name] = F.concat(pad, gaussian_taps(size, sigma), pad)
+    first = {name: expr * F.col(f"_t.{width}") for name, (width, expr) in maps.items()}
+    again = {name: F.col(name) * F.col(f"_t.{width}") for name, (width, _) in maps.items()}
+    across = apply_taps(with_shape_taps(px, taps, shapes), "x", first, "reflect", planes, carry)
+    return apply_taps(with_shape_taps(across, taps, shapes), "y", again, "reflect", planes, carry)
 
 
-def resize(
-    pixels: DataFrame, height: Column, width: Column, values: list[str],
-    planes: list[str] = PLANE, shapes: DataFrame | None = None,
+def gaussian_blur(
+    px: DataFrame, sigma: Column, values: list[str], shapes: DataFrame,
+    planes: list[str] = PLANE, carry: list[str] = (),
 ) -> DataFrame:
+    """Blur value columns with a sigma per shape (an expression of h and w), mirrored border."""
+    return blur_maps(px, {"k": sigma}, {name: ("k", F.col(name)) for name in values}, shapes, planes, carry)
+
+
+def _resize_axis(px: DataFrame, axis: str, target: str, values: list[str], keep: list[str], planes: list[str]) -> DataFrame:
+    """Bilinear resize of one axis to the size in a column.
+
+    A source index reaches the outputs whose place lies within one step of it.
+    """
+    size, index, goal = F.col("h" if axis == "y" else "w"), F.col(axis), F.col(target)
+    low = F.greatest(F.floor((index - 0.5) * goal / size - 0.5), F.lit(0))
+    high = F.least(F.ceil((index + 1.5) * goal / size - 0.5), goal - 1)
+    # The last source index also serves every place beyond it, the first every place before it.
+    low = F.when(index == 0, 0).otherwise(low).cast("int")
+    high = F.when(index == size - 1, goal - 1).otherwise(high).cast("int")
+    place = F.greatest((F.col("_o") + 0.5) * size / goal - 0.5, F.lit(0.0))
+    base = F.least(F.floor(F.col("_place")), size - 1)
+    part = F.col("_place") - base
+    weight = F.when(index == base, 1.0 - part).otherwise(0.0) + F.when(
+        index == F.least(base + 1, size - 1), part
+    ).otherwise(0.0)
+    other = "x" if axis == "y" else "y"
+    return (
+        px.where(low <= high)
+        .withColumn("_o", F.explode(F.sequence(low, high)))
+        .withColumn("_place", place)
+        .withColumn("_k", weight)
+        .where(F.col("_k") > 0)
+        .groupBy(*planes, *keep, other, F.col("_o").alias(axis))
+        .agg(*[F.sum(F.col(name) * F.col("_k")).alias(name) for name in values])
+    )
+
+
+def resize(px: DataFrame, height: Column, width: Column, values: list[str], planes: list[str] = PLANE) -> DataFrame:
     """Bilinear resize to a height and width per image; images already that size stay as they are."""
-    aimed = pixels.withColumn("th", height.cast("int")).withColumn("tw", width.cast("int"))
-    shapes = shapes_of(aimed) if shapes is None else shapes
-    sums = {name: F.col(name) * F.col("k") for name in values}
-    across = apply_axis(aimed, "x", resize_weights(shapes, "x"), sums, planes)
-    down = apply_axis(across, "y", resize_weights(shapes, "y"), sums, planes)
-    return down.select(*planes, F.col("th").alias("h"), F.col("tw").alias("w"), "y", "x", *values)
+    aimed = px.withColumn("_th", height.cast("int")).withColumn("_tw", width.cast("int"))
+    across = _resize_axis(aimed, "x", "_tw", values, ["h", "w", "_th", "_tw"], planes)
+    down = _resize_axis(across, "y", "_th", values, ["_th", "_tw"], planes)
+    return down.select(*planes, F.col("_th").alias("h"), F.col("_tw").alias("w"), "y", "x", *values)
+
+
+def fourier_axis(px: DataFrame, axis: str, half: bool, sums: dict[str, Column], planes: list[str] = PLANE) -> DataFrame:
+    """Discrete Fourier sums along one axis; sums may use _cos and _sin. half keeps the non-redundant outputs."""
+    size, other = F.col("h" if axis == "y" else "w"), "x" if axis == "y" else "y"
+    last = F.floor(size / 2).cast("int") if half else size - 1
+    angle = F.lit(2.0 * math.pi) * (F.col(axis) * F.col("_o") % size) / size
+    turned = px.withColumn("_o", F.explode(F.sequence(F.lit(0), last))).withColumn("_angle", angle)
+    return (
+        turned.withColumns({"_cos": F.cos("_angle"), "_sin": F.sin("_angle")})
+        .groupBy(*planes, "h", "w", other, F.col("_o").alias(axis))
+        .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
+    )
 
 
 def shrink_target(size: int) -> tuple[Column, Column]:
@@ -248,7 +269,7 @@ def match_target(low_h: Column, low_w: Column, size: int) -> tuple[Column, Colum
 
 
 # ---------------------------------------------------------------------------
-# Moves and scatter
+# Two axes at once
 # ---------------------------------------------------------------------------
 
 
@@ -271,7 +292,7 @@ def _hat(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - F.abs(distance))
 
 
-def rotate(pixels: DataFrame, degrees: Column, values: list[str], planes: list[str] = PLANE) -> DataFrame:
+def rotate(px: DataFrame, degrees: Column, values: list[str], planes: list[str] = PLANE) -> DataFrame:
     """Rotate about the centre, counter-clockwise, bilinear, zero outside.
 
     A source pixel reaches only outputs within two steps of its rotated place. It
@@ -279,8 +300,9 @@ def rotate(pixels: DataFrame, degrees: Column, values: list[str], planes: list[s
     """
     theta = F.radians(degrees)
     centre_y, centre_x = (F.col("h") - 1) / 2.0, (F.col("w") - 1) / 2.0
-    near = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in range(-2, 3) for i in range(-2, 3)])
-    turned = pixels.withColumns(
+    steps = [(j, i, False) for j in range(-2, 3) for i in range(-2, 3)] + [(0, 0, True)]
+    near = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.lit(own).alias("own")) for j, i, own in steps])
+    turned = px.withColumns(
         {
             "_cos": F.cos(theta),
             "_sin": F.sin(theta),
@@ -291,21 +313,18 @@ def rotate(pixels: DataFrame, degrees: Column, values: list[str], planes: list[s
     forward_y = F.rint(F.col("_dy") * F.col("_cos") - F.col("_dx") * F.col("_sin") + centre_y).cast("int")
     forward_x = F.rint(F.col("_dx") * F.col("_cos") + F.col("_dy") * F.col("_sin") + centre_x).cast("int")
     reached = turned.withColumns({"_fy": forward_y, "_fx": forward_x}).withColumn("_n", F.explode(near))
-    out_y, out_x = F.col("_fy") + F.col("_n.j"), F.col("_fx") + F.col("_n.i")
+    own = F.col("_n.own")
+    out_y = F.when(own, F.col("y")).otherwise(F.col("_fy") + F.col("_n.j"))
+    out_x = F.when(own, F.col("x")).otherwise(F.col("_fx") + F.col("_n.i"))
     reached = reached.withColumns({"_oy": out_y, "_ox": out_x})
     rel_y, rel_x = F.col("_oy") - centre_y, F.col("_ox") - centre_x
     source_y = rel_x * F.col("_sin") + rel_y * F.col("_cos")
     source_x = rel_x * F.col("_cos") - rel_y * F.col("_sin")
-    weight = _hat(F.col("_dy") - source_y) * _hat(F.col("_dx") - source_x)
+    weight = F.when(own, 0.0).otherwise(_hat(F.col("_dy") - source_y) * _hat(F.col("_dx") - source_x))
     inside = F.col("_oy").between(0, F.col("h") - 1) & F.col("_ox").between(0, F.col("w") - 1)
-    landed = reached.withColumn("_k", weight).where(inside & (F.col("_k") > 0))
-    parts = landed.select(
-        *planes, "h", "w", F.col("_oy").alias("y"), F.col("_ox").alias("x"),
-        *[(F.col(name) * F.col("_k")).alias(name) for name in values],
-    )
-    blank = pixels.select(*planes, "h", "w", "y", "x", *[F.lit(0.0).alias(name) for name in values])
-    return parts.unionByName(blank).groupBy(*planes, "h", "w", "y", "x").agg(
-        *[F.sum(name).alias(name) for name in values]
+    landed = reached.withColumn("_k", weight).where(inside & (own | (F.col("_k") > 0)))
+    return landed.groupBy(*planes, "h", "w", F.col("_oy").alias("y"), F.col("_ox").alias("x")).agg(
+        *[F.sum(F.col(name) * F.col("_k")).alias(name) for name in values]
     )
 
 
@@ -315,54 +334,63 @@ def motion_taps(ksize: Column, degrees: Column) -> Column:
     A rotated line sampled bilinearly has a closed form: a hat across the line
     times a ramp at its two ends.
     """
-    size = F.greatest(F.lit(3), ksize.bitwiseOR(F.lit(1)))
-    radius = F.floor(size / 2)
-    cos, sin = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    odd = F.greatest(F.lit(3), ksize.bitwiseOR(F.lit(1)))
+    given = F.struct(
+        odd.alias("size"),
+        F.floor(odd / 2).alias("radius"),
+        F.cos(F.radians(degrees)).alias("cos"),
+        F.sin(F.radians(degrees)).alias("sin"),
+    )
 
-    def tap(place: Column) -> Column:
-        dy = F.floor(place / size) - radius
-        dx = place % size - radius
-        along = dx * cos - dy * sin + radius
-        across = dx * sin + dy * cos
-        ramp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along + 1.0, size - along))
-        return F.struct(dy.cast("int").alias("dy"), dx.cast("int").alias("dx"), (_hat(across) * ramp / size).alias("k"))
+    def raw(g: Column) -> Column:
+        def tap(place: Column) -> Column:
+            dy = F.floor(place / g["size"]) - g["radius"]
+            dx = place % g["size"] - g["radius"]
+            along = dx * g["cos"] - dy * g["sin"] + g["radius"]
+            across = dx * g["sin"] + dy * g["cos"]
+            ramp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along + 1.0, g["size"] - along))
+            weight = _hat(across) * ramp / g["size"]
+            return F.struct(dy.cast("int").alias("dy"), dx.cast("int").alias("dx"), weight.alias("k"))
 
-    raw = F.filter(F.transform(F.sequence(F.lit(0), size * size - 1), tap), lambda t: t["k"] > 0)
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, t: acc + t["k"]) + 1e-8
-    return F.transform(raw, lambda t: F.struct(t["dy"].alias("dy"), t["dx"].alias("dx"), (t["k"] / total).alias("k")))
+        places = F.sequence(F.lit(0), g["size"] * g["size"] - 1)
+        return F.filter(F.transform(places, tap), lambda t: t["k"] > 0)
 
+    def normalised(taps: Column) -> Column:
+        total = F.aggregate(taps, F.lit(0.0), lambda acc, t: acc + t["k"]) + 1e-8
 
-def _mirrors(place: Column, size: Column, radius: Column) -> Column:
-    """Places in [-radius, size-1+radius] that a mirrored border maps onto an index."""
-    before = F.when((place > 0) & (place <= radius), -place)
-    after = F.when((place < size - 1) & (place >= size - 1 - radius), 2 * (size - 1) - place)
-    direct = F.array_compact(F.array(place, before, after))
-    span = F.sequence(-radius, size - 1 + radius)
-    # A kernel wider than the image wraps more than once.
-    return F.when(radius < size, direct).otherwise(
-        F.filter(span, lambda p: fold_index(p, size, "reflect") == place)
-    )
+        def share(whole: Column) -> Column:
+            return F.transform(
+                taps, lambda t: F.struct(t["dy"].alias("dy"), t["dx"].alias("dx"), (t["k"] / whole).alias("k"))
+            )
+
+        return bound(total, share)
 
+    return bound(bound(given, raw), normalised)
 
-def correlate(pixels: DataFrame, taps: str, values: list[str], planes: list[str] = PLANE) -> DataFrame:
-    """2-D correlation with a mirrored border; `taps` is an array column of (dy, dx, k).
 
-    Border pixels first stand in for their mirror images, then each place adds to
-    the outputs its taps reach. Compute the taps on the image rows, before the
-    pixels are unpacked, or they are worked out again for every pixel.
+def correlate(px: DataFrame, taps: str, values: list[str], planes: list[str] = PLANE, carry: list[str] = ()) -> DataFrame:
+    """2-D correlation with a mirrored border; `taps` is an array column of (dy, dx, k) with a centre.
+
+    Compute the taps on the image rows, before the pixels are unpacked, or they
+    are worked out again for every pixel.
     """
-    reach = F.greatest(F.array_max(F.col(taps)["dy"]), F.array_max(F.col(taps)["dx"]))
     y, x, h, w = (F.col(name) for name in ("y", "x", "h", "w"))
-    near = (y <= F.col("_r")) | (x <= F.col("_r")) | (y >= h - 1 - F.col("_r")) | (x >= w - 1 - F.col("_r"))
-    # Only pixels near the border look for mirror images.
-    sized = pixels.withColumn("_r", reach)
-    placed = sized.withColumn("_py", F.explode(F.when(near, _mirrors(y, h, F.col("_r"))).otherwise(F.array(y))))
-    placed = placed.withColumn("_px", F.explode(F.when(near, _mirrors(x, w, F.col("_r"))).otherwise(F.array(x))))
-    spread = placed.withColumn("_t", F.explode(taps))
-    out_y, out_x = F.col("_py") - F.col("_t.dy"), F.col("_px") - F.col("_t.dx")
-    landed = spread.where(out_y.between(0, h - 1) & out_x.between(0, w - 1))
-    return landed.groupBy(*planes, "h", "w", out_y.alias("y"), out_x.alias("x")).agg(
-        *[F.sum(F.col(name) * F.col("_t.k")).alias(name) for name in values]
+    reach = F.greatest(F.array_max(F.col(taps)["dy"]), F.array_max(F.col(taps)["dx"]))
+    placed = px.withColumn("_r", reach)
+    placed = placed.withColumn("_py", F.explode(_places(y, h, F.col("_r"))))
+    placed = placed.withColumn("_px", F.explode(_places(x, w, F.col("_r"))))
+    kept = [c for c in placed.columns if c != taps]
+    landed = placed.select(*kept, F.explode(taps).alias("_t")).withColumns(
+        {"_oy": F.col("_py") - F.col("_t.dy"), "_ox": F.col("_px") - F.col("_t.dx")}
+    )
+    here = (F.col("_oy") == y) & (F.col("_ox") == x)
+    return (
+        landed.where(F.col("_oy").between(0, h - 1) & F.col("_ox").between(0, w - 1))
+        .groupBy(*planes, "h", "w", F.col("_oy").alias("y"), F.col("_ox").alias("x"))
+        .agg(
+            *[F.sum(F.col(name) * F.col("_t.k")).alias(name) for name in values],
+            *[F.max(F.when(here, F.col(name))).alias(name) for name in carry],
+        )
     )
 
 

@@ -59,7 +59,7 @@ def weighted_batches(batches: DataFrame) -> DataFrame:
     return batches.agg(total.alias("psnr"), F.sum("images").alias("images"))
 
 
-def ssim(pairs: DataFrame, planes: list[str] = pixels.PLANE, shapes: DataFrame | None = None) -> DataFrame:
+def ssim(pairs: DataFrame, planes: list[str] = pixels.PLANE) -> DataFrame:
     moments = pairs.withColumns(
         {
             "aa": F.col("a") * F.col("a"),
@@ -67,8 +67,8 @@ def ssim(pairs: DataFrame, planes: list[str] = pixels.PLANE, shapes: DataFrame |
             "ab": F.col("a") * F.col("b"),
         }
     )
-    taps = pixels.gaussian_taps(F.lit(SSIM_TAPS), F.lit(SSIM_SIGMA))
-    m = pixels.separable(moments, taps, taps, ["a", "b", "aa", "bb", "ab"], "zero", planes, shapes)
+    weights = pixels.gaussian_weights(SSIM_TAPS, SSIM_SIGMA)
+    m = pixels.separable(moments, weights, ["a", "b", "aa", "bb", "ab"], "zero", planes)
     mu_aa, mu_bb, mu_ab = F.col("a") * F.col("a"), F.col("b") * F.col("b"), F.col("a") * F.col("b")
     top = (2.0 * mu_ab + SSIM_C1) * (2.0 * (F.col("ab") - mu_ab) + SSIM_C2)
     spread = F.col("aa") - mu_aa + F.col("bb") - mu_bb
@@ -101,21 +101,20 @@ def wavelet(pairs: DataFrame, planes: list[str] = pixels.PLANE) -> DataFrame:
     return bands.groupBy(IMAGE).agg((F.avg(F.col("_0") + F.col("_1") + F.col("_2")) / 6.0).alias("wavelet"))
 
 
-def frequency(pairs: DataFrame, planes: list[str] = pixels.PLANE, shapes: DataFrame | None = None) -> DataFrame:
+def frequency(pairs: DataFrame, planes: list[str] = pixels.PLANE) -> DataFrame:
     """Mean absolute difference of log magnitudes of the half spectrum (orthonormal)."""
-    shapes = pixels.shapes_of(pairs) if shapes is None else shapes
-    cos, sin = F.col("cos"), F.col("sin")
+    cos, sin = F.col("_cos"), F.col("_sin")
     sums_x = {}
     for name in ("a", "b"):
         sums_x[f"{name}_re"] = F.col(name) * cos
         sums_x[f"{name}_im"] = -F.col(name) * sin
-    across = pixels.apply_axis(pairs, "x", pixels.dft_weights(shapes, "x", half=True), sums_x, planes)
+    across = pixels.fourier_axis(pairs, "x", True, sums_x, planes)
     sums_y = {}
     for name in ("a", "b"):
         re, im = F.col(f"{name}_re"), F.col(f"{name}_im")
         sums_y[f"{name}_re"] = re * cos + im * sin
         sums_y[f"{name}_im"] = im * cos - re * sin
-    spectrum = pixels.apply_axis(across, "y", pixels.dft_weights(shapes, "y", half=False), sums_y, planes)
+    spectrum = pixels.fourier_axis(across, "y", False, sums_y, planes)
 
     def level(name: str) -> Column:
         re, im = F.col(f"{name}_re"), F.col(f"{name}_im")
@@ -124,18 +123,17 @@ def frequency(pairs: DataFrame, planes: list[str] = pixels.PLANE, shapes: DataFr
     return spectrum.groupBy(IMAGE).agg(F.avg(F.abs(level("a") - level("b"))).alias("frequency"))
 
 
-def edge(pairs: DataFrame, planes: list[str] = pixels.PLANE, shapes: DataFrame | None = None) -> DataFrame:
+def edge(pairs: DataFrame, planes: list[str] = pixels.PLANE) -> DataFrame:
     """Mean absolute difference of Sobel magnitudes, zero border."""
-    shapes = pixels.shapes_of(pairs) if shapes is None else shapes
-    taps = {"smooth": pixels.constant_taps(SOBEL_SMOOTH), "slope": pixels.constant_taps(SOBEL_SLOPE)}
-    smooth, slope = F.col("smooth"), F.col("slope")
-    sums_x = {f"{n}_{k}": F.col(n) * F.col(k) for n in ("a", "b") for k in ("smooth", "slope")}
-    across = pixels.apply_axis(pairs, "x", pixels.tap_weights(shapes, "x", taps), sums_x, planes)
+    taps = pixels.literal_taps({"smooth": SOBEL_SMOOTH, "slope": SOBEL_SLOPE})
+    smooth, slope = F.col("_t.smooth"), F.col("_t.slope")
+    sums_x = {f"{n}_{k}": F.col(n) * F.col(f"_t.{k}") for n in ("a", "b") for k in ("smooth", "slope")}
+    across = pixels.apply_taps(pairs.withColumn("_taps", taps), "x", sums_x, "zero", planes)
     sums_y = {}
     for n in ("a", "b"):
         sums_y[f"{n}_gx"] = F.col(f"{n}_slope") * smooth
         sums_y[f"{n}_gy"] = F.col(f"{n}_smooth") * slope
-    both = pixels.apply_axis(across, "y", pixels.tap_weights(shapes, "y", taps), sums_y, planes)
+    both = pixels.apply_taps(across.withColumn("_taps", taps), "y", sums_y, "zero", planes)
 
     def magnitude(n: str) -> Column:
         gx, gy = F.col(f"{n}_gx"), F.col(f"{n}_gy")
@@ -186,20 +184,20 @@ def retinex_terms(
     )
 
 
-def composite(model_pairs: DataFrame, weights: dict[str, float], shapes: DataFrame | None = None) -> DataFrame:
+def composite(model_pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Per-image terms and their weighted total; input on [-1, 1], terms with weight zero are not computed."""
     weights = {**COMPOSITE_WEIGHTS, **weights}
     unit = model_pairs.withColumns(
         {name: (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(name))) + 1.0) / 2.0 for name in ("a", "b")}
     )
     terms = charbonnier(model_pairs).withColumnRenamed("charbonnier", "char")
-    terms = terms.join(ssim(unit, shapes=shapes).select(IMAGE, (1.0 - F.col("ssim")).alias("ssim")), IMAGE)
+    terms = terms.join(ssim(unit).select(IMAGE, (1.0 - F.col("ssim")).alias("ssim")), IMAGE)
     if weights["wavelet"] > 0:
         terms = terms.join(wavelet(unit), IMAGE)
     if weights["frequency"] > 0:
-        terms = terms.join(frequency(unit, shapes=shapes), IMAGE)
+        terms = terms.join(frequency(unit), IMAGE)
     if weights["edge"] > 0:
-        terms = terms.join(edge(unit, shapes=shapes), IMAGE)
+        terms = terms.join(edge(unit), IMAGE)
     used = [name for name in weights if name in terms.columns]
     total = sum((F.lit(weights[name]) * F.col(name) for name in used), F.lit(0.0))
     return terms.withColumn("total", total)

@@ -14,10 +14,11 @@ BATCH = 16
 
 def images(spark, sf):
     """Values on [-1, 1]."""
-    return table(spark, sf, "embeddings").select(
+    rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"),
         F.col("embedding").alias("data"), "label",
     )
+    return pixels.by_image(rows)
 
 
 def gray(spark, sf):
@@ -28,7 +29,8 @@ def gray(spark, sf):
 def image_pairs(spark, sf):
     """Image k next to image k+1: joined once per image, before any pixel is unpacked."""
     left = images(spark, sf).withColumnRenamed("data", "a")
-    right = images(spark, sf).select((F.col("image_id") - 1).alias("image_id"), F.col("data").alias("b"))
+    right = table(spark, sf, "embeddings").select((F.col("vec_id") - 1).alias("image_id"), F.col("embedding").alias("b"))
+    right = pixels.by_image(right)
     return left.join(right, "image_id")
 
 
@@ -102,7 +104,7 @@ def validation_limit(spark, sf):
 
 @query("q_ssim", f"WITH {PAIRS}, {SSIM} SELECT image_id, round(ssim, 6) AS ssim FROM ssim")
 def ssim(spark, sf):
-    return rounded(quality.ssim(pairs(spark, sf), shapes=shapes(spark)), "ssim")
+    return rounded(quality.ssim(pairs(spark, sf)), "ssim")
 
 
 @query("q_charbonnier", f"WITH {PAIRS} SELECT image_id, round(avg(sqrt((ma - mb) * (ma - mb) + 1e-6)), 8) AS charbonnier FROM pp GROUP BY image_id")
@@ -118,7 +120,7 @@ def tv(spark, sf):
 
 @query("q_edge", f"WITH {PAIRS}, {EDGE} SELECT image_id, round(edge, 6) AS edge FROM edge")
 def edge(spark, sf):
-    return rounded(quality.edge(pairs(spark, sf), shapes=shapes(spark)), "edge")
+    return rounded(quality.edge(pairs(spark, sf)), "edge")
 
 
 @query("q_wavelet", f"WITH {PAIRS}, {WAVELET} SELECT image_id, round(wavelet, 8) AS wavelet FROM wavelet")
@@ -128,7 +130,7 @@ def wavelet(spark, sf):
 
 @query("q_frequency", f"WITH {PAIRS}, {FREQUENCY} SELECT image_id, round(frequency, 6) AS frequency FROM frequency")
 def frequency(spark, sf):
-    return rounded(quality.frequency(pairs(spark, sf), shapes=shapes(spark)), "frequency")
+    return rounded(quality.frequency(pairs(spark, sf)), "frequency")
 
 
 @query("q_retinex_terms", f"""WITH {PAIRS}, t AS (SELECT *, 1 - a / 2 AS r_low, 1 - b / 2 AS r_high FROM pp),
@@ -167,7 +169,7 @@ WEIGHTS = {"wavelet": 0.05, "frequency": 0.02, "edge": 0.03}
   SELECT w AS weight, round(sum(c * w) / sum(w), 6) AS l_pix, round(sum(s * w) / sum(w), 6) AS l_ssim, round(sum(total * w) / greatest(sum(w), 1e-8), 6) AS l_total
   FROM t GROUP BY w""")
 def composite(spark, sf):
-    terms = quality.composite(model_pairs(spark, sf), WEIGHTS, shapes(spark))
+    terms = quality.composite(model_pairs(spark, sf), WEIGHTS)
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("label") + 1).alias("weight"))
     means = {"l_pix": "char", "l_ssim": "ssim", "l_total": "total"}
     return terms.join(labels, "image_id").groupBy("weight").agg(
@@ -222,8 +224,7 @@ def axis_sql(name: str, size: str) -> str:
   SELECT image_id, wt.o AS y, x, round(sum(v * k), 6) AS v FROM across a JOIN wt ON wt.n = a.n AND wt.s = a.y GROUP BY 1, 2, 3""")
 def resize(spark, sf):
     side = F.element_at(F.array(F.lit(5), F.lit(12), F.lit(8)), (F.col("image_id") % 3 + 1).cast("int"))
-    targets = pixels.known_shapes(spark, [(SIDE, SIDE, n, n) for n in (5, 12, 8)])
-    resized = pixels.resize(gray(spark, sf), side, side, ["v"], shapes=targets)
+    resized = pixels.resize(gray(spark, sf), side, side, ["v"])
     return resized.select("image_id", "y", "x", F.round("v", 6).alias("v"))
 
 
@@ -279,7 +280,7 @@ FOLD = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
   across AS (SELECT image_id, y, o AS x, sum(v * k) AS v FROM px JOIN w ON s = x GROUP BY 1, 2, 3)
   SELECT image_id, o AS y, x, round(sum(v * k), 6) AS v FROM across JOIN w ON s = y GROUP BY 1, 2, 3""")
 def blur(spark, sf):
-    soft = pixels.gaussian_blur(gray(spark, sf), F.lit(1.2), ["v"], shapes=shapes(spark))
+    soft = pixels.gaussian_blur(gray(spark, sf), F.lit(1.2), ["v"], shapes(spark))
     return soft.select("image_id", "y", "x", F.round("v", 6).alias("v"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumatable.functions import parsing
 from lumatable.operators import config, ordered, runs
 from lumatable.plans.registry import query, table
+from lumatable.session import spread
 
 # The phase names of this log, searched in this order for the tail.
 PRIORITY = ("purchase", "click")
@@ -341,7 +342,8 @@ def config_json(spark, sf):
     UNION ALL SELECT event_id, 'gradient_accumulation_steps', CAST(event_id % 5 AS VARCHAR) FROM events
     UNION ALL SELECT event_id, 'config', 'configs/train/' || event_type || '.yaml' FROM events)""")
 def flatten(spark, sf):
-    events = table(spark, sf, "events").select(F.col("event_id").alias("pos"), config_text().alias("text"))
+    # Parsing dominates here, so the rows are dealt out to all cores first.
+    events = spread(table(spark, sf, "events")).select(F.col("event_id").alias("pos"), config_text().alias("text"))
     return config.flatten_json(events, "pos", "text")
 
 

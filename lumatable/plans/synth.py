@@ -20,10 +20,11 @@ def shapes(spark):
 
 def images(spark, sf):
     """Interleaved RGB on [-1, 1]."""
-    return table(spark, sf, "embeddings").select(
+    rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"),
         F.slice("embedding", 1, 3 * SIDE * SIDE).alias("data"), "label",
     )
+    return pixels.by_image(rows)
 
 
 def rgb(spark, sf):
@@ -385,7 +386,7 @@ def emissive(spark, sf):
 @query("q_night")
 def night_images(spark, sf):
     """The whole synthesis on labelled images."""
-    result = night.synthesize(night_source(spark, sf), shapes=shapes(spark), one_tile=True)
+    result = night.synthesize(night_source(spark, sf), shapes(spark), one_tile=True)
     return result.select("image_id", "y", "x", *[F.round(c, 6).alias(c) for c in DARK])
 
 

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Row bound for tables that may be broadcast after their size was counted.
 BROADCAST_ROWS = 500_000
@@ -56,11 +55,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a count shows the table is small.
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when an input has fewer partitions than there are cores.
 
-    Beyond the bound the table is returned as it is and Spark shuffles the join.
+    For rows that are costly to parse; a large input stays as it is.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
