@@ -38,9 +38,26 @@ def list_items(text: Column) -> Column:
 
 
 def fixed_point(value: Column, digits: int) -> Column:
-    """Decimal text rounded half to even; format_string alone rounds half up."""
-    scale = F.lit(float(10**digits))
-    return F.format_string(f"%.{digits}f", F.rint(value * scale) / scale)
+    """Decimal text of the exact binary value, ties to even; format_string alone rounds half up.
+
+    A scaled value that lands on a half may have been rounded there; the exact
+    error of the product (by splitting both factors) decides such cases.
+    """
+    scale = float(10**digits)
+    half_bits = float((1 << 27) + 1)
+    scale_high = half_bits * scale - (half_bits * scale - scale)
+    scale_low = scale - scale_high
+    scaled = value * scale
+    high = value * half_bits - (value * half_bits - value)
+    low = value - high
+    error = high * scale_high - scaled + high * scale_low + low * scale_high + low * scale_low
+    on_half = scaled - F.floor(scaled) == 0.5
+    rounded = (
+        F.when(on_half & (error > 0), F.floor(scaled) + 1)
+        .when(on_half & (error < 0), F.floor(scaled))
+        .otherwise(F.rint(scaled))
+    )
+    return F.format_string(f"%.{digits}f", rounded.cast("double") / scale)
 
 
 def number_text(value: Column, digits: int) -> Column:

@@ -257,19 +257,18 @@ def prepare(images: DataFrame, params: dict[str, Column], seed: int = 42) -> Dat
 
 
 def degrade(
-    images: DataFrame, params: dict[str, Column], seed: int = 42, shapes: DataFrame | None = None, soften: bool = True
+    images: DataFrame, params: dict[str, Column], seed: int = 42, soften: bool = True, partitions: int | None = None
 ) -> DataFrame:
     """Whole degradation of images with interleaved 8-bit RGB data: (image_id, h, w, y, x, r, g, b, dr, dg, db).
 
     One shuffle of image rows; after it every step stays in its task. The JPEG step
     is left out; its two parameters are drawn all the same.
     """
-    rows = prepare(pixels.by_image(images), params, seed)
+    rows = prepare(pixels.by_image(images, partitions), params, seed)
     px = pixels.rgb_pixels(rows, keep=[*PARAMS, "lights", "taps"])
     px = px.withColumns({c: F.col(c).cast("int") for c in RGB})
     px = px.withColumn("mask", light_level(F.col("y"), F.col("x"), F.col("lights"))).drop("lights")
     if soften:
-        known = pixels.shapes_of(images) if shapes is None else shapes
-        px = soften_lights(px, "mask", [*RGB, *PARAMS, "taps"], known)
+        px = soften_lights(px, "mask", [*RGB, *PARAMS, "taps"], pixels.shapes_of(images))
     px = noise(motion_blur(vignette(tone(px, "mask"))), seed)
     return exposure_guard(px).select("image_id", "h", "w", "y", "x", *RGB, *DARK)

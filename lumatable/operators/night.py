@@ -111,16 +111,18 @@ def pick_asset(ident: Column, n_assets: int, seed: int = 42) -> Column:
     return draws.whole_between(ident, "asset", 0, n_assets - 1, seed)
 
 
-def attach_assets(px: DataFrame, shapes: DataFrame, assets: DataFrame, n_assets: int, seed: int = 42) -> DataFrame:
-    """sky_* columns from asset pixels (asset_id, h, w, y, x, r, g, b), each fitted once to every image shape.
+def attach_assets(px: DataFrame, images: DataFrame, assets: DataFrame, n_assets: int, seed: int = 42) -> DataFrame:
+    """sky_* columns from asset pixels (asset_id, h, w, y, x, r, g, b), each fitted once to every shape that uses it.
 
     The fitted assets grow with the number of shapes, not of images; Spark's own
     size threshold decides whether they are broadcast.
     """
-    wanted = shapes.select(F.col("h").alias("_ah"), F.col("w").alias("_aw"))
-    fitted = pixels.resize(assets.crossJoin(wanted), F.col("_ah"), F.col("_aw"), list(RGB), ["asset_id"])
+    asset = pick_asset(F.col("image_id"), n_assets, seed).alias("asset_id")
+    wanted = images.select(asset, F.col("h").alias("_ah"), F.col("w").alias("_aw")).distinct()
+    aimed = assets.join(wanted, "asset_id")
+    fitted = pixels.resize(aimed, F.col("_ah"), F.col("_aw"), list(RGB), ["asset_id"])
     sky = fitted.select("asset_id", "h", "w", "y", "x", *[F.col(c).alias(f"sky_{c}") for c in RGB])
-    chosen = px.withColumn("asset_id", pick_asset(F.col("image_id"), n_assets, seed))
+    chosen = px.select("*", asset)
     return chosen.join(sky, ["asset_id", "h", "w", "y", "x"]).drop("asset_id")
 
 
@@ -235,24 +237,24 @@ def emissive(image: Column, source: Column) -> Column:
 
 
 def synthesize(
-    px: DataFrame, shapes: DataFrame, space: str = LABEL_IDS, randomize: bool = True,
+    px: DataFrame, images: DataFrame, space: str = LABEL_IDS, randomize: bool = True,
     assets: DataFrame | None = None, n_assets: int = 0, apply_base_noise: bool = True, seed: int = 42,
     tile: int = components.TILE, one_tile: bool = False,
 ) -> DataFrame:
     """Night version dr, dg, db of r, g, b in [0, 1] with label_id (and an optional confidence).
 
-    Unpack px from rows partitioned by image: then only the sky pixels, the per-image
-    figures and the asset pixels are shuffled.
+    images holds (image_id, h, w) of the same images. Unpack px from rows partitioned
+    by image: then only the sky pixels, per-image figures and asset pixels are shuffled.
     """
     masked = class_masks(px, space)
     usable = sky_usable(masked, tile, one_tile).select("image_id", "usable")
     flagged = masked.join(usable, "image_id")
     if assets is not None and n_assets:
-        skies = match_sky(attach_assets(flagged, shapes, assets, n_assets, seed))
+        skies = match_sky(attach_assets(flagged, images, assets, n_assets, seed))
     else:
         skies = render_gradient_sky(flagged, randomize, seed)
     sky_names = [f"sky_{c}" for c in RGB]
-    maps = blurred_maps(skies, [*RGB, *sky_names, "usable"], shapes)
+    maps = blurred_maps(skies, [*RGB, *sky_names, "usable"], pixels.shapes_of(images))
     alpha = F.when(F.col("usable") == 1, F.col("soft_sky")).otherwise(0.0)
     working = maps.withColumns(
         {f"w{c}": colour.clip(F.col(c) * (1.0 - alpha) + F.col(f"sky_{c}") * alpha) for c in RGB}

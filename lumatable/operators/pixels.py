@@ -17,21 +17,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatable.functions.binding import bound
 from lumatable.session import BROADCAST_ROWS
 
 PLANE = ["image_id"]
-UNPACK = 4
 
 
-def by_image(images: DataFrame) -> DataFrame:
-    """Partition image rows by image_id, several partitions per input split as pixels outgrow rows."""
-    spark = images.sparkSession
-    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return images.repartition(max(at_least, UNPACK * images.rdd.getNumPartitions()), "image_id")
+def by_image(images: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Partition image rows by image_id before they are unpacked.
+
+    The default count is spark.sql.shuffle.partitions; a fixed count also keeps AQE
+    from merging partitions whose rows look small but whose pixels are not.
+    """
+    count = partitions or int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return images.repartition(count, "image_id")
 
 
 def gray_pixels(images: DataFrame, data: str = "data", keep: list[str] = ()) -> DataFrame:
@@ -71,10 +73,6 @@ def channels_long(rgb: DataFrame, keep: list[str] = ()) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def known_shapes(spark: SparkSession, shapes: list[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame(shapes, "h int, w int")
-
-
 def shapes_of(rows: DataFrame) -> DataFrame:
     """Distinct shapes; take them from image rows where there are any, not from pixels."""
     return rows.select("h", "w").distinct()

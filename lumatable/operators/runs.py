@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatable.functions import parsing, paths
@@ -31,15 +31,23 @@ def phase_tail(
 ) -> DataFrame:
     """Last `window` rows of the best phase present in a run, else of the whole run.
 
-    Adds sampled_phase. The choice is one row per run (a partial aggregate); the
-    tail is a two-level cut, so a huge run never meets in one task uncut.
+    Adds sampled_phase. Tails are cut per phase and per run before anything is
+    shuffled; the choice between them then sees a few rows per run.
     """
     known = F.array(*[F.lit(name) for name in priority])
-    place = F.nullif(F.array_position(known, F.col(phase)), F.lit(0))
-    choice = log.groupBy(run).agg(F.min(place).alias("_place"))
-    chosen = choice.select(run, F.try_element_at(known, F.col("_place").cast("int")).alias("sampled_phase"))
-    kept = log.join(chosen, run).where(F.col("sampled_phase").isNull() | (F.col(phase) == F.col("sampled_phase")))
-    return ordered.top_rows(kept, [run], [F.col(pos).desc()], window, spread=[pos])
+    newest = [F.col(pos).desc()]
+    named = ordered.top_rows(log.where(F.col(phase).isin(*priority)), [run, phase], newest, window, spread=[pos])
+    whole = ordered.top_rows(log, [run], newest, window, spread=[pos])
+    candidates = named.withColumn("_place", F.array_position(known, F.col(phase))).unionByName(
+        whole.withColumn("_place", F.lit(len(priority) + 1).cast("bigint"))
+    )
+    best = F.min("_place").over(Window.partitionBy(run))
+    return (
+        candidates.withColumn("_best", best)
+        .where(F.col("_place") == F.col("_best"))
+        .withColumn("sampled_phase", F.get(known, (F.col("_place") - 1).cast("int")))
+        .drop("_place", "_best")
+    )
 
 
 def tail_means(tail: DataFrame, run: str, means: dict[str, Column], maxima: dict[str, Column]) -> DataFrame:
@@ -104,15 +112,13 @@ def accumulate(log: DataFrame, run: str, pos: str, steps: int, sums: dict[str, C
 
 
 def baseline_delta(runs: DataFrame, baseline: DataFrame, metrics: list[str]) -> DataFrame:
-    """Difference and ratio of every run to one baseline row (broadcast: a single row)."""
-    renamed = baseline.limit(1).select(*[F.col(name).alias(f"_base_{name}") for name in metrics])
-    joined = runs.join(F.broadcast(renamed), how="left")
+    """Difference and ratio of every run to one baseline row, read as scalar subqueries."""
     changes = {}
     for name in metrics:
-        base = F.col(f"_base_{name}")
+        base = baseline.select(name).scalar()
         changes[f"{name}_delta"] = F.col(name) - base
-        changes[f"{name}_ratio"] = F.when(base != 0, F.col(name) / base - 1.0)
-    return joined.withColumns(changes).drop(*[f"_base_{name}" for name in metrics])
+        changes[f"{name}_ratio"] = F.col(name) / F.nullif(base, F.lit(0.0)) - 1.0
+    return runs.withColumns(changes)
 
 
 def job_outcome(results: DataFrame, keys: list[str], ok: Column, elapsed: Column) -> DataFrame:

@@ -8,17 +8,19 @@ from lumatable.functions import colour
 from lumatable.operators import pixels, quality
 from lumatable.plans.registry import query, table
 
-SIDE = 8
 BATCH = 16
 
 
-def images(spark, sf):
+def image_rows(spark, sf):
     """Values on [-1, 1]."""
-    rows = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"),
-        F.col("embedding").alias("data"), "label",
+    side = F.sqrt(F.size("embedding")).cast("int")
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("image_id"), side.alias("h"), side.alias("w"), F.col("embedding").alias("data"), "label"
     )
-    return pixels.by_image(rows)
+
+
+def images(spark, sf):
+    return pixels.by_image(image_rows(spark, sf))
 
 
 def gray(spark, sf):
@@ -42,10 +44,6 @@ def pairs(spark, sf):
     return model_pairs(spark, sf).withColumns({name: (F.col(name) + 1.0) / 2.0 for name in ("a", "b")})
 
 
-def shapes(spark):
-    return pixels.known_shapes(spark, [(SIDE, SIDE)])
-
-
 PX = """px AS (SELECT vec_id AS image_id, i // 8 AS y, i % 8 AS x, e AS m, (e + 1) / 2 AS v FROM (
   SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))"""
 PAIRS = PX + """, pp AS (SELECT p.image_id, p.y, p.x, p.v AS a, q.v AS b, p.m AS ma, q.m AS mb FROM px p
@@ -280,7 +278,7 @@ FOLD = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
   across AS (SELECT image_id, y, o AS x, sum(v * k) AS v FROM px JOIN w ON s = x GROUP BY 1, 2, 3)
   SELECT image_id, o AS y, x, round(sum(v * k), 6) AS v FROM across JOIN w ON s = y GROUP BY 1, 2, 3""")
 def blur(spark, sf):
-    soft = pixels.gaussian_blur(gray(spark, sf), F.lit(1.2), ["v"], shapes(spark))
+    soft = pixels.gaussian_blur(gray(spark, sf), F.lit(1.2), ["v"], pixels.shapes_of(image_rows(spark, sf)))
     return soft.select("image_id", "y", "x", F.round("v", 6).alias("v"))
 
 

@@ -14,17 +14,17 @@ SIDE = 4
 RGB, DARK = degrade.RGB, degrade.DARK
 
 
-def shapes(spark):
-    return pixels.known_shapes(spark, [(SIDE, SIDE)])
+def image_rows(spark, sf):
+    """Interleaved RGB on [-1, 1]."""
+    data = F.slice("embedding", 1, 3 * SIDE * SIDE)
+    side = F.sqrt(F.size(data) / 3).cast("int")
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("image_id"), side.alias("h"), side.alias("w"), data.alias("data"), "label"
+    )
 
 
 def images(spark, sf):
-    """Interleaved RGB on [-1, 1]."""
-    rows = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"),
-        F.slice("embedding", 1, 3 * SIDE * SIDE).alias("data"), "label",
-    )
-    return pixels.by_image(rows)
+    return pixels.by_image(image_rows(spark, sf))
 
 
 def rgb(spark, sf):
@@ -263,7 +263,7 @@ def noise(spark, sf):
 @query("q_degrade")
 def degraded(spark, sf):
     """The whole degradation with drawn parameters."""
-    eight = images(spark, sf).withColumn(
+    eight = image_rows(spark, sf).withColumn(
         "data", F.transform("data", lambda e: F.floor((e.cast("double") + 1.0) / 2.0 * 255.0).cast("int"))
     )
     params = degrade.draw_params(F.col("image_id"))
@@ -295,7 +295,7 @@ def masked(spark, sf):
 
 
 def maps(spark, sf):
-    return night.blurred_maps(masked(spark, sf), list(RGB), shapes(spark))
+    return night.blurred_maps(masked(spark, sf), list(RGB), pixels.shapes_of(image_rows(spark, sf)))
 
 
 @query("q_sky_gradient", f"""WITH {PX} SELECT image_id, y, x, """ + ", ".join(
@@ -386,7 +386,7 @@ def emissive(spark, sf):
 @query("q_night")
 def night_images(spark, sf):
     """The whole synthesis on labelled images."""
-    result = night.synthesize(night_source(spark, sf), shapes(spark), one_tile=True)
+    result = night.synthesize(night_source(spark, sf), image_rows(spark, sf), one_tile=True)
     return result.select("image_id", "y", "x", *[F.round(c, 6).alias(c) for c in DARK])
 
 

@@ -58,7 +58,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use every core when an input has fewer partitions than there are cores.
 
-    For rows that are costly to parse; a large input stays as it is.
+    For plain scans of rows that are costly to parse; a large input stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
