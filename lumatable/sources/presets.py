@@ -1,17 +1,31 @@
-"""Preset files: a handful of small YAML or JSON files read on the driver, then flattened as a table."""
+"""Preset files (JSON or YAML), flattened and summarised as a table."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumatable.operators import config
 
 
-def read_presets(spark: SparkSession, root: str) -> DataFrame:
-    """(name, key, value) leaf settings of every preset given as JSON text under a root."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(root)
-    named = files.select(config.config_stem(F.col("_metadata.file_path")).alias("name"), "value")
+@F.pandas_udf("string")
+def yaml_as_json(texts: pd.Series) -> pd.Series:
+    """YAML documents as JSON text; needs the yaml module on the executors."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError("reading YAML presets needs the yaml module; JSON presets do not") from error
+    return texts.map(lambda text: json.dumps(yaml.safe_load(text) or {}))
+
+
+def read_presets(spark: SparkSession, root: str, kind: str = "json") -> DataFrame:
+    """(name, key, value) leaf settings of every preset of one kind ("json" or "yaml") under a root."""
+    files = spark.read.option("pathGlobFilter", f"*.{kind}").text(root, wholetext=True)
+    text = yaml_as_json("value") if kind == "yaml" else F.col("value")
+    named = files.select(config.config_stem(F.col("_metadata.file_path")).alias("name"), text.alias("value"))
     return config.flatten_json(named, "name", "value")
 
 

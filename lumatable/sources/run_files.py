@@ -62,9 +62,8 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
     """(run, source, report text); source 1 is the full evaluation, 2 the run's own report."""
-    files = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", REPORT_NAME)
-    ).text(root)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", REPORT_NAME)
+    files = reader.text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     full = path.endswith("/" + FULL_REPORT)
     return files.select(
