@@ -144,8 +144,8 @@ def light_blur_size(side: Column) -> Column:
 def soften_lights(px: DataFrame, mask: str, carry: list[str], shapes: DataFrame) -> DataFrame:
     """Smooth the light mask; sides below 50 pixels have a one-tap kernel and need no call."""
     for axis, side in (("x", "w"), ("y", "h")):
-        tapped = pixels.with_shape_taps(px, {"k": auto_taps(light_blur_size(F.col(side)))}, shapes)
-        px = pixels.apply_taps(tapped, axis, {mask: F.col(mask) * F.col("_t.k")}, "reflect", carry=carry)
+        weights = pixels.shape_taps({"k": auto_taps(light_blur_size(F.col(side)))}, shapes)
+        px = pixels.apply_taps(px.join(weights, ["h", "w"]), axis, {mask: F.col(mask) * F.col("_t.k")}, "reflect", carry=carry)
     return px.withColumn(mask, colour.clip(F.col(mask)))
 
 

@@ -101,11 +101,11 @@ def top_rows(
     final = Window.partitionBy(*keys).orderBy(*order)
     cut = (
         df.withColumn("_salt", salt)
-        .withColumn("_place", F.row_number().over(salted))
-        .where(F.col("_place") <= n)
-        .drop("_salt", "_place")
+        .withColumn("_nth", F.row_number().over(salted))
+        .where(F.col("_nth") <= n)
+        .drop("_salt", "_nth")
     )
-    return cut.withColumn("_place", F.row_number().over(final)).where(F.col("_place") <= n).drop("_place")
+    return cut.withColumn("_nth", F.row_number().over(final)).where(F.col("_nth") <= n).drop("_nth")
 
 
 def global_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:

@@ -78,12 +78,12 @@ def shapes_of(rows: DataFrame) -> DataFrame:
     return rows.select("h", "w").distinct()
 
 
-def with_shape_taps(px: DataFrame, taps: dict[str, Column], shapes: DataFrame) -> DataFrame:
-    """Adds _taps, one array of weights per shape; the shapes are counted before they are broadcast."""
+def shape_taps(taps: dict[str, Column], shapes: DataFrame) -> DataFrame:
+    """(h, w, _taps): one array of weights per shape; the shapes are counted before they are broadcast."""
     named = ",".join(f"{name}:double" for name in taps)
     table = shapes.select("h", "w", F.arrays_zip(*taps.values()).cast(f"array<struct<{named}>>").alias("_taps"))
     few = shapes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return px.join(F.broadcast(table) if few else table, ["h", "w"])
+    return F.broadcast(table) if few else table
 
 
 def literal_taps(taps: dict[str, tuple[float, ...]]) -> Column:
@@ -192,8 +192,9 @@ def blur_maps(
         taps[name] = F.concat(pad, gaussian_taps(size, sigma), pad)
     first = {name: expr * F.col(f"_t.{width}") for name, (width, expr) in maps.items()}
     again = {name: F.col(name) * F.col(f"_t.{width}") for name, (width, _) in maps.items()}
-    across = apply_taps(with_shape_taps(px, taps, shapes), "x", first, "reflect", planes, carry)
-    return apply_taps(with_shape_taps(across, taps, shapes), "y", again, "reflect", planes, carry)
+    weights = shape_taps(taps, shapes)
+    across = apply_taps(px.join(weights, ["h", "w"]), "x", first, "reflect", planes, carry)
+    return apply_taps(across.join(weights, ["h", "w"]), "y", again, "reflect", planes, carry)
 
 
 def gaussian_blur(

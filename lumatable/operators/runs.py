@@ -31,19 +31,15 @@ def phase_tail(
 ) -> DataFrame:
     """Last `window` rows of the best phase present in a run, else of the whole run.
 
-    Adds sampled_phase. Tails are cut per phase and per run before anything is
-    shuffled; the choice between them then sees a few rows per run.
+    Adds sampled_phase. Rows are classed by priority, all other phases being one
+    last class: a run without a named phase has all its rows there. The tail of
+    every class is cut before anything is shuffled; the choice sees a few rows per run.
     """
     known = F.array(*[F.lit(name) for name in priority])
-    newest = [F.col(pos).desc()]
-    named = ordered.top_rows(log.where(F.col(phase).isin(*priority)), [run, phase], newest, window, spread=[pos])
-    whole = ordered.top_rows(log, [run], newest, window, spread=[pos])
-    candidates = named.withColumn("_place", F.array_position(known, F.col(phase))).unionByName(
-        whole.withColumn("_place", F.lit(len(priority) + 1).cast("bigint"))
-    )
-    best = F.min("_place").over(Window.partitionBy(run))
+    place = F.coalesce(F.nullif(F.array_position(known, F.col(phase)), F.lit(0)), F.lit(len(priority) + 1))
+    tails = ordered.top_rows(log.withColumn("_place", place), [run, "_place"], [F.col(pos).desc()], window, spread=[pos])
     return (
-        candidates.withColumn("_best", best)
+        tails.withColumn("_best", F.min("_place").over(Window.partitionBy(run)))
         .where(F.col("_place") == F.col("_best"))
         .withColumn("sampled_phase", F.get(known, (F.col("_place") - 1).cast("int")))
         .drop("_place", "_best")
