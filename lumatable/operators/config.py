@@ -94,3 +94,8 @@ def runtime_summary(df: DataFrame, args: str, keep: list[str]) -> DataFrame:
         "resolved_unet_backend": arg("unet_backend_resolved_backend"),
     }
     return df.select(*keep, *[derived.get(name, arg(name)).alias(name) for name in SUMMARY_KEYS])
+
+
+def record_json(names: list[str]) -> Column:
+    """Columns as one JSON object; nulls are written."""
+    return F.to_json(F.struct(*names), {"ignoreNullFields": "false"})

@@ -211,3 +211,24 @@ def feature_distance(first: str | Column, second: str | Column) -> Column:
     """Euclidean distance of two feature vectors, without exploding them."""
     squares = F.zip_with(first, second, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double")))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, value: acc + value))
+
+
+# Metrics by name: each takes a pixel-pair table on [0, 1] and returns one row per image.
+METRICS = {
+    "psnr": lambda pairs: psnr(pairs).select(IMAGE, "psnr"),
+    "ssim": ssim,
+    "wavelet": wavelet,
+    "frequency": frequency,
+    "edge": edge,
+}
+
+
+def evaluate(pairs: DataFrame, names: list[str]) -> DataFrame:
+    """Chosen metrics side by side, one row per image; metrics not named are not computed."""
+    unknown = sorted(set(names) - set(METRICS))
+    if unknown or not names:
+        raise ValueError(f"Unsupported metrics: {unknown}. Expected some of {sorted(METRICS)}")
+    result = METRICS[names[0]](pairs)
+    for name in names[1:]:
+        result = result.join(METRICS[name](pairs), IMAGE)
+    return result

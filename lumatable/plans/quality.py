@@ -105,6 +105,17 @@ def ssim(spark, sf):
     return rounded(quality.ssim(pairs(spark, sf)), "ssim")
 
 
+@query("q_evaluate", f"""WITH {PAIRS}, {SSIM}, {WAVELET}, m AS (SELECT image_id, 10 * log10(1 / nullif(avg((a - b) * (a - b)), 0)) AS psnr FROM pp GROUP BY image_id)
+  SELECT label, round(avg(psnr), 6) AS psnr, round(avg(ssim), 6) AS ssim, round(avg(wavelet), 6) AS wavelet, count(*) AS images
+  FROM m JOIN ssim USING (image_id) JOIN wavelet USING (image_id) JOIN embeddings ON vec_id = image_id GROUP BY label""")
+def evaluate(spark, sf):
+    """Chosen metrics per image, averaged per label."""
+    names = ["psnr", "ssim", "wavelet"]
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    scored = quality.evaluate(pairs(spark, sf), names).join(labels, "image_id")
+    return scored.groupBy("label").agg(*[F.round(F.avg(n), 6).alias(n) for n in names], F.count(F.lit(1)).alias("images"))
+
+
 @query("q_charbonnier", f"WITH {PAIRS} SELECT image_id, round(avg(sqrt((ma - mb) * (ma - mb) + 1e-6)), 8) AS charbonnier FROM pp GROUP BY image_id")
 def charbonnier(spark, sf):
     return rounded(quality.charbonnier(model_pairs(spark, sf)), "charbonnier", digits=8)

@@ -335,6 +335,16 @@ def config_json(spark, sf):
     )
 
 
+@query("q_config_write", f"""WITH {LOG} SELECT run, pos, CAST(json_object('phase', phase, 'step', pos, 'loss_cents', CAST(round(loss * 100) AS BIGINT), 'val_psnr', NULL) AS VARCHAR) AS payload FROM log""")
+def config_write(spark, sf):
+    """A status snapshot per log row as JSON."""
+    fields = log(spark, sf).withColumns(
+        {"step": F.col("pos"), "loss_cents": F.round(F.col("loss") * 100).cast("bigint"), "val_psnr": F.lit(None).cast("double")}
+    )
+    payload = config.record_json(["phase", "step", "loss_cents", "val_psnr"])
+    return fields.select("run", "pos", payload.alias("payload"))
+
+
 @query("q_flatten", """SELECT event_id AS pos, key, value FROM (
     SELECT event_id, 'name' AS key, event_type AS value FROM events
     UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events

@@ -64,4 +64,7 @@ def stream_window(spark, sf):
         batch.write.mode("overwrite").parquet(path)
 
     table = monitor.batches_to_parquet(windows, "stream-window", "complete", replace)
-    return table.select("run", F.unix_timestamp("window_start").alias("window_start"), "n_rows", F.round("mean_value", 6).alias("mean_value"))
+    # Wall-clock seconds, whatever the session's time zone.
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = F.timestamp_diff("SECOND", epoch, F.col("window_start").cast("timestamp_ntz"))
+    return table.select("run", seconds.alias("window_start"), "n_rows", F.round("mean_value", 6).alias("mean_value"))

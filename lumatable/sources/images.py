@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from lumatable.functions import paths
 
@@ -14,6 +15,16 @@ def list_files(spark: SparkSession, root: str, suffixes=paths.PAIR_SUFFIXES) ->
     return listed.where(paths.has_suffix(F.col("path"), suffixes)).select("path", "length")
 
 
+def list_assets(spark: SparkSession, root: str) -> DataFrame:
+    """Sky assets under a root; no rows when the folder does not exist."""
+    try:
+        return list_files(spark, root, paths.ASSET_SUFFIXES)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, length bigint")
+
+
 def relative_path(root: str) -> Column:
     """Path below a root, whatever scheme the listing puts in front."""
     return F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/") + "/", "")

@@ -7,11 +7,12 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumatable.operators import config
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_as_json(texts: pd.Series) -> pd.Series:
     """YAML documents as JSON text; needs the yaml module on the executors."""
     try:

@@ -98,9 +98,9 @@ def read_configs(spark: SparkSession, root: str) -> DataFrame:
 
 def read_checkpoint_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(run, path, step, best_psnr) of checkpoint folders; best_psnr only when it is a number in the file."""
-    rows = _read_json(spark, root, "checkpoint_metadata.json", "best_psnr string")
+    rows = _read_json(spark, root, "checkpoint_metadata.json", "best_psnr double")
     folder = run_of(F.col("path"), "checkpoint_metadata.json")
-    listed = rows.select(paths.parent_dir(folder).alias("run"), folder.alias("path"), parsing.safe_float(F.col("best_psnr")).alias("best_psnr"))
+    listed = rows.select(paths.parent_dir(folder).alias("run"), folder.alias("path"), "best_psnr")
     return runs.checkpoints(listed, "run", "path")
 
 

@@ -24,10 +24,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table as a stream of its files."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
+    """A parquet table as a stream of its files, a bounded number per micro-batch."""
     schema = spark.read.parquet(os.path.join(folder, f"{name}.parquet")).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
 def stream_logs(spark: SparkSession, pattern: str) -> DataFrame:

@@ -56,6 +56,7 @@ def test_pairs_follow_the_high_folder(spark, root):
     assert pairs[1]["low_path"].endswith("/low/a.png")
     listed = images.list_files(spark, f"{root}/set/our485/high")
     assert listed.count() == 5
+    assert images.list_assets(spark, f"{root}/no/such/folder").count() == 0
     counts = catalog.count_by_dir(listed, "path", ("png",)).select("n_images").collect()
     assert sorted(r[0] for r in counts) == [1, 3]
 
