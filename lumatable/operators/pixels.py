@@ -49,14 +49,20 @@ def pair_pixels(images: DataFrame, first: str = "a", second: str = "b", keep: li
     return flat.select("image_id", "h", "w", *keep, *_grid(F.col("_i")), "_v.a", "_v.b")
 
 
-def rgb_pixels(images: DataFrame, data: str = "data", keep: list[str] = ()) -> DataFrame:
-    """(…, r, g, b) from interleaved RGB arrays; the array is not carried along the pixels."""
+def rgb_pixels(images: DataFrame, data: str = "data", keep: list[str] = (), also: dict[str, str] | None = None) -> DataFrame:
+    """(…, r, g, b) from interleaved RGB arrays; the arrays are not carried along the pixels.
+
+    also maps a prefix to a further array column of the same shape, for pairs that
+    were joined as image rows.
+    """
+    arrays = {"": data, **(also or {})}
     places = F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)
-    triples = F.transform(
-        places, lambda i: F.struct(*[F.get(data, i * 3 + c).cast("double").alias(n) for c, n in enumerate("rgb")])
+    fields = [(prefix + n, column, c) for prefix, column in arrays.items() for c, n in enumerate("rgb")]
+    values = F.transform(
+        places, lambda i: F.struct(*[F.get(column, i * 3 + c).cast("double").alias(n) for n, column, c in fields])
     )
-    flat = images.select("image_id", "h", "w", *keep, F.posexplode(triples).alias("_i", "_v"))
-    return flat.select("image_id", "h", "w", *keep, *_grid(F.col("_i")), "_v.r", "_v.g", "_v.b")
+    flat = images.select("image_id", "h", "w", *keep, F.posexplode(values).alias("_i", "_v"))
+    return flat.select("image_id", "h", "w", *keep, *_grid(F.col("_i")), *[f"_v.{n}" for n, _, _ in fields])
 
 
 def _grid(index: Column) -> list[Column]:

@@ -27,11 +27,14 @@ def images(spark, sf):
     return pixels.by_image(image_rows(spark, sf))
 
 
+def labelled(px):
+    """A class label per pixel, taken from the red value."""
+    return px.withColumn("label_id", (F.floor(F.abs(F.col("r")) * 1000) % 34).cast("int"))
+
+
 def rgb(spark, sf):
-    """Pixels on [0, 1] with a class label taken from the red value."""
-    px = pixels.rgb_pixels(images(spark, sf))
-    label = (F.floor(F.abs(F.col("r")) * 1000) % 34).cast("int")
-    return px.withColumn("label_id", label).withColumns({c: (F.col(c) + 1.0) / 2.0 for c in RGB})
+    """Labelled pixels on [0, 1]."""
+    return labelled(pixels.rgb_pixels(images(spark, sf))).withColumns({c: (F.col(c) + 1.0) / 2.0 for c in RGB})
 
 
 def rgb8(spark, sf):
@@ -206,7 +209,15 @@ def augment_params(spark, sf):
     return docs.select("image_id", *[(F.round(v, 8) if n == "angle" else v).alias(n) for n, v in params.items()])
 
 
-@query("q_augment")
+@query("q_augment", f"""WITH {gray_plans.PAIRS}, par AS (SELECT DISTINCT image_id, floor({u('image_id', "'crop/top'")} * 3)::INT AS top,
+    floor({u('image_id', "'crop/left'")} * 3)::INT AS lft, radians({between('image_id', "'angle'", -5, 5)}) AS t, {u('image_id', "'flip'")} > 0.5 AS flip FROM pp),
+  cr AS (SELECT image_id, y - top AS y, x - lft AS x, a, b FROM pp JOIN par USING (image_id) WHERE y - top BETWEEN 0 AND 5 AND x - lft BETWEEN 0 AND 5),
+  src AS (SELECT image_id, flip, y, x, (x - 2.5) * sin(t) + (y - 2.5) * cos(t) + 2.5 AS sy, (x - 2.5) * cos(t) - (y - 2.5) * sin(t) + 2.5 AS sx
+    FROM par, range(6) v(y), range(6) w(x)),
+  taps AS (SELECT image_id, flip, y, x, floor(sy)::INT + dy AS iy, floor(sx)::INT + dx AS ix, (1 - abs(sy - floor(sy) - dy)) * (1 - abs(sx - floor(sx) - dx)) AS k
+    FROM src, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx))
+  SELECT t.image_id, t.y, CASE WHEN t.flip THEN 5 - t.x ELSE t.x END AS x, round(sum(coalesce(c.a, 0) * k), 6) AS a, round(sum(coalesce(c.b, 0) * k), 6) AS b
+  FROM taps t LEFT JOIN cr c ON c.image_id = t.image_id AND c.y = t.iy AND c.x = t.ix GROUP BY 1, 2, 3""")
 def augmented(spark, sf):
     """Crop to 6x6, rotate and flip image k and its pair k+1 together."""
     moved = augment.augment(gray_plans.pairs(spark, sf), 6, ["a", "b"])
@@ -308,11 +319,13 @@ def sky_gradient(spark, sf):
 
 
 def paired_sky(spark, sf):
-    """The next image stands for the sky asset of an image; the vegetation and sky labels mark the sky."""
-    other = night_source(spark, sf).select(
-        (F.col("image_id") - 1).alias("image_id"), "y", "x", *[F.col(c).alias(f"sky_{c}") for c in RGB]
-    )
-    return masked(spark, sf).join(other, ["image_id", "y", "x"])
+    """The next image stands for the sky asset of an image; the two are joined as image rows."""
+    rows = image_rows(spark, sf)
+    other = rows.select((F.col("image_id") - 1).alias("image_id"), F.col("data").alias("sky"))
+    both = pixels.by_image(rows).join(pixels.by_image(other), "image_id")
+    px = labelled(pixels.rgb_pixels(both, also={"sky_": "sky"}))
+    values = [*RGB, *[f"sky_{c}" for c in RGB]]
+    return night.class_masks(px.withColumns({c: colour.to_uint8((F.col(c) + 1.0) / 2.0 * 255.0) / 255.0 for c in values}))
 
 
 @query("q_sky_match", f"""WITH {PX}, {MASKS}, p AS (SELECT k.*, s.r AS sky_r, s.g AS sky_g, s.b AS sky_b FROM mk k
