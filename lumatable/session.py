@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,7 @@ def local_session(cores: str | int = "*", memory: str = "8g", partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """Folder named by spark.checkpoint.dir; where that is unset, one beside the warehouse's tables."""
     context = spark.sparkContext
     # getCheckpointDir wraps an Option; on an unset directory it yields None.
     current = context.getCheckpointDir()
@@ -39,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="lumatable-")
+        named = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
