@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatable.llm import decontaminate, packing, sharding, token_counts
+from lumatable.llm import decontaminate, packing, sharding, simhash, sketches, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_decontamination", decontaminate.ORACLE_SQL)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_simhash_near_dedup")
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_document_fingerprints")
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_edits(table(spark, sf_dir, "documents"))
