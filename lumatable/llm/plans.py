@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatable.llm import decontaminate, packing, sharding, simhash, sketches, token_counts
+from lumatable.llm import decontaminate, language_id, packing, sharding, simhash, sketches, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_document_fingerprints")
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
