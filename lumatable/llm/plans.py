@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatable.llm import decontaminate, language_id, packing, pii, sharding, simhash, sketches, token_counts
+from lumatable.llm import (
+    decontaminate,
+    html_text,
+    language_id,
+    packing,
+    pii,
+    sharding,
+    simhash,
+    sketches,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +74,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pii")
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
