@@ -14,6 +14,7 @@ from lumatable.llm import (
     pii,
     sharding,
     simhash,
+    suffix_dedup,
     sketches,
     token_counts,
 )
@@ -79,3 +80,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_suffix_array_dedup", suffix_dedup.ORACLE_SQL)
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
