@@ -148,7 +148,9 @@ def remove_contaminated(
     columns = df.columns
     rows = df.withColumn("_llm_key", row_key())
     if matcher.local:
-        marked = rows.withColumn("_llm_w", words(F.col("text"))).withColumn("_llm_starts", matcher.starts("_llm_w"))
+        # A generator, so that the filter below is not pushed under it, where words would be split once per window.
+        split = rows.select("*", F.explode(F.array(words(F.col("text")))).alias("_llm_w"))
+        marked = split.withColumn("_llm_starts", matcher.starts("_llm_w"))
     else:
         keyed = rows.select("doc_id", F.col("_llm_key").alias("key"), words(F.col("text")).alias("w"))
         found = _with_starts(keyed.dropDuplicates(["doc_id", "key"]), matcher, ["doc_id", "key"])
