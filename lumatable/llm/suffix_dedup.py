@@ -24,6 +24,7 @@ from lumatable.llm.suffixes import Anchors, equal_prefixes, suffix_array
 
 LENGTH = 100
 FILTER_BITS = 26  # of the fixed-size filter of repeated anchors: 8 MB, whatever the table's size
+BLOCK_BITS = 13  # 64-bit words of the filter that one row brings to the driver
 MAX_CLASSES = 8192  # strings of one anchor that are sorted together
 CHUNK = 1 << 19  # bytes of text in one suffix array, but for the last anchor's
 LAST = (1 << 63) - 1  # documents without id come last
@@ -55,10 +56,21 @@ def _filter(repeated: DataFrame) -> np.ndarray:
     places = F.array(F.shiftrightunsigned("g", 64 - FILTER_BITS), F.shiftrightunsigned("g", 12).bitwiseAND(mask))
     bits = repeated.select(F.explode(places).alias("b"))
     words = bits.groupBy(F.shiftrightunsigned("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
-    rows = words.toPandas()  # at most 2**20 rows
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    out[rows["w"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
+    blocks = words.groupBy(F.shiftrightunsigned("w", BLOCK_BITS).alias("block")).agg(F.collect_list(F.struct("w", "bits")).alias("words"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for block, found in zip(batch["block"], batch["words"], strict=True):
+                part = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+                part[[x["w"] & (1 << BLOCK_BITS) - 1 for x in found]] = [x["bits"] for x in found]
+                made.append((block, part.tobytes()))
+            yield pd.DataFrame(made, columns=["block", "data"])
+
+    out = np.zeros((1 << (FILTER_BITS - 6 - BLOCK_BITS), 1 << BLOCK_BITS), dtype=np.int64)
+    for row in blocks.mapInPandas(pack, "block long, data binary").toLocalIterator():  # 8 MB at most
+        out[row["block"]] = np.frombuffer(row["data"], dtype=np.int64)
+    return out.reshape(-1).view(np.uint64)
 
 
 def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
