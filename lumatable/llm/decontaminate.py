@@ -154,19 +154,21 @@ def remove_contaminated(
     else:
         keyed = rows.select("doc_id", F.col("_llm_key").alias("key"), words(F.col("text")).alias("w"))
         found = _with_starts(keyed.dropDuplicates(["doc_id", "key"]), matcher, ["doc_id", "key"])
-        found = found.where("size(starts) > 0").select(F.col("doc_id").alias("_llm_id"), "key", "starts")
-        same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("key"))
-        marked = rows.join(found, same, "left").withColumn("_llm_starts", F.col("starts"))
+        found = found.where("size(starts) > 0").select(
+            F.col("doc_id").alias("_llm_id"), F.col("key").alias("_llm_found"), F.col("starts").alias("_llm_starts")
+        )
+        same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_found"))
+        marked = rows.join(found, same, "left")
     if not spans:
         return marked.where("coalesce(size(_llm_starts), 0) <= 0").select(*columns)
     word = WORD.replace(r"\x60", r"\x40\x5B-\x60")  # the same words before lower-casing
-    cut = marked.withColumns(
-        {
-            "_llm_hits": F.expr(f"map_from_entries(transform({_hit_words('_llm_starts')}, i -> struct(i, true)))"),
-            "_llm_words": F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0)),
-            "_llm_gaps": F.split("text", word, -1),
-        }
+    # Generators again: what a lambda refers to must be made once per row.
+    parts = F.struct(
+        F.expr(f"map_from_entries(transform({_hit_words('_llm_starts')}, i -> struct(i, true)))").alias("_llm_hits"),
+        F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0)).alias("_llm_words"),
+        F.split("text", word, -1).alias("_llm_gaps"),
     )
+    cut = marked.select("*", F.inline(F.array(parts)))
     kept = F.expr(
         "concat(array_join(transform(_llm_words, (x, i) -> concat(get(_llm_gaps, i),"
         " if(map_contains_key(_llm_hits, i), '', x))), ''), element_at(_llm_gaps, -1))"

@@ -44,8 +44,9 @@ def train(df: DataFrame, per_label: int = 150, max_labels: int = 64, max_chars:
     known = known.where(F.length("text") <= max_chars).select("lang", "text")
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
     labels = sorted(row["lang"] for row in sizes)
+    untrained = crf.Model([], np.zeros((crf.MASK + 1, 0), np.float32), np.zeros((0, 0), np.float32), [])
     if not labels:
-        return crf.Model([], np.zeros((crf.MASK + 1, 0), np.float32), np.zeros((0, 0), np.float32), [])
+        return untrained
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
     wanted = F.lit(False)
     for row in sizes:
@@ -55,9 +56,9 @@ def train(df: DataFrame, per_label: int = 150, max_labels: int = 64, max_chars:
     lines = [[] for _ in labels]
     for row in sorted(drawn, key=lambda r: (r["lang"], r["text"])):
         lines[labels.index(row["lang"])] += text_chains(row["text"])
-    most = max(map(len, lines)) if lines else 0
-    lines = [[one[: 1 + rng.randrange(CHAIN)] for one in own[: most]] for own in lines if own]
     present = [k for k, own in enumerate(lines) if own]
+    if not present:
+        return untrained
     for own in lines:
         rng.shuffle(own)
     chains, left = [], [list(own) for own in lines]
@@ -79,7 +80,7 @@ class Labeller:
 
     def __init__(self, model: crf.Model, memo: int):
         self.model, self.memo = model, memo
-        self.moves = np.exp(model.moves - model.moves.max()).astype(np.float32)
+        self.moves = np.exp(model.moves - model.moves.max(initial=-1e9)).astype(np.float32)
         self.reset()
 
     def reset(self) -> None:
