@@ -118,12 +118,9 @@ def merge_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def components(foreground: DataFrame, tile: int = TILE, one_tile: bool = False) -> DataFrame:
-    """(image_id, component, size). one_tile says every image fits a single tile, which skips the merge."""
-    nodes = tile_components(foreground, tile)
-    if one_tile:
-        return nodes.groupBy("image_id", F.col("node").alias("component")).agg(F.count(F.lit(1)).alias("size"))
-    nodes = cut_lineage(nodes)
+def components(foreground: DataFrame, tile: int = TILE) -> DataFrame:
+    """(image_id, component, size). Without links over tile borders the merge ends at once."""
+    nodes = cut_lineage(tile_components(foreground, tile))
     merged = merge_nodes(nodes, border_links(nodes, tile))
     sizes = nodes.groupBy("image_id", "node").agg(F.count(F.lit(1)).alias("_size"))
     return (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumatable.session import cut_lineage
+
 # Configuration layers, strongest first.
 PRECEDENCE = ("cli", "launch", "yaml", "builtin")
 
@@ -41,28 +43,31 @@ def json_entries(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
-def flatten_json(df: DataFrame, ident: str, text: str, depth: int = 4) -> DataFrame:
-    """Leaf keys of nested JSON objects; a later branch wins over an earlier one.
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+
+
+def flatten_json(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """Leaf keys of nested JSON objects, however deep; a later branch wins over an earlier one.
 
-    Objects deeper than `depth` levels stay as JSON text.
+    Values keep their type while they are unpacked, so text that looks like an object stays text. One
+    pass per level, each written to the shared folder, until no object is left; empty objects have no leaves.
     """
-    levels = df.select(ident, F.posexplode(json_entries(F.col(text))).alias("_at", "key", "value"))
+    entries = "map<string,variant>"
+    levels = df.select(ident, F.posexplode(F.from_json(F.col(text), entries)).alias("_at", "key", "value"))
     levels = levels.withColumn("_path", F.array("_at")).drop("_at")
-    for _ in range(depth - 1):
-        nested = F.when(F.col("value").startswith("{"), json_entries(F.col("value")))
-        child = F.col("_at").isNotNull()
-        # An empty object has no leaves; text that only looks like an object is a leaf.
-        levels = (
-            levels.select(ident, "key", "value", "_path", F.posexplode_outer(nested).alias("_at", "_key", "_value"))
-            .where(child | ~F.coalesce(F.col("value").rlike(r"^\{\s*\}$"), F.lit(False)))
-            .select(
-                ident,
-                F.when(child, F.col("_key")).otherwise(F.col("key")).alias("key"),
-                F.when(child, F.col("_value")).otherwise(F.col("value")).alias("value"),
-                F.when(child, F.concat("_path", F.array("_at"))).otherwise(F.col("_path")).alias("_path"),
-            )
+    leaves = None
+    while True:
+        split = levels.withColumn("_object", _is_object(F.col("value")))
+        found = split.where(~F.col("_object")).select(ident, "key", F.col("value").cast("string").alias("value"), "_path")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        inner = cut_lineage(split.where("_object").select(ident, F.to_json("value").alias("_text"), "_path"))
+        if inner.isEmpty():
+            break
+        levels = inner.select(ident, "_path", F.posexplode(F.from_json("_text", entries)).alias("_at", "key", "value")).select(
+            ident, "key", "value", F.concat("_path", F.array("_at")).alias("_path")
         )
-    return levels.groupBy(ident, "key").agg(F.max_by("value", "_path").alias("value"))
+    return leaves.groupBy(ident, "key").agg(F.max_by("value", "_path").alias("value"))
 
 
 def effective_batch(batch: Column, accumulation: Column) -> Column:

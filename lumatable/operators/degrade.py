@@ -142,7 +142,7 @@ def light_blur_size(side: Column) -> Column:
 
 
 def soften_lights(px: DataFrame, mask: str, carry: list[str], shapes: DataFrame) -> DataFrame:
-    """Smooth the light mask; sides below 50 pixels have a one-tap kernel and need no call."""
+    """Smooth the light mask; on small images the kernel has one tap."""
     for axis, side in (("x", "w"), ("y", "h")):
         weights = pixels.shape_taps({"k": auto_taps(light_blur_size(F.col(side)))}, shapes)
         px = pixels.apply_taps(px.join(weights, ["h", "w"]), axis, {mask: F.col(mask) * F.col("_t.k")}, "reflect", carry=carry)
@@ -257,7 +257,7 @@ def prepare(images: DataFrame, params: dict[str, Column], seed: int = 42) -> Dat
 
 
 def degrade(
-    images: DataFrame, params: dict[str, Column], seed: int = 42, soften: bool = True, partitions: int | None = None
+    images: DataFrame, params: dict[str, Column], seed: int = 42, partitions: int | None = None
 ) -> DataFrame:
     """Whole degradation of images with interleaved 8-bit RGB data: (image_id, h, w, y, x, r, g, b, dr, dg, db).
 
@@ -268,7 +268,6 @@ def degrade(
     px = pixels.rgb_pixels(rows, keep=[*PARAMS, "lights", "taps"])
     px = px.withColumns({c: F.col(c).cast("int") for c in RGB})
     px = px.withColumn("mask", light_level(F.col("y"), F.col("x"), F.col("lights"))).drop("lights")
-    if soften:
-        px = soften_lights(px, "mask", [*RGB, *PARAMS, "taps"], pixels.shapes_of(images))
+    px = soften_lights(px, "mask", [*RGB, *PARAMS, "taps"], pixels.shapes_of(images))
     px = noise(motion_blur(vignette(tone(px, "mask"))), seed)
     return exposure_guard(px).select("image_id", "h", "w", "y", "x", *RGB, *DARK)

@@ -68,11 +68,11 @@ def height_share() -> Column:
     return F.when(F.col("h") > 1, F.col("y") / (F.col("h") - 1)).otherwise(0.0)
 
 
-def sky_usable(px: DataFrame, tile: int = components.TILE, one_tile: bool = False) -> DataFrame:
+def sky_usable(px: DataFrame, tile: int = components.TILE) -> DataFrame:
     """(image_id, coverage, largest_share, usable) of the sky mask."""
     coverage = px.groupBy("image_id").agg(F.avg(mask_name("sky")).alias("coverage"))
     sky = px.where(F.col(mask_name("sky")) > 0.5)
-    share = components.largest_share(coverage, components.components(sky, tile, one_tile))
+    share = components.largest_share(coverage, components.components(sky, tile))
     usable = F.col("coverage").between(*SKY_COVERAGE) & (F.col("largest_share") > SKY_LARGEST)
     return coverage.join(share, "image_id").select("image_id", "coverage", "largest_share", usable.cast("int").alias("usable"))
 
@@ -239,7 +239,7 @@ def emissive(image: Column, source: Column) -> Column:
 def synthesize(
     px: DataFrame, images: DataFrame, space: str = LABEL_IDS, randomize: bool = True,
     assets: DataFrame | None = None, n_assets: int = 0, apply_base_noise: bool = True, seed: int = 42,
-    tile: int = components.TILE, one_tile: bool = False,
+    tile: int = components.TILE,
 ) -> DataFrame:
     """Night version dr, dg, db of r, g, b in [0, 1] with label_id (and an optional confidence).
 
@@ -247,7 +247,7 @@ def synthesize(
     by image: then only the sky pixels, per-image figures and asset pixels are shuffled.
     """
     masked = class_masks(px, space)
-    usable = sky_usable(masked, tile, one_tile).select("image_id", "usable")
+    usable = sky_usable(masked, tile).select("image_id", "usable")
     flagged = masked.join(usable, "image_id")
     if assets is not None and n_assets:
         skies = match_sky(attach_assets(flagged, images, assets, n_assets, seed))

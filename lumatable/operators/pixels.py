@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatable.functions.binding import bound
-from lumatable.session import BROADCAST_ROWS
 
 PLANE = ["image_id"]
 
@@ -85,11 +84,9 @@ def shapes_of(rows: DataFrame) -> DataFrame:
 
 
 def shape_taps(taps: dict[str, Column], shapes: DataFrame) -> DataFrame:
-    """(h, w, _taps): one array of weights per shape; the shapes are counted before they are broadcast."""
+    """(h, w, _taps): one array of weights per shape. No hint: Spark broadcasts the table while its bytes allow it."""
     named = ",".join(f"{name}:double" for name in taps)
-    table = shapes.select("h", "w", F.arrays_zip(*taps.values()).cast(f"array<struct<{named}>>").alias("_taps"))
-    few = shapes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(table) if few else table
+    return shapes.select("h", "w", F.arrays_zip(*taps.values()).cast(f"array<struct<{named}>>").alias("_taps"))
 
 
 def literal_taps(taps: dict[str, tuple[float, ...]]) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumatable.operators import runs
 from lumatable.plans.registry import query
 from lumatable.plans.runs import LOG
 from lumatable.streaming import monitor
@@ -29,30 +28,24 @@ def stream_log(spark, sf):
   row_number() OVER (PARTITION BY run ORDER BY pos DESC) AS rn FROM log) WHERE rn = 1""")
 def stream_latest(spark, sf):
     latest = monitor.latest_status(events(spark, sf).drop("ts"), "run", "pos")
-
-    def append(batch, path):
-        batch.write.mode("append").parquet(path)
-
-    # Each micro-batch appends the runs it changed; the newest row of a run counts.
-    updates = monitor.batches_to_parquet(latest, "stream-latest", "update", append)
-    return runs.latest_row(updates, "run", "pos")
+    return monitor.newest(monitor.updates_to_parquet(latest, "stream-latest"), ["run"])
 
 
 @query("q_stream_best", f"""WITH {LOG}, seen AS (SELECT run, pos, loss, coalesce(max(loss) OVER (PARTITION BY run ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS best_before FROM log)
   SELECT run, pos, loss AS metric, best_before FROM seen WHERE loss > best_before""")
 def stream_best(spark, sf):
-    spark.conf.set(monitor.STATE_STORE, monitor.ROCKSDB)
     bests = monitor.running_bests(events(spark, sf).select("run", "pos", "metric"))
-    return monitor.append_to_parquet(bests, "stream-best")
+    with monitor.state_store(spark):
+        return monitor.append_to_parquet(bests, "stream-best")
 
 
 @query("q_stream_ema", f"""WITH {LOG} SELECT run, pos, round(list_reduce(list(loss) OVER (PARTITION BY run ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: 0.98::DOUBLE * a + (1 - 0.98::DOUBLE) * x), 6) AS ema FROM log""")
 def stream_ema(spark, sf):
-    spark.conf.set(monitor.STATE_STORE, monitor.ROCKSDB)
     averages = monitor.running_ema(events(spark, sf).select("run", "pos", "metric"))
-    return monitor.append_to_parquet(averages, "stream-ema").withColumn("ema", F.round("ema", 6))
+    with monitor.state_store(spark):
+        return monitor.append_to_parquet(averages, "stream-ema").withColumn("ema", F.round("ema", 6))
 
 
 @query("q_stream_window", """SELECT user_id AS run, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, count(*) AS n_rows,
@@ -60,10 +53,7 @@ def stream_ema(spark, sf):
 def stream_window(spark, sf):
     windows = monitor.windowed_throughput(events(spark, sf), "run", "ts", "metric")
 
-    def replace(batch, path):
-        batch.write.mode("overwrite").parquet(path)
-
-    table = monitor.batches_to_parquet(windows, "stream-window", "complete", replace)
+    table = monitor.newest(monitor.updates_to_parquet(windows, "stream-window"), ["run", "window_start"])
     # Wall-clock seconds, whatever the session's time zone.
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     seconds = F.timestamp_diff("SECOND", epoch, F.col("window_start").cast("timestamp_ntz"))

@@ -1,4 +1,5 @@
-"""Colour, degradation and night-synthesis queries. The first 48 values of an embedding stand for a 4x4 RGB image."""
+"""Colour, degradation and night-synthesis queries. An embedding's 64 values are an 8x8 plane; turned by a third and by two
+thirds of its length they are the other two channels of an RGB image."""
 
 from __future__ import annotations
 
@@ -10,14 +11,16 @@ from lumatable.operators.catalog import CLASS_GROUPS, LABEL_IDS
 from lumatable.plans import quality as gray_plans
 from lumatable.plans.registry import query, table
 
-SIDE = 4
+SIDE = 8
+TURN = SIDE * SIDE // 3  # places that a channel is turned by
 RGB, DARK = degrade.RGB, degrade.DARK
 
 
 def image_rows(spark, sf):
     """Interleaved RGB on [-1, 1]."""
-    data = F.slice("embedding", 1, 3 * SIDE * SIDE)
-    side = F.sqrt(F.size(data) / 3).cast("int")
+    v, n = F.col("embedding"), F.size("embedding")
+    triple = F.transform(v, lambda e, p: F.array(e, F.get(v, (p + TURN) % n), F.get(v, (p + 2 * TURN) % n)))
+    data, side = F.flatten(triple), F.sqrt(n).cast("int")
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("image_id"), side.alias("h"), side.alias("w"), data.alias("data"), "label"
     )
@@ -46,11 +49,12 @@ def night_source(spark, sf):
     return rgb8(spark, sf).withColumns({c: F.col(c) / 255.0 for c in RGB})
 
 
-PX = """raw AS (SELECT vec_id AS image_id, p // 4 AS y, p % 4 AS x, embedding[3 * p + 1]::DOUBLE AS er, embedding[3 * p + 2]::DOUBLE AS eg,
-  embedding[3 * p + 3]::DOUBLE AS eb FROM (SELECT vec_id, embedding, unnest(range(16)) AS p FROM embeddings)),
+PX = f"""raw AS (SELECT vec_id AS image_id, p // {SIDE} AS y, p % {SIDE} AS x, embedding[p + 1]::DOUBLE AS er,
+  embedding[(p + {TURN}) % {SIDE * SIDE} + 1]::DOUBLE AS eg, embedding[(p + {2 * TURN}) % {SIDE * SIDE} + 1]::DOUBLE AS eb
+  FROM (SELECT vec_id, embedding, unnest(range({SIDE * SIDE})) AS p FROM embeddings)),
 px AS (SELECT image_id, y, x, (er + 1) / 2 AS r, (eg + 1) / 2 AS g, (eb + 1) / 2 AS b, (floor(abs(er) * 1000)::INT % 34) AS label_id FROM raw),
 px8 AS (SELECT image_id, y, x, floor(r * 255)::INT AS r, floor(g * 255)::INT AS g, floor(b * 255)::INT AS b, label_id FROM px),
-src AS (SELECT image_id, y, x, r / 255 AS r, g / 255 AS g, b / 255 AS b, label_id, y / 3.0::DOUBLE AS yy FROM px8)"""
+src AS (SELECT image_id, y, x, r / 255 AS r, g / 255 AS g, b / 255 AS b, label_id, y / 7.0::DOUBLE AS yy FROM px8)"""
 
 
 def u(ident: str, label: str) -> str:
@@ -124,7 +128,7 @@ def histogram(spark, sf):
     return pixels.histogram(rgb8(spark, sf))
 
 
-TONE = f"""hsv AS (SELECT image_id, y, x, (x + y) / 8.0::DOUBLE AS m, {HSV8.format('px8')}),
+TONE = f"""hsv AS (SELECT image_id, y, x, (x + y) / 16.0::DOUBLE AS m, {HSV8.format('px8')}),
 t1 AS (SELECT image_id, y, x, m, h, floor(least(255, s * 0.6::DOUBLE)) AS s,
   pow(v / 255.0::DOUBLE, 2.5::DOUBLE) * 0.5 * (1 - m * 0.5) + v / 255.0::DOUBLE * (m * 0.5) AS vf FROM hsv),
 t2 AS (SELECT *, floor(greatest(0, least(255, vf * 255))) AS v, 0.1::DOUBLE * (1 - m) * greatest(0, least(1, 1 - vf)) * 255 AS shift FROM t1),
@@ -135,7 +139,7 @@ tone AS (SELECT image_id, y, x, floor(greatest(0, least(255, r - shift * 0.5))):
 
 def toned(spark, sf):
     """Fixed parameters under a light mask that grows to the lower right."""
-    lit = rgb8(spark, sf).withColumns(degrade.fixed_params()).withColumn("mask", (F.col("x") + F.col("y")) / 8.0)
+    lit = rgb8(spark, sf).withColumns(degrade.fixed_params()).withColumn("mask", (F.col("x") + F.col("y")) / 16.0)
     return degrade.tone(lit, "mask")
 
 
@@ -144,7 +148,7 @@ def tone_curve(spark, sf):
     return toned(spark, sf).select("image_id", "y", "x", *DARK)
 
 
-@query("q_vignette", f"""WITH {PX}, {TONE}, f AS (SELECT *, greatest(0, 1 - 0.4::DOUBLE * ((x - 2) * (x - 2) + (y - 2) * (y - 2)) / 8.0::DOUBLE) AS k FROM tone)
+@query("q_vignette", f"""WITH {PX}, {TONE}, f AS (SELECT *, greatest(0, 1 - 0.4::DOUBLE * ((x - 4) * (x - 4) + (y - 4) * (y - 4)) / 32.0::DOUBLE) AS k FROM tone)
   SELECT image_id, y, x, floor(dr * k)::INT AS dr, floor(dg * k)::INT AS dg, floor(db * k)::INT AS db FROM f""")
 def vignette(spark, sf):
     strong = toned(spark, sf).withColumns({"use_vignette": F.lit(1), "vignette_strength": F.lit(0.4)})
@@ -236,8 +240,8 @@ def light_part(name: str, scale: str = "1") -> str:
 
 
 @query("q_light_mask", f"""WITH {PX}, n AS (SELECT vec_id AS image_id, floor({u('vec_id', repr('lights'))} * 2)::INT AS n FROM embeddings),
-  l AS (SELECT image_id, {light_part('cx', '4')} AS cx, {light_part('cy', '4')} AS cy, greatest({light_part('rx', '4')}, 1) AS rx,
-    greatest({light_part('ry', '4')}, 1) AS ry, {light_part('sharpness')} AS sharp, {light_part('intensity')} AS strength FROM n WHERE n = 1)
+  l AS (SELECT image_id, {light_part('cx', '8')} AS cx, {light_part('cy', '8')} AS cy, greatest({light_part('rx', '8')}, 1) AS rx,
+    greatest({light_part('ry', '8')}, 1) AS ry, {light_part('sharpness')} AS sharp, {light_part('intensity')} AS strength FROM n WHERE n = 1)
   SELECT p.image_id, p.y, p.x, round(coalesce(exp(-(pow((x - cx) / rx, 2) + pow((y - cy) / ry, 2)) * sharp) * strength, 0), 8) AS light
   FROM px p LEFT JOIN l ON l.image_id = p.image_id""")
 def light_mask(spark, sf):
@@ -262,13 +266,14 @@ def shots_sql(c: str) -> str:
       FROM px8, range(33) t(n)) GROUP BY 1, 2, 3)"""
 
 
-@query("q_noise", f"""WITH {PX}, {shots_sql('r')}, j AS (SELECT p.image_id, p.y, p.x, s.n AS n_r FROM px8 p JOIN s_r s USING (image_id, y, x))
-  SELECT image_id, y, x, {noise_sql('r')} FROM j""")
+@query("q_noise", f"""WITH {PX}, {shots_sql('r')}, {shots_sql('g')}, {shots_sql('b')}, j AS (SELECT p.image_id, p.y, p.x, s_r.n AS n_r, s_g.n AS n_g, s_b.n AS n_b
+    FROM px8 p JOIN s_r USING (image_id, y, x) JOIN s_g USING (image_id, y, x) JOIN s_b USING (image_id, y, x))
+  SELECT image_id, y, x, {noise_sql('r')}, {noise_sql('g')}, {noise_sql('b')} FROM j""")
 def noise(spark, sf):
-    value = degrade.noisy(
-        F.col("r"), F.col("image_id"), "r", F.col("y"), F.col("x"), F.lit(0.02), F.lit(5.0)
-    )
-    return rgb8(spark, sf).select("image_id", "y", "x", value.alias("r"))
+    values = {
+        c: degrade.noisy(F.col(c), F.col("image_id"), c, F.col("y"), F.col("x"), F.lit(0.02), F.lit(5.0)) for c in RGB
+    }
+    return rgb8(spark, sf).select("image_id", "y", "x", *[value.alias(c) for c, value in values.items()])
 
 
 @query("q_degrade")
@@ -278,7 +283,7 @@ def degraded(spark, sf):
         "data", F.transform("data", lambda e: F.floor((e.cast("double") + 1.0) / 2.0 * 255.0).cast("int"))
     )
     params = degrade.draw_params(F.col("image_id"))
-    return degrade.degrade(eight, params, soften=False).select("image_id", "y", "x", *DARK)
+    return degrade.degrade(eight, params).select("image_id", "y", "x", *DARK)
 
 
 # ---------------------------------------------------------------------------
@@ -288,15 +293,15 @@ def degraded(spark, sf):
 MASKS = "mk AS (SELECT *, " + ", ".join(
     f"(label_id IN ({', '.join(map(str, ids))}))::INT::DOUBLE AS m_{name}" for name, ids in CLASS_GROUPS[LABEL_IDS].items()
 ) + " FROM src)"
-WRAP = "(CASE WHEN (({0}) % 6 + 6) % 6 < 4 THEN (({0}) % 6 + 6) % 6 ELSE 6 - (({0}) % 6 + 6) % 6 END)"
+WRAP = "(CASE WHEN (({0}) % 14 + 14) % 14 < 8 THEN (({0}) % 14 + 14) % 14 ELSE 14 - (({0}) % 14 + 14) % 14 END)"
 
 
 def blur_sql(name: str, source: str, expr: str, ksize: int, sigma: float) -> str:
-    """Blur of an expression over 4x4 images."""
+    """Blur of an expression over 8x8 images."""
     r = ksize // 2
     return f"""g_{name} AS (SELECT j - {r} AS d, exp(-pow(j - {r}, 2) / (2 * pow({sigma}::DOUBLE, 2))) / (SELECT sum(exp(-pow(t - {r}, 2) / (2 * pow({sigma}::DOUBLE, 2))))
     FROM range({ksize}) q(t)) AS k FROM range({ksize}) q(j)),
-  w_{name} AS (SELECT o, {WRAP.format('o + d')} AS s, sum(k) AS k FROM range(4) q(o), g_{name} GROUP BY 1, 2),
+  w_{name} AS (SELECT o, {WRAP.format('o + d')} AS s, sum(k) AS k FROM range(8) q(o), g_{name} GROUP BY 1, 2),
   a_{name} AS (SELECT image_id, y, o AS x, sum(({expr}) * k) AS v FROM {source} JOIN w_{name} ON s = x GROUP BY 1, 2, 3),
   b_{name} AS (SELECT image_id, o AS y, x, sum(v * k) AS {name} FROM a_{name} JOIN w_{name} ON s = y GROUP BY 1, 2, 3)"""
 
@@ -347,7 +352,7 @@ def fold_setting(index: int) -> str:
     return value
 
 
-SOFT = ", ".join(blur_sql(f"soft_{g}", "mk", f"m_{g}", 3, 0.04) for g in night.GROUPS)
+SOFT = ", ".join(blur_sql(f"soft_{g}", "mk", f"m_{g}", 3, 0.08) for g in night.GROUPS)
 SOFT_JOIN = " ".join(f"JOIN b_soft_{g} USING (image_id, y, x)" for g in night.GROUPS)
 
 
@@ -369,8 +374,8 @@ def mix_sql(weights) -> str:
 NEAR = "(0.1::DOUBLE + 0.9::DOUBLE * pow(yy, 1.6::DOUBLE))"
 ILLUM = ", ".join([
     blur_sql("pool", "mk", mix_sql(night.FOCUS), 13, 3.0),
-    blur_sql("ambient", "mk", "m_sky", 3, 0.2),
-    blur_sql("road_glow", "mk", f"m_road * {NEAR}", 3, 0.048),
+    blur_sql("ambient", "mk", "m_sky", 3, 0.4),
+    blur_sql("road_glow", "mk", f"m_road * {NEAR}", 3, 0.096),
 ])
 
 
@@ -386,7 +391,7 @@ def illumination(spark, sf):
     return maps(spark, sf).select("image_id", "y", "x", *[F.round(v, 8).alias(f"light_{c}") for c, v in light.items()])
 
 
-@query("q_emissive", f"""WITH {PX}, {MASKS}, {blur_sql('emissive', 'mk', mix_sql(night.EMISSIVE), 3, 0.032)}
+@query("q_emissive", f"""WITH {PX}, {MASKS}, {blur_sql('emissive', 'mk', mix_sql(night.EMISSIVE), 3, 0.064)}
   SELECT image_id, y, x, """ + ", ".join(
     f"round({c} * 0.3::DOUBLE * (1 - emissive * 0.22::DOUBLE) + {c} * emissive * 0.22::DOUBLE, 8) AS {c}" for c in "rgb"
 ) + " FROM mk JOIN b_emissive USING (image_id, y, x)")
@@ -399,7 +404,7 @@ def emissive(spark, sf):
 @query("q_night")
 def night_images(spark, sf):
     """The whole synthesis on labelled images."""
-    result = night.synthesize(night_source(spark, sf), image_rows(spark, sf), one_tile=True)
+    result = night.synthesize(night_source(spark, sf), image_rows(spark, sf))
     return result.select("image_id", "y", "x", *[F.round(c, 6).alias(c) for c in DARK])
 
 
@@ -427,5 +432,5 @@ def connected(spark, sf):
 def sky_usable(spark, sf):
     sky = (F.col("v") > 0.525).cast("double").alias(night.mask_name("sky"))
     px = gray_plans.gray(spark, sf).select("image_id", "y", "x", sky)
-    found = night.sky_usable(px, one_tile=True)
+    found = night.sky_usable(px)
     return found.withColumns({n: F.round(n, 6) for n in ("coverage", "largest_share")})

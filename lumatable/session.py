@@ -7,13 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Row bound for tables that may be broadcast after their size was counted.
-BROADCAST_ROWS = 500_000
 
-
-def local_session(cores: str | int = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
+def local_session(cores: str | int = "*", memory: str = "8g", partitions: int = 8, shared: str | None = None) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("lumatable")
         .config("spark.driver.memory", memory)
@@ -23,8 +20,8 @@ def local_session(cores: str | int = "*", memory: str = "8g", partitions: int =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,12 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and stops plan growth."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when an input has fewer partitions than there are cores.
-
-    For plain scans of rows that are costly to parse; a large input stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -26,8 +28,12 @@ def list_assets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def relative_path(root: str) -> Column:
-    """Path below a root, whatever scheme the listing puts in front."""
-    return F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/") + "/", "")
+    """Path below a root, whatever scheme the listing puts in front; the root is taken literally."""
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+    bare = re.sub(scheme, "", root).rstrip("/")
+    # A relative root is looked for behind a slash, an absolute one at the start.
+    front = "^" if bare.startswith("/") else "^(?:.*?/)?"
+    return F.regexp_replace(F.regexp_replace("path", scheme, ""), f"{front}\\Q{bare}\\E/", "")
 
 
 def paired_files(spark: SparkSession, root: str, subset: str, suffixes=paths.PAIR_SUFFIXES) -> DataFrame:

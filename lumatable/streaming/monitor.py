@@ -7,9 +7,10 @@ so bound a micro-batch with maxFilesPerTrigger or maxBytesPerTrigger.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,18 @@ from lumatable.sources.run_files import LOG_COLUMNS, typed_log
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+BATCH = "_batch"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """A parquet table as a stream of its files, a bounded number per micro-batch."""
-    schema = spark.read.parquet(os.path.join(folder, f"{name}.parquet")).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    """A parquet table, one file or a folder of part files, as a stream of its files, a bounded number per micro-batch."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # A stream reads folders; the file's own name selects it.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def stream_logs(spark: SparkSession, pattern: str) -> DataFrame:
@@ -63,6 +69,20 @@ def _sorted_rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values("pos")
 
 
+def decayed(values: np.ndarray, before: float | None, decay: float, block: int = 256) -> np.ndarray:
+    """Moving average of `values` after `before` (None: the first value seeds it), a block at a time in closed form."""
+    average = float(values[0]) if before is None else before
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    weights = np.where(lag >= 0, (1.0 - decay) * decay ** np.maximum(lag, 0), 0.0)
+    fade = decay ** np.arange(1, block + 1)
+    out = np.empty(len(values))
+    for at in range(0, len(values), block):
+        part = values[at : at + block]
+        out[at : at + block] = fade[: len(part)] * average + weights[: len(part), : len(part)] @ part
+        average = float(out[at + len(part) - 1])
+    return out
+
+
 class BestSoFar(StatefulProcessor):
     """Emits the rows that beat every earlier metric of their run."""
 
@@ -94,11 +114,8 @@ class RunningAverage(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         average = self.average.get()[0] if self.average.exists() else None
         frame = _sorted_rows(rows)
-        series = []
-        for value in frame["metric"]:
-            average = value if average is None else self.decay * average + (1.0 - self.decay) * value
-            series.append(average)
-        self.average.update((float(average),))
+        series = decayed(frame["metric"].to_numpy(dtype=float), average, self.decay)
+        self.average.update((float(series[-1]),))
         yield pd.DataFrame({"run": key[0], "pos": frame["pos"], "ema": series})
 
     def close(self) -> None:
@@ -106,14 +123,15 @@ class RunningAverage(StatefulProcessor):
 
 
 def running_bests(log: DataFrame) -> DataFrame:
-    """Stream of (run, pos, metric) to new-best events."""
-    return log.groupBy("run").transformWithStateInPandas(
+    """Stream of (run, pos, metric) to new-best events; blank metrics are no events."""
+    return log.where(F.col("metric").isNotNull() & ~F.isnan("metric")).groupBy("run").transformWithStateInPandas(
         BestSoFar(), "run bigint, pos bigint, metric double, best_before double", "Append", "None"
     )
 
 
 def running_ema(log: DataFrame) -> DataFrame:
-    return log.groupBy("run").transformWithStateInPandas(
+    """Stream of (run, pos, metric) to averages; rows with a blank metric have none."""
+    return log.where(F.col("metric").isNotNull() & ~F.isnan("metric")).groupBy("run").transformWithStateInPandas(
         RunningAverage(), "run bigint, pos bigint, ema double", "Append", "None"
     )
 
@@ -134,16 +152,36 @@ def append_to_parquet(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
-def batches_to_parquet(stream: DataFrame, label: str, mode: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
-    """Run an update- or complete-mode stream; `write` stores each micro-batch under the table path."""
+def updates_to_parquet(stream: DataFrame, label: str) -> DataFrame:
+    """Run an update-mode stream; the rows that changed, with the micro-batch that changed them.
+
+    Each micro-batch owns a folder and overwrites it, so a batch that is tried again counts once.
+    """
     spark = stream.sparkSession
     base = scratch_path(spark, label)
     query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(lambda batch, _: write(batch, f"{base}/table"))
+        stream.writeStream.outputMode("update")
+        .foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/table/{BATCH}={batch}"))
         .option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    return spark.read.schema(stream.schema.add(BATCH, "long")).parquet(f"{base}/table")
+
+
+def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key in a table of updates."""
+    rest = [c for c in updates.columns if c not in (*keys, BATCH)]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_row")).select(*keys, "_row.*")
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that processors with state need, for the streams started inside only."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
