@@ -51,8 +51,9 @@ def normal(ident: Column, label: str | Column, seed: int = 42) -> Column:
 def poisson(ident: Column, label: str | Column, mean: Column, seed: int = 42) -> Column:
     """Poisson draw by walking the cumulative distribution up to a uniform draw.
 
-    The walk is long enough for the smallest tail a 32-bit uniform can reach. Draw
-    and mean travel in the accumulator, so the hash is computed once.
+    The walk is long enough for the smallest tail a 32-bit uniform can reach. Terms are kept
+    as logarithms, so that large means do not start from zero. Draw and mean travel in the
+    accumulator, so the hash is computed once.
     """
     steps = F.ceil(mean + 12.0 * F.sqrt(mean) + 30.0).cast("int")
 
@@ -60,17 +61,18 @@ def poisson(ident: Column, label: str | Column, mean: Column, seed: int = 42) ->
         start = F.struct(
             given["target"].alias("target"),
             given["mean"].alias("mean"),
-            given["term"].alias("term"),
-            given["term"].alias("total"),
-            F.when(given["term"] <= given["target"], 1).otherwise(0).alias("n"),
+            (-given["mean"]).alias("log"),
+            F.exp(-given["mean"]).alias("total"),
+            F.when(F.exp(-given["mean"]) <= given["target"], 1).otherwise(0).alias("n"),
         )
 
         def step(acc: Column, index: Column) -> Column:
-            term = acc["term"] * acc["mean"] / index
+            log = acc["log"] + F.log(acc["mean"]) - F.log(index)
+            term = F.coalesce(F.exp(log), F.lit(0.0))  # a mean of zero has no logarithm
             return F.struct(
                 acc["target"].alias("target"),
                 acc["mean"].alias("mean"),
-                term.alias("term"),
+                log.alias("log"),
                 (acc["total"] + term).alias("total"),
                 (acc["n"] + F.when(acc["total"] + term <= acc["target"], 1).otherwise(0)).alias("n"),
             )
@@ -78,6 +80,6 @@ def poisson(ident: Column, label: str | Column, mean: Column, seed: int = 42) ->
         return F.aggregate(F.sequence(F.lit(1), given["steps"]), start, step, lambda acc: acc["n"])
 
     given = F.struct(
-        unit(ident, label, seed).alias("target"), mean.alias("mean"), F.exp(-mean).alias("term"), steps.alias("steps")
+        unit(ident, label, seed).alias("target"), mean.cast("double").alias("mean"), steps.alias("steps")
     )
     return bound(given, walk)

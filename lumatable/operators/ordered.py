@@ -9,6 +9,7 @@ Positions must be whole numbers, unique within a key; keys must not be null.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Iterator
 
 import pandas as pd
@@ -169,7 +170,7 @@ def ema(
     block: int | None = None,
     fan: int = 4096,
 ) -> DataFrame:
-    """Exponential moving averages per key; the first value seeds each.
+    """Exponential moving averages per key; the first value seeds each. Rows in which a value is null are left out.
 
     values maps an output column to an input column. Inside a block the average
     is a closed form over a running sum. Blocks are affine steps; they are
@@ -180,6 +181,7 @@ def ema(
     block = min(block or BLOCK_ROWS, limit)
     d = F.lit(float(decay))
     names = list(values)
+    df = df.where(reduce(lambda a, b: a & b, [F.col(value).isNotNull() for value in values.values()]))
     inside = Window.partitionBy(*keys, "_block").orderBy(pos)
     growing = inside.rowsBetween(Window.unboundedPreceding, 0)
 

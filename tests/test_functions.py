@@ -88,3 +88,14 @@ def test_schedule(spark):
         want.append(product)
     got = [r["alphas_cumprod"] for r in schedule.schedule(spark).orderBy("t").collect()]
     assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
+
+
+def test_poisson_of_large_means(spark):
+    from lumatable.functions import draws
+
+    for mean in (0.0, 3.0, 800.0, 2000.0):
+        df = spark.range(400).select(draws.poisson(F.col("id"), "p", F.lit(mean)).alias("n"))
+        got = [row["n"] for row in df.collect()]
+        average = sum(got) / len(got)
+        assert abs(average - mean) <= 5 * max(mean, 1e-9) ** 0.5 / 20
+        assert mean == 0 or 0.6 * mean < sum((g - average) ** 2 for g in got) / len(got) < 1.5 * mean

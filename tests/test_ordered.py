@@ -77,3 +77,19 @@ def test_flatten_later_branch_wins(spark):
     df = spark.createDataFrame([(1, text)], "id int, text string")
     got = {row["key"]: row["value"] for row in config.flatten_json(df, "id", "text").collect()}
     assert got == {"k": "3", "z": "x", "top": "{not json"}
+
+
+def test_flatten_any_depth_and_quoted_objects(spark):
+    text = '{"a":{"b":{"c":{"d":{"e":{"f":5}}}}},"q":"{\\"b\\":1}","n":null,"l":[1,{"x":2}],"s":"t"}'
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = {row["key"]: row["value"] for row in config.flatten_json(df, "id", "text").collect()}
+    assert got["f"] == "5" and got["q"] == '{"b":1}' and got["s"] == "t" and got["n"] is None
+    assert "b" not in got and "x" not in got
+
+
+def test_average_leaves_blanks_out(spark):
+    rows = [("r", k, v) for k, v in enumerate([None, 1.0, None, 3.0, 5.0])]
+    df = spark.createDataFrame(rows, "run string, pos bigint, v double")
+    got = {row["pos"]: row["e"] for row in ordered.ema(df, ["run"], "pos", {"e": "v"}, 0.98).collect()}
+    want = {1: 1.0, 3: 0.98 + 0.02 * 3.0, 4: 0.98 * (0.98 + 0.06) + 0.02 * 5.0}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
