@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +37,17 @@ def content(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+_slot: dict = {}
+
+
+def worker_state(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task: one object, whichever operator made it last."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Key of a row by content: repeated rows share it, rows with one id and other texts do not."""
     return F.xxhash64(F.col(doc_id), F.col(text), F.length(F.col(text)))

@@ -92,9 +92,10 @@ def fit(
     lengths = np.array([len(words) for words, _ in chains], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     lists = [features(word, lexicons) for word in vocabulary]
-    rows = np.repeat(np.arange(len(lists)), [len(one) for one in lists])
-    feats = np.fromiter((f for one in lists for f in one), dtype=np.int64, count=len(rows))
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(one) for one in lists])
+    feats = np.fromiter((f for one in lists for f in one), dtype=np.int32, count=len(rows))
     heads = np.concatenate([[0], np.cumsum([len(one) for one in lists])[:-1]])
+    del lists
     n_labels, n_feats = len(labels), MASK + 1 + len(lexicons)
     inside = np.ones(len(flat), dtype=bool)
     inside[starts] = False
@@ -108,11 +109,11 @@ def fit(
     weights, moves = np.zeros((n_feats, n_labels)), np.zeros((n_labels, n_labels))
     seen_w, seen_m = np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)
     for _ in range(rounds):
-        scores = np.add.reduceat(weights[feats], heads, axis=0)
+        scores = np.stack([np.add.reduceat(weights[feats, k], heads) for k in range(n_labels)], axis=1)
         scores -= scores.max(axis=1, keepdims=True)
         gamma, expected = forward_backward(np.exp(scores)[flat] + 1e-30, starts, lengths, np.exp(moves), pairs=True)
-        off = (observed - by_word(gamma))[rows]
-        step = np.stack([np.bincount(feats, off[:, k], n_feats) for k in range(n_labels)], axis=1) / len(flat)
+        off = observed - by_word(gamma)
+        step = np.stack([np.bincount(feats, off[rows, k], n_feats) for k in range(n_labels)], axis=1) / len(flat)
         step -= decay * weights
         seen_w += step * step
         weights += 0.5 * step / np.sqrt(seen_w)

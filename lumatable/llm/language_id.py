@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumatable.llm import crf
+from lumatable.llm.common import worker_state
 
 WORD = re.compile(r"[^\W\d_]+")
 CHAIN = 256  # words; a line is cut there
@@ -33,7 +35,7 @@ def text_chains(text: str) -> list[list[str]]:
     return chains
 
 
-def train(df: DataFrame, per_label: int = 150, max_labels: int = 64, max_chars: int = 60_000, seed: int = 3) -> crf.Model:
+def train(df: DataFrame, per_label: int = 100, max_labels: int = 64, max_chars: int = 60_000, seed: int = 3) -> crf.Model:
     """Fit the model on a bounded sample: about `per_label` texts, none longer than `max_chars`, per language.
 
     Texts are drawn by a hash of the text, equal texts once; languages beyond the `max_labels` most
@@ -132,20 +134,14 @@ class Labeller:
         return np.divide(sums, total, out=np.zeros_like(sums), where=total > 0)
 
 
-_worker: dict[tuple, Labeller] = {}
-
-
 def predictor(df: DataFrame, model: crf.Model, memo: int = 300_000):
     """Column function text -> struct(lang, score), with the model broadcast (its size is fixed)."""
+    run = uuid.uuid4().hex  # tells this call's model from another's
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = (shared.id if hasattr(shared, "id") else id(shared), memo)
-        if key not in _worker:
-            _worker.clear()
-            _worker[key] = Labeller(shared.value, memo)
-        labeller = _worker[key]
+        labeller = worker_state(("labeller", run, memo), lambda: Labeller(shared.value, memo))
         labels = labeller.model.labels
         for series in batches:
             texts = [text or "" for text in series]

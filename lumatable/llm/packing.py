@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from lumatable.llm.common import content, materialize
+from lumatable.llm.common import content, materialize, worker_state
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -262,23 +262,13 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, PARTS.findall(text)))
 
 
-_worker: dict[tuple, Ids] = {}
-
-
-def _ids(path: str, limit: int) -> Ids:
-    key = (path, limit)
-    if key not in _worker:
-        _worker.clear()
-        _worker[key] = Ids(path, limit)
-    return _worker[key]
-
-
 def tokenised_pieces(df: DataFrame, path: str, capacity: int, memo: int) -> DataFrame:
     """One row per piece, with the task that made it and its number among that task's pieces of its length."""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, task, seen = _ids(path, memo), TaskContext.get().partitionId(), Counter()
+        ids = worker_state(("ids", path, memo), lambda: Ids(path, memo))
+        task, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

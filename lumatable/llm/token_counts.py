@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumatable.llm.common import content
+from lumatable.llm.common import content, worker_state
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"  # what the library writes for a blank
@@ -50,18 +51,6 @@ class Lengths(dict):
         return sum(map(self.__getitem__, PARTS.findall(SPACE + text.replace(" ", SPACE))))
 
 
-_worker: dict[tuple, Lengths] = {}
-
-
-def _lengths(path: str, table, limit: int) -> Lengths:
-    """One per Python worker, kept from task to task."""
-    key = (path, table.id if hasattr(table, "id") else id(table), limit)
-    if key not in _worker:
-        _worker.clear()
-        _worker[key] = Lengths(path, table.value, limit)
-    return _worker[key]
-
-
 def frequent_parts(df: DataFrame, path: str, sample_rows: int, entries: int) -> dict[str, int]:
     """Token counts of the commonest pre-tokens in a bounded sample over the whole table.
 
@@ -103,11 +92,12 @@ def count_tokens(
     gives no rows; other columns are ignored.
     """
     path = path or public_tokenizers.path(MODEL)
+    run = uuid.uuid4().hex  # tells this call's table from another's
     table = df.sparkSession.sparkContext.broadcast(frequent_parts(df, path, sample_rows, entries))
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lengths = _lengths(path, table, memo)
+        lengths = worker_state(("lengths", path, run, memo), lambda: Lengths(path, table.value, memo))
         for texts in batches:
             yield pd.Series([lengths.count(text) for text in texts], dtype="int64")
 
