@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumatable.functions import colour, draws
 from lumatable.operators import pixels
@@ -235,8 +236,14 @@ def exposure_guard(
     px: DataFrame, low: float = EXPOSURE_RANGE[0], high: float = EXPOSURE_RANGE[1],
     floor: float = EXPOSURE_FLOOR, eight_bit: bool = True,
 ) -> DataFrame:
-    """Keep the luma ratio of every image inside [low, high]."""
-    joined = px.join(exposure_stats(px, floor).select("image_id", "ratio"), "image_id")
+    """Keep the luma ratio of every image inside [low, high].
+
+    The means are windows over the image, so the pixels before them are made once and need no exchange.
+    """
+    image = Window.partitionBy("image_id")
+    source_mean = F.avg(colour.luma(*[F.col(c) for c in RGB])).over(image)
+    dark_mean = F.avg(colour.luma(*[F.col(c) for c in DARK])).over(image)
+    joined = px.withColumn("ratio", dark_mean / F.greatest(source_mean, F.lit(floor)))
     top = 255.0 if eight_bit else 1.0
     results = {}
     for source, dark in zip(RGB, DARK):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumatable.functions import colour, draws
 from lumatable.operators import components, degrade, pixels
@@ -126,22 +127,16 @@ def attach_assets(px: DataFrame, images: DataFrame, assets: DataFrame, n_assets:
     return chosen.join(sky, ["asset_id", "h", "w", "y", "x"]).drop("asset_id")
 
 
-def sky_means(px: DataFrame) -> DataFrame:
-    """Mean source and sky colour under the sky mask, one row per image."""
-    under = F.col(mask_name("sky")) > 0.05
-    return px.groupBy("image_id").agg(
-        *[F.avg(F.when(under, F.col(c))).alias(f"source_{c}") for c in RGB],
-        *[F.avg(F.when(under, F.col(f"sky_{c}"))).alias(f"asset_{c}") for c in RGB],
-    )
-
-
 def sky_scale(source: Column, asset: Column) -> Column:
     return colour.clip(F.greatest(source, F.lit(0.03)) / F.greatest(asset, F.lit(1e-4)), *ASSET_SCALE)
 
 
 def match_sky(px: DataFrame) -> DataFrame:
     """Scale an asset sky to the source's brightness and tint it; images without sky pixels keep theirs."""
-    joined = px.join(sky_means(px), "image_id")
+    under, image = F.col(mask_name("sky")) > 0.05, Window.partitionBy("image_id")
+    means = {f"source_{c}": F.avg(F.when(under, F.col(c))).over(image) for c in RGB}
+    means |= {f"asset_{c}": F.avg(F.when(under, F.col(f"sky_{c}"))).over(image) for c in RGB}
+    joined = px.withColumns(means)
     matched = {}
     for c, tint in zip(RGB, ASSET_TINT):
         sky = F.col(f"sky_{c}")

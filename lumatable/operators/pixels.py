@@ -415,12 +415,12 @@ def histogram(rgb: DataFrame) -> DataFrame:
     )
 
 
-def model_space(images: DataFrame, pixels: DataFrame, value: str, data: str = "data") -> DataFrame:
-    """Values on [-1, 1]; the per-image guard against a 0-255 scale is one row per image."""
+def model_space(images: DataFrame, value: str = "v", data: str = "data") -> DataFrame:
+    """Grey pixels on [-1, 1]; the guard against a 0-255 scale is a maximum taken on the image row."""
     from lumatable.functions.colour import to_model_space
 
-    tops = images.select("image_id", F.array_max(data).alias("_top"))
-    return pixels.join(tops, "image_id").withColumn(value, to_model_space(F.col(value), F.col("_top"))).drop("_top")
+    topped = gray_pixels(images.withColumn("_top", F.array_max(data)), data, keep=["_top"])
+    return topped.withColumn(value, to_model_space(F.col("v"), F.col("_top"))).drop("_top")
 
 
 def neighbour_difference(pixels: DataFrame, value: str, planes: list[str] = PLANE) -> DataFrame:

@@ -204,7 +204,7 @@ def normalize(spark, sf):
     # Every other image is on the 0-255 scale.
     scale = F.when(F.col("image_id") % 2 == 0, 1.0).otherwise(255.0)
     scaled = images(spark, sf).withColumn("data", F.transform("data", lambda e: (e.cast("double") + 1.0) / 2.0 * scale))
-    model = pixels.model_space(scaled, pixels.gray_pixels(scaled), "v")
+    model = pixels.model_space(scaled)
     return model.select(
         "image_id", "y", "x", F.round("v", 8).alias("m"), F.round(colour.from_model_space(F.col("v")), 8).alias("back")
     )
