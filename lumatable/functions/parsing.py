@@ -148,5 +148,14 @@ def preset_path(name: Column) -> Column:
     )
 
 
+def known_preset_path(name: Column) -> Column:
+    """As preset_path; a removed name fails the job with a message that names its replacement."""
+    path = preset_path(name)
+    for removed, replacement in REMOVED_PRESETS.items():
+        message = f"Legacy config '{removed}' has been removed. Please use '{replacement}' instead."
+        path = F.when(name == removed, F.raise_error(F.lit(message))).otherwise(path)
+    return path
+
+
 def safe_divide(top: Column, bottom: Column) -> Column:
     return F.when(bottom != 0, top / bottom)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumatable.functions import parsing
 from lumatable.session import cut_lineage
 
 # Configuration layers, strongest first.
@@ -12,15 +13,16 @@ PRECEDENCE = ("cli", "launch", "yaml", "builtin")
 
 # Keys of the flat runtime summary.
 SUMMARY_KEYS = (
-    "mode config_name config_path data_dir output_dir model_path mixed_precision resolution batch_size "
-    "gradient_accumulation_steps effective_batch_size min_effective_batch_size num_workers prefetch_factor "
-    "persistent_workers pin_memory decode_cache_size opencv_threads_per_worker validation_steps "
-    "num_validation_images num_inference_steps benchmark_inference_steps train_fast_validation "
-    "train_validation_metrics train_validation_benchmark_steps use_retinex conditioning_space inject_mode "
-    "decom_variant condition_variant loss_balance_mode frequency_loss_weight edge_loss_weight "
-    "semantic_backbone nr_metric attention_backend use_torch_compile torch_compile_mode "
-    "enable_torch_sdpa_memory_efficient_attention resolved_unet_backend resume"
-).split()
+    "mode", "config_name", "config_path", "data_dir", "output_dir", "model_path", "mixed_precision",
+    "resolution", "batch_size", "gradient_accumulation_steps", "effective_batch_size",
+    "min_effective_batch_size", "num_workers", "prefetch_factor", "persistent_workers", "pin_memory",
+    "decode_cache_size", "opencv_threads_per_worker", "validation_steps", "num_validation_images",
+    "num_inference_steps", "benchmark_inference_steps", "train_fast_validation", "train_validation_metrics",
+    "train_validation_benchmark_steps", "use_retinex", "conditioning_space", "inject_mode", "decom_variant",
+    "condition_variant", "loss_balance_mode", "frequency_loss_weight", "edge_loss_weight",
+    "semantic_backbone", "nr_metric", "attention_backend", "use_torch_compile", "torch_compile_mode",
+    "enable_torch_sdpa_memory_efficient_attention", "resolved_unet_backend", "resume",
+)
 
 
 def merge_layers(entries: DataFrame, run: str, layer: str, key: str, value: str, pos: str) -> DataFrame:
@@ -38,6 +40,49 @@ def merge_layers(entries: DataFrame, run: str, layer: str, key: str, value: str,
     )
 
 
+# What a summary says about the order of its layers.
+PRECEDENCE_TEXT = (
+    "CLI explicit args",
+    "shell/UI explicit launch overrides",
+    "configs/train/*.yaml defaults",
+    "built-in train defaults only when values are absent",
+)
+
+# The lines of a printed summary, as pieces of text and the keys whose values follow them.
+LINE_PREFIX = "[config-summary] "
+SUMMARY_LINES = (
+    (("mode=", "mode"), (" config=", "config_name"), (" config_path=", "config_path")),
+    (("data_dir=", "data_dir"), (" output_dir=", "output_dir")),
+    (
+        ("batch_size=", "batch_size"), (" grad_accum=", "gradient_accumulation_steps"),
+        (" effective_batch=", "effective_batch_size"), (" min_effective_batch=", "min_effective_batch_size"),
+    ),
+    (
+        ("loader=num_workers:", "num_workers"), (" prefetch_factor:", "prefetch_factor"),
+        (" persistent_workers:", "persistent_workers"), (" pin_memory:", "pin_memory"),
+        (" decode_cache_size:", "decode_cache_size"), (" opencv_threads_per_worker:", "opencv_threads_per_worker"),
+    ),
+    (
+        ("validation=steps:", "validation_steps"), (" num_validation_images:", "num_validation_images"),
+        (" num_inference_steps:", "num_inference_steps"), (" benchmark_inference_steps:", "benchmark_inference_steps"),
+    ),
+    (
+        ("train_validation=fast:", "train_fast_validation"), (" metrics:", "train_validation_metrics"),
+        (" steps:", "train_validation_benchmark_steps"),
+    ),
+    (("data=source_low_high_pairs augmentation:torchvision_random_crop_rotate_flip", None),),
+    (
+        ("model=use_retinex:", "use_retinex"), (" decom_variant:", "decom_variant"), (" condition_variant:", "condition_variant"),
+        (" conditioning_space:", "conditioning_space"), (" inject_mode:", "inject_mode"),
+    ),
+    (("loss=balance_mode:", "loss_balance_mode"), (" frequency:", "frequency_loss_weight"), (" edge:", "edge_loss_weight")),
+    (
+        ("backend=requested:", "attention_backend"), (" compile:", "use_torch_compile"), (" compile_mode:", "torch_compile_mode"),
+        (" sdpa_requested:", "enable_torch_sdpa_memory_efficient_attention"), (" resolved:", "resolved_unet_backend"),
+    ),
+)
+
+
 def json_entries(text: Column) -> Column:
     """Top-level entries of a JSON object; nested objects stay JSON text."""
     return F.from_json(text, "map<string,string>")
@@ -81,14 +126,19 @@ def config_stem(path: Column) -> Column:
 
 
 def runtime_summary(df: DataFrame, args: str, keep: list[str]) -> DataFrame:
-    """Flat record of the summary keys from a map column of arguments."""
+    """Flat record of the summary keys from a map column of arguments.
+
+    A preset's name stands for its file; a name that was removed fails the job with a message.
+    """
 
     def arg(name: str) -> Column:
         return F.try_element_at(F.col(args), F.lit(name))
 
+    config = arg("config")
+    path = F.when(F.coalesce(config, F.lit("")) == "", config).otherwise(parsing.known_preset_path(config))
     derived = {
-        "config_name": F.coalesce(F.nullif(arg("config_name"), F.lit("")), config_stem(arg("config"))),
-        "config_path": arg("config"),
+        "config_name": F.coalesce(F.nullif(arg("config_name"), F.lit("")), config_stem(F.nullif(path, F.lit("")))),
+        "config_path": path,
         "effective_batch_size": F.coalesce(
             F.nullif(arg("effective_batch_size").try_cast("bigint"), F.lit(0).cast("bigint")),
             effective_batch(
@@ -98,7 +148,23 @@ def runtime_summary(df: DataFrame, args: str, keep: list[str]) -> DataFrame:
         "benchmark_inference_steps": F.coalesce(arg("benchmark_inference_steps"), F.lit("[]")),
         "resolved_unet_backend": arg("unet_backend_resolved_backend"),
     }
-    return df.select(*keep, *[derived.get(name, arg(name)).alias(name) for name in SUMMARY_KEYS])
+    order = F.array(*[F.lit(text) for text in PRECEDENCE_TEXT]).alias("config_precedence")
+    return df.select(*keep, *[derived.get(name, arg(name)).alias(name) for name in SUMMARY_KEYS], order)
+
+
+def summary_text(summary: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, at, line): the printed lines of each summary; null is None, JSON's words are written with capitals."""
+
+    def shown(name: str) -> Column:
+        value = F.col(name).cast("string")
+        words = F.when(value == "true", "True").when(value == "false", "False").otherwise(value)
+        return F.coalesce(words, F.lit("None"))
+
+    lines = [
+        F.concat(F.lit(LINE_PREFIX), *[part for text, name in line for part in (F.lit(text), *([shown(name)] if name else []))])
+        for line in SUMMARY_LINES
+    ]
+    return summary.select(*keep, F.posexplode(F.array(*lines)).alias("at", "line"))
 
 
 def record_json(names: list[str]) -> Column:

@@ -320,18 +320,42 @@ def config_text() -> F.Column:
     )
 
 
-@query("q_config_json", """SELECT event_id AS pos, event_type AS config_name, 'configs/train/' || event_type || '.yaml' AS config_path,
-  CAST(user_id AS VARCHAR) AS batch_size, greatest(1, user_id) * greatest(1, event_id % 5) AS effective_batch_size,
-  CAST(NULL AS VARCHAR) AS mode FROM events""")
-def config_json(spark, sf):
+SUMMARY_SQL = {
+    "config_name": "event_type",
+    "config_path": "'configs/train/' || event_type || '.yaml'",
+    "batch_size": "CAST(user_id AS VARCHAR)",
+    "gradient_accumulation_steps": "CAST(event_id % 5 AS VARCHAR)",
+    "effective_batch_size": "greatest(1, user_id) * greatest(1, event_id % 5)",
+    "benchmark_inference_steps": "'[]'",
+}
+SUMMARY = "summary AS (SELECT event_id AS pos, " + ", ".join(
+    f"{SUMMARY_SQL.get(name, 'CAST(NULL AS VARCHAR)')} AS {name}" for name in config.SUMMARY_KEYS
+) + " FROM events)"
+
+
+def event_summary(spark, sf):
     events = table(spark, sf, "events").withColumn("text", config_text())
     outer = config.json_entries(F.col("text"))
     nested = config.json_entries(config.json_entries(outer["args"])["optimization"])
     args = F.map_concat(nested, F.create_map(F.lit("config"), outer["config"]))
-    record = config.runtime_summary(events.withColumn("args", args), "args", ["event_id"])
-    return record.select(
-        F.col("event_id").alias("pos"), "config_name", "config_path", "batch_size", "effective_batch_size", "mode"
-    )
+    return config.runtime_summary(events.withColumn("args", args), "args", [F.col("event_id").alias("pos")])
+
+
+@query("q_config_json", f"WITH {SUMMARY} SELECT *, '{'|'.join(config.PRECEDENCE_TEXT)}' AS config_precedence FROM summary")
+def config_json(spark, sf):
+    return event_summary(spark, sf).withColumn("config_precedence", F.array_join("config_precedence", "|"))
+
+
+def line_sql(line) -> str:
+    parts = [f"'{text}'" + (f" || coalesce(CAST({name} AS VARCHAR), 'None')" if name else "") for text, name in line]
+    return f"'{config.LINE_PREFIX}' || " + " || ".join(parts)
+
+
+@query("q_config_lines", f"WITH {SUMMARY} " + " UNION ALL ".join(
+    f"SELECT pos, {at} AS at, {line_sql(line)} AS line FROM summary" for at, line in enumerate(config.SUMMARY_LINES)
+))
+def config_lines(spark, sf):
+    return config.summary_text(event_summary(spark, sf), ["pos"])
 
 
 @query("q_config_write", f"""WITH {LOG} SELECT run, pos, CAST(json_object('phase', phase, 'step', pos, 'loss_cents', CAST(round(loss * 100) AS BIGINT), 'val_psnr', NULL) AS VARCHAR) AS payload FROM log""")

@@ -10,11 +10,12 @@ from lumatable.operators import runs
 
 # Columns of the metric log, in file order.
 LOG_COLUMNS = (
-    "step epoch phase loss lr l_diff l_x0 l_wavelet l_frequency l_edge x0_w l_ret l_recon_low l_recon_high "
-    "l_consistency l_exposure l_tv data_time compute_time iter_time data_wait_ratio samples_per_sec cpu_percent "
-    "cpu_rss_gb gpu_allocated_gb gpu_reserved_gb gpu_max_reserved_gb val_psnr val_ssim val_lpips "
-    "val_seconds_per_image val_step_count"
-).split()
+    "step", "epoch", "phase", "loss", "lr", "l_diff", "l_x0", "l_wavelet", "l_frequency", "l_edge", "x0_w",
+    "l_ret", "l_recon_low", "l_recon_high", "l_consistency", "l_exposure", "l_tv", "data_time",
+    "compute_time", "iter_time", "data_wait_ratio", "samples_per_sec", "cpu_percent", "cpu_rss_gb",
+    "gpu_allocated_gb", "gpu_reserved_gb", "gpu_max_reserved_gb", "val_psnr", "val_ssim", "val_lpips",
+    "val_seconds_per_image", "val_step_count",
+)
 WHOLE_COLUMNS = ("step", "epoch", "val_step_count")
 LOG_NAME, STATUS_NAME, CONFIG_NAME = "training_metrics.csv", "training_status.json", "resolved_config.json"
 REPORT_NAME, FULL_REPORT = "metrics.txt", "full_eval/metrics.txt"

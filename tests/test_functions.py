@@ -99,3 +99,17 @@ def test_poisson_of_large_means(spark):
         average = sum(got) / len(got)
         assert abs(average - mean) <= 5 * max(mean, 1e-9) ** 0.5 / 20
         assert mean == 0 or 0.6 * mean < sum((g - average) ** 2 for g in got) / len(got) < 1.5 * mean
+
+
+def test_preset_names_in_the_summary(spark):
+    import pytest
+
+    from lumatable.operators import config
+
+    args = [({"config": "small"},), ({"config": "a/b/own.yaml", "config_name": "given"},), ({"config": ""},), ({"mode": "train"},)]
+    df = spark.createDataFrame(args, "args map<string,string>")
+    got = [(r["config_name"], r["config_path"]) for r in config.runtime_summary(df, "args", []).collect()]
+    assert got == [("small", "configs/train/small.yaml"), ("given", "a/b/own.yaml"), (None, ""), (None, None)]
+    removed = spark.createDataFrame([({"config": "max_accum"},)], "args map<string,string>")
+    with pytest.raises(Exception, match="Please use 'max'"):
+        config.runtime_summary(removed, "args", []).collect()
