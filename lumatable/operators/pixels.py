@@ -245,19 +245,6 @@ def resize(px: DataFrame, height: Column, width: Column, values: list[str], plan
     return down.select(*planes, F.col("_th").alias("h"), F.col("_tw").alias("w"), "y", "x", *values)
 
 
-def fourier_axis(px: DataFrame, axis: str, half: bool, sums: dict[str, Column], planes: list[str] = PLANE) -> DataFrame:
-    """Discrete Fourier sums along one axis; sums may use _cos and _sin. half keeps the non-redundant outputs."""
-    size, other = F.col("h" if axis == "y" else "w"), "x" if axis == "y" else "y"
-    last = F.floor(size / 2).cast("int") if half else size - 1
-    angle = F.lit(2.0 * math.pi) * (F.col(axis) * F.col("_o") % size) / size
-    turned = px.withColumn("_o", F.explode(F.sequence(F.lit(0), last))).withColumn("_angle", angle)
-    return (
-        turned.withColumns({"_cos": F.cos("_angle"), "_sin": F.sin("_angle")})
-        .groupBy(*planes, "h", "w", other, F.col("_o").alias(axis))
-        .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
-    )
-
-
 def shrink_target(size: int) -> tuple[Column, Column]:
     """Target shape of a resize that only happens when a side exceeds the size."""
     over = (F.col("h") > size) | (F.col("w") > size)

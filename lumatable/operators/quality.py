@@ -6,8 +6,11 @@ metric returns one row per image.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumatable.operators import ordered, pixels
 
@@ -16,6 +19,7 @@ SSIM_TAPS, SSIM_SIGMA = 11, 1.5
 SSIM_C1, SSIM_C2 = 0.01**2, 0.03**2
 CHARBONNIER_EPS = 1e-3
 EDGE_EPS = 1e-6
+SPECTRA = ("a_re", "a_im", "b_re", "b_im")
 SOBEL_SMOOTH, SOBEL_SLOPE = (1.0, 2.0, 1.0), (-1.0, 0.0, 1.0)
 EXPOSURE_MARGIN = 0.05
 # Default weights of the composite loss.
@@ -101,26 +105,51 @@ def wavelet(pairs: DataFrame, planes: list[str] = pixels.PLANE) -> DataFrame:
     return bands.groupBy(IMAGE).agg((F.avg(F.col("_0") + F.col("_1") + F.col("_2")) / 6.0).alias("wavelet"))
 
 
-def frequency(pairs: DataFrame, planes: list[str] = pixels.PLANE) -> DataFrame:
-    """Mean absolute difference of log magnitudes of the half spectrum (orthonormal)."""
-    cos, sin = F.col("_cos"), F.col("_sin")
-    sums_x = {}
-    for name in ("a", "b"):
-        sums_x[f"{name}_re"] = F.col(name) * cos
-        sums_x[f"{name}_im"] = -F.col(name) * sin
-    across = pixels.fourier_axis(pairs, "x", True, sums_x, planes)
-    sums_y = {}
-    for name in ("a", "b"):
-        re, im = F.col(f"{name}_re"), F.col(f"{name}_im")
-        sums_y[f"{name}_re"] = re * cos + im * sin
-        sums_y[f"{name}_im"] = im * cos - re * sin
-    spectrum = pixels.fourier_axis(across, "y", False, sums_y, planes)
+@F.pandas_udf(T.StructType([T.StructField(name, T.ArrayType(T.DoubleType())) for name in SPECTRA]))
+def _half_spectra(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Non-redundant half of the spectrum of each line of both images."""
+    out = {name: [] for name in SPECTRA}
+    for name, lines in (("a", a), ("b", b)):
+        for line in lines:
+            spectrum = np.fft.rfft(np.asarray(line, dtype=float))
+            out[f"{name}_re"].append(spectrum.real)
+            out[f"{name}_im"].append(spectrum.imag)
+    return pd.DataFrame(out)
+
+
+@F.pandas_udf(T.DoubleType())
+def _level_difference(a_re: pd.Series, a_im: pd.Series, b_re: pd.Series, b_im: pd.Series, area: pd.Series) -> pd.Series:
+    """Summed difference of log magnitudes along each column of half spectra."""
+
+    def level(re, im, n):
+        return np.log1p(np.abs(np.fft.fft(np.asarray(re, dtype=float) + 1j * np.asarray(im, dtype=float))) / np.sqrt(n))
+
+    rows = zip(a_re, a_im, b_re, b_im, area, strict=True)
+    return pd.Series([float(np.abs(level(p, q, n) - level(r, t, n)).sum()) for p, q, r, t, n in rows], dtype=float)
 
-    def level(name: str) -> Column:
-        re, im = F.col(f"{name}_re"), F.col(f"{name}_im")
-        return F.log1p(F.sqrt((re * re + im * im) / (F.col("h") * F.col("w"))))
 
-    return spectrum.groupBy(IMAGE).agg(F.avg(F.abs(level("a") - level("b"))).alias("frequency"))
+def _line(values: list[str], axis: str) -> Column:
+    """Array of the values of one line, in order of the axis."""
+    return F.array_sort(F.collect_list(F.struct(axis, *[F.col(v).cast("double").alias(v) for v in values]))).alias("_line")
+
+
+def frequency(pairs: DataFrame, planes: list[str] = pixels.PLANE, size: int | None = None) -> DataFrame:
+    """Mean absolute difference of log magnitudes of the half spectrum (orthonormal).
+
+    A line of an image is one array, transformed in Arrow batches of lines, first rows and then columns; an
+    image spans many lines. With `size`, images larger than that are shrunk first.
+    """
+    px = pairs if size is None else pixels.resize(pairs, *pixels.shrink_target(size), ["a", "b"], planes)
+    rows = px.groupBy(*planes, "h", "w", "y").agg(_line(["a", "b"], "x"))
+    parts = list(SPECTRA)
+    halves = rows.withColumn("_s", _half_spectra(F.col("_line.a"), F.col("_line.b"))).select(
+        *planes, "h", "w", "y", F.posexplode(F.arrays_zip(*[F.col(f"_s.{p}") for p in parts])).alias("x", "_v")
+    )
+    columns = halves.select(*planes, "h", "w", "y", "x", *[F.col(f"_v.{p}").alias(p) for p in parts])
+    columns = columns.groupBy(*planes, "h", "w", "x").agg(_line(parts, "y"))
+    total = _level_difference(*[F.col(f"_line.{p}") for p in parts], (F.col("h") * F.col("w")).cast("double"))
+    sums = columns.select(IMAGE, "h", total.alias("_total"))
+    return sums.groupBy(IMAGE).agg((F.sum("_total") / F.sum("h")).alias("frequency"))
 
 
 def edge(pairs: DataFrame, planes: list[str] = pixels.PLANE) -> DataFrame:

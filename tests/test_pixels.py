@@ -249,3 +249,22 @@ def test_components(spark, tile):
     found = components.components(spark.createDataFrame(rows, "image_id int, y int, x int"), tile).toPandas()
     for i, mask in enumerate(masks):
         assert sorted(found[found["image_id"] == i]["size"]) == flood(mask)
+
+
+def test_frequency_of_a_large_pair_and_shrunk(spark):
+    rng = np.random.default_rng(5)
+    images = [rng.random((2, 512, 512)) for _ in range(2)]
+    rows = [(k, 512, 512, a.reshape(-1).tolist(), b.reshape(-1).tolist()) for k, (a, b) in enumerate(images)]
+    both = spark.createDataFrame(rows, "image_id bigint, h int, w int, a array<double>, b array<double>").repartition(2, "image_id")
+    px = both.select("image_id", "h", "w", F.posexplode(F.arrays_zip("a", "b")).alias("p", "v")).select(
+        "image_id", "h", "w", F.floor(F.col("p") / 512).cast("int").alias("y"), (F.col("p") % 512).alias("x"), "v.a", "v.b"
+    )
+
+    def level(a):
+        return np.log1p(np.abs(np.fft.rfft2(a, norm="ortho")))
+
+    got = {r["image_id"]: r["frequency"] for r in quality.frequency(px).collect()}
+    for k, (a, b) in enumerate(images):
+        assert abs(got[k] - np.abs(level(a) - level(b)).mean()) < 1e-9
+    small = px.where((F.col("y") < 32) & (F.col("x") < 32)).withColumns({"h": F.lit(32), "w": F.lit(32)})
+    assert quality.frequency(small, size=16).count() == 2
