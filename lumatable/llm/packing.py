@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -104,64 +105,63 @@ def bound(counts: dict[int, int], capacity: int) -> int:
     return least
 
 
-def fillings(counts: dict[int, int], room: int, effort: int) -> list[tuple[int, Pattern]]:
-    """Undominated fillings of `room` as (waste, pattern), least waste first.
+def fillings(counts: dict[int, int], room: int, effort: int) -> tuple[list[tuple[int, Pattern]], int]:
+    """Undominated fillings of `room` as (waste, pattern), least waste first, and the steps taken (at most `effort`).
 
     A filling is dominated, and left out, if another piece still fits, or if a piece of it (or two
-    together) can give way to one longer piece that still fits. `effort` bounds the search steps.
+    together) can give way to one longer piece that still fits. A filling without waste ends the search.
     """
-    lengths = sorted((x for x, n in counts.items() if n > 0 and x <= room), reverse=True)
+    rising = sorted(x for x, n in counts.items() if n > 0 and x <= room)
+    lengths = rising[::-1]
     found: list[tuple[int, Pattern]] = []
+    chosen: dict[int, int] = {}
     steps = 0
-    chosen: list[tuple[int, int]] = []
+
+    def spare(low: int, high: int) -> bool:
+        """Whether a piece of a length from low to high is not in use."""
+        for x in islice(rising, bisect_left(rising, low), None):
+            if x > high:
+                return False
+            if counts[x] > chosen.get(x, 0):
+                return True
+        return False
 
     def undominated(slack: int) -> bool:
-        used = dict(chosen)
-        spare = [x for x in lengths if counts[x] > used.get(x, 0)]
-        if spare and spare[-1] <= slack:
+        if spare(1, slack):
             return False
-        singles = list(used)
-        merged = [a + b for i, a in enumerate(singles) for b in singles[i:] if a != b or used[a] > 1]
-        for size in singles + merged:
-            low, high = (size + 1, size + slack) if size in used else (size, size + slack)
-            if any(low <= x <= high for x in spare):
-                return False
-        return True
+        singles = list(chosen)
+        pairs = [a + b for i, a in enumerate(singles) for b in singles[i:] if a != b or chosen[a] > 1]
+        return not any(spare(x + 1, x + slack) for x in singles) and not any(spare(x, x + slack) for x in pairs)
 
     def walk(at: int, left: int) -> bool:
         nonlocal steps
         steps += 1
-        if steps > effort:
-            return False
-        while at < len(lengths) and lengths[at] > left:
-            at += 1
-        if at == len(lengths):
-            if undominated(left):
-                found.append((left, tuple(chosen)))
-            return left > 0  # a filling without waste cannot be beaten
-        length = lengths[at]
-        for n in range(min(counts[length], left // length), -1, -1):
-            if n:
-                chosen.append((length, n))
-            go_on = walk(at + 1, left - n * length)
-            if n:
-                chosen.pop()
-            if not go_on:
+        if undominated(left):
+            found.append((left, tuple(sorted(chosen.items(), reverse=True))))
+            if not left:
                 return False
+        for k in range(max(at, len(rising) - bisect_right(rising, left)), len(lengths)):
+            for n in range(min(counts[lengths[k]], left // lengths[k]), 0, -1):
+                if steps >= effort:
+                    return False
+                chosen[lengths[k]] = n
+                go_on = walk(k + 1, left - n * lengths[k])
+                del chosen[lengths[k]]
+                if not go_on:
+                    return False
         return True
 
-    if len(lengths) > 400:  # keeps the recursion shallow; the long ones and the short ones matter most
-        lengths = lengths[:200] + lengths[-200:]
     walk(0, room)
-    return sorted(found)
+    return sorted(found), steps
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, effort: int = 3000):
+def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, effort: int = 3000, budget: int = 300_000):
     """Bin completion by branch and bound, from the best-fit packing as incumbent.
 
     Around the longest piece left, undominated fillings are tried in order of waste, each as often as
     the counts allow; a branch ends when its waste exceeds what a better packing may waste. Ends
-    when the bound is met (then the packing is optimal) or after `nodes` branches.
+    when the bound is met (then the packing is optimal), after `nodes` branches or after `budget` steps
+    in all, of which one filling takes `effort` at most: a limit on the search, never on the pieces.
     """
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
@@ -172,7 +172,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, effort: i
     start = {x: n for x, n in counts.items() if n > 0}
     stack = [(start, 0, 0, None)]  # counts left, bins, waste, linked list of (pattern, times)
     visited = 0
-    while stack and visited < nodes and used > least:
+    while stack and visited < nodes and budget > 0 and used > least:
         left, bins, waste, path = stack.pop()
         visited += 1
         if waste > (used - 1) * capacity - total:
@@ -187,7 +187,9 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, effort: i
         longest = max(left)
         rest = {**left, longest: left[longest] - 1}
         branches = []
-        for spare, pattern in fillings(rest, capacity - longest, effort)[:8] or [(capacity - longest, ())]:
+        choices, steps = fillings(rest, capacity - longest, min(effort, budget))
+        budget -= steps
+        for spare, pattern in choices[:8] or [(capacity - longest, ())]:
             need = Counter(dict(pattern))
             need[longest] += 1
             times = min(left[x] // n for x, n in need.items())
@@ -196,7 +198,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, effort: i
             branches.append((after, bins + times, waste + times * spare, (item, path)))
         stack.extend(reversed(branches))
         # Finishing a branch by best fit gives new incumbents early.
-        if branches and visited % 16 == 1:
+        if branches and visited % 100 == 1:
             after, n, _, path = branches[0]
             tail = best_fit(after, capacity)
             if n + sum(k for _, k in tail) < used:
