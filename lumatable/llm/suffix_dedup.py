@@ -25,7 +25,7 @@ from lumatable.llm.suffixes import Anchors, equal_prefixes, suffix_array
 LENGTH = 100
 FILTER_BITS = 26  # of the fixed-size filter of repeated anchors: 8 MB, whatever the table's size
 BLOCK_BITS = 13  # 64-bit words of the filter that one row brings to the driver
-MAX_CLASSES = 1024  # strings of one anchor that are sorted together; more are salted
+MAX_CLASSES = 8192  # strings of one anchor that are sorted together; more are salted
 CHUNK = 1 << 19  # bytes of text in one suffix array, but for the last anchor's
 LAST = (1 << 63) - 1  # documents without id come last
 
