@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lumatable.llm import crf
@@ -35,25 +35,51 @@ def text_chains(text: str) -> list[list[str]]:
     return chains
 
 
-def train(df: DataFrame, per_label: int = 100, max_labels: int = 64, max_chars: int = 60_000, seed: int = 3) -> crf.Model:
-    """Fit the model on a bounded sample: about `per_label` texts, none longer than `max_chars`, per language.
+def _drawn_text(max_chars: int, seed: int) -> Column:
+    """The text, or of a longer one `max_chars` from a hashed place on (from its first letter, if none is there)."""
+    text = F.col("text")
+    at = F.pmod(F.xxhash64(text, F.lit(seed + 1)), F.length(text) - max_chars + 1) + 1
+    span = F.substring(text, at.cast("int"), F.lit(max_chars))
+    first = F.regexp_instr(text, F.lit(r"\p{L}"))
+    lettered = F.when(span.rlike(r"\p{L}"), span).otherwise(F.substring(text, first, F.lit(max_chars)))
+    return F.when(F.length(text) <= max_chars, text).otherwise(lettered)
+
 
-    Texts are drawn by a hash of the text, equal texts once; languages beyond the `max_labels` most
-    frequent are not learned. Every word of a line carries its document's language; lines of the
-    languages are mixed into chains, so that changes of language are learned as well.
+def sample(df: DataFrame, per_label: int = 100, max_labels: int = 64, max_chars: int = 60_000, seed: int = 3) -> tuple[list[str], list[Row]]:
+    """Languages, and different texts of each: all if there are at most `per_label`, about as many if there are more.
+
+    Copies count once, both in the share drawn and in the draw, so that no group of copies takes its language's
+    place. Texts are drawn by a hash; longer ones than `max_chars` give a span from anywhere in them, a shorter one
+    if there are over four languages, as fitting holds words x languages in memory.
     """
-    known = df.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    known = known.where(F.length("text") <= max_chars).select("lang", "text")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
+    known = df.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    # Rows of one text meet in the tasks that read them; only hashes are dealt out.
+    texts = known.groupBy("lang", F.xxhash64("text", F.lit(seed)).alias("draw")).agg(F.count("*").alias("copies"))
+    sizes = texts.groupBy("lang").agg(F.sum("copies").alias("rows"), F.count("*").alias("texts"))
+    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(max_labels).collect()
     labels = sorted(row["lang"] for row in sizes)
-    untrained = crf.Model([], np.zeros((crf.MASK + 1, 0), np.float32), np.zeros((0, 0), np.float32), [])
     if not labels:
-        return untrained
+        return [], []
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
     wanted = F.lit(False)
     for row in sizes:
-        wanted |= (F.col("lang") == row["lang"]) & (draw < int(min(1.0, per_label / row["count"]) * (1 << 30)))
-    drawn = known.where(wanted).dropDuplicates(["lang", "text"]).limit(2 * per_label * len(labels)).collect()
+        bound = max(1, int(min(1.0, per_label / row["texts"]) * (1 << 30)))
+        wanted |= (F.col("lang") == row["lang"]) & (draw < bound)
+    span = max(min(max_chars, 1_000), int(max_chars / max(1.0, len(labels) / 4) ** 2))
+    text = F.when(F.length("text") <= max_chars, F.col("text")).otherwise(_drawn_text(span, seed))
+    return labels, known.where(wanted).select("lang", text.alias("text")).dropDuplicates(["lang", "text"]).collect()
+
+
+def train(df: DataFrame, per_label: int = 100, max_labels: int = 64, max_chars: int = 60_000, seed: int = 3) -> crf.Model:
+    """Fit the model on a bounded sample: about `per_label` different texts, of none more than `max_chars`, per language.
+
+    Languages beyond the `max_labels` most frequent are not learned. Every word of a line carries its document's
+    language; lines of the languages are mixed into chains, so that changes of language are learned as well.
+    """
+    labels, drawn = sample(df, per_label, max_labels, max_chars, seed)
+    untrained = crf.Model([], np.zeros((crf.MASK + 1, 0), np.float32), np.zeros((0, 0), np.float32), [])
+    if not labels:
+        return untrained
     rng = random.Random(seed)
     lines = [[] for _ in labels]
     for row in sorted(drawn, key=lambda r: (r["lang"], r["text"])):

@@ -65,6 +65,27 @@ def test_languages(spark):
     assert [(r["lang_pred"], r["score"]) for r in language_id.identify(unlabelled).collect()] == [("und", 0.0)]
 
 
+def test_copies_and_long_texts_hide_no_language(spark):
+    rng = random.Random(9)
+
+    def prose(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+    rare = [(k, prose("abcde", 30), "aa") for k in range(30)] + [(100 + k, prose("lmnop", 30), "bb") for k in range(60)]
+    long = [(200 + k, prose("stuvw", 12_000), "cc") for k in range(6)]
+    hot = spark.range(1000, 61_000).select(F.col("id").alias("doc_id"), F.lit(rare[0][1]).alias("text"), F.lit("aa").alias("lang"))
+    frame = spark.createDataFrame(rare + long, "doc_id bigint, text string, lang string").union(hot)
+    assert all(len(text) > 50_000 for _, text, _ in long)
+    model = language_id.train(frame, max_chars=3_000)
+    got = language_id.identify(frame, model).join(frame.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang != lang_pred").count() == 0
+    # The only letter of a long text is found, and the sample stays bounded.
+    odd = spark.createDataFrame([(k, "1" * 9_000 + f" word{k}", "dd") for k in range(400)], "doc_id bigint, text string, lang string")
+    labels, texts = language_id.sample(odd, max_chars=100)
+    assert labels == ["dd"] and 50 < len(texts) < 160
+    assert all("word" in r["text"] and len(r["text"]) <= 100 for r in texts)
+
+
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
