@@ -130,7 +130,7 @@ class Anchors:
     def batches(self, texts: list[bytes]):
         """Joins texts up to about `chunk` bytes: (gram hash, text number, first window, last window, joined text, its start).
 
-        Windows that cross texts are cut off; longer texts than the place bits allow are taken in
+        No joined text is longer than the place bits allow. Windows that cross texts are cut off; longer texts than the place bits allow are taken in
         overlapping parts, which changes where runs end but not which windows there are.
         """
         group: list[tuple[int, int, bytes]] = []
@@ -141,6 +141,9 @@ class Anchors:
                 continue
             for at in range(0, len(text) - self.length + 1, step):
                 part = text[at : at + step + self.length - 1] if len(text) > step else text
+                if group and size + len(part) > self.limit:
+                    yield self._cut(group)
+                    group, size = [], 0
                 group.append((number, at, part))
                 size += len(part)
                 if size >= self.chunk:

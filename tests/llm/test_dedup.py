@@ -39,6 +39,22 @@ def test_equal_windows_have_equal_anchors():
     assert covered == [max(0, len(t) - 99) for t in texts]
 
 
+def test_joined_texts_fit_the_place_bits():
+    class Narrow(Anchors):
+        PLACE_BITS = 11
+
+    rng = random.Random(6)
+    texts = [words(rng, n, 3_000).encode() for n in (100, 280, 350, 30, 2_000, 90, 300)]
+    texts.append(texts[1])
+    seen = {}
+    for hashes, number, lo, hi, data, _ in Narrow(100, chunk=1_500).batches(texts):
+        assert len(data) <= 2_047
+        for h, k, a, z in zip(hashes.tolist(), number.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            for p in range(a, z + 1):
+                assert seen.setdefault(texts[k][p : p + 100], h) == h
+    assert seen.keys() == {t[p : p + 100] for t in texts for p in range(len(t) - 99)}
+
+
 def brute_removal(rows, length):
     """Rows in order of id; equal rows are one document."""
     docs = list(dict.fromkeys(rows))
