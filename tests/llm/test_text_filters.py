@@ -159,6 +159,29 @@ def test_contexts_find_unseen_identifiers(spark):
     assert not any(base_spans(t) for t, _ in texts.values())
 
 
+def test_contexts_are_judged_by_tokens_of_the_kind(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(20):  # half of the numbers international, half national, and plain numbers between them
+        rows.append((k, f"{words(rng, 3)} phone: +1 (64{k % 10}) 555-20{k:02d}"))
+        rows.append((100 + k, f"{words(rng, 3)} phone: 555-123-45{k:02d}"))
+        rows += [(200 + 3 * k + i, f"phone: {1990 + 3 * k + i} or phone: {3 * k + i}x") for i in range(3)]
+        rows.append((300 + k, f"reach it by 10.0.0.{k} ok"))  # one context of two kinds
+        rows.append((400 + k, f"reach it by +1 (65{k % 10}) 555-30{k:02d} ok"))
+        rows.append((500 + k, f"order no {10_000_000 + k} came"))
+        rows.append((520 + k, "pay card 4111111111111111 or" if k == 3 else f"pay card {4111111111111100 + k} or"))
+        rows.append((540 + k, f"pay card {next(n for n in range(10**15 + 50 * k, 10**16) if luhn(str(n)))} or"))
+    rows += [(600, "reach it by fe80:1:2:3:4 or so"), (601, "reach it by 555-987-6543 or so")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    for doc_id, text in rows:
+        if 100 <= doc_id < 120:
+            at = text.index("phone: ") + 7
+            assert got[doc_id] == f"phone:{at}:{at + 12}"
+        elif doc_id < 600:
+            assert [s for s in got[doc_id].split(",") if s] == base_spans(text)
+    assert got[600] == "ip:12:24" and got[601] == "phone:12:24"
+
+
 def plain_words(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
