@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -93,6 +94,7 @@ class Page:
         self.blocks: list[list] = []  # [element, text pieces, link characters]
         self.last = -1  # number of the block that text now goes to, or -1
         stack, article, link = [0], 0, 0
+        opened: Counter[str] = Counter()  # elements on the stack by tag
         at = 0
         while True:
             m = MARKUP.search(html, at)
@@ -106,9 +108,10 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if tag in self._open(stack):
+                if opened[tag]:
                     while True:
                         top = self.tags[stack.pop()]
+                        opened[top] -= 1
                         link -= top == "a"
                         article -= top == "article"
                         if top in BLOCKS:
@@ -126,6 +129,7 @@ class Page:
                     name = self.tags[stack[k]]
                     if name in ends:
                         for node in stack[k:]:
+                            opened[self.tags[node]] -= 1
                             link -= self.tags[node] == "a"
                         del stack[k:]
                         break
@@ -146,12 +150,10 @@ class Page:
             if m[3].rstrip().endswith("/") and tag not in BLOCKS and tag != "a":
                 continue
             stack.append(node)
+            opened[tag] += 1
             link += tag == "a"
             article += tag == "article"
 
-    def _open(self, stack: list[int]) -> set[str]:
-        return {self.tags[node] for node in stack[-64:]}
-
     def _text(self, stack: list[int], piece: str, linked: bool) -> None:
         if self.last < 0:
             if not piece.strip():

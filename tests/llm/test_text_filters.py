@@ -255,6 +255,13 @@ PAGES = [
 ]
 
 
+def test_end_tags_reach_any_depth():
+    loose = "<font><b><span>" * 50
+    text = "The article, which is long, and stays."
+    assert html_text.main_text(f"<nav>{loose}menu</nav><div><p>{text}</p></div>") == text
+    assert html_text.main_text(f"<header>{loose}top</header><article><p>{text}</p>{loose}</article><div>foot</div>") == text
+
+
 def test_pages(spark):
     rows = [(k, f"u{k}", h, 1) for k, (h, _) in enumerate(PAGES)] + [(2, "u2", PAGES[2][0], 1)]
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
