@@ -62,10 +62,18 @@ DROP_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 KEEP_WORDS = frozenset("article main content body post story entry text page".split())
 NEVER_DROPPED = frozenset("html body article main".split())
-LEVELS = 5  # ancestors that a paragraph passes points to
+# Class tokens that say nothing of the element itself, and words of elements that only lay out others.
+MODIFIER = re.compile(r"(?:has|with|without|no|is|not)[-_]", re.I)
+LAYOUT_WORDS = frozenset("wrap wrapper container layout row col column columns grid outer inner".split())
+# A marked element stays if its text outside links is more than so many times what else is kept.
+FURNITURE, COMMENTS, LAYOUT = 1.0, 8.0, 0.25
+LEAST = 80  # characters of prose of a marked element that is no layout
+FADE = (1, 2, 6, 9, 12)  # what points are divided by at the next ancestors, and from there on:
+FURTHER = 0.8
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+def _dropped(tag: str, attributes: str, in_article: bool) -> bool | float:
+    """True if the element is no part of the text; a factor above 0 if its class words only suggest so."""
     if tag in DROP_TAGS:
         return True
     if tag == "header" and not in_article:
@@ -80,10 +88,15 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in NEVER_DROPPED:
         words = set()
     else:
-        words = {w.lower() for w in WORDS.findall(f"{values.get('class', '')} {values.get('id', '')}")}
+        names = f"{values.get('class', '')} {values.get('id', '')}".split()
+        words = {w.lower() for name in names if not MODIFIER.match(name) for w in WORDS.findall(name)}
     if values.get("role", "").lower() in DROP_ROLES and tag not in NEVER_DROPPED:
         return True
-    return bool(words & COMMENT_WORDS) or bool(words & DROP_WORDS) and not words & KEEP_WORDS
+    if words & COMMENT_WORDS:
+        return COMMENTS
+    if words & DROP_WORDS and not words & KEEP_WORDS:
+        return LAYOUT if words & LAYOUT_WORDS else FURNITURE
+    return False
 
 
 class Page:
@@ -91,6 +104,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.gone = ["#"], [0], [False]
+        self.marked: dict[int, float] = {}  # elements whose class words suggest furniture
         self.blocks: list[list] = []  # [element, text pieces, link characters]
         self.last = -1  # number of the block that text now goes to, or -1
         stack, article, link = [0], 0, 0
@@ -142,7 +156,10 @@ class Page:
             node = len(self.tags)
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.gone.append(self.gone[stack[-1]] or _dropped(tag, m[3], article > 0))
+            verdict = _dropped(tag, m[3], article > 0)
+            if verdict and verdict is not True and not self.gone[stack[-1]]:
+                self.marked[node] = verdict
+            self.gone.append(self.gone[stack[-1]] or verdict is True)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else len(html)
@@ -166,30 +183,82 @@ class Page:
         if linked:
             block[2] += len(piece.strip())
 
+    def _drop_marked(self, letters: list[int], linked: list[int]) -> None:
+        """Drops marked elements that are small, or mostly links, next to the other prose of the page.
+
+        Elements of layout come first, and inner ones after those around them, so that what is kept is known.
+        """
+        n = len(self.tags)
+        prose = [a - b for a, b in zip(letters, linked, strict=True)]
+        around, depth, heads = [0] * n, [0] * n, [False] * n
+        for k in range(1, n):
+            above = self.parents[k]
+            around[k] = above if above in self.marked else around[above]
+            depth[k] = depth[above] + (k in self.marked)
+            holder = k if k in self.marked else around[k]
+            if self.tags[k] in ("h1", "main") and not self.gone[k] or self.tags[k] == "article" and k not in self.marked:
+                heads[holder] = holder > 0
+        factor = {k: f / 4 if heads[k] else f for k, f in self.marked.items()}
+        kept = prose[0] - sum(prose[k] for k in self.marked if not around[k])
+        for k in sorted(self.marked, key=lambda k: (depth[k], factor[k], -prose[k], k)):
+            outer = around[k]
+            if outer and self.gone[outer]:
+                self.gone[k] = True
+                continue
+            other = kept - prose[k] if outer else kept
+            enough = prose[k] > 0 if heads[k] or factor[k] <= LAYOUT else prose[k] >= LEAST
+            stays = enough and linked[k] <= letters[k] / 2 and prose[k] > factor[k] * other
+            self.gone[k] = not stays
+            kept += (prose[k] if stays else 0) - (prose[k] if outer else 0)
+        for k in range(1, n):
+            self.gone[k] = self.gone[k] or self.gone[self.parents[k]]
+
     def main_text(self) -> str:
         n = len(self.tags)
         points, letters, linked = [0.0] * n, [0] * n, [0] * n
-        texts = []
-        for element, pieces, links in self.blocks:
-            text = " ".join(unescape("".join(pieces)).split())
-            texts.append(text)
+        texts = [" ".join(unescape("".join(pieces)).split()) for _, pieces, _ in self.blocks]
+
+        def count() -> None:
+            letters[:], linked[:] = [0] * n, [0] * n
+            for (element, _, links), text in zip(self.blocks, texts, strict=True):
+                letters[element] += len(text)
+                linked[element] += min(links, len(text))
+            for node in range(n - 1, 0, -1):
+                letters[self.parents[node]] += letters[node]
+                linked[self.parents[node]] += linked[node]
+
+        count()
+        if self.marked:
+            self._drop_marked(letters, linked)
+            texts = ["" if self.gone[element] else text for (element, _, _), text in zip(self.blocks, texts, strict=True)]
+            count()
+        # Elements that hold the same text get the same points: the next ancestor with more is one level up.
+        same, up = list(range(n)), list(range(n))
+        for node in range(1, n):
+            above = self.parents[node]
+            same[node] = same[above] if letters[node] == letters[above] else node
+            up[node] = same[above]
+        far = [0.0] * n
+        for (element, _, links), text in zip(self.blocks, texts, strict=True):
             if not text:
                 continue
-            letters[element] += len(text)
-            linked[element] += min(links, len(text))
             worth = 1 + text.count(",") + min(len(text) / 100, 3)
             worth *= 1 - min(1.0, links / len(text))
             if self.tags[element] in HEADINGS:
                 worth *= 0.5
-            node = self.parents[element] if self.tags[element] in PARAGRAPHS else element
-            for level in range(LEVELS):
-                points[node] += worth / (1, 2, 6, 9, 12)[level]
+            node = same[self.parents[element] if self.tags[element] in PARAGRAPHS else element]
+            for fade in FADE:
+                points[node] += worth / fade
                 if not node:
                     break
-                node = self.parents[node]
-        for node in range(n - 1, 0, -1):
-            letters[self.parents[node]] += letters[node]
-            linked[self.parents[node]] += linked[node]
+                node = up[node]
+            else:
+                far[node] += worth / FADE[-1] * FURTHER
+        for node in range(n - 1, -1, -1):
+            points[node] += far[node]
+            if node:
+                far[up[node]] += far[node] * FURTHER
+        points = [points[same[node]] for node in range(n)]
         scores = [p * (1 - linked[k] / letters[k]) if letters[k] and p else 0.0 for k, p in enumerate(points)]
         for k in range(n):
             if scores[k] and self.tags[k] in ("article", "main"):

@@ -262,6 +262,18 @@ def test_end_tags_reach_any_depth():
     assert html_text.main_text(f"<header>{loose}top</header><article><p>{text}</p>{loose}</article><div>foot</div>") == text
 
 
+def test_class_words_and_wrappers_lose_no_article():
+    lines = [f"Line {k} of the article, which is long enough, and has commas, as prose has them." for k in range(4)]
+    article = "".join(f"<p>{line}</p>" for line in lines)
+    side = "<div class=sidebar><p>Side, side.</p></div><div id=comments><p>Nice, very nice, and true.</p></div>"
+    foot = "<div class=footer><p>All rights reserved, of course.</p></div>"
+    for names in ("container has-sidebar", "elementor-widget-wrap", "layout right-rail", "social-history"):
+        page = f"<body><div class='{names}'><div>{article}</div>{side}</div>{foot}</body>"
+        assert html_text.main_text(page) == "\n".join(lines), names
+    wrapped = "".join("<div>" * 5 + f"<p>{line}</p>" + "</div>" * 5 for line in lines)
+    assert html_text.main_text(f"<body><div>{wrapped}</div>{foot}</body>") == "\n".join(lines)
+
+
 def test_pages(spark):
     rows = [(k, f"u{k}", h, 1) for k, (h, _) in enumerate(PAGES)] + [(2, "u2", PAGES[2][0], 1)]
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
