@@ -10,12 +10,15 @@ from lumatable.llm import (
     decontaminate,
     html_text,
     language_id,
+    lexical,
+    mixing,
     packing,
     pii,
     sharding,
     simhash,
-    suffix_dedup,
     sketches,
+    spelling,
+    suffix_dedup,
     token_counts,
 )
 
@@ -85,3 +88,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_array_dedup", suffix_dedup.ORACLE_SQL)
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_mixing", mixing.ORACLE_SQL)
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_search", lexical.ORACLE_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
