@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumatable.functions import colour, draws
-from lumatable.operators import pixels
+from lumatable.operators import pixels, strips
 
 # Ranges of the random parameters; a single number is a probability.
 RANGES = {
@@ -130,23 +131,27 @@ def light_level(y: Column, x: Column, sources: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(sources, level)), F.lit(0.0))
 
 
-def auto_taps(size: Column) -> Column:
+def auto_taps(size: int) -> np.ndarray:
     """Smoothing kernel whose sigma follows from its size; fixed tables up to seven taps."""
-    taps = pixels.gaussian_taps(size, 0.3 * ((size - 1) * 0.5 - 1.0) + 0.8)
-    for length, values in SMALL_KERNELS.items():
-        taps = F.when(size == length, F.array(*[F.lit(value) for value in values])).otherwise(taps)
-    return taps
+    if size in SMALL_KERNELS:
+        return np.array(SMALL_KERNELS[size])
+    return strips.gaussian(size, 0.3 * ((size - 1) * 0.5 - 1.0) + 0.8)
 
 
 def light_blur_size(side: Column) -> Column:
     return F.floor(side * LIGHT_BLUR).cast("int").bitwiseOR(F.lit(1))
 
 
-def soften_lights(px: DataFrame, mask: str, carry: list[str], shapes: DataFrame) -> DataFrame:
+def soften_lights(px: DataFrame, mask: str, carry: list[str], fixed: list[str] = ()) -> DataFrame:
     """Smooth the light mask; on small images the kernel has one tap."""
-    for axis, side in (("x", "w"), ("y", "h")):
-        weights = pixels.shape_taps({"k": auto_taps(light_blur_size(F.col(side)))}, shapes)
-        px = pixels.apply_taps(px.join(weights, ["h", "w"]), axis, {mask: F.col(mask) * F.col("_t.k")}, "reflect", carry=carry)
+
+    def stencil(grids: strips.Grids, place: strips.Place, given: dict) -> strips.Grids:
+        across = strips.along(grids[mask], place, auto_taps(given["x"]), "x", "reflect")
+        return {mask: strips.along(across, place, auto_taps(given["y"]), "y", "reflect")}
+
+    sizes = {axis: light_blur_size(F.col(side)) for axis, side in (("x", "w"), ("y", "h"))}
+    reach = F.floor(sizes["y"] / 2)
+    px = strips.map_pixels(px, stencil, {mask: F.col(mask)}, [mask], reach, pixels.PLANE, carry, fixed, sizes)
     return px.withColumn(mask, colour.clip(F.col(mask)))
 
 
@@ -188,17 +193,36 @@ def vignette(px: DataFrame) -> DataFrame:
     return px.withColumns({name: colour.to_uint8(F.col(name) * used) for name in DARK})
 
 
-def blur_taps() -> Column:
-    """Motion kernel of images that drew one; the others keep a single tap."""
-    still = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(1.0).alias("k")))
-    moving = pixels.motion_taps(F.col("motion_blur_kernel"), F.col("motion_blur_angle"))
-    return F.when(F.col("use_motion_blur") == 1, moving).otherwise(still)
-
+def motion_kernel(size: int, degrees: float) -> np.ndarray:
+    """Line kernel of odd size, rotated about its centre and sampled bilinearly; its sum is one."""
+    size = max(3, size | 1)
+    radius, turn = size // 2, np.radians(degrees)
+    dy, dx = np.mgrid[-radius : radius + 1, -radius : radius + 1]
+    place = dx * np.cos(turn) - dy * np.sin(turn) + radius
+    across = np.maximum(0.0, 1.0 - np.abs(dx * np.sin(turn) + dy * np.cos(turn)))
+    raw = across * np.clip(np.minimum(place + 1.0, size - place), 0.0, 1.0) / size
+    return raw / (raw.sum() + 1e-8)
+
+
+def motion_blur(px: DataFrame) -> DataFrame:
+    """Blur dr, dg, db of images that drew a motion kernel; all other columns ride along."""
+
+    def stencil(grids: strips.Grids, place: strips.Place, given: dict) -> strips.Grids:
+        if given["on"] != 1:
+            return grids
+        kernel = motion_kernel(int(given["size"]), given["angle"])
+        radius, steps = len(kernel) // 2, np.argwhere(kernel > 0)
+        return {
+            name: sum(kernel[j, i] * strips.shifted(grid, place, j - radius, i - radius, "reflect") for j, i in steps)
+            for name, grid in grids.items()
+        }
 
-def motion_blur(px: DataFrame, taps: str = "taps") -> DataFrame:
-    """Blur dr, dg, db with the kernel of each image; all other columns ride along."""
-    carry = [c for c in px.columns if c not in ("image_id", "h", "w", "y", "x", *DARK, taps)]
-    blurred = pixels.correlate(px, taps, list(DARK), carry=carry)
+    fixed = [c for c in PARAMS if c in px.columns]
+    carry = [c for c in px.columns if c not in ("image_id", "h", "w", "y", "x", *DARK, *fixed)]
+    drawn = {"on": F.col("use_motion_blur"), "size": F.col("motion_blur_kernel"), "angle": F.col("motion_blur_angle")}
+    reach = F.when(drawn["on"] == 1, F.floor(F.greatest(drawn["size"], F.lit(3)) / 2)).otherwise(0)
+    inputs = {name: F.col(name) for name in DARK}
+    blurred = strips.map_pixels(px, stencil, inputs, list(DARK), reach, pixels.PLANE, carry, fixed, drawn)
     return blurred.withColumns({name: F.rint(name).cast("int") for name in DARK})
 
 
@@ -252,29 +276,20 @@ def exposure_guard(
     return joined.withColumns(results).drop("ratio")
 
 
-def prepare(images: DataFrame, params: dict[str, Column], seed: int = 42) -> DataFrame:
-    """Parameters, lights and blur kernel per image row, before any pixel is unpacked."""
-    drawn = images.withColumns(params)
-    return drawn.withColumns(
-        {
-            "lights": lights(F.col("image_id"), F.col("h"), F.col("w"), seed=seed),
-            "taps": blur_taps(),
-        }
-    )
-
-
 def degrade(
     images: DataFrame, params: dict[str, Column], seed: int = 42, partitions: int | None = None
 ) -> DataFrame:
     """Whole degradation of images with interleaved 8-bit RGB data: (image_id, h, w, y, x, r, g, b, dr, dg, db).
 
-    One shuffle of image rows; after it every step stays in its task. The JPEG step
-    is left out; its two parameters are drawn all the same.
+    One shuffle of image rows; after it every step stays in its task. Parameters and lights are drawn
+    per image row, before any pixel is unpacked. The JPEG step is left out; its two parameters are
+    drawn all the same.
     """
-    rows = prepare(pixels.by_image(images, partitions), params, seed)
-    px = pixels.rgb_pixels(rows, keep=[*PARAMS, "lights", "taps"])
+    drawn = pixels.by_image(images, partitions).withColumns(params)
+    rows = drawn.withColumn("lights", lights(F.col("image_id"), F.col("h"), F.col("w"), seed=seed))
+    px = pixels.rgb_pixels(rows, keep=[*PARAMS, "lights"])
     px = px.withColumns({c: F.col(c).cast("int") for c in RGB})
     px = px.withColumn("mask", light_level(F.col("y"), F.col("x"), F.col("lights"))).drop("lights")
-    px = soften_lights(px, "mask", [*RGB, *PARAMS, "taps"], pixels.shapes_of(images))
+    px = soften_lights(px, "mask", list(RGB), list(PARAMS))
     px = noise(motion_blur(vignette(tone(px, "mask"))), seed)
     return exposure_guard(px).select("image_id", "h", "w", "y", "x", *RGB, *DARK)

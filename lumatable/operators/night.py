@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumatable.functions import colour, draws
-from lumatable.operators import components, degrade, pixels
+from lumatable.operators import components, degrade, pixels, strips
 from lumatable.operators.catalog import CLASS_GROUPS, LABEL_IDS
 
 # Class settings in the order they are blended: gamma, attenuation, saturation.
@@ -100,7 +100,7 @@ def render_gradient_sky(px: DataFrame, randomize: bool, seed: int = 42) -> DataF
     if not randomize:
         return px.withColumns({name: gradient_sky(i) for i, name in enumerate(names)})
     base = px.withColumns({name: noisy_sky(i, seed) for i, name in enumerate(names)}).withColumn("_star", star(seed))
-    weights = pixels.gaussian_weights(STAR_SIZE, STAR_SIGMA)
+    weights = strips.gaussian(STAR_SIZE, STAR_SIGMA)
     carry = [c for c in base.columns if c not in ("image_id", "h", "w", "y", "x", "_star")]
     lit = pixels.separable(base, weights, ["_star"], "reflect", carry=carry)
     shine = {name: colour.clip(F.col(name) + F.col("_star") * STAR_COLOUR[i]) for i, name in enumerate(names)}
@@ -149,8 +149,8 @@ def near_field() -> Column:
     return colour.clip(0.10 + 0.90 * F.pow(height_share(), F.lit(1.6)))
 
 
-def blurred_maps(px: DataFrame, carry: list[str], shapes: DataFrame) -> DataFrame:
-    """Every blurred map of the synthesis in one pass per axis; class masks ride along."""
+def blurred_maps(px: DataFrame, carry: list[str], fixed: list[str] = ()) -> DataFrame:
+    """Every blurred map of the synthesis in one pass; class masks ride along."""
     side = longer_side()
     widths = {
         "soft": side * SOFT_SIGMA,
@@ -173,7 +173,7 @@ def blurred_maps(px: DataFrame, carry: list[str], shapes: DataFrame) -> DataFram
         }
     )
     masks = [mask_name(g) for g in GROUPS]
-    return pixels.blur_maps(mixed, widths, maps, shapes, carry=[*carry, *masks])
+    return pixels.blur_maps(mixed, widths, maps, carry=[*carry, *masks], fixed=fixed)
 
 
 def setting(index: int) -> Column:
@@ -249,7 +249,7 @@ def synthesize(
     else:
         skies = render_gradient_sky(flagged, randomize, seed)
     sky_names = [f"sky_{c}" for c in RGB]
-    maps = blurred_maps(skies, [*RGB, *sky_names, "usable"], pixels.shapes_of(images))
+    maps = blurred_maps(skies, [*RGB, *sky_names], ["usable"])
     alpha = F.when(F.col("usable") == 1, F.col("soft_sky")).otherwise(0.0)
     working = maps.withColumns(
         {f"w{c}": colour.clip(F.col(c) * (1.0 - alpha) + F.col(f"sky_{c}") * alpha) for c in RGB}

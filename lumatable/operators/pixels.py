@@ -3,9 +3,9 @@
 A pixel table has one row per pixel: image_id, h, w, y, x and value columns; more
 columns (a channel, say) may be added to `planes`, the keys of one 2-D plane.
 
-Every operator that combines pixels is a scatter: a source pixel emits its
-weighted contributions to output places, and a grouped sum collects them. Weights
-come from expressions or from short tap arrays, never from a join on pixels.
+Blurs and other stencils work on strips of lines (`strips`). Resizes and rotations are
+scatters: a source pixel emits its weighted contributions to output places, and a
+grouped sum collects them. Weights are expressions, never a join on pixels.
 
 Image rows are compact, their pixels are some twenty times larger. `by_image`
 partitions the rows by image_id before they are unpacked; unpacking keeps that
@@ -15,12 +15,12 @@ no further shuffle. Image ids are unique rows, hence no id is hot.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatable.functions.binding import bound
+from lumatable.operators import strips
 
 PLANE = ["image_id"]
 
@@ -74,138 +74,54 @@ def channels_long(rgb: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# One axis at a time
+# Stencils and one axis at a time
 # ---------------------------------------------------------------------------
 
 
-def shapes_of(rows: DataFrame) -> DataFrame:
-    """Distinct shapes; take them from image rows where there are any, not from pixels."""
-    return rows.select("h", "w").distinct()
-
-
-def shape_taps(taps: dict[str, Column], shapes: DataFrame) -> DataFrame:
-    """(h, w, _taps): one array of weights per shape. No hint: Spark broadcasts the table while its bytes allow it."""
-    named = ",".join(f"{name}:double" for name in taps)
-    return shapes.select("h", "w", F.arrays_zip(*taps.values()).cast(f"array<struct<{named}>>").alias("_taps"))
-
-
-def literal_taps(taps: dict[str, tuple[float, ...]]) -> Column:
-    """Tap array of fixed weights."""
-    rows = zip(*taps.values())
-    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(taps, row)]) for row in rows])
-
-
-def mirror(place: Column, size: Column) -> Column:
-    """Index a place outside the axis is mirrored onto; the edge itself is not repeated."""
-    period = 2 * (size - 1)
-    wrapped = F.pmod(place, F.greatest(period, F.lit(1)))
-    return F.when(size == 1, 0).when(wrapped < size, wrapped).otherwise(period - wrapped)
-
-
-def _places(place: Column, size: Column, radius: Column) -> Column:
-    """Places in [-radius, size-1+radius] whose mirror is this index, itself included."""
-    before = F.when((place > 0) & (place <= radius), -place)
-    after = F.when((place < size - 1) & (place >= size - 1 - radius), 2 * (size - 1) - place)
-    direct = F.array_compact(F.array(place, before, after))
-    # A kernel wider than the image wraps more than once.
-    wide = F.filter(F.sequence(-radius, size - 1 + radius), lambda p: mirror(p, size) == place)
-    near = (place <= radius) | (place >= size - 1 - radius)
-    return F.when(radius >= size, wide).when(near, direct).otherwise(F.array(place))
+def blur_reach(sigma: Column) -> Column:
+    """Half the kernel size of a blur: kernels are odd, about 4 sigma wide and 3 at least."""
+    return F.floor(F.greatest(F.lit(3), F.rint(sigma * 4.0).cast("int").bitwiseOR(F.lit(1))) / 2).cast("int")
 
 
-def apply_taps(
-    px: DataFrame, axis: str, sums: dict[str, Column], border: str, planes: list[str] = PLANE, carry: list[str] = ()
+def separable(
+    px: DataFrame, weights: np.ndarray, values: list[str], border: str,
+    planes: list[str] = PLANE, carry: list[str] = (), fixed: list[str] = (),
 ) -> DataFrame:
-    """Correlate along one axis with the weights in _taps, which sums refer to as _t.<name>.
-
-    Borders are "zero" or "reflect". Columns in carry keep their value at each place:
-    they ride in the same grouping instead of being joined back.
-    """
-    size, place, other = F.col("h" if axis == "y" else "w"), F.col(axis), "x" if axis == "y" else "y"
-    sized = px.withColumn("_r", F.floor(F.size("_taps") / 2).cast("int"))
-    placed = sized.withColumn("_p", place if border == "zero" else F.explode(_places(place, size, F.col("_r"))))
-    kept = [c for c in placed.columns if c != "_taps"]
-    landed = placed.select(*kept, F.posexplode("_taps").alias("_j", "_t")).withColumn(
-        "_o", F.col("_p") - F.col("_j") + F.col("_r")
-    )
-    return (
-        landed.where(F.col("_o").between(0, size - 1))
-        .groupBy(*planes, "h", "w", other, F.col("_o").alias(axis))
-        .agg(
-            *[F.sum(expr).alias(name) for name, expr in sums.items()],
-            *[F.max(F.when(place == F.col("_o"), F.col(name))).alias(name) for name in carry],
-        )
-    )
-
-
-def gaussian_taps(ksize: Column, sigma: Column) -> Column:
-    """Normalised Gaussian of ksize taps."""
-
-    def raw(given: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), given["size"] - 1),
-            lambda j: F.exp(-F.pow((j - (given["size"] - 1) / 2.0) / given["sigma"], F.lit(2.0)) / 2.0),
-        )
+    """Correlate value columns with the same fixed weights along both axes; borders are "zero" or "reflect"."""
 
-    def normalised(values: Column) -> Column:
-        total = F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
-        return bound(total, lambda whole: F.transform(values, lambda value: value / whole))
+    def stencil(grids: strips.Grids, place: strips.Place, given: dict) -> strips.Grids:
+        return {name: strips.separable(grid, place, weights, border) for name, grid in grids.items()}
 
-    given = F.struct(ksize.cast("int").alias("size"), sigma.cast("double").alias("sigma"))
-    return bound(bound(given, raw), normalised)
-
-
-def gaussian_weights(ksize: int, sigma: float) -> tuple[float, ...]:
-    """The same for a fixed size and sigma."""
-    raw = [math.exp(-(((j - (ksize - 1) / 2) / sigma) ** 2) / 2) for j in range(ksize)]
-    return tuple(value / sum(raw) for value in raw)
-
-
-def blur_size(sigma: Column) -> Column:
-    """Odd kernel size for a sigma: at least 3, about 4 sigma wide."""
-    return F.greatest(F.lit(3), F.rint(sigma * 4.0).cast("int").bitwiseOR(F.lit(1)))
-
-
-def separable(
-    px: DataFrame, weights: tuple[float, ...], values: list[str], border: str,
-    planes: list[str] = PLANE, carry: list[str] = (),
-) -> DataFrame:
-    """Correlate value columns with the same fixed weights along both axes."""
-    sums = {name: F.col(name) * F.col("_t.k") for name in values}
-    for axis in ("x", "y"):
-        px = apply_taps(px.withColumn("_taps", literal_taps({"k": weights})), axis, sums, border, planes, carry)
-    return px
+    inputs = {name: F.col(name) for name in values}
+    return strips.map_pixels(px, stencil, inputs, values, F.lit(len(weights) // 2), planes, carry, fixed)
 
 
 def blur_maps(
-    px: DataFrame, widths: dict[str, Column], maps: dict[str, tuple[str, Column]], shapes: DataFrame,
-    planes: list[str] = PLANE, carry: list[str] = (),
+    px: DataFrame, widths: dict[str, Column], maps: dict[str, tuple[str, Column]],
+    planes: list[str] = PLANE, carry: list[str] = (), fixed: list[str] = (),
 ) -> DataFrame:
-    """Several maps blurred in one pass per axis, mirrored border.
+    """Several maps blurred in one pass, mirrored border.
 
-    widths names the sigmas, as expressions of h and w; maps gives each output a
-    width and a source expression. Kernels are padded with zeros to the widest.
+    widths names the sigmas, as expressions of h, w and fixed columns; maps gives each output a width and
+    a source expression.
     """
-    sigmas = {name: F.greatest(sigma, F.lit(1e-3)) for name, sigma in widths.items()}
-    widest = F.greatest(*[blur_size(sigma) for sigma in sigmas.values()], F.lit(0))
-    taps = {}
-    for name, sigma in sigmas.items():
-        size = blur_size(sigma)
-        pad = F.array_repeat(F.lit(0.0), ((widest - size) / 2).cast("int"))
-        taps[name] = F.concat(pad, gaussian_taps(size, sigma), pad)
-    first = {name: expr * F.col(f"_t.{width}") for name, (width, expr) in maps.items()}
-    again = {name: F.col(name) * F.col(f"_t.{width}") for name, (width, _) in maps.items()}
-    weights = shape_taps(taps, shapes)
-    across = apply_taps(px.join(weights, ["h", "w"]), "x", first, "reflect", planes, carry)
-    return apply_taps(across.join(weights, ["h", "w"]), "y", again, "reflect", planes, carry)
+    sigmas = {name: F.greatest(sigma.cast("double"), F.lit(1e-3)) for name, sigma in widths.items()}
+    width_of = {name: width for name, (width, _) in maps.items()}
+
+    def stencil(grids: strips.Grids, place: strips.Place, given: dict) -> strips.Grids:
+        kernels = {name: strips.gaussian(strips.blur_size(sigma), sigma) for name, sigma in given.items()}
+        return {name: strips.separable(grids[name], place, kernels[width], "reflect") for name, width in width_of.items()}
+
+    reach = F.greatest(*[blur_reach(sigma) for sigma in sigmas.values()], F.lit(1))
+    inputs = {name: expr for name, (_, expr) in maps.items()}
+    return strips.map_pixels(px, stencil, inputs, list(maps), reach, planes, carry, fixed, sigmas)
 
 
 def gaussian_blur(
-    px: DataFrame, sigma: Column, values: list[str], shapes: DataFrame,
-    planes: list[str] = PLANE, carry: list[str] = (),
+    px: DataFrame, sigma: Column, values: list[str], planes: list[str] = PLANE, carry: list[str] = ()
 ) -> DataFrame:
     """Blur value columns with a sigma per shape (an expression of h and w), mirrored border."""
-    return blur_maps(px, {"k": sigma}, {name: ("k", F.col(name)) for name in values}, shapes, planes, carry)
+    return blur_maps(px, {"k": sigma}, {name: ("k", F.col(name)) for name in values}, planes, carry)
 
 
 def _resize_axis(px: DataFrame, axis: str, target: str, values: list[str], keep: list[str], planes: list[str]) -> DataFrame:
@@ -357,30 +273,22 @@ def motion_taps(ksize: Column, degrees: Column) -> Column:
     return bound(bound(given, raw), normalised)
 
 
-def correlate(px: DataFrame, taps: str, values: list[str], planes: list[str] = PLANE, carry: list[str] = ()) -> DataFrame:
-    """2-D correlation with a mirrored border; `taps` is an array column of (dy, dx, k) with a centre.
+def correlate(
+    px: DataFrame, taps: str, values: list[str], planes: list[str] = PLANE, carry: list[str] = (), fixed: list[str] = ()
+) -> DataFrame:
+    """2-D correlation with a mirrored border; `taps` is an array column of (dy, dx, k), the same all over a plane."""
 
-    Compute the taps on the image rows, before the pixels are unpacked, or they
-    are worked out again for every pixel.
-    """
-    y, x, h, w = (F.col(name) for name in ("y", "x", "h", "w"))
-    reach = F.greatest(F.array_max(F.col(taps)["dy"]), F.array_max(F.col(taps)["dx"]))
-    placed = px.withColumn("_r", reach)
-    placed = placed.withColumn("_py", F.explode(_places(y, h, F.col("_r"))))
-    placed = placed.withColumn("_px", F.explode(_places(x, w, F.col("_r"))))
-    kept = [c for c in placed.columns if c != taps]
-    landed = placed.select(*kept, F.explode(taps).alias("_t")).withColumns(
-        {"_oy": F.col("_py") - F.col("_t.dy"), "_ox": F.col("_px") - F.col("_t.dx")}
-    )
-    here = (F.col("_oy") == y) & (F.col("_ox") == x)
-    return (
-        landed.where(F.col("_oy").between(0, h - 1) & F.col("_ox").between(0, w - 1))
-        .groupBy(*planes, "h", "w", F.col("_oy").alias("y"), F.col("_ox").alias("x"))
-        .agg(
-            *[F.sum(F.col(name) * F.col("_t.k")).alias(name) for name in values],
-            *[F.max(F.when(here, F.col(name))).alias(name) for name in carry],
-        )
-    )
+    def stencil(grids: strips.Grids, place: strips.Place, given: dict) -> strips.Grids:
+        kernel = list(zip(given["dy"], given["dx"], given["k"], strict=True))
+        return {
+            name: sum(k * strips.shifted(grid, place, int(dy), int(dx), "reflect") for dy, dx, k in kernel)
+            for name, grid in grids.items()
+        }
+
+    reach = F.array_max(F.transform(F.col(taps), lambda t: F.abs(t["dy"])))
+    settings = {part: F.col(taps)[part] for part in ("dy", "dx", "k")}
+    inputs = {name: F.col(name) for name in values}
+    return strips.map_pixels(px, stencil, inputs, values, reach, planes, carry, [*fixed, taps], settings).drop(taps)
 
 
 # ---------------------------------------------------------------------------

@@ -40,6 +40,12 @@ def model_pairs(spark, sf):
     return pixels.pair_pixels(image_pairs(spark, sf))
 
 
+def unit_image_pairs(spark, sf):
+    """Pairs as image rows with arrays on [0, 1]."""
+    unit = {name: F.transform(name, lambda e: (e.cast("double") + 1.0) / 2.0) for name in ("a", "b")}
+    return image_pairs(spark, sf).withColumns(unit)
+
+
 def pairs(spark, sf):
     return model_pairs(spark, sf).withColumns({name: (F.col(name) + 1.0) / 2.0 for name in ("a", "b")})
 
@@ -102,7 +108,7 @@ def validation_limit(spark, sf):
 
 @query("q_ssim", f"WITH {PAIRS}, {SSIM} SELECT image_id, round(ssim, 6) AS ssim FROM ssim")
 def ssim(spark, sf):
-    return rounded(quality.ssim(pairs(spark, sf)), "ssim")
+    return rounded(quality.ssim(unit_image_pairs(spark, sf)), "ssim")
 
 
 @query("q_evaluate", f"""WITH {PAIRS}, {SSIM}, {WAVELET}, m AS (SELECT image_id, 10 * log10(1 / nullif(avg((a - b) * (a - b)), 0)) AS psnr FROM pp GROUP BY image_id)
@@ -112,7 +118,7 @@ def evaluate(spark, sf):
     """Chosen metrics per image, averaged per label."""
     names = ["psnr", "ssim", "wavelet"]
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
-    scored = quality.evaluate(pairs(spark, sf), names).join(labels, "image_id")
+    scored = quality.score(unit_image_pairs(spark, sf), names).join(labels, "image_id")
     return scored.groupBy("label").agg(*[F.round(F.avg(n), 6).alias(n) for n in names], F.count(F.lit(1)).alias("images"))
 
 
@@ -129,7 +135,7 @@ def tv(spark, sf):
 
 @query("q_edge", f"WITH {PAIRS}, {EDGE} SELECT image_id, round(edge, 6) AS edge FROM edge")
 def edge(spark, sf):
-    return rounded(quality.edge(pairs(spark, sf)), "edge")
+    return rounded(quality.edge(unit_image_pairs(spark, sf)), "edge")
 
 
 @query("q_wavelet", f"WITH {PAIRS}, {WAVELET} SELECT image_id, round(wavelet, 8) AS wavelet FROM wavelet")
@@ -153,14 +159,13 @@ def frequency(spark, sf):
     round(l_recon_low + l_recon_high + l_consistency + 0.1 * l_tv + 0.1 * l_exposure, 8) AS retinex_total FROM m JOIN v USING (image_id)""")
 def retinex_terms(spark, sf):
     # The image itself stands for its illumination, one minus half of it for its reflectance.
-    parts = pairs(spark, sf).withColumns(
+    def reflectance(side):
+        return F.transform(side, lambda v: 1.0 - v / 2.0)
+
+    parts = unit_image_pairs(spark, sf).withColumns(
         {
-            "low": F.col("a"),
-            "high": F.col("b"),
-            "i_low": F.col("a"),
-            "i_high": F.col("b"),
-            "r_low": 1.0 - F.col("a") / 2.0,
-            "r_high": 1.0 - F.col("b") / 2.0,
+            "low": F.col("a"), "high": F.col("b"), "i_low": F.col("a"), "i_high": F.col("b"),
+            "r_low": reflectance("a"), "r_high": reflectance("b"),
         }
     )
     terms = quality.retinex_terms(parts)
@@ -178,7 +183,7 @@ WEIGHTS = {"wavelet": 0.05, "frequency": 0.02, "edge": 0.03}
   SELECT w AS weight, round(sum(c * w) / sum(w), 6) AS l_pix, round(sum(s * w) / sum(w), 6) AS l_ssim, round(sum(total * w) / greatest(sum(w), 1e-8), 6) AS l_total
   FROM t GROUP BY w""")
 def composite(spark, sf):
-    terms = quality.composite(model_pairs(spark, sf), WEIGHTS)
+    terms = quality.composite(image_pairs(spark, sf), WEIGHTS)
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("label") + 1).alias("weight"))
     means = {"l_pix": "char", "l_ssim": "ssim", "l_total": "total"}
     return terms.join(labels, "image_id").groupBy("weight").agg(
@@ -289,7 +294,7 @@ FOLD = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
   across AS (SELECT image_id, y, o AS x, sum(v * k) AS v FROM px JOIN w ON s = x GROUP BY 1, 2, 3)
   SELECT image_id, o AS y, x, round(sum(v * k), 6) AS v FROM across JOIN w ON s = y GROUP BY 1, 2, 3""")
 def blur(spark, sf):
-    soft = pixels.gaussian_blur(gray(spark, sf), F.lit(1.2), ["v"], pixels.shapes_of(image_rows(spark, sf)))
+    soft = pixels.gaussian_blur(gray(spark, sf), F.lit(1.2), ["v"])
     return soft.select("image_id", "y", "x", F.round("v", 6).alias("v"))
 
 

@@ -311,7 +311,7 @@ def masked(spark, sf):
 
 
 def maps(spark, sf):
-    return night.blurred_maps(masked(spark, sf), list(RGB), pixels.shapes_of(image_rows(spark, sf)))
+    return night.blurred_maps(masked(spark, sf), list(RGB))
 
 
 @query("q_sky_gradient", f"""WITH {PX} SELECT image_id, y, x, """ + ", ".join(
