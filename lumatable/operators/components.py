@@ -1,38 +1,45 @@
-"""Eight-connected components of foreground pixels, tile by tile.
+"""Eight-connected components of foreground pixels, as runs of neighbouring pixels.
 
-A tile has a fixed size, so it fits one task whatever the image size. Components
-that meet at tile borders are then merged by min-label propagation with pointer
-jumping over tile components only; each round is cut with a reliable checkpoint.
+A run is a stretch of foreground in one line of an image. Lines are put together as arrays, partly
+before any exchange, so no pixel is a row of its own. Runs are joined by union-find inside a strip of
+lines, which fits one task whatever the image size. Only the figures of strip components and the runs
+at strip edges leave a strip: components that meet there are contracted in rounds, each cut with a
+reliable checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumatable.session import cut_lineage
 
-TILE = 256
+TILE = 256  # lines of a strip
 _SHIFT = 1 << 31
 
 
-def _roots(place: np.ndarray, row: int) -> np.ndarray:
-    """Smallest member of each pixel's component; place is sorted and one line holds `row` places.
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each stretch of consecutive places, in order."""
+    x = np.unique(x)
+    cut = np.flatnonzero(np.diff(x) > 1)
+    return x[np.concatenate([[0], cut + 1])], x[np.concatenate([cut, [len(x) - 1]])]
 
-    Tiles are laid out with an empty rim, so neighbours of different tiles never meet.
-    """
-    here, there = [], []
-    for step in (1, row - 1, row, row + 1):
-        at = np.searchsorted(place, place + step)
-        found = np.flatnonzero(place[np.minimum(at, len(place) - 1)] == place + step)
-        here.append(found)
-        there.append(at[found])
-    here, there = np.concatenate(here), np.concatenate(there)
-    parent = np.arange(len(place))
+
+def touching(above: tuple[np.ndarray, np.ndarray], below: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of runs in neighbouring lines that touch, corners included."""
+    low = np.searchsorted(above[1], below[0] - 1)
+    high = np.searchsorted(above[0], below[1] + 1, side="right")
+    count = np.maximum(high - low, 0)
+    second = np.repeat(np.arange(len(below[0])), count)
+    return np.arange(len(second)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count), second
+
+
+def union(n: int, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Smallest member of the set of each of n elements that the given pairs join."""
+    parent = np.arange(n)
     while True:
         a, b = parent[here], parent[there]
         if np.array_equal(a, b):
@@ -42,91 +49,138 @@ def _roots(place: np.ndarray, row: int) -> np.ndarray:
             parent = parent[parent]
 
 
-def tile_components(foreground: DataFrame, tile: int = TILE) -> DataFrame:
-    """(image_id, y, x, ty, tx, node): a node is a component inside one tile, named by a member pixel.
+def _label(y: np.ndarray, lines: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(y, first, last, root) of the runs of one strip; y ascends, one array of places per line."""
+    made = [runs_of(np.asarray(x)) for x in lines]
+    counts = np.array([len(first) for first, _ in made])
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    here, there = [], []
+    for k in range(1, len(made)):
+        if y[k] == y[k - 1] + 1:
+            a, b = touching(made[k - 1], made[k])
+            here.append(a + offsets[k - 1])
+            there.append(b + offsets[k])
+    none = np.zeros(0, np.int64)
+    roots = union(int(offsets[-1]), np.concatenate(here or [none]), np.concatenate(there or [none]))
+    first, last = (np.concatenate([runs[side] for runs in made]) for side in (0, 1))
+    return np.repeat(y, counts), first, last, roots
+
+
+_RUNS = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("first", "last", "node")])
+_STRIP = T.StructType(
+    [T.StructField("node", T.ArrayType(T.LongType())), T.StructField("size", T.ArrayType(T.LongType()))]
+    + [T.StructField(f"{edge}_{n}", T.ArrayType(T.LongType())) for edge in ("top", "bottom") for n in ("first", "last", "node")]
+)
 
-    Rows arrive sorted by tile; every Arrow batch is labelled tile by tile in one
-    go, and the last tile of a batch waits for the rest of its rows.
+
+def strip_components(foreground: DataFrame, tile: int = TILE) -> DataFrame:
+    """(image_id, strip, node[], size[], top, bottom): the components inside each strip of `tile` lines.
+
+    A node is named by its first pixel, y * 2**31 + x. top and bottom hold the runs of the strip's first
+    and last line with their nodes.
     """
-    ident = dict(foreground.dtypes)["image_id"]
-    key = ["image_id", "ty", "tx"]
-    tiled = foreground.select(
-        "image_id", F.col("y").cast("bigint"), F.col("x").cast("bigint"),
-        F.floor(F.col("y") / tile).cast("bigint").alias("ty"), F.floor(F.col("x") / tile).cast("bigint").alias("tx"),
-    )
-    row = tile + 2
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        first = (pdf[key] != pdf[key].shift()).any(axis=1).to_numpy()
-        place = (np.cumsum(first) * row + y % tile + 1) * row + x % tile + 1
-        roots = _roots(place, row)
-        return pdf.assign(node=y[roots] * _SHIFT + x[roots])
-
-    def label_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting = None
-        for pdf in batches:
-            pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            last = (pdf[key] == pdf[key].iloc[-1]).all(axis=1)
-            waiting, whole = pdf[last], pdf[~last]
-            if len(whole):
-                yield label(whole)
-        if waiting is not None and len(waiting):
-            yield label(waiting)
-
-    schema = f"image_id {ident}, y bigint, x bigint, ty bigint, tx bigint, node bigint"
-    return tiled.repartition(*key).sortWithinPartitions(*key, "y", "x").mapInPandas(label_batches, schema)
-
-
-def border_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """Distinct pairs of nodes that touch across a tile border, in both directions."""
-    edge_y, edge_x = F.col("y") % tile, F.col("x") % tile
-    rim = nodes.where((edge_y == 0) | (edge_y == tile - 1) | (edge_x == 0) | (edge_x == tile - 1))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    sent = rim.withColumn("_s", F.explode(steps)).select(
-        "image_id", (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"),
-        F.col("node").alias("a"), F.col("ty").alias("_ty"), F.col("tx").alias("_tx"),
-    )
-    met = sent.join(rim, ["image_id", "y", "x"]).where((F.col("ty") != F.col("_ty")) | (F.col("tx") != F.col("_tx")))
-    links = met.select("image_id", "a", F.col("node").alias("b")).distinct()
+    lines = foreground.groupBy("image_id", F.col("y").cast("bigint").alias("y")).agg(F.collect_list(F.col("x").cast("bigint")).alias("x"))
+    strip = F.floor(F.col("y") / tile).cast("bigint")
+    strips = lines.groupBy("image_id", strip.alias("strip")).agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("lines"))
+
+    @F.pandas_udf(_STRIP)
+    def label(strip: pd.Series, y: pd.Series, x: pd.Series) -> pd.DataFrame:
+        out = []
+        for number, lines_y, lines_x in zip(strip, y, x, strict=True):
+            at, first, last, roots = _label(np.asarray(lines_y), list(lines_x))
+            names = at[roots] * _SHIFT + first[roots]
+            found, inverse = np.unique(roots, return_inverse=True)
+            sizes = np.bincount(inverse, weights=(last - first + 1)).astype(np.int64)
+            row = [at[found] * _SHIFT + first[found], sizes]
+            for edge in (number * tile, number * tile + tile - 1):
+                here = at == edge
+                row += [first[here], last[here], names[here]]
+            out.append(row)
+        return pd.DataFrame(out, columns=_STRIP.names)
+
+    labelled = strips.withColumn("_s", label("strip", F.col("lines.y"), F.col("lines.x")))
+
+    def edge(name: str) -> Column:
+        return F.struct(*[F.col(f"_s.{name}_{part}").alias(part) for part in _RUNS.names]).alias(name)
+
+    return labelled.select("image_id", "strip", "_s.node", "_s.size", edge("top"), edge("bottom"))
+
+
+def border_links(strips: DataFrame) -> DataFrame:
+    """Distinct pairs of nodes that touch across a strip border, in both directions.
+
+    The runs at a border of two strips are two sorted arrays, matched by a merge inside one row.
+    """
+    kept = F.size("runs.first") > 0
+    below = strips.select("image_id", "strip", F.col("top").alias("runs")).where(kept)
+    above = strips.select("image_id", (F.col("strip") + 1).alias("strip"), F.col("bottom").alias("over")).where(F.size("over.first") > 0)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def meet(over: pd.DataFrame, runs: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in zip(*(frame[part] for frame in (over, runs) for part in _RUNS.names), strict=True):
+            a_first, a_last, a_node, b_first, b_last, b_node = (np.asarray(v) for v in row)
+            a, b = touching((a_first, a_last), (b_first, b_last))
+            out.append(np.unique(np.stack([a_node[a], b_node[b]], axis=1), axis=0).tolist() if len(a) else [])
+        return pd.Series(out)
+
+    met = above.join(below, ["image_id", "strip"]).select("image_id", F.explode(meet("over", "runs")).alias("_p"))
+    links = met.select("image_id", F.col("_p")[0].alias("a"), F.col("_p")[1].alias("b"))
     return links.unionByName(links.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def merge_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(image_id, node, component) for nodes that touch another tile; the rest are their own component."""
-    links = cut_lineage(links)
-    labels = cut_lineage(links.select("image_id", F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+def _tops(parents: DataFrame) -> DataFrame:
+    """(image_id, node, parent) with every parent followed to its end. Each round doubles the steps taken."""
+    parents = cut_lineage(parents)
     while True:
-        near = (
-            links.join(labels.withColumnRenamed("node", "b"), ["image_id", "b"])
-            .groupBy("image_id", F.col("a").alias("node"))
-            .agg(F.min("component").alias("_near"))
-        )
-        hooked = labels.join(near, ["image_id", "node"]).select(
-            "image_id", "node", F.col("component").alias("_old"), F.least("component", "_near").alias("component")
-        )
-        jump = hooked.select("image_id", F.col("node").alias("component"), F.col("component").alias("_next"))
+        further = parents.select("image_id", F.col("node").alias("parent"), F.col("parent").alias("_next"))
         moved = cut_lineage(
-            hooked.join(jump, ["image_id", "component"]).select(
-                "image_id", "node", F.col("_next").alias("component"), (F.col("_next") != F.col("_old")).alias("_moved")
+            parents.join(further, ["image_id", "parent"]).select(
+                "image_id", "node", F.col("_next").alias("parent"), (F.col("_next") != F.col("parent")).alias("_moved")
             )
         )
-        labels = moved.select("image_id", "node", "component")
+        parents = moved.select("image_id", "node", "parent")
         if moved.where("_moved").isEmpty():
-            return labels
+            return parents
+
+
+def merge_nodes(links: DataFrame) -> DataFrame:
+    """(image_id, node, component) for nodes that touch another strip; the rest are their own component.
+
+    A round ties every component to the least of its neighbours, follows these ties to their ends and
+    draws the links between what is left; only components below all their neighbours stay apart, so
+    rounds are few even for a component that winds through many strips.
+    """
+    links = cut_lineage(links)
+    labels = cut_lineage(links.select("image_id", F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    while not links.isEmpty():
+        least = links.groupBy("image_id", F.col("a").alias("node")).agg(F.min("b").alias("_least"))
+        tops = _tops(least.select("image_id", "node", F.least("node", "_least").alias("parent")))
+        ends = {side: tops.select("image_id", F.col("node").alias(side), F.col("parent").alias(f"_{side}")) for side in ("a", "b")}
+        drawn = links.join(ends["a"], ["image_id", "a"]).join(ends["b"], ["image_id", "b"]).where("_a != _b")
+        links = cut_lineage(drawn.select("image_id", F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        steps = tops.select("image_id", F.col("node").alias("component"), "parent")
+        labels = cut_lineage(
+            labels.join(steps, ["image_id", "component"], "left").select(
+                "image_id", "node", F.coalesce("parent", "component").alias("component")
+            )
+        )
+    return labels
 
 
 def components(foreground: DataFrame, tile: int = TILE) -> DataFrame:
-    """(image_id, component, size). Without links over tile borders the merge ends at once."""
-    nodes = cut_lineage(tile_components(foreground, tile))
-    merged = merge_nodes(nodes, border_links(nodes, tile))
-    sizes = nodes.groupBy("image_id", "node").agg(F.count(F.lit(1)).alias("_size"))
+    """(image_id, component, size) of a table of foreground pixels (image_id, y, x); repeated pixels count once.
+
+    What is checkpointed is one row per strip, with its components and edge runs; no pixel is. Without
+    links over strip borders the merge ends at once.
+    """
+    strips = cut_lineage(strip_components(foreground, tile))
+    merged = merge_nodes(border_links(strips))
+    sizes = strips.select("image_id", F.explode(F.arrays_zip("node", "size")).alias("_n")).select("image_id", "_n.node", "_n.size")
     return (
         sizes.join(merged, ["image_id", "node"], "left")
         .groupBy("image_id", F.coalesce("component", "node").alias("component"))
-        .agg(F.sum("_size").alias("size"))
+        .agg(F.sum("size").alias("size"))
     )
 
 

@@ -251,6 +251,32 @@ def test_components(spark, tile):
         assert sorted(found[found["image_id"] == i]["size"]) == flood(mask)
 
 
+def test_one_component_over_many_strips(spark):
+    """A spiral that winds through every strip many times, beside a straight line; pixels come twice."""
+    side = 41
+    grid = np.zeros((side, side), dtype=bool)
+    y = x = 0
+    dy, dx, turns = 0, 1, 0
+    grid[0, 0] = True
+    while turns < 2:
+        ny, nx = y + dy, x + dx
+        ahead = (ny + dy, nx + dx)
+        blocked = not (0 <= ny < side and 0 <= nx < side) or grid[ny, nx]
+        blocked = blocked or (0 <= ahead[0] < side and 0 <= ahead[1] < side and grid[ahead])
+        if blocked:
+            dy, dx, turns = dx, -dy, turns + 1
+            continue
+        y, x, turns = ny, nx, 0
+        grid[y, x] = True
+    rows = [(1, int(j), int(i)) for j, i in zip(*np.nonzero(grid))] + [(2, 7, i) for i in range(500)]
+    df = spark.createDataFrame(rows * 2, "image_id int, y int, x int")
+    strips = components.strip_components(df, 2)
+    assert strips.count() == 21 + 1
+    found = components.components(df, 2).collect()
+    assert sorted((r["image_id"], r["size"]) for r in found) == [(1, s) for s in flood(grid)] + [(2, 500)]
+    assert flood(grid) == [int(grid.sum())]
+
+
 def test_frequency_of_a_large_pair_and_shrunk(spark):
     rng = np.random.default_rng(5)
     images = [rng.random((2, 512, 512)) for _ in range(2)]
