@@ -264,7 +264,8 @@ def _scan(words: DataFrame, reverse: bool, block: int, chunk: int, total: int) -
             yield from answers(guests)
 
     routed = placed.mapInArrow(route, "block int, guest boolean, key binary, n long")
-    dealt = routed.repartition(blocks, "block").sortWithinPartitions("block", "guest", "key")
+    # By range: hashes of block numbers would put several blocks into one task and none into others.
+    dealt = routed.repartitionByRange(blocks, "block").sortWithinPartitions("block", "guest", "key")
     return dealt.mapInArrow(search, "word string, n_near long, near_n long, near string")
 
 
