@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lumatable.functions import parsing, paths
 from lumatable.operators import catalog, ordered
 from lumatable.plans.registry import query, table
+from lumatable.session import scratch_path
+from lumatable.sources import sinks
 
 KINDS = ["png", "JPG", "jpeg", "bmp", "TIFF", "webp", "txt"]
 
@@ -189,6 +191,34 @@ def skip_existing(spark, sf):
     return catalog.skip_existing(todo, done, ["doc_id", "kind"])
 
 
+@query("q_export_overwrite", """SELECT lang AS split, doc_id AS sample_id, CASE WHEN doc_id % 3 = 0 THEN -n_chars ELSE n_chars END AS data FROM documents""")
+def export_overwrite(spark, sf):
+    """Every document is exported; every third is then replaced, and what is there already is skipped."""
+    rows = table(spark, sf, "documents").select(F.col("lang").alias("split"), F.col("doc_id").alias("sample_id"), F.col("n_chars").alias("data"))
+    path, where = scratch_path(spark, "export"), {"keys": ["split", "sample_id"], "partition": "split", "buckets": 4}
+    sinks.export_samples(rows, path, **where)
+    again = rows.where("sample_id % 3 = 0").withColumn("data", -F.col("data"))
+    sinks.export_samples(again, path, **where, overwrite=True)
+    sinks.export_samples(rows.withColumn("data", F.lit(0).cast("long")), path, **where)
+    return spark.read.parquet(path).select("split", "sample_id", "data")
+
+
+@query("q_triplet_overwrite", """SELECT doc_id AS sample_id, kind, CASE WHEN doc_id % 4 = 1 AND kind <> 'high' THEN -1
+    WHEN kind = 'high' THEN n_chars WHEN kind = 'semantic' THEN doc_id % 19 ELSE n_chars // 2 END AS data
+  FROM documents, (SELECT unnest(['high', 'semantic', 'low']) AS kind)""")
+def triplet_overwrite(spark, sf):
+    """Three kinds of data per document; two kinds of every fourth document are replaced."""
+    chars = F.col("n_chars")
+    data = {"high": chars, "semantic": F.col("doc_id") % 19, "low": F.floor(chars / 2)}
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), *[v.alias(f"d_{k}") for k, v in data.items()])
+    path = scratch_path(spark, "triplet")
+    sinks.write_triplet(rows, path, "sample_id", {k: f"d_{k}" for k in data})
+    none = F.lit(-1).cast("long")
+    again = rows.where("sample_id % 4 = 1").withColumns({"d_semantic": none, "d_low": none})
+    sinks.write_triplet(again, path, "sample_id", {k: f"d_{k}" for k in ("semantic", "low")}, overwrite=True)
+    return spark.read.parquet(path).select("sample_id", "kind", "data")
+
+
 @query("q_number_outputs", f"""WITH {FILES} SELECT path, printf('enhanced_%05d.png', row_number() OVER (ORDER BY path) - 1) AS output FROM files""")
 def number_outputs(spark, sf):
     indexed = ordered.global_index(files(spark, sf).select("path"), ["path"])

@@ -229,6 +229,41 @@ def test_sinks_skip_what_is_there(spark, root):
     assert spark.read.text(f"{root}/out/reports").count() >= 2
 
 
+def test_overwrite_replaces_only_the_given_samples(spark, root):
+    schema, kinds = "sample_id string, h binary, s binary, l binary", {"high": "h", "semantic": "s", "low": "l"}
+    for buckets in (0, 3):
+        path = f"{root}/out/replace{buckets}"
+        both = spark.createDataFrame([("a", b"h", b"s", b"l"), ("b", b"h", b"s", b"l")], schema)
+        sinks.write_triplet(both, path, "sample_id", kinds, overwrite=True, buckets=buckets)  # no table yet
+        sinks.write_triplet(spark.createDataFrame([("b", b"H", b"S", b"L")], schema), path, "sample_id", kinds, overwrite=True, buckets=buckets)
+        rows = {(r["sample_id"], r["kind"]): bytes(r["data"]) for r in spark.read.parquet(path).collect()}
+        assert rows == {(i, k): (c.encode().upper() if i == "b" else c.encode()) for i in "ab" for k, c in kinds.items()}
+
+
+def test_overwrite_with_null_and_whole_number_partitions(spark, root):
+    path, schema = f"{root}/out/numbered", "split int, sample_id string, v int"
+    first = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (None, "a", 1), (None, None, 1)], schema)
+    sinks.export_samples(first, path, ["split", "sample_id"], "split")
+    more = spark.createDataFrame([(2, "a", 5), (None, None, 5), (3, "n", 5)], schema).withColumn("extra", F.lit("x"))
+    counts = sinks.export_samples(more, path, ["split", "sample_id"], "split", overwrite=True)
+    assert sorted((r["split"] or 0, r["n_samples"]) for r in counts.collect()) == [(0, 1), (2, 1), (3, 1)]
+    rows = spark.read.option("mergeSchema", True).parquet(path).collect()
+    got = sorted(((r["split"] or 0), r["sample_id"] or "", r["v"], r["extra"] or "") for r in rows)
+    assert got == [(0, "", 5, "x"), (0, "a", 1, ""), (1, "a", 1, ""), (2, "a", 5, "x"), (3, "n", 5, "x")]
+
+
+def test_a_failed_overwrite_leaves_the_table(spark, root):
+    path, schema = f"{root}/out/failing", "split string, sample_id int, v int"
+    sinks.export_samples(spark.createDataFrame([("train", i, 1) for i in range(50)], schema), path, ["split", "sample_id"], "split")
+    broken = spark.createDataFrame([("train", i, 2) for i in range(40)], schema).withColumn(
+        "v", F.when(F.col("sample_id") == 39, F.raise_error(F.lit("no such image"))).otherwise(F.col("v")).cast("int")
+    )
+    with pytest.raises(Exception, match="no such image"):
+        sinks.export_samples(broken, path, ["split", "sample_id"], "split", overwrite=True)
+    assert spark.read.parquet(path).where("v = 1").count() == 50
+    assert spark.read.parquet(path).count() == 50
+
+
 def test_growing_log(spark, root):
     path = f"{root}/live/one/training_metrics.csv"
     full = log_text([{"step": i, "phase": "p", "loss": i / 2} for i in range(200)])
