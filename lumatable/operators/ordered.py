@@ -1,29 +1,65 @@
 """Ordered operators that hold when one key owns a third of all rows.
 
-A plain window sends every row of a key to one task. Here a key is cut into
-blocks of consecutive positions: rows are windowed per block, block totals
-(small, partially aggregated) are scanned per key, and the carry is joined back.
-Positions must be whole numbers, unique within a key; keys must not be null.
+A plain window sends every row of a key to one task. Here rows are cut into blocks of
+about equal size by splitters of (key, position), taken from a bounded sample: a key
+with many rows has many blocks however its positions are spread, small keys share
+one. Rows are windowed per key and block, totals (small, partially aggregated) are
+scanned per key, and the carry is joined back. There are MOST_BLOCKS blocks at most,
+so a key has no more totals than that. Positions must be whole numbers, unique within
+a key; keys must not be null.
 """
 
 from __future__ import annotations
 
 import math
 from functools import reduce
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatable.session import cut_lineage
 
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 16  # rows of a block, more where MOST_BLOCKS would not do
+MOST_BLOCKS = 4096
+SAMPLE = 50  # sampled rows per block
+FAN = 64  # totals composed in one row
 SALTS = 32
 
 
-def block_of(pos: str, size: int) -> Column:
-    return F.floor(F.col(pos) / F.lit(size)).cast("bigint")
+def splitters(df: DataFrame, keys: list[str], pos: str, block: int | None = None) -> list[tuple[int, int]]:
+    """(hash of the key, position) where blocks begin: quantiles of a sample of SAMPLE rows per block.
+
+    The sample only decides where blocks are cut; results are the same with any splitters.
+    """
+    placed = df.select(F.xxhash64(*keys).alias("h"), F.col(pos).cast("bigint").alias("p"))
+    total = placed.count()
+    blocks = min(MOST_BLOCKS, -(-total // (block or BLOCK_ROWS)))
+    if blocks < 2:
+        return []
+    share = SAMPLE * blocks / total
+    rows = sorted(map(tuple, (placed if share >= 1 else placed.sample(fraction=share, seed=3)).collect()))
+    return sorted({rows[k * len(rows) // blocks] for k in range(1, blocks)}) if rows else []
+
+
+def block_of(keys: list[str], pos: str, cuts: list[tuple[int, int]]) -> Column:
+    """Number of the block of a row; blocks of a key ascend with the position."""
+    if not cuts:
+        return F.lit(0)
+    hashes, places = (np.array(side, np.int64) for side in zip(*cuts, strict=True))
+
+    @F.pandas_udf("int")
+    def find(h: pd.Series, p: pd.Series) -> pd.Series:
+        h, p = h.to_numpy(), p.to_numpy()
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        found = low.copy()
+        for key in np.unique(h[low < high]):  # keys that a splitter lies in
+            mine, first, last = h == key, np.searchsorted(hashes, key, "left"), np.searchsorted(hashes, key, "right")
+            found[mine] = first + np.searchsorted(places[first:last], p[mine], "right")
+        return pd.Series(found)
+
+    return find(F.xxhash64(*keys), F.col(pos).cast("bigint"))
 
 
 def _last_known(value: Column, pos: Column) -> Column:
@@ -37,14 +73,14 @@ def running(
     pos: str,
     specs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
-    block: int = BLOCK_ROWS,
+    block: int | None = None,
 ) -> DataFrame:
     """Running max, sum or last known value per key in position order.
 
     specs maps an output column to ("max" | "sum" | "last", expression). With
     inclusive=False the current row is left out.
     """
-    rows = df.withColumn("_block", block_of(pos, block))
+    rows = df.withColumn("_block", block_of(keys, pos, splitters(df, keys, pos, block)))
     for name, (_, expr) in specs.items():
         rows = rows.withColumn(f"_in_{name}", expr)
 
@@ -86,7 +122,7 @@ def running(
 
 
 def numbered(
-    df: DataFrame, keys: list[str], pos: str, name: str = "rank", start: int = 1, block: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], pos: str, name: str = "rank", start: int = 1, block: int | None = None
 ) -> DataFrame:
     """Exact row number per key in position order."""
     counted = running(df, keys, pos, {name: ("sum", F.lit(1).cast("bigint"))}, block=block)
@@ -129,35 +165,40 @@ def global_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     )
 
 
-def _entry_values(steps: DataFrame, group: list[str], order: str, names: list[str], start: bool) -> DataFrame:
-    """Value on entry to each affine step e -> a*e + b, per group in order.
+def _after(value: Column, step: Column, name: str) -> Column:
+    """The value behind an affine step; a null value stands for the begin of the key."""
+    return F.when(value.isNull(), step[f"_g_{name}"]).otherwise(value * step["_a"] + step[f"_b_{name}"])
+
 
-    Groups pass through a task as a sorted stream, so only one state per value is
-    held. Without `start` a group begins unknown, otherwise with its _e_ columns.
+def _composed(steps: DataFrame, group: list[str], order: str, names: list[str]) -> DataFrame:
+    """Per group its steps in order as the array _steps, and the one step they make together.
+
+    A step maps e to _a * e + _b, and gives _g where it begins the key.
     """
-    types = dict(steps.dtypes)
-    entries = [f"_e_{name}" for name in names]
-    kept = [*group, order]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{e}` double" for e in entries])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, []
-        for pdf in batches:
-            keys = list(pdf[group].itertuples(index=False, name=None))
-            factors = pdf["_a"].tolist()
-            offsets = list(zip(*[pdf[f"_b_{name}"].tolist() for name in names]))
-            starts = list(zip(*[pdf[e].tolist() for e in entries])) if start else None
-            seen = []
-            for i, key in enumerate(keys):
-                if key != current:
-                    current, state = key, starts[i] if start else (math.nan,) * len(names)
-                seen.append(state)
-                a = factors[i]
-                state = tuple(b if a == 0.0 else a * e + b for e, b in zip(state, offsets[i]))
-            columns = dict(zip(entries, zip(*seen))) if seen else {e: [] for e in entries}
-            yield pdf[kept].assign(**columns)
-
-    return steps.repartition(*group).sortWithinPartitions(*kept).mapInPandas(walk, schema)
+    parts = ["_a", *[f"_{kind}_{name}" for kind in "bg" for name in names]]
+    gathered = steps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, *parts))).alias("_steps"))
+
+    def join(acc: Column, step: Column) -> Column:
+        moved = {f"_{kind}_{name}": acc[f"_{kind}_{name}"] * step["_a"] + step[f"_b_{name}"] for kind in "bg" for name in names}
+        return F.struct((acc["_a"] * step["_a"]).alias("_a"), *[moved[part].alias(part) for part in parts[1:]])
+
+    first = F.struct(*[F.get("_steps", F.lit(0))[part].alias(part) for part in parts])
+    whole = F.aggregate(F.slice("_steps", 2, F.size("_steps")), first, join)
+    return gathered.withColumn("_whole", whole).select(*group, "_steps", "_whole.*")
+
+
+def _entries(order: str, names: list[str], start: dict[str, Column]) -> Column:
+    """Array of (order, values on entry) for the steps of one row, from the values that the row starts with."""
+    values = [f"_e_{name}" for name in names]
+    fields = ", ".join([f"{order}: bigint", *[f"{value}: double" for value in values]])
+
+    def walk(acc: Column, step: Column) -> Column:
+        here = F.struct(step[order].cast("bigint").alias(order), *[acc[value].alias(value) for value in values])
+        moved = [_after(acc[value], step, name).alias(value) for name, value in zip(names, values)]
+        return F.struct(F.concat(acc["seen"], F.array(here)).alias("seen"), *moved)
+
+    begin = [start[name].cast("double").alias(value) for name, value in zip(names, values)]
+    return F.aggregate("_steps", F.struct(F.array().cast(f"array<struct<{fields}>>").alias("seen"), *begin), walk)["seen"]
 
 
 def ema(
@@ -168,24 +209,23 @@ def ema(
     decay: float,
     seed_floor: float | None = None,
     block: int | None = None,
-    fan: int = 4096,
+    fan: int = FAN,
 ) -> DataFrame:
     """Exponential moving averages per key; the first value seeds each. Rows in which a value is null are left out.
 
-    values maps an output column to an input column. Inside a block the average
-    is a closed form over a running sum. Blocks are affine steps; they are
-    composed per super-block of at most `fan` blocks, then walked, so no task
-    ever holds a whole key.
+    values maps an output column to an input column. Inside a chunk of consecutive rows the average is a
+    closed form over a running sum; a chunk is an affine step of the value before it. Steps are composed
+    upwards (chunks of a block, blocks of a group of `fan`, groups of a key) and the values on entry handed
+    down again, all as aggregates of short arrays, so no task ever holds a whole key.
     """
-    limit = max(1, int(250.0 / -math.log(decay)))
-    block = min(block or BLOCK_ROWS, limit)
-    d = F.lit(float(decay))
-    names = list(values)
+    limit = max(1, int(250.0 / -math.log(decay)))  # rows of a chunk: longer ones would overflow the closed form
+    d, names = F.lit(float(decay)), list(values)
     df = df.where(reduce(lambda a, b: a & b, [F.col(value).isNotNull() for value in values.values()]))
-    inside = Window.partitionBy(*keys, "_block").orderBy(pos)
-    growing = inside.rowsBetween(Window.unboundedPreceding, 0)
-
-    local = df.withColumn("_block", block_of(pos, block)).withColumn("_k", F.row_number().over(inside))
+    cuts = splitters(df, keys, pos, block)
+    place = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(pos)) - 1
+    local = df.withColumn("_block", block_of(keys, pos, cuts).cast("bigint")).withColumn("_place", place)
+    local = local.withColumns({"_chunk": F.floor(F.col("_place") / limit), "_k": F.col("_place") % limit + 1})
+    growing = Window.partitionBy(*keys, "_block", "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     for name, value in values.items():
         grown = F.sum(F.col(value) * F.pow(d, -F.col("_k"))).over(growing)
         local = local.withColumn(f"_s_{name}", grown).withColumn(f"_f_{name}", F.first(value).over(growing))
@@ -197,39 +237,32 @@ def ema(
         seed = first if seed_floor is None else F.greatest(first, F.lit(seed_floor))
         return F.pow(d, size - 1) * seed + (1.0 - d) * F.pow(d, size) * (total - first / d)
 
-    def offset(name: str) -> Column:
-        return F.when(F.col("_start"), seeded(name)).otherwise((1.0 - d) * F.pow(d, size) * F.col(f"_s_{name}"))
-
-    origin = df.groupBy(*keys).agg(F.min(pos).alias("_origin"))
-    ends = [F.max_by(f"_s_{name}", "_k").alias(f"_s_{name}") for name in names]
-    ends += [F.min_by(f"_f_{name}", "_k").alias(f"_f_{name}") for name in names]
-    steps = (
-        local.groupBy(*keys, "_block")
-        .agg(F.max("_k").alias("_k"), *ends)
-        .join(origin, keys)
-        .withColumn("_start", F.col("_block") == F.floor(F.col("_origin") / block))
-        .withColumn("_super", F.floor(F.col("_block") / fan))
-        .select(
-            *keys, "_block", "_super", F.when(F.col("_start"), 0.0).otherwise(F.pow(d, size)).alias("_a"),
-            *[offset(name).alias(f"_b_{name}") for name in names],
-        )
+    def moved(name: str) -> Column:
+        return (1.0 - d) * F.pow(d, size) * F.col(f"_s_{name}")
+
+    ends = [F.max_by(f"_{part}_{name}", "_k").alias(f"_{part}_{name}") for part in "sf" for name in names]
+    chunks = local.groupBy(*keys, "_block", "_chunk").agg(F.max("_k").alias("_k"), *ends).select(
+        *keys, "_block", "_chunk", F.pow(d, size).alias("_a"),
+        *[moved(name).alias(f"_b_{name}") for name in names], *[seeded(name).alias(f"_g_{name}") for name in names],
+    )
+    blocks = _composed(chunks, [*keys, "_block"], "_chunk", names).withColumn("_group", F.floor(F.col("_block") / fan))
+    groups = _composed(blocks.drop("_steps"), [*keys, "_group"], "_block", names)
+    whole = _composed(groups.drop("_steps"), keys, "_group", names)
+
+    nothing = {name: F.lit(None) for name in names}
+    carried = {name: F.col(f"_e_{name}") for name in names}
+    group_starts = whole.select(*keys, F.inline(_entries("_group", names, nothing)))
+    block_starts = groups.select(*keys, "_group", "_steps").join(group_starts, [*keys, "_group"]).select(
+        *keys, F.inline(_entries("_block", names, carried))
     )
-    offsets = [f"_b_{name}" for name in names]
-    compose = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("_block", "_a", *offsets))),
-        F.struct(F.lit(1.0).alias("_a"), *[F.lit(0.0).alias(b) for b in offsets]),
-        lambda acc, step: F.struct(
-            (acc["_a"] * step["_a"]).alias("_a"),
-            *[F.when(step["_a"] == 0.0, step[b]).otherwise(acc[b] * step["_a"] + step[b]).alias(b) for b in offsets],
-        ),
+    chunk_starts = blocks.select(*keys, "_block", "_steps").join(block_starts, [*keys, "_block"]).select(
+        *keys, "_block", _entries("_chunk", names, carried).alias("_starts")
     )
-    supers = steps.groupBy(*keys, "_super").agg(compose.alias("_step")).select(*keys, "_super", "_step.*")
-    super_entry = _entry_values(supers, keys, "_super", names, start=False)
-    entry = _entry_values(steps.join(super_entry, [*keys, "_super"]), [*keys, "_super"], "_block", names, start=True)
+    # One row per key and block: the rows keep the partitioning that their window gave them.
+    entered = local.join(chunk_starts, [*keys, "_block"]).withColumn("_start", F.get("_starts", F.col("_chunk").cast("int")))
 
     def average(name: str) -> Column:
-        carried = F.pow(d, size) * (F.col(f"_e_{name}") + (1.0 - d) * F.col(f"_s_{name}"))
-        fresh = F.col(f"_e_{name}").isNull() | F.isnan(f"_e_{name}")
-        return F.when(fresh, seeded(name)).otherwise(carried)
+        entry = F.col("_start")[f"_e_{name}"]
+        return F.when(entry.isNull(), seeded(name)).otherwise(F.pow(d, size) * entry + moved(name))
 
-    return local.join(entry.drop("_super"), [*keys, "_block"]).select(*df.columns, *[average(name).alias(name) for name in names])
+    return entered.select(*df.columns, *[average(name).alias(name) for name in names])

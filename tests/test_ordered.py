@@ -87,6 +87,35 @@ def test_flatten_any_depth_and_quoted_objects(spark):
     assert "b" not in got and "x" not in got
 
 
+@pytest.mark.parametrize("spread", ["sparse", "clustered"])
+def test_hot_run_on_any_spread_of_positions(spark, spread):
+    """One run holds nearly all rows; positions are far apart, or crowded with a few far away."""
+    rng = np.random.default_rng(7)
+    n = 3000
+    places = rng.choice(10**12, n, replace=False) if spread == "sparse" else np.concatenate([np.arange(n - 5), 10**14 * np.arange(1, 6)])
+    pdf = pd.DataFrame({"run": "hot", "pos": np.sort(places), "x": rng.normal(size=n)})
+    pdf = pd.concat([pdf, pd.DataFrame({"run": [f"r{i}" for i in range(40)], "pos": 10**13, "x": 1.0})], ignore_index=True)
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(5)
+    cuts = ordered.splitters(df, ["run"], "pos", 100)
+    blocks = df.where("run = 'hot'").groupBy(ordered.block_of(["run"], "pos", cuts).alias("b")).count().collect()
+    assert 25 <= len(blocks) <= 32 and max(r["count"] for r in blocks) < 300
+    want = pdf.sort_values(["run", "pos"]).reset_index(drop=True)
+    for decay, block in ((0.5, 100), (0.001, 500)):  # one chunk a block; fourteen
+        got = collected(ordered.ema(df, ["run"], "pos", {"e": "x"}, decay, block=block, fan=4), ["run", "pos", "e"])
+        truth = want.groupby("run")["x"].transform(lambda s, d=decay: s.ewm(alpha=1 - d, adjust=False).mean())
+        assert np.allclose(got["e"], truth, atol=1e-12)
+    top = collected(ordered.running(df, ["run"], "pos", {"m": ("max", F.col("x")), "s": ("sum", F.lit(1))}, block=100), ["m", "s"])
+    assert np.allclose(top["m"], want.groupby("run")["x"].cummax())
+    assert (top["s"] == want.groupby("run").cumcount() + 1).all()
+
+
+def test_averages_have_no_python_walk(log, capsys):
+    _, df = log
+    ordered.ema(df, ["run"], "pos", {"e": "x"}, 0.9, block=50).explain()
+    plan = capsys.readouterr().out
+    assert "MapInPandas" not in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_average_leaves_blanks_out(spark):
     rows = [("r", k, v) for k, v in enumerate([None, 1.0, None, 3.0, 5.0])]
     df = spark.createDataFrame(rows, "run string, pos bigint, v double")
