@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumatable.llm.common import lower_ascii, row_key
+from lumatable.llm.common import lower_ascii, materialize, row_key
 
 # Words: runs of digits, letters a-z and anything outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-LEAD = 3  # words whose hash is looked up before a whole window is compared
-MAX_GRAMS = 20_000  # n-grams held by every task; more are joined instead
-MAX_CHARS = 4_000_000
+HELD = 1 << 22  # n-gram hashes broadcast at once, 8 bytes each before Spark's own table
 
 
 def words(text: Column) -> Column:
@@ -20,147 +18,136 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def item_grams(items: DataFrame, window: int) -> DataFrame:
-    """(gram, size, items): each n-gram of the test items once, with the ids of the items that hold it.
+def _hashed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """`rows` with their words `w` and the hashes `wh` of these.
 
-    An item shorter than the window is one gram; items without words have none.
+    Both are made by generators: what a lambda refers to must be made once per row, and Spark would
+    put a projection into the lambda.
     """
-    split = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
-    split = split.where((F.size("w") > 0) & F.col("item_id").isNotNull())
-    split = split.withColumn("size", F.least(F.size("w"), F.lit(window)))
-    grams = F.expr("transform(sequence(1, size(w) - size + 1), i -> array_join(slice(w, i, size), ' '))")
-    return (
-        split.select("item_id", "size", F.explode(grams).alias("gram"))
-        .groupBy("gram", "size")
-        .agg(F.collect_set("item_id").alias("items"))
-    )
+    kept = [c for c in rows.columns if c != text]
+    split = rows.select(*kept, F.explode(F.array(words(F.col(text)))).alias("w"))
+    return split.select("*", F.explode(F.array(F.transform("w", lambda word: F.xxhash64(word)))).alias("wh"))
+
+
+def _window_hash(at: str, size: str) -> str:
+    return f"xxhash64(slice(wh, {at} + 1, {size}))"
 
 
 class Matcher:
-    """The test items' grams, held as a hash set in every task if they are few, joined otherwise."""
-
-    def __init__(self, items: DataFrame, window: int = WINDOW, max_grams: int = MAX_GRAMS):
-        self.grams = item_grams(items, window)
-        size = self.grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("gram")), F.lit(0)).alias("chars"))
-        measured = size.first()
-        self.local = measured["n"] <= max_grams and measured["chars"] <= MAX_CHARS
-        self.sizes = sorted(row["size"] for row in self.grams.select("size").distinct().collect())  # at most `window`
-        self.by_size: dict[int, list[str]] = {}
-        self.leads: dict[int, list[int]] = {}
-        if self.local:  # bounded by max_grams rows
-            head = F.xxhash64(*[F.get(F.split("gram", " "), F.lit(k)) for k in range(LEAD)])
-            for row in self.grams.select("gram", "size", head.alias("lead")).collect():
-                self.by_size.setdefault(row["size"], []).append(row["gram"])
-                self.leads.setdefault(row["size"], []).append(row["lead"])
-
-    def starts(self, name: str) -> Column:
-        """Windows of the word array `name` that are grams: array of struct(at, size, gram). Row-local."""
-        if not self.by_size:
-            return F.expr("cast(array() as array<struct<at:int,size:int,gram:string>>)")
-        parts = []
-        for size, grams in sorted(self.by_size.items()):
-            listed = ", ".join(f"'{gram}'" for gram in grams)  # words hold neither quotes nor backslashes
-            gram = f"array_join(slice({name}, i + 1, {size}), ' ')"
-            test = f"{gram} IN ({listed})"
-            if size >= LEAD:
-                lead = ", ".join(f"get({name}, i + {k})" for k in range(LEAD))
-                test = f"xxhash64({lead}) IN ({', '.join(f'{x}L' for x in set(self.leads[size]))}) AND {test}"
-            at = f"if(size({name}) >= {size}, sequence(0, size({name}) - {size}), cast(array() as array<int>))"
-            parts.append(
-                f"transform(filter({at}, i -> {test}), i -> named_struct('at', i, 'size', {size}, 'gram', {gram}))"
-            )
-        return F.expr(f"concat({', '.join(parts)})")
+    """The n-grams of the test items: their hashes, and which items hold each.
 
-    def joined_starts(self, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        """(keys, starts) of the rows with hits, by an equi-join of all windows with the grams."""
-        windows = None
-        for size in self.sizes:
-            at = f"if(size({name}) >= {size}, sequence(0, size({name}) - {size}), cast(array() as array<int>))"
-            made = f"transform({at}, i -> named_struct('at', i, 'size', {size}, 'gram', array_join(slice({name}, i + 1, {size}), ' ')))"
-            one = rows.select(*keys, F.explode(F.expr(made)).alias("s")).select(*keys, "s.at", "s.size", "s.gram")
-            windows = one if windows is None else windows.unionByName(one)
-        hits = windows.join(self.grams.select("gram"), "gram").select(*keys, F.struct("at", "size", "gram").alias("s"))
-        return hits.groupBy(*keys).agg(F.collect_set("s").alias("starts"))
+    An item shorter than the window is one n-gram; items without words or id have none.
+    """
+
+    def __init__(self, items: DataFrame, window: int = WINDOW, held: int = HELD):
+        named = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+        split = _hashed(named).where("size(w) > 0").withColumn("size", F.least(F.size("w"), F.lit(window)))
+        grams = "transform(sequence(0, size(w) - size), i -> named_struct('h', {}, 'gram', array_join(slice(w, i + 1, size), ' ')))"
+        made = split.select("item_id", "size", F.expr(f"inline({grams.format(_window_hash('i', 'size'))})"))
+        self.items = materialize(made.distinct(), "test-grams")
+        hashes = self.items.select("h").distinct()
+        self.parts = max(1, -(-hashes.count() // held))
+        self.hashes = hashes
+        self.sizes = sorted(row["size"] for row in self.items.select("size").distinct().collect())  # at most `window`
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """One row (doc_id, key, n_words) per document, and one (doc_id, key, at, size, gram) per verified hit.
+
+        Every window is hashed in its row and looked up in a broadcast set of n-gram hashes, of `held` at
+        most; a larger test set takes several passes over the documents. Only what is found leaves its
+        row: its text is then compared by an equi-join with the n-grams.
+        """
+        rows = _hashed(df.select("doc_id", row_key().alias("key"), "text"))
+        found = None
+        for part in range(self.parts):
+            windows = [
+                f"transform(if(size(w) >= {size}, sequence(0, size(w) - {size}), cast(array() as array<int>)),"
+                f" i -> named_struct('at', i, 'size', {size}, 'h', {_window_hash('i', str(size))}))"
+                for size in self.sizes
+            ]
+            document = "array(named_struct('at', -1, 'size', 0, 'h', cast(null as bigint)))"
+            made = rows.select("doc_id", "key", "w", F.expr(f"inline(concat({', '.join([document, *windows])}))"))
+            hashes = self.hashes.where(F.pmod("h", F.lit(self.parts)) == part).select(F.col("h").alias("known"))
+            met = made.join(F.broadcast(hashes), F.col("h") == F.col("known"), "left")
+            met = met.where("known is not null" if part else "known is not null or at < 0").select(
+                "doc_id", "key", "at", "size",
+                F.when(F.col("at") < 0, F.size("w")).cast("long").alias("n_words"),
+                F.when(F.col("at") >= 0, F.expr("array_join(slice(w, at + 1, size), ' ')")).alias("gram"),
+            )
+            found = met if found is None else found.unionByName(met)
+        return materialize(found, "test-windows")
+
+    def verified(self, marked: DataFrame) -> DataFrame:
+        """The hits whose text is an n-gram: (doc_id, key, at, size, gram)."""
+        texts = self.items.select("gram", "size").distinct()
+        return marked.where("at >= 0").select("doc_id", "key", "at", "size", "gram").join(texts, ["gram", "size"])
+
+    def starts(self, df: DataFrame) -> DataFrame:
+        """(id, found, starts) of the documents with hits, one row per id and text."""
+        hits = self.verified(self.mark(df))
+        return hits.groupBy(F.col("doc_id").alias("_llm_id"), F.col("key").alias("_llm_found")).agg(
+            F.collect_set(F.struct("at", "size")).alias("_llm_starts")
+        )
 
 
 def _hit_words(starts: str) -> str:
     return f"array_distinct(flatten(transform({starts}, s -> sequence(s.at, s.at + s.size - 1))))"
 
 
-def _with_starts(rows: DataFrame, matcher: Matcher, keys: list[str]) -> DataFrame:
-    """`rows` (with a word array `w`) and their `starts`, null or empty where there are none."""
-    if matcher.local:
-        return rows.withColumn("starts", matcher.starts("w"))
-    if not matcher.sizes:
-        return rows.withColumn("starts", F.expr("cast(null as array<struct<at:int,size:int,gram:string>>)"))
-    found = matcher.joined_starts(rows.dropDuplicates(keys), keys, "w")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    return rows.alias("a").join(found.alias("b"), same, "left").select("a.*", "b.starts")
-
-
-def find_contamination(
-    df: DataFrame, items: DataFrame, window: int = WINDOW, max_grams: int = MAX_GRAMS
-) -> DataFrame:
+def find_contamination(df: DataFrame, items: DataFrame, window: int = WINDOW, held: int = HELD) -> DataFrame:
     """Words of each document inside any occurrence of a test window, and the items found.
 
-    While the test items have at most `max_grams` n-grams, every task holds them as a hash set: the
-    hash of a window's first words is looked up, then the window itself, and only hits leave their row.
-    Beyond that all windows are joined with the grams. Both ways are exact.
-
-    Null and empty texts have no words; items without words or id never occur; repeated rows each
-    give a row; empty tables give no rows or no hits; other columns are ignored.
+    Which items hold a set of n-grams is worked out once per set, not per document: copies of a passage
+    share their set. Null and empty texts have no words; items without words or id never occur;
+    repeated rows each give a row; empty tables give no rows or no hits; other columns are ignored.
     """
-    matcher = Matcher(items, window, max_grams)
-    rows = df.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("w"))
-    rows = _with_starts(rows, matcher, ["doc_id", "key"]).select(
-        "doc_id",
-        "key",
-        F.size("w").cast("long").alias("n_words"),
-        F.expr(f"cast(coalesce(size({_hit_words('starts')}), 0) as bigint)").alias("n_hit"),
-        F.expr("array_distinct(transform(starts, s -> s.gram))").alias("grams"),
+    matcher = Matcher(items, window, held)
+    marked = matcher.mark(df)
+    hits = matcher.verified(marked).groupBy("doc_id", "key").agg(
+        F.collect_set(F.struct("at", "size")).alias("starts"), F.sort_array(F.collect_set("gram")).alias("grams")
     )
-    flat = rows.select("doc_id", "key", "n_words", "n_hit", F.posexplode_outer("grams").alias("at", "gram"))
-    grams = matcher.grams.select("gram", "items")
-    flat = flat.join(F.broadcast(grams) if matcher.local else grams, "gram", "left")
-    found = flat.groupBy("doc_id", "key", "n_words", "n_hit").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("copies"),  # rows with equal id and text
+    hits = materialize(
+        hits.select(
+            F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.expr(f"size({_hit_words('starts')})").alias("hit"),
+            "grams", F.sha2(F.array_join("grams", "\n").cast("binary"), 256).alias("held"),
+        ),
+        "test-hits",
     )
-    return found.select(
+    sets = hits.groupBy("held").agg(F.first("grams").alias("grams")).select("held", F.explode("grams").alias("gram"))
+    named = sets.join(matcher.items.select("gram", "item_id").distinct(), "gram").groupBy("held").agg(
+        F.sort_array(F.collect_set("item_id")).alias("items")
+    )
+    named = named.select(
+        "held", F.size("items").cast("long").alias("found"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("digest")
+    )
+    documents = marked.where("at < 0").select("doc_id", "key", "n_words")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    joined = documents.join(hits.drop("grams").join(named, "held"), same, "left")
+    return joined.select(
         "doc_id",
         "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        F.explode(F.expr("sequence(1L, copies)")).alias("_copy"),
-    ).drop("_copy")
+        F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("found", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        F.col("hit").isNotNull().alias("contaminated"),
+    )
 
 
 def remove_contaminated(
-    df: DataFrame, items: DataFrame, spans: bool = False, window: int = WINDOW, max_grams: int = MAX_GRAMS
+    df: DataFrame, items: DataFrame, spans: bool = False, window: int = WINDOW, held: int = HELD
 ) -> DataFrame:
     """`df` without contaminated documents; with `spans`, without the words hit but with the documents.
 
-    All columns stay. With few grams this is a filter or projection of each row: no shuffle.
+    All columns stay. The documents are joined with the keys of those with hits, which Spark broadcasts
+    while they are few.
     """
-    matcher = Matcher(items, window, max_grams)
     columns = df.columns
-    rows = df.withColumn("_llm_key", row_key())
-    if matcher.local:
-        # A generator, so that the filter below is not pushed under it, where words would be split once per window.
-        split = rows.select("*", F.explode(F.array(words(F.col("text")))).alias("_llm_w"))
-        marked = split.withColumn("_llm_starts", matcher.starts("_llm_w"))
-    else:
-        keyed = rows.select("doc_id", F.col("_llm_key").alias("key"), words(F.col("text")).alias("w"))
-        found = _with_starts(keyed.dropDuplicates(["doc_id", "key"]), matcher, ["doc_id", "key"])
-        found = found.where("size(starts) > 0").select(
-            F.col("doc_id").alias("_llm_id"), F.col("key").alias("_llm_found"), F.col("starts").alias("_llm_starts")
-        )
-        same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_found"))
-        marked = rows.join(found, same, "left")
+    found = Matcher(items, window, held).starts(df)
+    keyed = df.withColumn("_llm_key", row_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_found"))
     if not spans:
-        return marked.where("coalesce(size(_llm_starts), 0) <= 0").select(*columns)
+        return keyed.join(found.select("_llm_id", "_llm_found"), same, "left_anti").select(*columns)
+    marked = keyed.join(found, same, "left")
     word = WORD.replace(r"\x60", r"\x40\x5B-\x60")  # the same words before lower-casing
     # Generators again: what a lambda refers to must be made once per row.
     parts = F.struct(

@@ -202,8 +202,8 @@ def brute_hits(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("max_grams", [20_000, 3])
-def test_decontamination(spark, max_grams):
+@pytest.mark.parametrize("held", [decontaminate.HELD, 7])
+def test_decontamination(spark, held):
     rng = random.Random(6)
     items = [(k, words(rng, n, 60)) for k, n in enumerate((14, 10, 30, 3, 1, 9, 0))] + [(20, None), (10, words(rng, 12, 60)), (21, "é ß 42 Test's end")]
     items[4] = (4, "zebra")
@@ -214,23 +214,41 @@ def test_decontamination(spark, max_grams):
     rows += [(150, "ZEBRA"), (151, "É ß 42: test s END"), (151, "é ß 42: test s END"), (152, rows[-1][1])]
     table = spark.createDataFrame(items, "item_id bigint, text string")
     frame = documents(spark, rows)
-    got = decontaminate.find_contamination(frame, table, max_grams=max_grams).collect()
+    got = decontaminate.find_contamination(frame, table, held=held).collect()
     want = [(i, *brute_hits(t, items)) for i, t in rows]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    kept = decontaminate.remove_contaminated(frame, table, max_grams=max_grams)
+    kept = decontaminate.remove_contaminated(frame, table, held=held)
     assert kept.columns == frame.columns
     clean = [r for r, w in zip(rows, want, strict=True) if not w[-1]]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, clean))
-    cut = decontaminate.remove_contaminated(frame, table, spans=True, max_grams=max_grams).collect()
+    cut = decontaminate.remove_contaminated(frame, table, spans=True, held=held).collect()
     assert len(cut) == len(rows)
     lost = {i: n_hit for i, _, n_hit, *_ in want if i is not None}
     for r in cut:
         if r["doc_id"] is not None and r["doc_id"] >= 100 and r["doc_id"] < 140:
             text = dict(rows)[r["doc_id"]]
             assert len(plain_words(r["text"])) == len(plain_words(text)) - lost[r["doc_id"]]
-    none = decontaminate.find_contamination(frame, table.limit(0), max_grams=max_grams)
+    none = decontaminate.find_contamination(frame, table.limit(0), held=held)
     assert {r["n_hit"] for r in none.collect()} == {0}
-    assert decontaminate.find_contamination(empty(spark), table, max_grams=max_grams).collect() == []
+    assert decontaminate.find_contamination(empty(spark), table, held=held).collect() == []
+
+
+def test_many_test_windows_move_only_hits(spark, capsys):
+    """100,000 n-grams: windows meet a broadcast of hashes, and only found ones are exchanged."""
+    rng = random.Random(21)
+    texts = [words(rng, 109, 10**6) for _ in range(1_000)]
+    table = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(4)
+    held = [(k, words(rng, 200, 10**6)) for k in range(50)]
+    rows = held + [(100 + k, f"{words(rng, 30, 10**6)} {' '.join(texts[k].split()[5:25])} tail") for k in range(20)]
+    rows += [(200, " ".join(texts[0].split()[:9])), (201, " ".join(texts[0].split()[:10]))]
+    df = documents(spark, rows)
+    matcher = decontaminate.Matcher(table)
+    assert matcher.hashes.count() == 100_000 and matcher.parts == 1
+    marked = matcher.mark(df)
+    assert marked.count() == len(rows) + 20 * 11 + 1
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.find_contamination(df, table).collect()}
+    assert got == {k: (0, 0) for k, _ in held} | {100 + k: (20, 1) for k in range(20)} | {200: (0, 0), 201: (10, 1)}
+    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(df, table).collect()) == [*range(50), 200]
 
 
 PAGES = [
