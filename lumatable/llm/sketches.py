@@ -1,35 +1,70 @@
-"""Threshold-scaled sketches: every shingle hash below a fixed fraction of the range is kept."""
+"""Threshold-scaled sketches: every shingle hash below a fixed fraction of the range is kept.
+
+Shingles are runs of bytes, so that a text of a few words has many of them: a text of s different
+shingles has no hash in its sketch with probability (1 - 1/SCALE) ** s, which is 5 % for a piece of six
+words (some 22 shingles), and nothing is put in its place. The share of a smaller text's k kept hashes
+estimates its containment c with a standard error of sqrt(c * (1 - c) / k), and exactly where c is 0 or 1.
+"""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumatable.llm.common import content, row_key, shuffle_partitions
-from lumatable.llm.shingles import shingle_hashes
 
-SHINGLE = 5
-SEED = 11
+SHINGLE = 12  # bytes of the text, A-Z lower-cased and white space as single blanks
 SCALE = 8  # one hash in so many is kept
-
-
-def sketch(text: str, scale: int = SCALE, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct low 32 bits of the shingle hashes below 2**64 / scale.
-
-    A text with shingles but no hash below the threshold keeps its least hash, so that short texts
-    can be compared too; a text without words has an empty sketch.
+PIECE = 1 << 20  # shingles hashed at once
+BASE = 0x9E3779B97F4A7C15  # base of the rolling hash, odd
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """A full mix of 64-bit values."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def _rolled(data: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hash of every run of `size` values, put together from runs of powers of two."""
+    total, held, width, at = None, data, 1, 0  # held: hashes of runs of `width`
+    while width <= size:
+        if size & width:
+            # The runs counted so far stand to the right of this one.
+            if total is None:
+                total, at = held, width
+            else:
+                n = len(total) - width
+                total = held[:n] * np.uint64(pow(BASE, at, 1 << 64)) + total[width : width + n]
+                at += width
+        if 2 * width <= size:
+            held = held[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + held[width:]
+        width *= 2
+    return total
+
+
+def sketch(text: str, scale: int = SCALE, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes below 2**64 / scale, whatever their number.
+
+    A text shorter than a shingle is one shingle; a text without anything but white space has none.
     """
-    hashes = shingle_hashes(text, shingle, seed)
-    kept = hashes[hashes < np.uint64((1 << 64) // scale)]
-    if len(hashes) and not len(kept):
-        kept = hashes.min(keepdims=True)
-    return np.unique((kept & np.uint64(0xFFFFFFFF)).astype(">u4"))
+    line = b" ".join(text.encode().lower().split())  # on bytes, both touch ASCII only
+    if not line:
+        return np.empty(0, np.uint64)
+    size, kept = min(shingle, len(line)), []
+    for at in range(0, len(line) - size + 1, PIECE):
+        data = np.frombuffer(line[at : at + PIECE + size - 1], np.uint8).astype(np.uint64) + np.uint64(1)
+        hashes = _mixed(_rolled(data, size) + np.uint64(size))
+        kept.append(hashes[hashes < np.uint64((1 << 64) // scale)])
+    return np.unique(np.concatenate(kept))
 
 
 def merge(*sketches: np.ndarray) -> np.ndarray:
@@ -38,7 +73,10 @@ def merge(*sketches: np.ndarray) -> np.ndarray:
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller text's shingles that the larger one holds; 1 if both are empty."""
+    """Estimated share of the smaller text's shingles that the larger one holds.
+
+    An empty sketch tells nothing: two of them are equal fingerprints and count as 1, one as 0.
+    """
     least = min(len(a), len(b))
     if not least:
         return float(len(a) == len(b))
@@ -46,7 +84,7 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(a: np.ndarray) -> str:
-    return a.tobytes().hex()
+    return base64.b64encode(a.astype(">u8").tobytes()).decode()
 
 
 def edited(text: str, following: str) -> str:
@@ -55,11 +93,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _later(key: Column) -> Column:
+    """Turns the order of keys round."""
+    return F.bitwise_not(key)
+
+
 def _in_order(df: DataFrame) -> DataFrame:
     """Rows by buckets of descending id, each bucket followed by the first row of the next one.
 
-    Only the ids are looked at to find buckets and their first rows (one row per bucket); then the
-    texts move once.
+    Only ids and keys are looked at to find buckets and their first rows (one row per bucket); then the
+    texts move once. Rows without id come last, in order of their keys: hashes, so equal ranges of
+    them make equal buckets.
     """
     partitions = shuffle_partitions(df.sparkSession)
     buckets = 4 * partitions
@@ -71,27 +115,34 @@ def _in_order(df: DataFrame) -> DataFrame:
     def placed(rows: DataFrame) -> DataFrame:
         # Bucket 0 has the largest ids; rows without id come last.
         at = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan")))
-        bucket = F.when(F.col("doc_id").isNull(), len(splits)).otherwise(len(splits) - F.col("_bucket"))
+        share = (F.col("_key").cast("double") + float(1 << 63)) / float(1 << 64)
+        unnamed = F.lit(len(splits)) + F.least(F.floor(share * buckets), F.lit(buckets - 1))
+        bucket = F.when(F.col("doc_id").isNull(), unnamed).otherwise(len(splits) - F.col("_bucket"))
         return bucketizer.transform(rows.withColumn("_at", at)).withColumn("_bucket", bucket.cast("int")).drop("_at")
 
+    keyed = df.select(F.col("doc_id").cast("long"), content().alias("text"), row_key().alias("_key"))
+    most = F.max(F.struct("doc_id", _later(F.col("_key")).alias("late"))).alias("most")
     first = {  # at most one row per bucket
-        row["_bucket"]: row["id"] for row in placed(df.select("doc_id")).groupBy("_bucket").agg(F.max("doc_id").alias("id")).collect()
+        row["_bucket"]: (row["most"]["doc_id"], ~row["most"]["late"])
+        for row in placed(keyed.select("doc_id", "_key")).groupBy("_bucket").agg(most).collect()
     }
     order = sorted(first)
-    heads = [(bucket, first[bucket], order[k - 1]) for k, bucket in enumerate(order)]  # the very first follows the last
-    head = df.sparkSession.createDataFrame(heads, "_head int, _id long, _before int")
-    rows = placed(df.select(F.col("doc_id").cast("long"), content().alias("text")))
-    rows = rows.join(
-        F.broadcast(head), (F.col("_bucket") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left"
+    heads = [(bucket, *first[bucket], order[k - 1]) for k, bucket in enumerate(order)]  # the very first follows the last
+    head = df.sparkSession.createDataFrame(heads, "_head int, _id long, _first long, _before int")
+    rows = placed(keyed).join(
+        F.broadcast(head),
+        (F.col("_bucket") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first")),
+        "left",
     )
     copies = F.expr(
         "if(_head is null, array(struct(_bucket as b, false as extra)),"
         " array(struct(_bucket as b, false as extra), struct(_before as b, true as extra)))"
     )
     return (
-        rows.select("doc_id", "text", F.inline(copies))
+        rows.select("doc_id", "text", "_key", F.inline(copies))
         .repartition(partitions, "b")
-        .sortWithinPartitions("b", "extra", F.col("doc_id").desc_nulls_last(), row_key())
+        .sortWithinPartitions("b", "extra", F.col("doc_id").desc_nulls_last(), "_key")
+        .select("doc_id", "text", "b", "extra")
     )
 
 

@@ -1,7 +1,9 @@
 """Suffix-array dedup, SimHash groups and sketches against brute force."""
 
+import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -191,11 +193,21 @@ def test_components(spark):
 
 
 def slow_sketch(text):
-    data = text.encode().lower().split()
-    shingles = [b" ".join(data[i : i + 5]) for i in range(len(data) - 4)] or ([b" ".join(data)] if data else [])
-    hashes = {xxhash.xxh64_intdigest(s, 11) for s in shingles}
-    kept = {h for h in hashes if h < 2**64 // 8} or ({min(hashes)} if hashes else set())
-    return {h & 0xFFFFFFFF for h in kept}
+    """Every shingle hashed on its own with whole numbers."""
+    line = b" ".join(text.encode().lower().split())
+    size, top = min(12, len(line)), 1 << 64
+    kept = set()
+    for at in range(len(line) - size + 1 if line else 0):
+        h = size
+        for k, byte in enumerate(line[at : at + size]):
+            h += (byte + 1) * pow(sketches.BASE, size - 1 - k, top)
+        h %= top
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % top
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % top
+        h ^= h >> 31
+        if h < top // 8:
+            kept.add(h)
+    return kept
 
 
 def test_edits(spark):
@@ -211,7 +223,7 @@ def test_edits(spark):
         assert row["n_chars"] == len(text)
         assert row["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         for name, value in (("fingerprint", text), ("edited_fingerprint", changed)):
-            assert row[name] == "".join(format(h, "08x") for h in sorted(slow_sketch(value)))
+            assert base64.b64decode(row[name]).hex() == "".join(format(h, "016x") for h in sorted(slow_sketch(value)))
         for name, value in (("near_edited", changed), ("near_next", following)):
             a, b = slow_sketch(text), slow_sketch(value)
             want = len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
@@ -233,3 +245,33 @@ def test_sketches_merge():
     both = sketches.merge(sketches.sketch(small), sketches.sketch(large))
     assert sketches.containment(sketches.sketch(small), both) == 1.0
     assert sketches.containment(sketches.sketch(small), sketches.sketch(small + " " + large)) > 0.9
+
+
+def test_short_pieces_are_contained(monkeypatch):
+    """Six words cut out of a long text: like it, but for those few that have no hash below the threshold."""
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)).split()
+    whole = sketches.sketch(" ".join(text))
+    pieces = [sketches.sketch(" ".join(text[k : k + 6])) for k in range(0, 390, 3)]
+    likeness = [sketches.containment(piece, whole) for piece in pieces]
+    assert {likeness[k] for k in range(130) if len(pieces[k])} == {1.0}
+    assert sum(likeness) > 0.88 * 130
+    merged = sketches.merge(*pieces)
+    assert sketches.containment(merged, whole) == 1.0 and all(h < (1 << 64) // 8 for h in merged.tolist())
+    # Texts longer than one piece of hashing give the same sketch.
+    monkeypatch.setattr(sketches, "PIECE", 100)
+    assert (sketches.sketch(" ".join(text)) == whole).all()
+
+
+def test_rows_without_id_are_many_buckets(spark):
+    rows = [(None, f"text {k} of many") for k in range(400)] + [(5, "five"), (6, "six")]
+    df = documents(spark, rows)
+    assert sketches._in_order(df).where("doc_id is null").select("b").distinct().count() > 8
+    got = sketches.compare_edits(df).collect()
+    assert len(got) == 402
+    key = {t: k for t, k in df.select("text", sketches.row_key()).collect()}
+    order = ["six", "five", *sorted((t for i, t in rows if i is None), key=key.get)]
+    want = Counter(
+        hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % 402][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(order)
+    )
+    assert Counter(r["edited_sha256"] for r in got) == want
