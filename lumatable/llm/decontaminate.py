@@ -29,8 +29,21 @@ def _hashed(rows: DataFrame, text: str = "text") -> DataFrame:
     return split.select("*", F.explode(F.array(F.transform("w", lambda word: F.xxhash64(word)))).alias("wh"))
 
 
-def _window_hash(at: str, size: str) -> str:
-    return f"xxhash64(slice(wh, {at} + 1, {size}))"
+def _taken(array: str, at: str, size: int) -> str:
+    """The elements of a window one by one: `slice` would copy the whole array for each window."""
+    return ", ".join(f"get({array}, {at} + {k})" for k in range(size))
+
+
+def _windows(size: int) -> str:
+    """SQL for the windows of `size` words of a row with `w` and `wh`: (at, size, h)."""
+    places = f"if(size(w) >= {size}, sequence(0, size(w) - {size}), cast(array() as array<int>))"
+    return f"transform({places}, i -> named_struct('at', i, 'size', {size}, 'h', xxhash64({_taken('wh', 'i', size)})))"
+
+
+def _text(sizes: list[int]) -> str:
+    """SQL for the text of the window at `at` of `size` words."""
+    cases = " ".join(f"when {size} then concat_ws(' ', {_taken('w', 'at', size)})" for size in sizes)
+    return f"case size {cases} end"
 
 
 class Matcher:
@@ -42,8 +55,10 @@ class Matcher:
     def __init__(self, items: DataFrame, window: int = WINDOW, held: int = HELD):
         named = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
         split = _hashed(named).where("size(w) > 0").withColumn("size", F.least(F.size("w"), F.lit(window)))
-        grams = "transform(sequence(0, size(w) - size), i -> named_struct('h', {}, 'gram', array_join(slice(w, i + 1, size), ' ')))"
-        made = split.select("item_id", "size", F.expr(f"inline({grams.format(_window_hash('i', 'size'))})"))
+        sizes = list(range(1, window + 1))
+        windows = " ".join(f"when {size} then {_windows(size)}" for size in sizes)
+        made = split.select("item_id", "w", F.expr(f"inline(case size {windows} end)"))
+        made = made.select("item_id", "size", "h", F.expr(_text(sizes)).alias("gram"))
         self.items = materialize(made.distinct(), "test-grams")
         hashes = self.items.select("h").distinct()
         self.parts = max(1, -(-hashes.count() // held))
@@ -60,19 +75,14 @@ class Matcher:
         rows = _hashed(df.select("doc_id", row_key().alias("key"), "text"))
         found = None
         for part in range(self.parts):
-            windows = [
-                f"transform(if(size(w) >= {size}, sequence(0, size(w) - {size}), cast(array() as array<int>)),"
-                f" i -> named_struct('at', i, 'size', {size}, 'h', {_window_hash('i', str(size))}))"
-                for size in self.sizes
-            ]
             document = "array(named_struct('at', -1, 'size', 0, 'h', cast(null as bigint)))"
-            made = rows.select("doc_id", "key", "w", F.expr(f"inline(concat({', '.join([document, *windows])}))"))
+            made = rows.select("doc_id", "key", "w", F.expr(f"inline(concat({', '.join([document, *map(_windows, self.sizes)])}))"))
             hashes = self.hashes.where(F.pmod("h", F.lit(self.parts)) == part).select(F.col("h").alias("known"))
             met = made.join(F.broadcast(hashes), F.col("h") == F.col("known"), "left")
             met = met.where("known is not null" if part else "known is not null or at < 0").select(
                 "doc_id", "key", "at", "size",
                 F.when(F.col("at") < 0, F.size("w")).cast("long").alias("n_words"),
-                F.when(F.col("at") >= 0, F.expr("array_join(slice(w, at + 1, size), ' ')")).alias("gram"),
+                (F.expr(_text(self.sizes)) if self.sizes else F.lit(None).cast("string")).alias("gram"),
             )
             found = met if found is None else found.unionByName(met)
         return materialize(found, "test-windows")
