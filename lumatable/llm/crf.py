@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 
-HASH_BITS = 16
-MASK = (1 << HASH_BITS) - 1
+HASH_BITS = 16  # features of up to WIDE labels; fewer bits beyond, as a weight is held per feature and label
+WIDE = 64
+
+
+def hashed_features(labels: int) -> int:
+    """Number of hashed features: a power of two that keeps features x labels within a fixed size."""
+    return 1 << max(10, HASH_BITS - max(0, math.ceil(math.log2(max(labels, 1) / WIDE))))
 
 
 def features(word: str, lexicons: list[frozenset[str]]) -> list[int]:
-    """Hashed affixes and character n-grams of a lower-cased word, and the lexicons that hold it."""
-    crc = zlib.crc32
+    """Hashed affixes and character n-grams of a lower-cased word, and the lexicons that hold it.
+
+    Every letter counts: words are chain positions of a bounded length.
+    """
+    crc, size = zlib.crc32, hashed_features(len(lexicons))
+    mask = size - 1
     data = f"^{word}$".encode()
-    out = [crc(data[:n], 1) & MASK for n in (2, 3, 4)] + [crc(data[-n:], 2) & MASK for n in (2, 3, 4, 5)]
-    out += [crc(data[i : i + 3], 3) & MASK for i in range(min(len(data), 32) - 2)]
-    out += [crc(data[i : i + 2], 4) & MASK for i in range(min(len(data), 32) - 1)]
-    out += [MASK + 1 + k for k, lexicon in enumerate(lexicons) if word in lexicon]
+    out = [crc(data[:n], 1) & mask for n in (2, 3, 4)] + [crc(data[-n:], 2) & mask for n in (2, 3, 4, 5)]
+    out += [crc(data[i : i + 3], 3) & mask for i in range(len(data) - 2)]
+    out += [crc(data[i : i + 2], 4) & mask for i in range(len(data) - 1)]
+    out += [size + k for k, lexicon in enumerate(lexicons) if word in lexicon]
     return out
 
 
@@ -96,7 +106,7 @@ def fit(
     feats = np.fromiter((f for one in lists for f in one), dtype=np.int32, count=len(rows))
     heads = np.concatenate([[0], np.cumsum([len(one) for one in lists])[:-1]])
     del lists
-    n_labels, n_feats = len(labels), MASK + 1 + len(lexicons)
+    n_labels, n_feats = len(labels), hashed_features(len(labels)) + len(lexicons)
     inside = np.ones(len(flat), dtype=bool)
     inside[starts] = False
     moved = np.zeros((n_labels, n_labels))

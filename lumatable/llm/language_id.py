@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -16,8 +17,13 @@ from lumatable.llm import crf
 from lumatable.llm.common import worker_state
 
 WORD = re.compile(r"[^\W\d_]+")
+# Letters with their combining marks, which the class above leaves out; slower, so only where a text has marks.
+MARKED = regex.compile(r"(?:\p{L}\p{M}*+)+")
+MARK = regex.compile(r"\p{M}")
+PIECE = 20  # letters of a chain position: runs of scripts without blanks are cut into so many
 CHAIN = 256  # words; a line is cut there
-BLOCK = 100_000  # words labelled together
+AROUND = 16  # words before and after a cut that its chain sees besides its own
+BLOCK = 100_000  # words labelled together, for up to 64 languages
 UNKNOWN = "und"
 
 
@@ -26,12 +32,28 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def text_chains(text: str) -> list[list[str]]:
-    """Lower-cased words of each line, long lines in pieces."""
+def line_words(line: str, marked: bool) -> list[str]:
+    """The words of a line; longer runs of letters as pieces, all of them."""
+    words = MARKED.findall(line) if marked else WORD.findall(line)
+    if words and max(map(len, words)) > PIECE:
+        words = [word[i : i + PIECE] for word in words for i in range(0, len(word), PIECE)]
+    return words
+
+
+def text_chains(text: str) -> list[tuple[list[str], int, int]]:
+    """(words, first, last) of each line, A-Z and others lower-cased.
+
+    Long lines are cut; a chain then holds words around its own, which stand at first to last - 1, so
+    that a change of language at a cut is seen like any other.
+    """
     chains = []
-    for line in text.lower().split("\n"):
-        words = WORD.findall(line)
-        chains += [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
+    text = text.lower()
+    marked = not text.isascii() and MARK.search(text) is not None
+    for line in text.split("\n"):
+        words = line_words(line, marked)
+        for i in range(0, len(words), CHAIN):
+            low, high = max(0, i - AROUND), min(len(words), i + CHAIN + AROUND)
+            chains.append((words[low:high], i - low, min(i + CHAIN, len(words)) - low))
     return chains
 
 
@@ -45,7 +67,7 @@ def _drawn_text(max_chars: int, seed: int) -> Column:
     return F.when(F.length(text) <= max_chars, text).otherwise(lettered)
 
 
-def sample(df: DataFrame, per_label: int = 100, max_labels: int = 64, max_chars: int = 60_000, seed: int = 3) -> tuple[list[str], list[Row]]:
+def sample(df: DataFrame, per_label: int = 100, max_labels: int = 1000, max_chars: int = 60_000, seed: int = 3) -> tuple[list[str], list[Row]]:
     """Languages, and different texts of each: all if there are at most `per_label`, about as many if there are more.
 
     Copies count once, both in the share drawn and in the draw, so that no group of copies takes its language's
@@ -70,20 +92,20 @@ def sample(df: DataFrame, per_label: int = 100, max_labels: int = 64, max_chars:
     return labels, known.where(wanted).select("lang", text.alias("text")).dropDuplicates(["lang", "text"]).collect()
 
 
-def train(df: DataFrame, per_label: int = 100, max_labels: int = 64, max_chars: int = 60_000, seed: int = 3) -> crf.Model:
+def train(df: DataFrame, per_label: int = 100, max_labels: int = 1000, max_chars: int = 60_000, seed: int = 3) -> crf.Model:
     """Fit the model on a bounded sample: about `per_label` different texts, of none more than `max_chars`, per language.
 
-    Languages beyond the `max_labels` most frequent are not learned. Every word of a line carries its document's
+    `max_labels` bounds the sample too: values of `lang` beyond so many, the rarest, are not learned. Every word of a line carries its document's
     language; lines of the languages are mixed into chains, so that changes of language are learned as well.
     """
     labels, drawn = sample(df, per_label, max_labels, max_chars, seed)
-    untrained = crf.Model([], np.zeros((crf.MASK + 1, 0), np.float32), np.zeros((0, 0), np.float32), [])
+    untrained = crf.Model([], np.zeros((crf.hashed_features(0), 0), np.float32), np.zeros((0, 0), np.float32), [])
     if not labels:
         return untrained
     rng = random.Random(seed)
     lines = [[] for _ in labels]
     for row in sorted(drawn, key=lambda r: (r["lang"], r["text"])):
-        lines[labels.index(row["lang"])] += text_chains(row["text"])
+        lines[labels.index(row["lang"])] += [words[low:high] for words, low, high in text_chains(row["text"])]
     present = [k for k, own in enumerate(lines) if own]
     if not present:
         return untrained
@@ -135,25 +157,26 @@ class Labeller:
     def shares(self, texts: list[str]) -> np.ndarray:
         """Share of each label in the words of each text; zeros where there is no word."""
         sums = np.zeros((len(texts), len(self.model.labels)))
+        block = max(2 * CHAIN, BLOCK * 64 // max(64, len(self.model.labels)))
         words: list[str] = []
-        lengths: list[int] = []
-        owners: list[int] = []
+        chains: list[tuple[int, int, int, int]] = []  # (owner, words, first, last)
 
         def flush() -> None:
-            nonlocal words, lengths, owners
+            nonlocal words, chains
             if words:
-                size = np.array(lengths, dtype=np.int64)
+                owner, size, first, last = np.array(chains, dtype=np.int64).T
                 starts = np.concatenate([[0], np.cumsum(size)[:-1]])
                 gamma = crf.forward_backward(self.rows(words), starts, size, self.moves)
-                np.add.at(sums, owners, np.add.reduceat(gamma, starts, axis=0))
-            words, lengths, owners = [], [], []
+                place = np.arange(len(words)) - np.repeat(starts, size)
+                gamma[(place < np.repeat(first, size)) | (place >= np.repeat(last, size))] = 0  # seen, but another chain's
+                np.add.at(sums, owner, np.add.reduceat(gamma, starts, axis=0))
+            words, chains = [], []
 
         for k, text in enumerate(texts):
-            for chain in text_chains(text):
+            for chain, first, last in text_chains(text):
                 words += chain
-                lengths.append(len(chain))
-                owners.append(k)
-                if len(words) >= BLOCK:
+                chains.append((k, len(chain), first, last))
+                if len(words) >= block:
                     flush()
         flush()
         total = sums.sum(axis=1, keepdims=True)

@@ -65,6 +65,48 @@ def test_languages(spark):
     assert [(r["lang_pred"], r["score"]) for r in language_id.identify(unlabelled).collect()] == [("und", 0.0)]
 
 
+def test_all_letters_of_long_runs_and_marks_count():
+    """Hindi and Thai keep their marks; a clause without blanks is several chain positions, all of them seen."""
+    (hindi, *_), = language_id.text_chains("हिन्दी में लिखा")
+    assert hindi == ["हिन्दी", "में", "लिखा"]
+    (thai, *_), = language_id.text_chains("สวัสดี ชาวโลก")
+    assert thai == ["สวัสดี", "ชาวโลก"]
+    run = "a" * 40 + "b" * 40
+    (first, *_), (other, *_) = language_id.text_chains(run + "zzzz"), language_id.text_chains(run[:-1] + "czzzz")
+    assert "".join(first[0]) == run + "zzzz" and max(map(len, first[0])) == language_id.PIECE
+    assert [crf.features(w, []) for w in first[0]] != [crf.features(w, []) for w in other[0]]
+    assert crf.features("x" * 19 + "q", []) != crf.features("x" * 18 + "qx", [])
+
+
+def test_long_lines_are_labelled_like_whole_ones(spark, monkeypatch):
+    """Pieces of a line see the words around them: posteriors are those of the uncut chain."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    model = language_id.train(docs, per_label=30)
+    text = " ".join(r["text"].replace("\n", " ")[:400] for r in docs.orderBy("doc_id").limit(12).collect())
+    assert len(text.split()) > 600
+    cut = language_id.Labeller(model, 5000).shares([text])
+    monkeypatch.setattr(language_id, "CHAIN", 10**6)
+    whole = language_id.Labeller(model, 5000).shares([text])
+    assert np.allclose(cut, whole, atol=1e-4)
+
+
+def test_many_languages_are_learned(spark):
+    """More languages than the hashed features were made for: none is left out."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):
+        own = rng.sample([a + b for a in letters for b in letters], 12)
+        for _ in range(9):
+            rows.append((len(rows), " ".join("".join(rng.choice(own) for _ in range(3)) for _ in range(30)), f"l{k:02d}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(df)
+    got = language_id.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert crf.hashed_features(70) == 1 << 15
+    assert set(model.labels) == {r["lang"] for r in got if not r["held_out"]} and len(model.labels) > 66
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got if r["held_out"]]) > 0.9
+
+
 def test_copies_and_long_texts_hide_no_language(spark):
     rng = random.Random(9)
 
