@@ -155,13 +155,24 @@ def fillings(counts: dict[int, int], room: int, effort: int) -> tuple[list[tuple
     return sorted(found), steps
 
 
+def _unrolled(path) -> list[tuple[Pattern, int]]:
+    """The (pattern, times) of a linked list."""
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return out
+
+
 def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, effort: int = 3000, budget: int = 300_000):
     """Bin completion by branch and bound, from the best-fit packing as incumbent.
 
     Around the longest piece left, undominated fillings are tried in order of waste, each as often as
-    the counts allow; a branch ends when its waste exceeds what a better packing may waste. Ends
-    when the bound is met (then the packing is optimal), after `nodes` branches or after `budget` steps
-    in all, of which one filling takes `effort` at most: a limit on the search, never on the pieces.
+    the counts allow; a branch ends when its waste exceeds what a better packing may waste. All fillings
+    that were found wait on the stack, so each is returned to. Ends when the bound is met (then the
+    packing is optimal), when all branches are done, after `nodes` branches or after `budget` steps in
+    all, of which the search for one piece's fillings takes `effort` at most: limits on the search,
+    never on the pieces.
     """
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
@@ -169,43 +180,42 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, effort: i
     total = sum(x * n for x, n in counts.items())
     if used <= least:
         return best
-    start = {x: n for x, n in counts.items() if n > 0}
-    stack = [(start, 0, 0, None)]  # counts left, bins, waste, linked list of (pattern, times)
     visited = 0
-    while stack and visited < nodes and budget > 0 and used > least:
-        left, bins, waste, path = stack.pop()
+
+    def opened(left: dict[int, int], bins: int, waste: int, path):
+        """A branching point: its state, and the fillings around its longest piece that wait to be tried."""
+        nonlocal budget, visited, used, best
         visited += 1
-        if waste > (used - 1) * capacity - total:
-            continue
-        if not left:
-            if bins < used:
-                used, best = bins, []
-                while path:
-                    best.append(path[0])
-                    path = path[1]
-            continue
         longest = max(left)
         rest = {**left, longest: left[longest] - 1}
-        branches = []
         choices, steps = fillings(rest, capacity - longest, min(effort, budget))
         budget -= steps
-        for spare, pattern in choices[:8] or [(capacity - longest, ())]:
-            need = Counter(dict(pattern))
-            need[longest] += 1
-            times = min(left[x] // n for x, n in need.items())
-            after = {x: n - times * need.get(x, 0) for x, n in left.items() if n > times * need.get(x, 0)}
-            item = (tuple(sorted(need.items(), reverse=True)), times)
-            branches.append((after, bins + times, waste + times * spare, (item, path)))
-        stack.extend(reversed(branches))
         # Finishing a branch by best fit gives new incumbents early.
-        if branches and visited % 100 == 1:
-            after, n, _, path = branches[0]
-            tail = best_fit(after, capacity)
-            if n + sum(k for _, k in tail) < used:
-                used, best = n + sum(k for _, k in tail), list(tail)
-                while path:
-                    best.append(path[0])
-                    path = path[1]
+        if visited % 100 == 1:
+            tail = best_fit(left, capacity)
+            if bins + sum(n for _, n in tail) < used:
+                used, best = bins + sum(n for _, n in tail), [*tail, *_unrolled(path)]
+        return left, bins, waste, path, longest, iter(choices or [(capacity - longest, ())])
+
+    stack = [opened({x: n for x, n in counts.items() if n > 0}, 0, 0, None)]
+    while stack and visited < nodes and budget > 0 and used > least:
+        left, bins, waste, path, longest, choices = stack[-1]
+        spare, pattern = next(choices, (None, ()))
+        if spare is None:
+            stack.pop()
+            continue
+        need = Counter(dict(pattern))
+        need[longest] += 1
+        times = min(left[x] // n for x, n in need.items())
+        if waste + times * spare > (used - 1) * capacity - total:
+            stack.pop()  # the fillings that follow waste no less
+            continue
+        after = {x: n - times * need.get(x, 0) for x, n in left.items() if n > times * need.get(x, 0)}
+        further = ((tuple(sorted(need.items(), reverse=True)), times), path)
+        if after:
+            stack.append(opened(after, bins + times, waste + times * spare, further))
+        elif bins + times < used:
+            used, best = bins + times, _unrolled(further)
     return best
 
 
