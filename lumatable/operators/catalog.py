@@ -115,7 +115,7 @@ def shard_ids(rows: DataFrame, split: str, shard: str, row: str) -> DataFrame:
     files = rows.select(split, shard).distinct()
     rank = F.dense_rank().over(Window.partitionBy(split).orderBy(shard)) - 1
     ranked = files.withColumn("shard_index", rank)
-    return rows.join(ranked, [split, shard]).withColumn(
+    return ordered.join_facts(rows, ranked, [split, shard], [row]).withColumn(
         "sample_id", paths.shard_sample_id(F.col(split), F.col("shard_index"), F.col(row))
     )
 
@@ -144,16 +144,59 @@ def class_coverage(pixels: DataFrame, groups: DataFrame, space: str, image: str,
     return pixels.join(F.broadcast(chosen), label, "left").groupBy(image).agg(*shares)
 
 
-def invalid_labels(pixels: DataFrame, space: str, image: str, label: str = "label_id", shown: int = 10) -> DataFrame:
-    """Images with labels outside the space: how many, and the first ones in order.
+LABEL_VALUES = 256  # label maps are 8-bit
+WORD_BITS = 64
+
+
+def label_words(label: str = "label_id") -> list[Column]:
+    """Aggregates that hold which 8-bit labels occur, as the bits of four numbers."""
+    return [
+        F.coalesce(
+            F.bit_or(F.when(F.floor(F.col(label) / WORD_BITS) == word, F.expr(f"shiftleft(1L, cast(pmod({label}, {WORD_BITS}) as int))"))),
+            F.lit(0).cast("long"),
+        ).alias(f"_labels{word}")
+        for word in range(LABEL_VALUES // WORD_BITS)
+    ]
+
+
+def labels_in(words: list[str]) -> Column:
+    """The labels whose bits are set, in order."""
+
+    def of(word: int, name: str) -> Column:
+        first = word * WORD_BITS
+        values = F.sequence(F.lit(first), F.lit(first + WORD_BITS - 1))
+        return F.filter(values, lambda value: F.getbit(F.col(name), value - first) == 1)
 
-    Labels are made distinct first, so a group holds at most one row per label value.
+    return F.concat(*[of(word, name) for word, name in enumerate(words)])
+
+
+def distinct_labels(pixels: DataFrame, image: str, label: str = "label_id") -> DataFrame:
+    """(image, labels): the labels that occur in each image, in order.
+
+    A partial aggregate of a task is one row per image: four numbers hold the labels 0 to 255, and a set
+    what other values there are. No row per image and label is shuffled.
     """
-    bad = pixels.select(image, label).distinct().where(~allowed_label(F.col(label), space))
-    found = F.array_sort(F.collect_list(label))
-    return bad.groupBy(image).agg(
-        F.count(F.lit(1)).alias("n_invalid"),
-        F.array_join(F.slice(found, 1, shown).cast("array<string>"), ",").alias("invalid"),
+    value = F.col(label).cast("int")
+    rows = pixels.select(image, value.alias(label))
+    other = F.collect_set(F.when((F.col(label) < 0) | (F.col(label) >= LABEL_VALUES), F.col(label))).alias("_other")
+    words = label_words(label)
+    held = rows.groupBy(image).agg(*words, other)
+    names = [f"_labels{word}" for word in range(len(words))]
+    return held.select(image, F.array_sort(F.concat(labels_in(names), "_other")).alias("labels"))
+
+
+def invalid_labels(pixels: DataFrame, space: str, image: str, label: str = "label_id", shown: int = 10) -> DataFrame:
+    """Images with labels outside the space: how many, and the first ones in order."""
+    bad = F.filter("labels", lambda v: ~allowed_label(v, space))
+    return (
+        distinct_labels(pixels, image, label)
+        .select(image, bad.alias("_bad"))
+        .where(F.size("_bad") > 0)
+        .select(
+            image,
+            F.size("_bad").cast("long").alias("n_invalid"),
+            F.array_join(F.slice("_bad", 1, shown).cast("array<string>"), ",").alias("invalid"),
+        )
     )
 
 

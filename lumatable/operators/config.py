@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumatable.functions import parsing
-from lumatable.session import cut_lineage
 
 # Configuration layers, strongest first.
 PRECEDENCE = ("cli", "launch", "yaml", "builtin")
@@ -88,31 +91,60 @@ def json_entries(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+class _Written(str):
+    """A JSON number as it stands in the text."""
+
+
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON value")
+
+
+def _as_json(value) -> str:
+    if isinstance(value, _Written):
+        return value
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_as_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_as_json, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def leaves(text: str | None) -> dict[str, str | None]:
+    """Leaf keys of a JSON object in order; a key met later replaces an earlier one, however deep each is."""
+    try:
+        found = json.loads(text or "", parse_int=_Written, parse_float=_Written, parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        return {}
+    flat: dict[str, str | None] = {}
+    open_objects = [iter(found.items())] if isinstance(found, dict) else []
+    while open_objects:
+        key, value = next(open_objects[-1], (None, None))
+        if key is None:
+            open_objects.pop()
+        elif isinstance(value, dict):
+            open_objects.append(iter(value.items()))
+        else:
+            flat[key] = value if value is None or isinstance(value, str) else _as_json(value)
+    return flat
+
+
+_LEAF = T.StructType([T.StructField(name, T.StringType()) for name in ("key", "value")])
+
+
+@F.pandas_udf(T.ArrayType(_LEAF))
+def _leaves(texts: pd.Series) -> pd.Series:
+    found = [[{"key": k, "value": None if v is None else str(v)} for k, v in leaves(text).items()] for text in texts]
+    return pd.Series(found, dtype=object)
 
 
 def flatten_json(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """Leaf keys of nested JSON objects, however deep; a later branch wins over an earlier one.
+    """Leaf keys of nested JSON objects, however deep, in one pass without a shuffle; a later branch wins.
 
-    Values keep their type while they are unpacked, so text that looks like an object stays text. One
-    pass per level, each written to the shared folder, until no object is left; empty objects have no leaves.
+    Later means later in the text. Strings stay strings even where they look like an object, numbers
+    stay as written, lists are JSON text; empty objects have no leaves, and text that is no JSON object
+    has none. Each row is flattened on its own.
     """
-    entries = "map<string,variant>"
-    levels = df.select(ident, F.posexplode(F.from_json(F.col(text), entries)).alias("_at", "key", "value"))
-    levels = levels.withColumn("_path", F.array("_at")).drop("_at")
-    leaves = None
-    while True:
-        split = levels.withColumn("_object", _is_object(F.col("value")))
-        found = split.where(~F.col("_object")).select(ident, "key", F.col("value").cast("string").alias("value"), "_path")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        inner = cut_lineage(split.where("_object").select(ident, F.to_json("value").alias("_text"), "_path"))
-        if inner.isEmpty():
-            break
-        levels = inner.select(ident, "_path", F.posexplode(F.from_json("_text", entries)).alias("_at", "key", "value")).select(
-            ident, "key", "value", F.concat("_path", F.array("_at")).alias("_path")
-        )
-    return leaves.groupBy(ident, "key").agg(F.max_by("value", "_path").alias("value"))
+    return df.select(ident, F.inline(_leaves(F.col(text))))
 
 
 def effective_batch(batch: Column, accumulation: Column) -> Column:

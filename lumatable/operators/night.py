@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lumatable.functions import colour, draws
 from lumatable.operators import components, degrade, pixels, strips
-from lumatable.operators.catalog import CLASS_GROUPS, LABEL_IDS
+from lumatable.operators.catalog import CLASS_GROUPS, LABEL_IDS, require_labels
 
 # Class settings in the order they are blended: gamma, attenuation, saturation.
 BASE_SETTING = (1.65, 0.22, 0.55)
@@ -115,16 +115,32 @@ def pick_asset(ident: Column, n_assets: int, seed: int = 42) -> Column:
 def attach_assets(px: DataFrame, images: DataFrame, assets: DataFrame, n_assets: int, seed: int = 42) -> DataFrame:
     """sky_* columns from asset pixels (asset_id, h, w, y, x, r, g, b), each fitted once to every shape that uses it.
 
-    The fitted assets grow with the number of shapes, not of images; Spark's own
-    size threshold decides whether they are broadcast.
+    Null where the asset has no pixels. Joins pixels; `with_assets` does the same for image rows.
     """
     asset = pick_asset(F.col("image_id"), n_assets, seed).alias("asset_id")
     wanted = images.select(asset, F.col("h").alias("_ah"), F.col("w").alias("_aw")).distinct()
-    aimed = assets.join(wanted, "asset_id")
-    fitted = pixels.resize(aimed, F.col("_ah"), F.col("_aw"), list(RGB), ["asset_id"])
-    sky = fitted.select("asset_id", "h", "w", "y", "x", *[F.col(c).alias(f"sky_{c}") for c in RGB])
+    sky = fit_assets(assets, wanted).select("asset_id", "h", "w", "y", "x", *[F.col(c).alias(f"sky_{c}") for c in RGB])
     chosen = px.select("*", asset)
-    return chosen.join(sky, ["asset_id", "h", "w", "y", "x"]).drop("asset_id")
+    return chosen.join(sky, ["asset_id", "h", "w", "y", "x"], "left").drop("asset_id")
+
+
+def fit_assets(assets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Asset pixels resized to the shapes (asset_id, _ah, _aw) that are wanted of them."""
+    return pixels.resize(assets.join(wanted, "asset_id"), F.col("_ah"), F.col("_aw"), list(RGB), ["asset_id"])
+
+
+def with_assets(rows: DataFrame, assets: DataFrame, n_assets: int, seed: int = 42, name: str = "sky") -> DataFrame:
+    """Image rows with the array of their asset's sky, fitted once per asset and shape; null where there is none.
+
+    Unpack it with the image (`rgb_pixels(rows, also={"sky_": "sky"})`): sky and image meet as rows, and no
+    pixel of either is shuffled.
+    """
+    asset = pick_asset(F.col("image_id"), n_assets, seed)
+    chosen = rows.withColumn("_asset", asset)
+    wanted = chosen.select(F.col("_asset").alias("asset_id"), F.col("h").alias("_ah"), F.col("w").alias("_aw")).distinct()
+    places = F.array_sort(F.collect_list(F.struct("y", "x", F.array(*[F.col(c).cast("double") for c in RGB]).alias("v"))))
+    whole = fit_assets(assets, wanted).groupBy(F.col("asset_id").alias("_asset"), "h", "w").agg(F.flatten(places["v"]).alias(name))
+    return chosen.join(whole, ["_asset", "h", "w"], "left").drop("_asset")
 
 
 def sky_scale(source: Column, asset: Column) -> Column:
@@ -238,14 +254,20 @@ def synthesize(
 ) -> DataFrame:
     """Night version dr, dg, db of r, g, b in [0, 1] with label_id (and an optional confidence).
 
+    A label outside the space fails the job. Skies come from columns sky_r, sky_g, sky_b (`with_assets`) or
+    from asset pixels, matched to the image; images without one get a rendered sky.
     images holds (image_id, h, w) of the same images. Unpack px from rows partitioned
     by image: then only the sky pixels, per-image figures and asset pixels are shuffled.
     """
-    masked = class_masks(px, space)
+    masked = class_masks(require_labels(px, space), space)
     usable = sky_usable(masked, tile).select("image_id", "usable")
     flagged = masked.join(usable, "image_id")
     if assets is not None and n_assets:
-        skies = match_sky(attach_assets(flagged, images, assets, n_assets, seed))
+        flagged = attach_assets(flagged, images, assets, n_assets, seed)
+    if "sky_r" in flagged.columns:
+        given = match_sky(flagged).withColumnsRenamed({f"sky_{c}": f"_given_{c}" for c in RGB})
+        rendered = render_gradient_sky(given, randomize, seed)
+        skies = rendered.withColumns({f"sky_{c}": F.coalesce(f"_given_{c}", f"sky_{c}") for c in RGB})
     else:
         skies = render_gradient_sky(flagged, randomize, seed)
     sky_names = [f"sky_{c}" for c in RGB]

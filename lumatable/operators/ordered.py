@@ -145,6 +145,16 @@ def top_rows(
     return cut.withColumn("_nth", F.row_number().over(final)).where(F.col("_nth") <= n).drop("_nth")
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], salts: int = SALTS) -> DataFrame:
+    """Rows with the facts of their key (one row per key); a key with most rows is dealt to `salts` tasks.
+
+    Where Spark finds the facts small it broadcasts them and neither side is shuffled.
+    """
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def global_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     """Zero-based position in the total order of unique sort keys, without a one-task window.
 

@@ -153,7 +153,8 @@ def stale_checkpoints(found: DataFrame, run: str, keep: int) -> DataFrame:
     """Checkpoints beyond the newest `keep` per run: those to delete."""
     newest = ordered.top_rows(found, [run], [F.col("step").desc()], keep, spread=["step"])
     oldest_kept = newest.groupBy(run).agg(F.min("step").alias("_oldest_kept"))
-    return found.join(oldest_kept, run).where(F.col("step") < F.col("_oldest_kept")).drop("_oldest_kept")
+    joined = ordered.join_facts(found, oldest_kept, [run], ["step"])
+    return joined.where(F.col("step") < F.col("_oldest_kept")).select(*found.columns)
 
 
 def pick_step(rows: DataFrame, keys: list[str], step: str, preferred: int = PREFERRED_STEPS) -> DataFrame:

@@ -102,7 +102,8 @@ def psnr_pooled(spark, sf):
 @query("q_validation_limit", POOLED.replace("LIMIT_N", "40") + " SELECT round(sum(psnr * images) / sum(images), 6) AS psnr, sum(images)::BIGINT AS images FROM batches")
 def validation_limit(spark, sf):
     """A validation report over its first 40 images: the last batch is cut."""
-    errors = quality.squared_error(pairs(spark, sf))
+    first = image_pairs(spark, sf).orderBy("image_id").limit(40)  # only these are unpacked and scored
+    errors = quality.squared_error(pixels.pair_pixels(first).withColumns({n: (F.col(n) + 1.0) / 2.0 for n in ("a", "b")}))
     return rounded(quality.weighted_batches(quality.pooled_psnr(errors, "image_id", BATCH, 40)), "psnr")
 
 

@@ -136,7 +136,7 @@ def log_long(spark, sf):
 def log_sample(spark, sf):
     rows = log(spark, sf)
     ends = rows.groupBy("run").agg(F.max("pos").alias("terminal"))
-    return runs.logged_rows(rows.join(ends, "run"), "pos", 10, F.col("terminal")).select("run", "pos", "loss")
+    return runs.logged_rows(ordered.join_facts(rows, ends, ["run"], ["pos"]), "pos", 10, F.col("terminal")).select("run", "pos", "loss")
 
 
 @query("q_throughput", f"""WITH {LOG} SELECT run, pos, round(greatest(loss + k, 1e-8), 6) AS iter_time,
@@ -379,6 +379,21 @@ def flatten(spark, sf):
     return config.flatten_json(events, "pos", "text")
 
 
+@query("q_flatten_deep", """SELECT event_id AS pos, key, value FROM (
+    SELECT event_id, 'user' AS key, CAST(user_id AS VARCHAR) AS value FROM events
+    UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events
+    UNION ALL SELECT event_id, 'name', CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'outer' END FROM events
+    UNION ALL SELECT event_id, 'leaf', CAST(event_id % 7 AS VARCHAR) FROM events)""")
+def flatten_deep(spark, sf):
+    """Six levels; in every other event the name is replaced by a later branch nearer to the root."""
+    deep = F.concat(
+        F.lit('{"a":{"b":{"c":{"d":{"name":"'), F.col("event_type"), F.lit('","e":{"leaf":'), (F.col("event_id") % 7).cast("string"),
+        F.lit('}},"user":'), F.col("user_id").cast("string"), F.lit("}},\"z\":"), F.col("props"), F.lit("}"),
+        F.when(F.col("event_id") % 2 == 0, F.lit("}")).otherwise(F.lit(',"name":"outer"}')),
+    )
+    return config.flatten_json(table(spark, sf, "events").select(F.col("event_id").alias("pos"), deep.alias("text")), "pos", "text")
+
+
 LAYERS = """layers AS (SELECT c_nationkey AS run, c_custkey AS pos, 'key' || (c_custkey % 7) AS key,
   CASE c_custkey % 4 WHEN 0 THEN 'yaml' WHEN 1 THEN 'builtin' WHEN 2 THEN 'launch' ELSE 'cli' END AS layer,
   CASE WHEN c_acctbal >= 0 AND c_custkey % 3 > 0 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) END AS value FROM customer)"""

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from lumatable.functions import paths
@@ -27,6 +30,28 @@ def list_assets(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "path string, length bigint")
 
 
+def resolve_split(spark: SparkSession, root: str, candidates: tuple[str, ...], kinds: tuple[str, ...] = ("low", "high")) -> str:
+    """The first candidate folder below a root that has a folder of every kind; else an error that lists them all.
+
+    Folders are looked for by a glob, one listing per candidate and kind; no file is opened.
+    """
+
+    def there(path: str) -> bool:
+        try:
+            spark.read.format("binaryFile").load(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
+    for name in candidates:
+        if all(there(f"{root}/{name}/{kind}") for kind in kinds):
+            return f"{root}/{name}"
+    expected = ", ".join(f"{root}/{name}/{{{','.join(kinds)}}}" for name in candidates)
+    raise FileNotFoundError(f"No folder with {' and '.join(kinds)}. Expected one of: {expected}")
+
+
 def relative_path(root: str) -> Column:
     """Path below a root, whatever scheme the listing puts in front; the root is taken literally."""
     scheme = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
@@ -74,24 +99,31 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _bytes(data: pd.Series) -> pd.Series:
+    return data.map(lambda held: None if held is None else np.frombuffer(held, np.uint8).astype(np.int32))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
+    """Interleaved RGB of row-major BGR (or BGRA, or grey) bytes."""
+
+    def one(held: bytes, n: int) -> np.ndarray:
+        pixels = np.frombuffer(held, np.uint8).reshape(-1, n).astype(np.int32)
+        return (pixels[:, 2::-1] if n >= 3 else np.repeat(pixels[:, :1], 3, axis=1)).reshape(-1)
+
+    return pd.Series([one(*row) for row in zip(data, channels, strict=True)], dtype=object)
+
+
 def byte_values(data: Column) -> Column:
-    """Binary column to an array of whole numbers 0-255, without a Python function."""
-    letters = F.split(F.decode(data, "ISO-8859-1"), "")
-    return F.transform(letters, lambda letter: F.ascii(letter))
+    """Binary column to an array of whole numbers 0-255."""
+    return _bytes(data)
 
 
 def rgb_arrays(images: DataFrame, ident: Column) -> DataFrame:
     """(image_id, h, w, data) with interleaved 8-bit RGB from decoded images; grey is repeated."""
-    values = byte_values(F.col("data"))
-    places = F.sequence(F.lit(0), F.col("h") * F.col("w") * 3 - 1)
-
-    def value(i: Column) -> Column:
-        pixel = F.floor(i / 3).cast("int")
-        channel = F.when(F.col("channels") >= 3, 2 - i % 3).otherwise(F.lit(0))
-        return F.get("_bytes", pixel * F.col("channels") + channel)
-
-    decoded = images.where(F.col("ok") == 1).withColumn("_bytes", values)
-    return decoded.select(ident.alias("image_id"), "h", "w", F.transform(places, value).alias("data"))
+    decoded = images.where(F.col("ok") == 1)
+    return decoded.select(ident.alias("image_id"), "h", "w", _rgb("data", "channels").alias("data"))
 
 
 def label_pixels(images: DataFrame, ident: Column) -> DataFrame:

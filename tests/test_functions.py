@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from lumatable.functions import colour, draws, parsing, paths, schedule
+from lumatable.operators import catalog
 
 
 def one(spark, column, **values):
@@ -113,3 +114,19 @@ def test_preset_names_in_the_summary(spark):
     removed = spark.createDataFrame([({"config": "max_accum"},)], "args map<string,string>")
     with pytest.raises(Exception, match="Please use 'max'"):
         config.runtime_summary(removed, "args", []).collect()
+
+
+def test_distinct_labels_hold_every_value(spark):
+    rows = [(1, v) for v in (0, 63, 64, 127, 128, 191, 192, 255, 5, 5)] + [(2, v) for v in (-1, 300, 77)] + [(3, None)]
+    df = spark.createDataFrame(rows, "image_id int, label_id int").repartition(3)
+    got = {r["image_id"]: r["labels"] for r in catalog.distinct_labels(df, "image_id").collect()}
+    assert got == {1: [0, 5, 63, 64, 127, 128, 191, 192, 255], 2: [-1, 77, 300], 3: []}
+    bad = {r["image_id"]: (r["n_invalid"], r["invalid"]) for r in catalog.invalid_labels(df, catalog.TRAIN_IDS, "image_id", shown=2).collect()}
+    assert bad[1] == (6, "63,64") and bad[2] == (3, "-1,77") and 3 not in bad
+
+
+def test_label_maps_shuffle_one_row_per_image(spark, capsys):
+    df = spark.range(1000).selectExpr("id % 3 as image_id", "cast(id % 40 as int) as label_id")
+    catalog.invalid_labels(df, catalog.TRAIN_IDS, "image_id").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "hashpartitioning(image_id" in plan

@@ -109,6 +109,26 @@ def test_hot_run_on_any_spread_of_positions(spark, spread):
     assert (top["s"] == want.groupby("run").cumcount() + 1).all()
 
 
+def test_flatten_keeps_order_and_spelling(spark):
+    """Inner branches win by their place in the text, not by name; numbers stay as written."""
+    text = '{"x":{"b":{"k":1},"a":{"k":2}},"f":1.50,"e":1e3,"big":123456789012345678901,"t":true,"l":[1.0,"é"],"k":{"z":null}}'
+    rows = [(1, text), (2, "[1]"), (3, "nope"), (4, None), (5, "{}"), (6, '{"a":NaN}'), (7, "{" + '"a":{' * 900 + '"d":1' + "}" * 901)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {(r["id"], r["key"]): r["value"] for r in config.flatten_json(df, "id", "text").collect()}
+    assert got == {
+        (1, "k"): "2", (1, "f"): "1.50", (1, "e"): "1e3", (1, "big"): "123456789012345678901", (1, "t"): "true",
+        (1, "l"): '[1.0,"é"]', (1, "z"): None, (7, "d"): "1",
+    }
+
+
+def test_facts_reach_every_row_of_a_hot_key(spark):
+    rows = spark.range(500).selectExpr("if(id < 400, 'hot', concat('r', id)) as run", "id as pos")
+    facts = rows.groupBy("run").agg(F.max("pos").alias("last"))
+    got = ordered.join_facts(rows, facts, ["run"], ["pos"], salts=4)
+    assert got.count() == 500 and got.where("run = 'hot' and last = 399").count() == 400
+    assert got.columns == ["run", "pos", "last"]
+
+
 def test_averages_have_no_python_walk(log, capsys):
     _, df = log
     ordered.ema(df, ["run"], "pos", {"e": "x"}, 0.9, block=50).explain()
