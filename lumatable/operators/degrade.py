@@ -293,3 +293,33 @@ def degrade(
     px = soften_lights(px, "mask", list(RGB), list(PARAMS))
     px = noise(motion_blur(vignette(tone(px, "mask"))), seed)
     return exposure_guard(px).select("image_id", "h", "w", "y", "x", *RGB, *DARK)
+
+
+def checked(images: DataFrame, channels: int = 3) -> DataFrame:
+    """Image rows with `ok` and, where an image cannot be processed, the `error`.
+
+    An image is refused if its file was not decoded (an `ok` column of 0), if it has no pixels, or if its data
+    are missing, of the wrong length, or hold a value that is none.
+    """
+    size, want = F.size("data"), F.col("h") * F.col("w") * channels
+    decoded = F.col("ok") == 0 if "ok" in images.columns else F.lit(False)
+    error = (
+        F.when(decoded, "not decoded")
+        .when(F.coalesce(F.least("h", "w"), F.lit(0)) < 1, "no pixels")
+        .when(F.col("data").isNull(), "no data")
+        .when(size != want, F.concat(F.lit("expected "), want.cast("string"), F.lit(" values, found "), size.cast("string")))
+        .when(F.exists("data", lambda v: v.isNull() | F.isnan(v.cast("double"))), "missing values")
+    )
+    return images.withColumn("error", error).withColumn("ok", F.col("error").isNull())
+
+
+def degrade_batch(
+    images: DataFrame, params: dict[str, Column], seed: int = 42, partitions: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(pixels, outcome): the degradation of all images that can be processed, and one row (image_id, ok, error) each.
+
+    A broken image is counted and fails nothing. `runs.job_outcome` sums the outcome up.
+    """
+    marked = checked(images)
+    done = degrade(marked.where("ok").drop("ok", "error"), params, seed, partitions)
+    return done, marked.select("image_id", "ok", "error")

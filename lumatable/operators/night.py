@@ -157,7 +157,8 @@ def match_sky(px: DataFrame) -> DataFrame:
     for c, tint in zip(RGB, ASSET_TINT):
         sky = F.col(f"sky_{c}")
         scaled = colour.clip(sky * sky_scale(F.col(f"source_{c}"), F.col(f"asset_{c}")) * tint)
-        matched[f"sky_{c}"] = F.when(F.col(f"source_{c}").isNull(), sky).otherwise(scaled)
+        # The greater and the lesser of a value and null is the value, so null is asked for first.
+        matched[f"sky_{c}"] = F.when(sky.isNull() | F.col(f"source_{c}").isNull(), sky).otherwise(scaled)
     return joined.withColumns(matched).drop(*[f"{side}_{c}" for side in ("source", "asset") for c in RGB])
 
 

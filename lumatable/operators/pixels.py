@@ -16,9 +16,11 @@ no further shuffle. Image ids are unique rows, hence no id is hot.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumatable.functions import tables
 from lumatable.functions.binding import bound
 from lumatable.operators import strips
 
@@ -161,6 +163,43 @@ def resize(px: DataFrame, height: Column, width: Column, values: list[str], plan
     return down.select(*planes, F.col("_th").alias("h"), F.col("_tw").alias("w"), "y", "x", *values)
 
 
+def _axis_weights(shapes: DataFrame, size: str, goal: str) -> DataFrame:
+    """Per pair of sizes the weights as one array of (output place, source place, weight)."""
+    spark = shapes.sparkSession
+    tables.register(spark)
+    lateral = f"SELECT {size}, {goal}, o, s, k FROM {{sizes}}, LATERAL resize_weights({size}, {goal})"
+    made = spark.sql(lateral, sizes=shapes.select(size, goal).distinct())
+    return made.groupBy(size, goal).agg(F.collect_list(F.struct("o", "s", "k")).alias(f"_taps{goal}"))
+
+
+def resize_rows(images: DataFrame, height: Column, width: Column, data: str = "data") -> DataFrame:
+    """Bilinear resize of image rows (image_id, h, w, row-major grey array): h, w and the array change.
+
+    Weights come from the table function once per pair of sizes, as arrays; few and short, they meet the
+    image rows in a join that Spark broadcasts, and no pixel is a row.
+    """
+    aimed = images.withColumns({"_th": height.cast("int"), "_tw": width.cast("int")})
+    rows = aimed.join(_axis_weights(aimed, "h", "_th"), ["h", "_th"]).join(_axis_weights(aimed, "w", "_tw"), ["w", "_tw"])
+
+    @F.pandas_udf("array<double>")
+    def weigh(values: pd.Series, shape: pd.DataFrame, down: pd.DataFrame, across: pd.DataFrame) -> pd.Series:
+        out = []
+        for k, (v, h, w, th, tw) in enumerate(zip(values, *(shape[c] for c in ("h", "w", "_th", "_tw")), strict=True)):
+            matrices = []
+            for taps, goal, size in ((down, th, h), (across, tw, w)):
+                matrix = np.zeros((goal, size))
+                matrix[taps["o"].iat[k], taps["s"].iat[k]] = taps["k"].iat[k]
+                matrices.append(matrix)
+            out.append((matrices[0] @ np.asarray(v, dtype=float).reshape(h, w) @ matrices[1].T).reshape(-1))
+        return pd.Series(out, dtype=object)
+
+    def arrays(name: str) -> Column:
+        return F.struct(*[F.col(name)[part].alias(part) for part in ("o", "s", "k")])
+
+    done = rows.withColumn(data, weigh(data, F.struct("h", "w", "_th", "_tw"), arrays("_taps_th"), arrays("_taps_tw")))
+    return done.withColumns({"h": F.col("_th"), "w": F.col("_tw")}).select(*images.columns)
+
+
 def shrink_target(size: int) -> tuple[Column, Column]:
     """Target shape of a resize that only happens when a side exceeds the size."""
     over = (F.col("h") > size) | (F.col("w") > size)

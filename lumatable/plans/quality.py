@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumatable.functions import colour
+from lumatable.functions import colour, tables
 from lumatable.operators import pixels, quality
 from lumatable.plans.registry import query, table
 
@@ -243,6 +243,31 @@ def resize(spark, sf):
     return resized.select("image_id", "y", "x", F.round("v", 6).alias("v"))
 
 
+@query("q_resize_weights", """WITH n AS (SELECT DISTINCT 1 + doc_id % 9 AS source, 1 + n_chars % 7 AS target FROM documents),
+  p AS (SELECT source, target, o, greatest((o + 0.5::DOUBLE) * source / target - 0.5::DOUBLE, 0) AS place FROM n, range(7) r(o) WHERE o < target),
+  f AS (SELECT source, target, o, least(floor(place), source - 1)::INT AS low, place - least(floor(place), source - 1) AS share FROM p)
+  SELECT source, target, o::INT AS o, low AS s, round(CASE WHEN low = source - 1 THEN 1 ELSE 1 - share END, 9) AS k FROM f
+  UNION ALL SELECT source, target, o::INT, low + 1, round(share, 9) FROM f WHERE low < source - 1 AND share > 0""")
+def resize_weights(spark, sf):
+    """The table function in a lateral join: weights of every pair of sizes that occurs."""
+    tables.register(spark)
+    source, target = (F.col("doc_id") % 9 + 1).alias("source"), (F.col("n_chars") % 7 + 1).alias("target")
+    sizes = table(spark, sf, "documents").select(source, target).distinct()
+    lateral = "SELECT source, target, o, s, round(k, 9) AS k FROM {sizes}, LATERAL resize_weights(cast(source as int), cast(target as int))"
+    return spark.sql(lateral, sizes=sizes)
+
+
+@query("q_resize_rows", f"""WITH {PX}, {axis_sql('wt', '[5, 12]')}, t AS (SELECT *, CASE image_id % 2 WHEN 0 THEN 5 ELSE 12 END AS n FROM px),
+  across AS (SELECT t.image_id, t.n, t.y, wt.o AS x, sum(v * k) AS v FROM t JOIN wt ON wt.n = t.n AND wt.s = t.x GROUP BY 1, 2, 3, 4)
+  SELECT image_id, wt.o AS y, x, round(sum(v * k), 6) AS v FROM across a JOIN wt ON wt.n = a.n AND wt.s = a.y GROUP BY 1, 2, 3""")
+def resize_rows(spark, sf):
+    """Resize by weights that the table function gives once per shape; they meet the images as image rows."""
+    side = F.when(F.col("image_id") % 2 == 0, 5).otherwise(12)
+    resized = pixels.resize_rows(image_rows(spark, sf), side, side)
+    unit = pixels.gray_pixels(resized).withColumn("v", (F.col("v") + 1.0) / 2.0)
+    return unit.select("image_id", "y", "x", F.round("v", 6).alias("v"))
+
+
 @query("q_shrink_only", f"""WITH {PX}, {axis_sql('wt', '[6]')},
   across AS (SELECT image_id, y, wt.o AS x, sum(v * k) AS v FROM px JOIN wt ON wt.s = px.x GROUP BY 1, 2, 3)
   SELECT image_id, round(avg(v), 6) AS mean, count(*) AS n_pixels FROM (

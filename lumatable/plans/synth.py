@@ -276,14 +276,84 @@ def noise(spark, sf):
     return rgb8(spark, sf).select("image_id", "y", "x", *[value.alias(c) for c, value in values.items()])
 
 
-@query("q_degrade")
-def degraded(spark, sf):
-    """The whole degradation with drawn parameters."""
-    eight = image_rows(spark, sf).withColumn(
+def eight_bit_rows(spark, sf):
+    return image_rows(spark, sf).withColumn(
         "data", F.transform("data", lambda e: F.floor((e.cast("double") + 1.0) / 2.0 * 255.0).cast("int"))
     )
+
+
+def back8(offset: int) -> str:
+    return f"round_even({back(offset, '(h * 2.0)', '(s / 255)', '(v / 255)')} * 255, 0)"
+
+
+def shot_sql(c: str) -> str:
+    """Noise of one dark channel: Poisson counts are the steps of the distribution below the draw."""
+    return f"""n_{c} AS (SELECT image_id, y, x, count(*) FILTER (cdf <= target) AS n FROM (
+      SELECT image_id, y, x, {u('image_id', f"'shot/{c}/' || y || '/' || x")} AS target,
+        sum(exp(-{c} * noise_k) * CASE WHEN n = 0 THEN 1 ELSE pow({c} * noise_k, n) / factorial(n::INT)::DOUBLE END)
+          OVER (PARTITION BY image_id, y, x ORDER BY n) AS cdf FROM moved, range(33) t(n)) GROUP BY 1, 2, 3)"""
+
+
+def noisy_sql(c: str) -> str:
+    return f"""floor(greatest(0, least(255, n_{c}.n / noise_k + {gauss('m.image_id', f"'read/{c}/' || m.y || '/' || m.x")} * (noise_sigma_read *
+      {between('m.image_id', repr('sigma/' + c), 0.8, 1.2)}))))::INT AS {c}"""
+
+
+MIRRORED = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+DRAWS = ", ".join(f"{between('vec_id', repr(name), *degrade.RANGES[name])} AS {name}" for name in DRAWN)
+DEGRADED = f"""par AS (SELECT vec_id AS image_id, {DRAWS}, ({u('vec_id', "'vignette'")} < 0.5) AS use_vignette,
+    ({u('vec_id', "'motion_blur'")} < 0.2) AS moving, (3 + 2 * floor({u('vec_id', "'motion_blur_kernel'")} * 4))::INT AS size,
+    radians({between('vec_id', "'motion_blur_angle'", 0, 180)}) AS turn, floor({u('vec_id', repr('lights'))} * 2)::INT AS n_lights FROM embeddings),
+  light AS (SELECT image_id, {light_part('cx', '8')} AS cx, {light_part('cy', '8')} AS cy, greatest({light_part('rx', '8')}, 1) AS rx,
+    greatest({light_part('ry', '8')}, 1) AS ry, {light_part('sharpness')} AS sharp, {light_part('intensity')} AS strength FROM par WHERE n_lights = 1),
+  lit AS (SELECT p.*, greatest(0, least(1, coalesce(exp(-(pow((x - cx) / rx, 2) + pow((y - cy) / ry, 2)) * sharp) * strength, 0))) AS m
+    FROM px8 p LEFT JOIN light l ON l.image_id = p.image_id),
+  hs AS (SELECT image_id, y, x, m, {HSV8.format('lit')}),
+  d1 AS (SELECT hs.* EXCLUDE (s), gamma, noise_k, noise_sigma_read, use_vignette, vignette_strength, color_shift_factor,
+    floor(greatest(0, least(255, s * saturation_factor))) AS s,
+    pow(v / 255.0::DOUBLE, gamma) * linear_attenuation * (1 - m * headlight_boost) + v / 255.0::DOUBLE * (m * headlight_boost) AS vf FROM hs JOIN par USING (image_id)),
+  d2 AS (SELECT * EXCLUDE (v), floor(greatest(0, least(255, vf * 255))) AS v, color_shift_factor * (1 - m) * greatest(0, least(1, 1 - vf)) * 255 AS shift,
+    CASE WHEN use_vignette THEN greatest(0, least(1, 1 - vignette_strength * (((x - 4) * (x - 4) + (y - 4) * (y - 4)) / 32.0::DOUBLE))) ELSE 1 END AS k FROM d1),
+  d3 AS (SELECT image_id, y, x, noise_k, noise_sigma_read, k, floor(greatest(0, least(255, {back8(5)} - shift * 0.5))) AS dr,
+    {back8(3)} AS dg, floor(greatest(0, least(255, {back8(1)} + shift))) AS db FROM d2),
+  d4 AS (SELECT image_id, y, x, noise_k, noise_sigma_read, floor(dr * k)::INT AS dr, floor(dg * k)::INT AS dg, floor(db * k)::INT AS db FROM d3),
+  raw_taps AS (SELECT image_id, dy, dx, greatest(0, 1 - abs(dx * sin(turn) + dy * cos(turn))) *
+      greatest(0, least(1, least(dx * cos(turn) - dy * sin(turn) + size // 2 + 1, size - (dx * cos(turn) - dy * sin(turn) + size // 2)))) / size AS k
+    FROM par, (SELECT unnest(range(-4, 5)) AS dy), (SELECT unnest(range(-4, 5)) AS dx) WHERE moving AND abs(dy) <= size // 2 AND abs(dx) <= size // 2),
+  taps AS (SELECT image_id, dy, dx, k / (sum(k) OVER (PARTITION BY image_id) + 1e-8) AS k FROM raw_taps),
+  places AS (SELECT d4.image_id, d4.y, d4.x, {MIRRORED.format('d4.y + t.dy')} AS sy, {MIRRORED.format('d4.x + t.dx')} AS sx, t.k
+    FROM d4 JOIN taps t ON t.image_id = d4.image_id),
+  blurred AS (SELECT o.image_id, o.y, o.x, round_even(sum(q.dr * o.k), 0) AS dr, round_even(sum(q.dg * o.k), 0) AS dg, round_even(sum(q.db * o.k), 0) AS db
+    FROM places o JOIN d4 q ON q.image_id = o.image_id AND q.y = o.sy AND q.x = o.sx GROUP BY 1, 2, 3),
+  moved AS (SELECT d4.image_id, d4.y, d4.x, noise_k, noise_sigma_read, coalesce(b.dr, d4.dr) AS dr, coalesce(b.dg, d4.dg) AS dg, coalesce(b.db, d4.db) AS db
+    FROM d4 LEFT JOIN blurred b ON b.image_id = d4.image_id AND b.y = d4.y AND b.x = d4.x),
+  {', '.join(shot_sql(c) for c in DARK)},
+  noisy AS (SELECT m.image_id, m.y, m.x, {', '.join(noisy_sql(c) for c in DARK)} FROM moved m
+    {' '.join(f'JOIN n_{c} ON n_{c}.image_id = m.image_id AND n_{c}.y = m.y AND n_{c}.x = m.x' for c in DARK)}),
+  sc AS (SELECT p.image_id, p.y, p.x, p.r, p.g, p.b, n.dr, n.dg, n.db FROM px8 p JOIN noisy n ON n.image_id = p.image_id AND n.y = p.y AND n.x = p.x),
+  rt AS (SELECT image_id, avg(0.299::DOUBLE * dr + 0.587::DOUBLE * dg + 0.114::DOUBLE * db) / greatest(avg(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b), 1.0::DOUBLE) AS ratio
+    FROM sc GROUP BY image_id)"""
+
+
+@query("q_degrade", f"WITH {PX}, {DEGRADED} SELECT image_id, y, x, {guard_sql('r', 'dr')}, {guard_sql('g', 'dg')}, {guard_sql('b', 'db')} FROM sc JOIN rt USING (image_id)")
+def degraded(spark, sf):
+    """The whole degradation with drawn parameters."""
     params = degrade.draw_params(F.col("image_id"))
-    return degrade.degrade(eight, params).select("image_id", "y", "x", *DARK)
+    return degrade.degrade(eight_bit_rows(spark, sf), params).select("image_id", "y", "x", *DARK)
+
+
+@query("q_degrade_outcome", """SELECT vec_id AS image_id, (vec_id % 17 <> 3 AND vec_id % 19 <> 5)::INT AS ok,
+    CASE WHEN vec_id % 19 = 5 THEN 'no data' WHEN vec_id % 17 = 3 THEN 'expected 192 values, found 100' END AS error,
+    CASE WHEN vec_id % 17 <> 3 AND vec_id % 19 <> 5 THEN 64 ELSE 0 END AS n_pixels FROM embeddings""")
+def degrade_outcome(spark, sf):
+    """Some images are cut short, some have no data: the others are degraded, and these are told apart."""
+    cut = F.when(F.col("image_id") % 17 == 3, F.slice("data", 1, 100)).otherwise(F.col("data"))
+    broken = eight_bit_rows(spark, sf).withColumn("data", F.when(F.col("image_id") % 19 != 5, cut))
+    done, outcome = degrade.degrade_batch(broken, degrade.draw_params(F.col("image_id")))
+    counted = done.groupBy("image_id").agg(F.count("dr").alias("n"))
+    return outcome.join(counted, "image_id", "left").select(
+        "image_id", F.col("ok").cast("int").alias("ok"), "error", F.coalesce("n", F.lit(0)).cast("int").alias("n_pixels")
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -323,6 +393,61 @@ def sky_gradient(spark, sf):
     return sky.select("image_id", "y", "x", *[F.round(f"sky_{c}", 8).alias(f"sky_{c}") for c in RGB])
 
 
+def noisy_sky_sql(i: int) -> str:
+    """One channel of the gradient sky with its noise."""
+    label = f"'sky{i}/' || y || '/' || x"
+    base = f"{night.SKY_TOP[i]}::DOUBLE * (1 - yy) + {night.SKY_BOTTOM[i]}::DOUBLE * yy"
+    return f"greatest(0, least(1, {base} + 0.006::DOUBLE * {gauss('image_id', label)}))"
+
+
+STAR_LABEL = "'star/' || y || '/' || x"
+STARS = blur_sql("stars", "src", f"({u('image_id', STAR_LABEL)} < 0.0009::DOUBLE)::INT::DOUBLE", 5, 1.3)
+
+
+def starry_sql(i: int) -> str:
+    return f"greatest(0, least(1, {noisy_sky_sql(i)} + stars * {night.STAR_COLOUR[i]}::DOUBLE))"
+
+
+@query("q_sky_stars", f"WITH {PX}, {STARS} SELECT image_id, y, x, "
+    + ", ".join(f"round({starry_sql(i)}, 8) AS sky_{c}" for i, c in enumerate("rgb")) + " FROM src JOIN b_stars USING (image_id, y, x)")
+def sky_stars(spark, sf):
+    """The rendered sky with its noise and stars."""
+    sky = night.render_gradient_sky(night_source(spark, sf), True)
+    return sky.select("image_id", "y", "x", *[F.round(f"sky_{c}", 8).alias(f"sky_{c}") for c in RGB])
+
+
+N_ASSETS = 3
+
+
+def asset_pixels(spark, sf):
+    """The first images, on [0, 1], as sky assets; the last of the assets has no pixels."""
+    rows = image_rows(spark, sf).where(F.col("image_id") < N_ASSETS - 1)
+    px = pixels.rgb_pixels(rows).withColumns({c: (F.col(c) + 1.0) / 2.0 for c in RGB})
+    return px.withColumnRenamed("image_id", "asset_id").withColumn("asset_id", F.col("asset_id").cast("int"))
+
+
+@query("q_asset_fit", f"""WITH {PX}, {gray_plans.axis_sql('wt', '[5, 12]')},
+  pick AS (SELECT vec_id AS image_id, floor({u('vec_id', repr('asset'))} * {N_ASSETS})::INT AS asset_id, CASE WHEN vec_id % 2 = 0 THEN 5 ELSE 12 END AS n FROM embeddings),
+  across AS (SELECT p.image_id AS asset_id, p.y, wt.n, wt.o AS x, sum(r * k) AS r, sum(g * k) AS g, sum(b * k) AS b FROM px p JOIN wt ON wt.s = p.x
+    WHERE p.image_id < {N_ASSETS - 1} GROUP BY 1, 2, 3, 4),
+  fit AS (SELECT asset_id, a.n, wt.o AS y, x, sum(r * k) AS r, sum(g * k) AS g, sum(b * k) AS b FROM across a JOIN wt ON wt.n = a.n AND wt.s = a.y GROUP BY 1, 2, 3, 4)
+  SELECT image_id, pick.n AS side, count(fit.r) AS n_pixels, round(sum(fit.r * (fit.y + 1) * (fit.x + 2)), 5) AS moment, round(sum(fit.g + fit.b), 5) AS total
+  FROM pick LEFT JOIN fit ON fit.asset_id = pick.asset_id AND fit.n = pick.n GROUP BY 1, 2""")
+def asset_fit(spark, sf):
+    """A sky asset per image, fitted to the image's shape; images whose asset has no pixels stay."""
+    side = F.when(F.col("image_id") % 2 == 0, 5).otherwise(12)
+    rows = image_rows(spark, sf).select("image_id", side.alias("h"), side.alias("w"))
+    fitted = night.with_assets(rows, asset_pixels(spark, sf), N_ASSETS)
+    sky = fitted.select("image_id", F.col("w").alias("side"), F.posexplode_outer("sky").alias("p", "v"))
+    place, channel = F.floor(F.col("p") / 3), F.col("p") % 3
+    weight = (F.floor(place / F.col("side")) + 1) * (place % F.col("side") + 2)
+    return sky.groupBy("image_id", "side").agg(
+        F.count_if(F.col("v").isNotNull() & (channel == 0)).alias("n_pixels"),
+        F.round(F.sum(F.when(channel == 0, F.col("v") * weight)), 5).alias("moment"),
+        F.round(F.sum(F.when(channel > 0, F.col("v"))), 5).alias("total"),
+    )
+
+
 def paired_sky(spark, sf):
     """The next image stands for the sky asset of an image; the two are joined as image rows."""
     rows = image_rows(spark, sf)
@@ -401,7 +526,47 @@ def emissive(spark, sf):
     return maps(spark, sf).select("image_id", "y", "x", *[F.round(v, 8).alias(c) for c, v in values.items()])
 
 
-@query("q_night")
+def clip_sql(value: str) -> str:
+    return f"greatest(0, least(1, {value}))"
+
+
+def night_light(i: int, c: str) -> str:
+    """Added light of one channel."""
+    glow = f"spread * {night.POOL_COLOUR[i]}::DOUBLE + road * {night.ROAD_COLOUR[i]}::DOUBLE"
+    return f"greatest(0, least(0.16, {glow}{' + ambient * 0.015::DOUBLE * (1 - 0.55::DOUBLE * yy)' if c == 'b' else ''}))"
+
+
+def night_guard(c: str) -> str:
+    alpha = clip_sql("(0.08::DOUBLE - ratio) / 0.08::DOUBLE")
+    return clip_sql(
+        f"CASE WHEN ratio < 0.08::DOUBLE THEN d{c} * (1 - {alpha}) + s{c} * {alpha} * 0.35::DOUBLE"
+        f" WHEN ratio > 0.6::DOUBLE THEN d{c} * (0.6::DOUBLE / greatest(ratio, 1e-6::DOUBLE)) ELSE d{c} END"
+    )
+
+
+EVERY_MAP = " ".join(f"JOIN b_{name} USING (image_id, y, x)" for name in ("pool", "ambient", "road_glow", "emissive", "stars"))
+LUMA_SQL = "avg(0.299::DOUBLE * {0}r + 0.587::DOUBLE * {0}g + 0.114::DOUBLE * {0}b)"
+NIGHT = f"""{PX}, {MASKS}, {SOFT}, {ILLUM}, {blur_sql('emissive', 'mk', mix_sql(night.EMISSIVE), 3, 0.064)}, {STARS},
+  fg AS (SELECT image_id, y, x, y * 8 + x AS p FROM mk WHERE m_sky > 0.5),
+  near AS (SELECT a.image_id, a.p, b.p AS q FROM fg a JOIN fg b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+  reach AS (SELECT image_id, p, p AS q FROM fg UNION SELECT r.image_id, r.p, n.q FROM reach r JOIN near n ON n.image_id = r.image_id AND n.p = r.q),
+  sizes AS (SELECT image_id, component, count(*) AS size FROM (SELECT image_id, p, min(q) AS component FROM reach GROUP BY 1, 2) GROUP BY 1, 2),
+  cover AS (SELECT image_id, avg(m_sky) AS coverage FROM mk GROUP BY image_id),
+  used AS (SELECT image_id, coverage BETWEEN 0.02 AND 0.7 AND coalesce(share, 0) > 0.1 AS usable FROM cover
+    LEFT JOIN (SELECT image_id, max(size) / sum(size) AS share FROM sizes GROUP BY image_id) USING (image_id)),
+  whole AS (SELECT *, CASE WHEN usable THEN soft_sky ELSE 0 END AS a FROM mk {SOFT_JOIN} {EVERY_MAP} JOIN used USING (image_id)),
+  wk AS (SELECT * EXCLUDE (r, g, b), r AS sr, g AS sg, b AS sb, {', '.join(f"{clip_sql(f'{c} * (1 - a) + {starry_sql(i)} * a')} AS {c}" for i, c in enumerate('rgb'))} FROM whole),
+  st AS (SELECT *, {fold_setting(0)} AS gm, {fold_setting(1)} AS am, {fold_setting(2)} AS sm FROM wk),
+  hv AS (SELECT *, {HSV.format('st')}),
+  dk AS (SELECT * EXCLUDE (s, v), {clip_sql('s * sm')} AS s, {clip_sql(f'pow({clip_sql("v")}, gm) * am')} AS v FROM hv),
+  warmed AS (SELECT *, {clip_sql(f"pool * (0.2::DOUBLE + 0.8::DOUBLE * pow(yy, 1.8::DOUBLE)) * {between('image_id', repr('pool'), 0.7, 1.0)}")} AS warm FROM dk),
+  spreads AS (SELECT *, warm * {mix_sql(night.INFLUENCE)} * {NEAR} AS spread, road_glow * {clip_sql('warm * 1.2::DOUBLE + 0.25 * m_vehicle')} AS road FROM warmed),
+  lit AS (SELECT image_id, y, x, sr, sg, sb, emissive, {', '.join(f"{clip_sql(f'{clip_sql(back(o))} + {night_light(i, c)}')} AS n{c}" for i, (c, o) in enumerate(zip('rgb', (5, 3, 1))))} FROM spreads),
+  shone AS (SELECT image_id, y, x, sr, sg, sb, {', '.join(f"{clip_sql(f'n{c} * (1 - emissive * 0.22::DOUBLE) + greatest(n{c}, s{c}) * (emissive * 0.22::DOUBLE)')} AS d{c}" for c in 'rgb')} FROM lit),
+  rt AS (SELECT image_id, {LUMA_SQL.format('d')} / greatest({LUMA_SQL.format('s')}, 1e-6::DOUBLE) AS ratio FROM shone GROUP BY image_id)"""
+
+
+@query("q_night", f"WITH RECURSIVE {NIGHT} SELECT image_id, y, x, " + ", ".join(f"round({night_guard(c)}, 6) AS d{c}" for c in "rgb") + " FROM shone JOIN rt USING (image_id)")
 def night_images(spark, sf):
     """The whole synthesis on labelled images."""
     result = night.synthesize(night_source(spark, sf), image_rows(spark, sf))

@@ -296,3 +296,12 @@ def test_yaml_presets(spark, root):
     write(f"{root}/yaml/middle.yaml", "meta:\n  name: middle\noptimization:\n  batch_size: 2\n  gradient_accumulation_steps: 4\nschedule:\n  max_train_steps:\n")
     row = presets.preset_summary(presets.read_presets(spark, f"{root}/yaml", "yaml")).first()
     assert row["name"] == "middle" and row["effective_batch"] == 8
+
+
+def test_split_folders_by_preference(spark, root):
+    for name in ("val/low", "val/high", "eval15/low", "train/low", "train/high"):
+        write(f"{root}/layout/{name}/a.png", "x")
+    assert images.resolve_split(spark, f"{root}/layout", ("eval15", "val")).endswith("/val")  # eval15 has no high folder
+    assert images.resolve_split(spark, f"{root}/layout", ("our485", "train")).endswith("/train")
+    with pytest.raises(FileNotFoundError, match="our485/{low,high}, .*/none/{low,high}"):
+        images.resolve_split(spark, f"{root}/layout", ("our485", "none"))

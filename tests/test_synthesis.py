@@ -9,7 +9,7 @@ from conftest import image_rows, planes
 from pyspark.sql import functions as F
 from test_pixels import both_axes, correlate_axis, gauss, motion_kernel, reflect
 
-from lumatable.operators import degrade, night, pixels
+from lumatable.operators import degrade, night, pixels, runs
 from lumatable.operators.catalog import CLASS_GROUPS
 
 RNG = np.random.default_rng(5)
@@ -248,3 +248,47 @@ def test_night_with_an_asset(spark):
     want = night_image(0, SOURCE[0], LABELS[0], False, np.stack([sky[c][0] for c in "rgb"], axis=-1))
     for c, name in enumerate(degrade.DARK):
         assert np.abs(got[name][0] - want[..., c]).max() < 1e-9
+
+
+def test_skies_attached_to_image_rows(spark):
+    """The same images as with asset pixels; an image whose asset has no pixels gets the rendered sky."""
+    asset = RNG.random((7, 9, 3))
+    assets = pixels.rgb_pixels(image_rows(spark, [asset])).withColumnRenamed("image_id", "asset_id").withColumn("asset_id", F.lit(0))
+    images, _ = labelled(spark)
+    labels = spark.createDataFrame(
+        [(i, y, x, int(v)) for i, a in enumerate(LABELS) for (y, x), v in np.ndenumerate(a)], "image_id bigint, y int, x int, label_id int"
+    )
+    for n_assets in (1, 50):
+        rows = night.with_assets(pixels.by_image(image_rows(spark, SOURCE)), assets, n_assets)
+        with_sky = {r["image_id"] for r in rows.where("sky is not null").select("image_id").collect()}
+        px = pixels.rgb_pixels(rows, also={"sky_": "sky"}).join(labels, ["image_id", "y", "x"])
+        got = planes(night.synthesize(px, images, randomize=False), degrade.DARK, len(SOURCE))
+        for i, (src, label) in enumerate(zip(SOURCE, LABELS)):
+            sky = None
+            if i in with_sky:
+                h, w = src.shape[:2]
+                fitted = planes(pixels.resize(pixels.rgb_pixels(image_rows(spark, [asset])), F.lit(h), F.lit(w), list("rgb")), list("rgb"), 1)
+                sky = np.stack([fitted[c][0] for c in "rgb"], axis=-1)
+            want = night_image(i, src, label, False) if sky is None else night_image(i, src, label, False, sky)
+            for c, name in enumerate(degrade.DARK):
+                assert np.abs(got[name][i] - want[..., c]).max() < 1e-9
+        assert (n_assets == 1) == (len(with_sky) == len(SOURCE))
+
+
+def test_a_label_outside_the_space_fails(spark):
+    images, px = labelled(spark)
+    wrong = px.withColumn("label_id", F.when((F.col("y") == 1) & (F.col("x") == 1), 77).otherwise(F.col("label_id")))
+    with pytest.raises(Exception, match="Unsupported label .*77"):
+        night.synthesize(wrong, images, randomize=False).collect()
+
+
+def test_a_broken_image_is_counted_and_fails_nothing(spark):
+    whole = [(i, 2, 2, [float(10 * i + k) for k in range(12)], 1) for i in range(3)]
+    broken = [(3, 2, 2, [1.0] * 11, 1), (4, 2, 2, None, 1), (5, 0, 2, [], 1), (6, 2, 2, [1.0] * 11 + [None], 1), (7, 2, 2, [1.0] * 12, 0)]
+    df = spark.createDataFrame(whole + broken, "image_id bigint, h int, w int, data array<double>, ok int")
+    done, outcome = degrade.degrade_batch(df, degrade.fixed_params())
+    assert {r["image_id"] for r in done.select("image_id").distinct().collect()} == {0, 1, 2} and done.count() == 12
+    errors = {r["image_id"]: r["error"] for r in outcome.collect()}
+    assert errors == {0: None, 1: None, 2: None, 3: "expected 12 values, found 11", 4: "no data", 5: "no pixels", 6: "missing values", 7: "not decoded"}
+    summed = runs.job_outcome(outcome, [], F.col("ok"), F.lit(2.0)).first()
+    assert (summed["processed"], summed["failed"], summed["succeeded"], summed["items_per_sec"]) == (8, 5, 3, 4.0)
