@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 WIDTHS = (22, 21, 21)  # segments of the 64 bits, each within a 23-bit word of the code
-PAIRS = ((0, 1), (0, 2), (1, 2))
+ORDERED = tuple(permutations(range(3), 2))  # an equal segment and one with at most one differing bit
 CHUNK = 1 << 16
 
 
@@ -43,26 +44,41 @@ def segments(prints: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def probe_keys(prints: np.ndarray) -> np.ndarray:
-    """One key for each pair of segments: the indices they decode to."""
-    index = [golay.decode(s) for s in segments(prints)]
-    return np.stack([p << 24 | index[i] << 12 | index[j] for p, (i, j) in enumerate(PAIRS)], axis=1)
+def _near(prints: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Per segment: its words, their indices, the nearby indices in order, and which of these are no repeats."""
+    parts = segments(prints)
+    near = [np.sort(golay.nearby(s, w), axis=1) for s, w in zip(parts, WIDTHS, strict=True)]
+    fresh = [np.concatenate([np.ones((len(n), 1), bool), n[:, 1:] != n[:, :-1]], axis=1) for n in near]
+    return parts, [golay.decode(s) for s in parts], near, fresh
+
+
+def probe_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys a fingerprint is looked up by; `stored_keys` says why."""
+    parts, index, near, fresh = _near(prints)
+    row, c = np.nonzero(fresh[2])
+    rows, keys = [row], [index[0][row] << 24 | index[1][row] << 12 | near[2][row, c]]
+    for tag, (i, j) in enumerate(ORDERED, start=1):
+        rows.append(np.arange(len(prints)))
+        keys.append(tag << 36 | parts[i] << 12 | index[j])
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def stored_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys under which a fingerprint must be found by one at most DISTANCE bits away.
 
-    At most three differing bits over three segments leave two segments with at most one each (two
-    segments with two or more would make four). There the other's index is among the nearby ones.
+    At most three differing bits over three segments lie in one of two ways. No segment has more than
+    one: then each segment's index is among the other's nearby ones, and the key is all three indices
+    (36 bits); the nearby ones of two segments are stored, those of the third are looked up. Or one
+    segment has two or three: then of the others one is equal and one has at most one, and the key is
+    the equal segment and the index of the other (33 or 34 bits), for each choice of the two.
     """
-    near = [golay.nearby(s, w) for s, w in zip(segments(prints), WIDTHS, strict=True)]
-    near = [np.sort(n, axis=1) for n in near]
-    fresh = [np.concatenate([np.ones((len(n), 1), bool), n[:, 1:] != n[:, :-1]], axis=1) for n in near]
-    rows, keys = [], []
-    for p, (i, j) in enumerate(PAIRS):
-        row, a, b = np.nonzero(fresh[i][:, :, None] & fresh[j][:, None, :])
+    parts, index, near, fresh = _near(prints)
+    row, a, b = np.nonzero(fresh[0][:, :, None] & fresh[1][:, None, :])
+    rows, keys = [row], [near[0][row, a] << 24 | near[1][row, b] << 12 | index[2][row]]
+    for tag, (i, j) in enumerate(ORDERED, start=1):
+        row, b = np.nonzero(fresh[j])
         rows.append(row)
-        keys.append(p << 24 | near[i][row, a] << 12 | near[j][row, b])
+        keys.append(tag << 36 | parts[i][row] << 12 | near[j][row, b])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -73,7 +89,7 @@ def _unsigned(prints: pd.Series) -> np.ndarray:
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b), a < b: pairs of different fingerprints at most `distance` (3 or fewer) bits apart.
 
-    Each fingerprint is stored under its nearby codeword indices and looked up by its own three keys;
+    Each fingerprint is stored under about 60 keys of 33 to 36 bits and looked up by about 11;
     pairs are verified inside the join, so only links leave it.
     """
     if distance > DISTANCE:
@@ -88,8 +104,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            key = probe_keys(_unsigned(batch["fp"]))
-            yield pd.DataFrame({"key": key.reshape(-1), "b": np.repeat(batch["fp"].to_numpy(), key.shape[1])})
+            row, key = probe_keys(_unsigned(batch["fp"]))
+            yield pd.DataFrame({"key": key, "b": batch["fp"].to_numpy()[row]})
 
     kept = nodes.select("fp").mapInPandas(stored, "key long, a long")
     asked = nodes.select("fp").mapInPandas(probes, "key long, b long")
