@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -22,7 +22,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style noscript textarea title template iframe noembed noframes xmp svg annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th"
@@ -48,8 +48,10 @@ CLOSE_P = BLOCKS - frozenset("html head body title caption legend summary td th
 
 # Furniture by tag, by role, and by the words of class and id.
 DROP_TAGS = frozenset(
-    "nav footer aside form menu dialog head button select option datalist object canvas audio video map fieldset label".split()
+    "nav footer aside menu dialog head button select option datalist object canvas audio video".split()
 ) | RAW
+# These too, unless they hold the page's prose, as where a server puts the whole page into a form.
+MARKED_TAGS = frozenset("form fieldset".split())
 DROP_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog note tablist".split()
 )
@@ -79,7 +81,7 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool | float:
     if tag == "header" and not in_article:
         return True
     if not attributes:
-        return False
+        return FURNITURE if tag in MARKED_TAGS else False
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true":
         return True
@@ -96,7 +98,7 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool | float:
         return COMMENTS
     if words & DROP_WORDS and not words & KEEP_WORDS:
         return LAYOUT if words & LAYOUT_WORDS else FURNITURE
-    return False
+    return FURNITURE if tag in MARKED_TAGS else False
 
 
 class Page:
@@ -107,14 +109,16 @@ class Page:
         self.marked: dict[int, float] = {}  # elements whose class words suggest furniture
         self.blocks: list[list] = []  # [element, text pieces, link characters]
         self.last = -1  # number of the block that text now goes to, or -1
-        stack, article, link = [0], 0, 0
-        opened: Counter[str] = Counter()  # elements on the stack by tag
+        self.stack = [0]
+        # Places on the stack: by tag, of boundaries, and of blocks. What is open is found without a walk.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.bounds, self.holders = [], [0]
         at = 0
         while True:
             m = MARKUP.search(html, at)
             piece = html[at : m.start() if m else len(html)]
-            if piece and not self.gone[stack[-1]]:
-                self._text(stack, piece, link > 0)
+            if piece and not self.gone[self.stack[-1]]:
+                self._text(piece, bool(self.places["a"]))
             if not m:
                 break
             at = m.end()
@@ -122,16 +126,8 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if opened[tag]:
-                    while True:
-                        top = self.tags[stack.pop()]
-                        opened[top] -= 1
-                        link -= top == "a"
-                        article -= top == "article"
-                        if top in BLOCKS:
-                            self.last = -1
-                        if top == tag:
-                            break
+                if self.places[tag]:
+                    self._close(self.places[tag][-1], ended=True)
                 elif tag in BLOCKS:
                     self.last = -1
                 continue
@@ -139,45 +135,55 @@ class Page:
                 self.last = -1
             if tag in CLOSE_P or tag in ENDS:
                 ends = ENDS.get(tag, frozenset()) | (frozenset(["p"]) if tag in CLOSE_P else frozenset())
-                for k in range(len(stack) - 1, 0, -1):
-                    name = self.tags[stack[k]]
-                    if name in ends:
-                        for node in stack[k:]:
-                            opened[self.tags[node]] -= 1
-                            link -= self.tags[node] == "a"
-                        del stack[k:]
-                        break
-                    if name in BOUNDARY:
-                        break
+                place = max((self.places[name][-1] for name in ends if self.places[name]), default=-1)
+                if place > (self.bounds[-1] if self.bounds else 0):
+                    self._close(place)
             if tag in VOID:
-                if tag == "br" and not self.gone[stack[-1]]:
-                    self._text(stack, " ", False)
+                if tag == "br" and not self.gone[self.stack[-1]]:
+                    self._text(" ", False)
                 continue
             node = len(self.tags)
             self.tags.append(tag)
-            self.parents.append(stack[-1])
-            verdict = _dropped(tag, m[3], article > 0)
-            if verdict and verdict is not True and not self.gone[stack[-1]]:
+            self.parents.append(self.stack[-1])
+            verdict = _dropped(tag, m[3], bool(self.places["article"]))
+            if verdict and verdict is not True and not self.gone[self.stack[-1]]:
                 self.marked[node] = verdict
-            self.gone.append(self.gone[stack[-1]] or verdict is True)
+            self.gone.append(self.gone[self.stack[-1]] or verdict is True)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else len(html)
                 continue
             if m[3].rstrip().endswith("/") and tag not in BLOCKS and tag != "a":
                 continue
-            stack.append(node)
-            opened[tag] += 1
-            link += tag == "a"
-            article += tag == "article"
+            self._open(node, tag)
 
-    def _text(self, stack: list[int], piece: str, linked: bool) -> None:
+    def _open(self, node: int, tag: str) -> None:
+        place = len(self.stack)
+        self.stack.append(node)
+        self.places[tag].append(place)
+        if tag in BOUNDARY:
+            self.bounds.append(place)
+        if tag in BLOCKS:
+            self.holders.append(place)
+
+    def _close(self, place: int, ended: bool = False) -> None:
+        """Takes the element at a place and all inside it off the stack; an end tag also ends the text block."""
+        while len(self.stack) > place:
+            tag = self.tags[self.stack.pop()]
+            self.places[tag].pop()
+            if tag in BOUNDARY:
+                self.bounds.pop()
+            if tag in BLOCKS:
+                self.holders.pop()
+                if ended:
+                    self.last = -1
+
+    def _text(self, piece: str, linked: bool) -> None:
         if self.last < 0:
             if not piece.strip():
                 return
-            element = next(n for n in reversed(stack) if self.tags[n] in BLOCKS or not n)
             self.last = len(self.blocks)
-            self.blocks.append([element, [], 0])
+            self.blocks.append([self.stack[self.holders[-1]], [], 0])
         block = self.blocks[self.last]
         block[1].append(piece)
         if linked:
