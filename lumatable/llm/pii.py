@@ -27,8 +27,6 @@ PATTERNS = {
     TOKEN: r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
 }
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"  # at most 255
-CONTEXT = 60  # characters before a token in which its last words are looked for
-LONGEST = 100  # characters of a token that may be an identifier
 ROUNDS = 3
 SEEDS = 3.0  # least sum of scores behind a pattern
 PRIOR = 1.0
@@ -38,10 +36,16 @@ PRIOR = 1.0
 TRUST = 3 / 7
 
 
+def _last_words(gap: Column) -> Column:
+    """The last two words, digits as zeros, whole however long they are."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(gap, "[0-9]", "0")), r"\s+"), lambda w: w != "")
+    return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Row-local: array of struct(kind, i, gap, value, before) of the kind's matches in order.
 
-    `gap` is the number of code points since the match before, `before` the end of those.
+    `gap` is the number of code points since the match before, `before` their last two words.
     """
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)
@@ -53,7 +57,7 @@ def _matches(text: Column, kind: str) -> Column:
             i.alias("i"),
             F.length(x["gap"]).cast("long").alias("gap"),
             x["value"].alias("value"),
-            (F.substring(x["gap"], -CONTEXT, CONTEXT) if kind == TOKEN else F.lit("")).alias("before"),
+            (_last_words(x["gap"]) if kind == TOKEN else F.array().cast("array<string>")).alias("before"),
         ),
     )
     return F.when(needed, F.filter(rows, lambda x: x["value"].isNotNull()))
@@ -80,7 +84,7 @@ def _valid(kind: Column, value: Column) -> Column:
         .when(kind == "ip", value.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$"))
         .when(kind == "card", F.when(n.between(14, 19), _luhn(digits)).otherwise(False))
         .when(kind == "phone", n.between(10, 15))
-        .otherwise(F.length(value) <= LONGEST)
+        .otherwise(True)
     )
 
 
@@ -132,15 +136,14 @@ def _tokens(located: DataFrame) -> DataFrame:
     lead = F.length(F.regexp_extract("value", r"^[^0-9A-Za-z+(]*", 0))
     bare = F.regexp_replace(F.regexp_replace("value", r"^[^0-9A-Za-z+(]+", ""), r"[^0-9A-Za-z)]+$", "")
     seeded = F.col("next.start") < F.col("end")
-    words = F.filter(F.split(F.lower(F.regexp_replace("before", "[0-9]", "0")), r"\s+"), lambda w: w != "")
     return rows.select(
         *key,
         F.when(seeded, F.col("next.kind")).alias("seed"),
         F.when(seeded, F.col("next.value")).otherwise(bare).alias("value"),
         (F.col("start") + lead).alias("start"),
         (F.col("start") + lead + F.length(bare)).alias("end"),
-        F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ").alias("two"),
-        F.coalesce(F.element_at(F.when(F.size(words) > 0, words), -1), F.lit("")).alias("one"),
+        F.array_join("before", " ").alias("two"),
+        F.coalesce(F.try_element_at("before", F.lit(-1)), F.lit("")).alias("one"),
     )
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -334,6 +335,39 @@ def test_class_words_and_wrappers_lose_no_article():
     assert html_text.main_text(f"<body><div>{wrapped}</div>{foot}</body>") == "\n".join(lines)
 
 
+PROSE = "A sentence of the article, long enough to count, with commas, and more words than furniture has. "
+
+
+def test_forms_around_pages_labels_and_formulas():
+    """A page inside one form keeps its article; labels and formulas in it are text; a small form is dropped."""
+    page = f"<body><form id='aspnetForm' action='x'><div><h1>Title</h1><p>{PROSE * 3}</p><p>{PROSE * 2}</p></div></form></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", (PROSE * 3).strip(), (PROSE * 2).strip()])
+    article = f"<article><p>{PROSE * 3}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>\\LaTeX</annotation></math> and <label>this label</label> be.</p>"
+    article += "<form><fieldset><label>Your mail</label><input><button>Send</button></fieldset></form></article>"
+    assert html_text.main_text(article) == f"{(PROSE * 3).strip()}\nLet x=1 and this label be."
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 50_000 + "<p>x</p>" * 50_000,
+    "<p><select>" + "<b>" * 50_000 + "<hr>" * 50_000,
+    "<b>" * 50_000 + "</div>x" * 50_000,
+    "<ul><li>" * 20_000 + "<b>" * 30_000 + "<li>" * 30_000,
+])
+def test_broken_pages_take_linear_time(page):
+    started = time.perf_counter()
+    html_text.Page(page)
+    assert time.perf_counter() - started < 4
+
+
+def test_long_words_and_tokens_are_whole(spark):
+    """A context word of any length tells contexts apart; an identifier of any length is one."""
+    long = "w" * 90
+    rows = [(k, f"{long}a mail: me{k}@x.org and {long}b code {'7' * 3}{k:02d}{'5' * 5}") for k in range(12)]
+    rows += [(50 + k, f"note {long}a mail: {'n' * 150}{k}@host ok") for k in range(2)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    assert [got[50 + k] for k in range(2)] == [f"email:{5 + 92 + 6}:{5 + 92 + 6 + 151 + 5}"] * 2
+
+
 def test_pages(spark):
     rows = [(k, f"u{k}", h, 1) for k, (h, _) in enumerate(PAGES)] + [(2, "u2", PAGES[2][0], 1)]
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
