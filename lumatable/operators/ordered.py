@@ -220,9 +220,11 @@ def ema(
     seed_floor: float | None = None,
     block: int | None = None,
     fan: int = FAN,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """Exponential moving averages per key; the first value seeds each. Rows in which a value is null are left out.
 
+    With `before`, keys that it has (one row each: keys and the output columns) go on from its averages.
     values maps an output column to an input column. Inside a chunk of consecutive rows the average is a
     closed form over a running sum; a chunk is an affine step of the value before it. Steps are composed
     upwards (chunks of a block, blocks of a group of `fan`, groups of a key) and the values on entry handed
@@ -259,9 +261,12 @@ def ema(
     groups = _composed(blocks.drop("_steps"), [*keys, "_group"], "_block", names)
     whole = _composed(groups.drop("_steps"), keys, "_group", names)
 
-    nothing = {name: F.lit(None) for name in names}
+    if before is None:
+        whole = whole.withColumns({f"_e_{name}": F.lit(None).cast("double") for name in names})
+    else:
+        whole = whole.join(before.select(*keys, *[F.col(name).alias(f"_e_{name}") for name in names]), keys, "left")
     carried = {name: F.col(f"_e_{name}") for name in names}
-    group_starts = whole.select(*keys, F.inline(_entries("_group", names, nothing)))
+    group_starts = whole.select(*keys, F.inline(_entries("_group", names, carried)))
     block_starts = groups.select(*keys, "_group", "_steps").join(group_starts, [*keys, "_group"]).select(
         *keys, F.inline(_entries("_block", names, carried))
     )

@@ -35,17 +35,14 @@ def stream_latest(spark, sf):
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS best_before FROM log)
   SELECT run, pos, loss AS metric, best_before FROM seen WHERE loss > best_before""")
 def stream_best(spark, sf):
-    bests = monitor.running_bests(events(spark, sf).select("run", "pos", "metric"))
-    with monitor.state_store(spark):
-        return monitor.append_to_parquet(bests, "stream-best")
+    return monitor.running_bests(events(spark, sf).select("run", "pos", "metric"))
 
 
 @query("q_stream_ema", f"""WITH {LOG} SELECT run, pos, round(list_reduce(list(loss) OVER (PARTITION BY run ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: 0.98::DOUBLE * a + (1 - 0.98::DOUBLE) * x), 6) AS ema FROM log""")
 def stream_ema(spark, sf):
     averages = monitor.running_ema(events(spark, sf).select("run", "pos", "metric"))
-    with monitor.state_store(spark):
-        return monitor.append_to_parquet(averages, "stream-ema").withColumn("ema", F.round("ema", 6))
+    return averages.withColumn("ema", F.round("ema", 6))
 
 
 @query("q_stream_window", """SELECT user_id AS run, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, count(*) AS n_rows,

@@ -1,28 +1,19 @@
 """Live monitoring of run logs with Structured Streaming.
 
-Sinks write to the shared folder: nothing is gathered in driver memory. State per
-run is a few numbers; rows of one run in one micro-batch are sorted in its task,
-so bound a micro-batch with maxFilesPerTrigger or maxBytesPerTrigger.
+Sinks write to the shared folder: nothing is gathered in driver memory. State per run is a few
+numbers. Running figures are batch operators on micro-batches with a small state between them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lumatable.operators import runs
+from lumatable.operators import ordered, runs
 from lumatable.operators.runs import FIRST_BEST
 from lumatable.session import scratch_path
 from lumatable.sources.run_files import LOG_COLUMNS, typed_log
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 BATCH = "_batch"
 
 
@@ -65,75 +56,111 @@ def windowed_throughput(log: DataFrame, run: str, ts: str, value: str, width: st
     )
 
 
-def _sorted_rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values("pos")
+class OrderedSteps:
+    """Running figures of a stream whose rows have an order inside each run.
 
+    Every micro-batch is a table, so the ordered operators work on it: a run that fills a micro-batch is
+    cut into blocks and spread over tasks. From batch to batch go two small tables in the shared folder:
+    the state (one row per run) and the rows that wait. A row waits until its run has come `lateness`
+    positions further, so rows that arrive out of order by no more than that are put in their place, and
+    the result is that of the batch query. A row that comes later still is written to `late`, never
+    dropped in silence.
 
-def decayed(values: np.ndarray, before: float | None, decay: float, block: int = 256) -> np.ndarray:
-    """Moving average of `values` after `before` (None: the first value seeds it), a block at a time in closed form."""
-    average = float(values[0]) if before is None else before
-    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
-    weights = np.where(lag >= 0, (1.0 - decay) * decay ** np.maximum(lag, 0), 0.0)
-    fade = decay ** np.arange(1, block + 1)
-    out = np.empty(len(values))
-    for at in range(0, len(values), block):
-        part = values[at : at + block]
-        out[at : at + block] = fade[: len(part)] * average + weights[: len(part), : len(part)] @ part
-        average = float(out[at + len(part) - 1])
-    return out
+    Each table is written per micro-batch into a folder of its own and read from the one before, so a
+    micro-batch that is tried again gives the same tables.
+    """
 
+    def __init__(self, spark: SparkSession, label: str, columns: str, state: str, lateness: int):
+        self.spark, self.base, self.lateness = spark, scratch_path(spark, label), lateness
+        self.columns, self.state = columns, state
+
+    def step(self, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(results, new state of the runs in them) of rows (run, pos, metric) that follow the state."""
+        raise NotImplementedError
+
+    def _table(self, kind: str, batch: int, schema: str) -> DataFrame:
+        """What a batch left; nothing before the first one."""
+        if batch < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{kind}/{BATCH}={batch}")
+
+    def _write(self, rows: DataFrame, kind: str, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.base}/{kind}/{BATCH}={batch}")
+
+    def advance(self, rows: DataFrame, batch: int, everything: bool = False) -> None:
+        state = self._table("state", batch - 1, f"run long, pos long, {self.state}")
+        waiting = self._table("waiting", batch - 1, self.columns)
+        known = rows.where(F.col("metric").isNotNull() & ~F.isnan("metric")).unionByName(waiting)
+        seen = state.select(F.col("run").alias("_run"), F.col("pos").alias("_done"))
+        fronts = known.groupBy("run").agg(F.max("pos").alias("_front")).join(seen, F.col("run") == F.col("_run"), "left").drop("_run")
+        placed = ordered.join_facts(known, fronts, ["run"], ["pos"])
+        late = F.coalesce(F.col("pos") <= F.col("_done"), F.lit(False))
+        ripe = F.lit(True) if everything else F.col("pos") <= F.col("_front") - self.lateness
+        self._write(placed.where(late).select(*known.columns), "late", batch)
+        self._write(placed.where(~late & ~ripe).select(*known.columns), "waiting", batch)
+        self._write(placed.where(~late & ripe).select(*known.columns), "ready", batch)
+        results, moved = self.step(self._table("ready", batch, self.columns), state)
+        self._write(results, "table", batch)
+        kept = state.join(moved.select("run"), "run", "left_anti").unionByName(moved)
+        self._write(kept, "state", batch)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Run over what is available, then let the waiting rows go; the results as a table."""
+        query = (
+            stream.writeStream.foreachBatch(self.advance)
+            .option("checkpointLocation", f"{self.base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        last = query.lastProgress["batchId"] if query.lastProgress else -1
+        if last >= 0:
+            self.advance(self.spark.createDataFrame([], self.columns), last + 1, everything=True)
+        return self.spark.read.schema(self.results).parquet(f"{self.base}/table") if last >= 0 else self.spark.createDataFrame([], self.results)
 
-class BestSoFar(StatefulProcessor):
-    """Emits the rows that beat every earlier metric of their run."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "best double")
+class BestSoFar(OrderedSteps):
+    """Rows that beat every earlier metric of their run."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = self.best.get()[0] if self.best.exists() else FIRST_BEST
-        frame = _sorted_rows(rows)
-        before = frame["metric"].cummax().shift(fill_value=best).clip(lower=best)
-        hits = frame["metric"] > before
-        self.best.update((float(max(best, frame["metric"].max())),))
-        yield pd.DataFrame(
-            {"run": key[0], "pos": frame["pos"][hits], "metric": frame["metric"][hits], "best_before": before[hits]}
-        )
+    results = "run long, pos long, metric double, best_before double"
 
-    def close(self) -> None:
-        pass
+    def __init__(self, spark: SparkSession, label: str, lateness: int):
+        super().__init__(spark, label, "run long, pos long, metric double", "best double", lateness)
 
+    def step(self, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        scanned = ordered.running(rows, ["run"], "pos", {"_before": ("max", F.col("metric"))}, inclusive=False)
+        bests = rows.groupBy("run").agg(F.max("pos").alias("pos"), F.max("metric").alias("_top"))
+        held = bests.join(state.select("run", "best"), "run", "left")
+        compared = ordered.join_facts(scanned, held.select("run", F.coalesce("best", F.lit(FIRST_BEST)).alias("_held")), ["run"], ["pos"])
+        before = F.greatest("_held", F.coalesce("_before", F.col("_held")))
+        hits = compared.withColumn("best_before", before).where(F.col("metric") > F.col("best_before"))
+        moved = held.select("run", "pos", F.greatest(F.coalesce("best", F.lit(FIRST_BEST)), "_top").alias("best"))
+        return hits.select("run", "pos", "metric", "best_before"), moved
 
-class RunningAverage(StatefulProcessor):
-    """Exponential moving average per run; the first value seeds it."""
 
-    decay = 0.98
+class RunningAverage(OrderedSteps):
+    """Exponential moving average per run; the first value seeds it."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.average = handle.getValueState("average", "average double")
+    results = "run long, pos long, ema double"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        average = self.average.get()[0] if self.average.exists() else None
-        frame = _sorted_rows(rows)
-        series = decayed(frame["metric"].to_numpy(dtype=float), average, self.decay)
-        self.average.update((float(series[-1]),))
-        yield pd.DataFrame({"run": key[0], "pos": frame["pos"], "ema": series})
+    def __init__(self, spark: SparkSession, label: str, lateness: int, decay: float = 0.98):
+        super().__init__(spark, label, "run long, pos long, metric double", "ema double", lateness)
+        self.decay = decay
 
-    def close(self) -> None:
-        pass
+    def step(self, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        averages = ordered.ema(rows, ["run"], "pos", {"ema": "metric"}, self.decay, before=state.select("run", "ema"))
+        averages = averages.select("run", "pos", "ema")
+        return averages, averages.groupBy("run").agg(F.max("pos").alias("pos"), F.max_by("ema", "pos").alias("ema"))
 
 
-def running_bests(log: DataFrame) -> DataFrame:
-    """Stream of (run, pos, metric) to new-best events; blank metrics are no events."""
-    return log.where(F.col("metric").isNotNull() & ~F.isnan("metric")).groupBy("run").transformWithStateInPandas(
-        BestSoFar(), "run bigint, pos bigint, metric double, best_before double", "Append", "None"
-    )
+def running_bests(log: DataFrame, label: str = "stream-best", lateness: int = 0) -> DataFrame:
+    """New-best events of a stream (run, pos, metric); blank metrics are no events."""
+    return BestSoFar(log.sparkSession, label, lateness).run(log)
 
 
-def running_ema(log: DataFrame) -> DataFrame:
-    """Stream of (run, pos, metric) to averages; rows with a blank metric have none."""
-    return log.where(F.col("metric").isNotNull() & ~F.isnan("metric")).groupBy("run").transformWithStateInPandas(
-        RunningAverage(), "run bigint, pos bigint, ema double", "Append", "None"
-    )
+def running_ema(log: DataFrame, label: str = "stream-ema", lateness: int = 0, decay: float = 0.98) -> DataFrame:
+    """Averages of a stream (run, pos, metric); rows with a blank metric have none."""
+    return RunningAverage(log.sparkSession, label, lateness, decay).run(log)
 
 
 def append_to_parquet(stream: DataFrame, label: str) -> DataFrame:
@@ -174,14 +201,3 @@ def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
     """The last state of each key in a table of updates."""
     rest = [c for c in updates.columns if c not in (*keys, BATCH)]
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_row")).select(*keys, "_row.*")
-
-
-@contextmanager
-def state_store(spark: SparkSession):
-    """The state store that processors with state need, for the streams started inside only."""
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(STATE_STORE, before)
