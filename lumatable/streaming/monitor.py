@@ -116,7 +116,8 @@ class OrderedSteps:
         last = query.lastProgress["batchId"] if query.lastProgress else -1
         if last >= 0:
             self.advance(self.spark.createDataFrame([], self.columns), last + 1, everything=True)
-        return self.spark.read.schema(self.results).parquet(f"{self.base}/table") if last >= 0 else self.spark.createDataFrame([], self.results)
+        nothing = self.spark.createDataFrame([], self.results)
+        return self.spark.read.parquet(f"{self.base}/table").select(*nothing.columns) if last >= 0 else nothing
 
 
 class BestSoFar(OrderedSteps):
