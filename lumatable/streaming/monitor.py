@@ -14,7 +14,7 @@ from lumatable.operators.runs import FIRST_BEST
 from lumatable.session import scratch_path
 from lumatable.sources.run_files import LOG_COLUMNS, typed_log
 
-BATCH = "_batch"
+BATCH, KIND = "_batch", "_kind"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
@@ -63,7 +63,7 @@ class OrderedSteps:
     cut into blocks and spread over tasks. From batch to batch go two small tables in the shared folder:
     the state (one row per run) and the rows that wait. A row waits until its run has come `lateness`
     positions further, so rows that arrive out of order by no more than that are put in their place, and
-    the result is that of the batch query. A row that comes later still is written to `late`, never
+    the result is that of the batch query. A row that comes later still is kept apart (`late`), never
     dropped in silence.
 
     Each table is written per micro-batch into a folder of its own and read from the one before, so a
@@ -87,22 +87,28 @@ class OrderedSteps:
     def _write(self, rows: DataFrame, kind: str, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.base}/{kind}/{BATCH}={batch}")
 
+    def _placed(self, batch: int, kind: str) -> DataFrame:
+        """Rows of a batch that were found ripe, waiting or late."""
+        rows = self._table("rows", batch, f"{self.columns}, {KIND} string")
+        return rows.where(F.col(KIND) == kind).drop(KIND)
+
+    def late(self) -> DataFrame:
+        """All rows that came too late to be put in their place."""
+        rows = self.spark.read.schema(f"{self.columns}, {KIND} string").parquet(f"{self.base}/rows")
+        return rows.where(F.col(KIND) == "late").drop(KIND, BATCH)
+
     def advance(self, rows: DataFrame, batch: int, everything: bool = False) -> None:
         state = self._table("state", batch - 1, f"run long, pos long, {self.state}")
-        waiting = self._table("waiting", batch - 1, self.columns)
-        known = rows.where(F.col("metric").isNotNull() & ~F.isnan("metric")).unionByName(waiting)
+        known = rows.where(F.col("metric").isNotNull() & ~F.isnan("metric")).unionByName(self._placed(batch - 1, "waiting"))
         seen = state.select(F.col("run").alias("_run"), F.col("pos").alias("_done"))
         fronts = known.groupBy("run").agg(F.max("pos").alias("_front")).join(seen, F.col("run") == F.col("_run"), "left").drop("_run")
         placed = ordered.join_facts(known, fronts, ["run"], ["pos"])
-        late = F.coalesce(F.col("pos") <= F.col("_done"), F.lit(False))
         ripe = F.lit(True) if everything else F.col("pos") <= F.col("_front") - self.lateness
-        self._write(placed.where(late).select(*known.columns), "late", batch)
-        self._write(placed.where(~late & ~ripe).select(*known.columns), "waiting", batch)
-        self._write(placed.where(~late & ripe).select(*known.columns), "ready", batch)
-        results, moved = self.step(self._table("ready", batch, self.columns), state)
+        kind = F.when(F.col("pos") <= F.col("_done"), "late").when(ripe, "ripe").otherwise("waiting")
+        self._write(placed.select(*known.columns, kind.alias(KIND)), "rows", batch)
+        results, moved = self.step(self._placed(batch, "ripe"), state)
         self._write(results, "table", batch)
-        kept = state.join(moved.select("run"), "run", "left_anti").unionByName(moved)
-        self._write(kept, "state", batch)
+        self._write(state.join(moved.select("run"), "run", "left_anti").unionByName(moved), "state", batch)
 
     def run(self, stream: DataFrame) -> DataFrame:
         """Run over what is available, then let the waiting rows go; the results as a table."""
@@ -114,7 +120,7 @@ class OrderedSteps:
         )
         query.awaitTermination()
         last = query.lastProgress["batchId"] if query.lastProgress else -1
-        if last >= 0:
+        if last >= 0 and not self._placed(last, "waiting").isEmpty():
             self.advance(self.spark.createDataFrame([], self.columns), last + 1, everything=True)
         nothing = self.spark.createDataFrame([], self.results)
         return self.spark.read.parquet(f"{self.base}/table").select(*nothing.columns) if last >= 0 else nothing
