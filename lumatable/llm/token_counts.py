@@ -52,16 +52,17 @@ class Lengths(dict):
 
 
 def frequent_parts(df: DataFrame, path: str, sample_rows: int, entries: int) -> dict[str, int]:
-    """Token counts of the commonest pre-tokens in a bounded sample over the whole table.
+    """Token counts of the commonest pre-tokens in a sample of about `sample_rows` rows over the whole table.
 
-    It only decides what is looked up and what is encoded; counts are the same with any table.
+    Each task counts its own part of the sample; counts are added up before the commonest are taken. The
+    sample only decides what is looked up and what is encoded; token counts are the same with any table.
     """
     total = df.count()
     if not total:
         return {}
     texts = df.select(content().alias("text"))
     if total > sample_rows:
-        texts = texts.sample(fraction=sample_rows / total, seed=5).limit(2 * sample_rows)
+        texts = texts.sample(fraction=sample_rows / total, seed=5)
     lengths = Lengths(path, {}, entries)
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,11 +70,14 @@ def frequent_parts(df: DataFrame, path: str, sample_rows: int, entries: int) ->
         for batch in batches:
             for text in batch["text"]:
                 seen.update(p for p in PARTS.findall(SPACE + text.replace(" ", SPACE)) if len(p) <= MEMO_CHARS)
+                if len(seen) > 8 * entries:
+                    seen = Counter(dict(seen.most_common(4 * entries)))  # rare ones give way in a task with many
         top = seen.most_common(entries)
         yield pd.DataFrame({"part": [p for p, _ in top], "n": [n for _, n in top]})
 
-    counted = texts.coalesce(1).mapInPandas(parts, "part string, n long")
-    return {row["part"]: lengths[row["part"]] for row in counted.collect()}
+    counted = texts.mapInPandas(parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "part").limit(entries)
+    return {row["part"]: lengths[row["part"]] for row in top.collect()}
 
 
 def count_tokens(
