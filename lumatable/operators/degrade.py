@@ -142,7 +142,9 @@ def light_blur_size(side: Column) -> Column:
     return F.floor(side * LIGHT_BLUR).cast("int").bitwiseOR(F.lit(1))
 
 
-def soften_lights(px: DataFrame, mask: str, carry: list[str], fixed: list[str] = ()) -> DataFrame:
+def soften_lights(
+    px: DataFrame, mask: str, carry: list[str], fixed: list[str] = (), deal: int | None = None
+) -> DataFrame:
     """Smooth the light mask; on small images the kernel has one tap."""
 
     def stencil(grids: strips.Grids, place: strips.Place, given: dict) -> strips.Grids:
@@ -151,7 +153,7 @@ def soften_lights(px: DataFrame, mask: str, carry: list[str], fixed: list[str] =
 
     sizes = {axis: light_blur_size(F.col(side)) for axis, side in (("x", "w"), ("y", "h"))}
     reach = F.floor(sizes["y"] / 2)
-    px = strips.map_pixels(px, stencil, {mask: F.col(mask)}, [mask], reach, pixels.PLANE, carry, fixed, sizes)
+    px = strips.map_pixels(px, stencil, {mask: F.col(mask)}, [mask], reach, pixels.PLANE, carry, fixed, sizes, deal=deal)
     return px.withColumn(mask, colour.clip(F.col(mask)))
 
 
@@ -204,7 +206,7 @@ def motion_kernel(size: int, degrees: float) -> np.ndarray:
     return raw / (raw.sum() + 1e-8)
 
 
-def motion_blur(px: DataFrame) -> DataFrame:
+def motion_blur(px: DataFrame, deal: int | None = None) -> DataFrame:
     """Blur dr, dg, db of images that drew a motion kernel; all other columns ride along."""
 
     def stencil(grids: strips.Grids, place: strips.Place, given: dict) -> strips.Grids:
@@ -222,7 +224,7 @@ def motion_blur(px: DataFrame) -> DataFrame:
     drawn = {"on": F.col("use_motion_blur"), "size": F.col("motion_blur_kernel"), "angle": F.col("motion_blur_angle")}
     reach = F.when(drawn["on"] == 1, F.floor(F.greatest(drawn["size"], F.lit(3)) / 2)).otherwise(0)
     inputs = {name: F.col(name) for name in DARK}
-    blurred = strips.map_pixels(px, stencil, inputs, list(DARK), reach, pixels.PLANE, carry, fixed, drawn)
+    blurred = strips.map_pixels(px, stencil, inputs, list(DARK), reach, pixels.PLANE, carry, fixed, drawn, deal=deal)
     return blurred.withColumns({name: F.rint(name).cast("int") for name in DARK})
 
 
@@ -281,7 +283,7 @@ def degrade(
 ) -> DataFrame:
     """Whole degradation of images with interleaved 8-bit RGB data: (image_id, h, w, y, x, r, g, b, dr, dg, db).
 
-    One shuffle of image rows; after it every step stays in its task. Parameters and lights are drawn
+    Image rows are shuffled once, strips of lines after each of the two stencils; pixels never. Parameters and lights are drawn
     per image row, before any pixel is unpacked. The JPEG step is left out; its two parameters are
     drawn all the same.
     """
@@ -290,8 +292,9 @@ def degrade(
     px = pixels.rgb_pixels(rows, keep=[*PARAMS, "lights"])
     px = px.withColumns({c: F.col(c).cast("int") for c in RGB})
     px = px.withColumn("mask", light_level(F.col("y"), F.col("x"), F.col("lights"))).drop("lights")
-    px = soften_lights(px, "mask", list(RGB), list(PARAMS))
-    px = noise(motion_blur(vignette(tone(px, "mask"))), seed)
+    deal = pixels.partition_count(images, partitions)
+    px = soften_lights(px, "mask", list(RGB), list(PARAMS), deal)
+    px = noise(motion_blur(vignette(tone(px, "mask")), deal), seed)
     return exposure_guard(px).select("image_id", "h", "w", "y", "x", *RGB, *DARK)
 
 

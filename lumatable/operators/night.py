@@ -102,7 +102,7 @@ def render_gradient_sky(px: DataFrame, randomize: bool, seed: int = 42) -> DataF
     base = px.withColumns({name: noisy_sky(i, seed) for i, name in enumerate(names)}).withColumn("_star", star(seed))
     weights = strips.gaussian(STAR_SIZE, STAR_SIGMA)
     carry = [c for c in base.columns if c not in ("image_id", "h", "w", "y", "x", "_star")]
-    lit = pixels.separable(base, weights, ["_star"], "reflect", carry=carry)
+    lit = pixels.separable(base, weights, ["_star"], "reflect", carry=carry, deal=pixels.partition_count(px))
     shine = {name: colour.clip(F.col(name) + F.col("_star") * STAR_COLOUR[i]) for i, name in enumerate(names)}
     return lit.withColumns(shine).drop("_star")
 
@@ -166,7 +166,7 @@ def near_field() -> Column:
     return colour.clip(0.10 + 0.90 * F.pow(height_share(), F.lit(1.6)))
 
 
-def blurred_maps(px: DataFrame, carry: list[str], fixed: list[str] = ()) -> DataFrame:
+def blurred_maps(px: DataFrame, carry: list[str], fixed: list[str] = (), deal: int | None = None) -> DataFrame:
     """Every blurred map of the synthesis in one pass; class masks ride along."""
     side = longer_side()
     widths = {
@@ -190,7 +190,7 @@ def blurred_maps(px: DataFrame, carry: list[str], fixed: list[str] = ()) -> Data
         }
     )
     masks = [mask_name(g) for g in GROUPS]
-    return pixels.blur_maps(mixed, widths, maps, carry=[*carry, *masks], fixed=fixed)
+    return pixels.blur_maps(mixed, widths, maps, carry=[*carry, *masks], fixed=fixed, deal=deal)
 
 
 def setting(index: int) -> Column:
@@ -272,7 +272,7 @@ def synthesize(
     else:
         skies = render_gradient_sky(flagged, randomize, seed)
     sky_names = [f"sky_{c}" for c in RGB]
-    maps = blurred_maps(skies, [*RGB, *sky_names], ["usable"])
+    maps = blurred_maps(skies, [*RGB, *sky_names], ["usable"], pixels.partition_count(px))
     alpha = F.when(F.col("usable") == 1, F.col("soft_sky")).otherwise(0.0)
     working = maps.withColumns(
         {f"w{c}": colour.clip(F.col(c) * (1.0 - alpha) + F.col(f"sky_{c}") * alpha) for c in RGB}

@@ -33,8 +33,11 @@ def by_image(images: DataFrame, partitions: int | None = None) -> DataFrame:
     The default count is spark.sql.shuffle.partitions; a fixed count also keeps AQE
     from merging partitions whose rows look small but whose pixels are not.
     """
-    count = partitions or int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return images.repartition(count, "image_id")
+    return images.repartition(partition_count(images, partitions), "image_id")
+
+
+def partition_count(df: DataFrame, partitions: int | None = None) -> int:
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def gray_pixels(images: DataFrame, data: str = "data", keep: list[str] = ()) -> DataFrame:
@@ -87,7 +90,7 @@ def blur_reach(sigma: Column) -> Column:
 
 def separable(
     px: DataFrame, weights: np.ndarray, values: list[str], border: str,
-    planes: list[str] = PLANE, carry: list[str] = (), fixed: list[str] = (),
+    planes: list[str] = PLANE, carry: list[str] = (), fixed: list[str] = (), deal: int | None = None,
 ) -> DataFrame:
     """Correlate value columns with the same fixed weights along both axes; borders are "zero" or "reflect"."""
 
@@ -95,12 +98,12 @@ def separable(
         return {name: strips.separable(grid, place, weights, border) for name, grid in grids.items()}
 
     inputs = {name: F.col(name) for name in values}
-    return strips.map_pixels(px, stencil, inputs, values, F.lit(len(weights) // 2), planes, carry, fixed)
+    return strips.map_pixels(px, stencil, inputs, values, F.lit(len(weights) // 2), planes, carry, fixed, deal=deal)
 
 
 def blur_maps(
     px: DataFrame, widths: dict[str, Column], maps: dict[str, tuple[str, Column]],
-    planes: list[str] = PLANE, carry: list[str] = (), fixed: list[str] = (),
+    planes: list[str] = PLANE, carry: list[str] = (), fixed: list[str] = (), deal: int | None = None,
 ) -> DataFrame:
     """Several maps blurred in one pass, mirrored border.
 
@@ -116,7 +119,7 @@ def blur_maps(
 
     reach = F.greatest(*[blur_reach(sigma) for sigma in sigmas.values()], F.lit(1))
     inputs = {name: expr for name, (_, expr) in maps.items()}
-    return strips.map_pixels(px, stencil, inputs, list(maps), reach, planes, carry, fixed, sigmas)
+    return strips.map_pixels(px, stencil, inputs, list(maps), reach, planes, carry, fixed, sigmas, deal=deal)
 
 
 def gaussian_blur(

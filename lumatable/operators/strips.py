@@ -210,6 +210,7 @@ def _run_cells(stripped: DataFrame, inputs: list[str], settings: dict[str, Colum
 def map_pixels(
     px: DataFrame, stencil: Stencil, inputs: dict[str, Column], outputs: list[str], reach: Column,
     planes: list[str], carry: list[str] = (), fixed: list[str] = (), settings: dict[str, Column] | None = None, cells: int | None = None,
+    deal: int | None = None,
 ) -> DataFrame:
     """(planes, h, w, fixed, y, x, carry, outputs): what a stencil makes of the inputs at every pixel.
 
@@ -217,6 +218,9 @@ def map_pixels(
     once per strip. `settings` are expressions of planes, h, w and fixed columns that the stencil gets.
     `reach` is the number of lines it looks up or down. A plane should hold every place of its image;
     places that it lacks count as zero.
+
+    Spark forgets the partitioning behind a Python function. Where image windows or further stencils
+    follow, `deal` strips to so many partitions by the planes: strips are compact, their pixels are not.
     """
     stripped = _cells(px, inputs, reach, planes, list(carry), list(fixed), cells)
     result = T.StructType([T.StructField(name, DOUBLES) for name in outputs])
@@ -226,6 +230,7 @@ def map_pixels(
         return tuple(made[name][at] for name in outputs)
 
     done = _run_cells(stripped, list(inputs), settings or {}, result, finish)
+    done = done.repartition(deal, *planes) if deal else done
     zipped = F.arrays_zip(F.col("_cells").alias("cell"), *[F.col(f"_out.{name}").alias(name) for name in outputs])
     flat = done.select(*planes, "h", "w", *fixed, (F.col("_strip") * F.col("_lines")).alias("_own"), "_lines", F.explode(zipped).alias("_v"))
     mine = (F.col("_v.cell.y") >= F.col("_own")) & (F.col("_v.cell.y") < F.col("_own") + F.col("_lines"))
