@@ -272,3 +272,16 @@ def config_line(config: dict[str, Column]) -> Column:
     """The config_summary line added when a run has a resolved configuration."""
     parts = [F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit("None"))) for name, value in config.items()]
     return F.concat(F.lit("config_summary: "), F.concat_ws(" ", *parts))
+
+
+def validation_plan(requests: DataFrame, default_steps: Column) -> DataFrame:
+    """Rows (…, step_count, metric): what a validation computes, in order of the request.
+
+    requests has `fast`, the asked `metrics`, and lists of step counts `fast_steps` and `steps`. A fast
+    validation takes the asked metrics (PSNR and SSIM always), a full one all that are supported; the default
+    step count is always among the step counts.
+    """
+    names = F.when(F.col("fast"), parsing.metric_names(F.col("metrics"))).otherwise(parsing.strings(parsing.SUPPORTED_METRICS))
+    counts = parsing.step_counts(F.when(F.col("fast"), F.col("fast_steps")).otherwise(F.col("steps")), default_steps)
+    planned = requests.withColumn("step_count", F.explode(counts))
+    return planned.withColumn("metric", F.explode(names)).drop("metrics", "fast_steps", "steps")

@@ -469,6 +469,22 @@ def ordered_dedupe(spark, sf):
     )
 
 
+@query("q_validation_plan", f"""WITH {REQUEST}, r AS (SELECT p_partkey, p_size % 2 = 0 AS fast, list_distinct(list_filter(
+    list_transform(string_split_regex(replace(text, ',', ' '), '\\s+'), lambda x: lower(x)), lambda x: x IN ('lpips', 'semantic_distance', 'niqe'))) AS wanted,
+    p_size % 9 - 2 AS a, p_partkey % 4 AS b FROM request),
+  names AS (SELECT p_partkey, fast, a, b, unnest(CASE WHEN fast THEN list_concat(['psnr', 'ssim'], wanted) ELSE ['psnr', 'ssim', 'lpips', 'semantic_distance', 'niqe'] END) AS metric FROM r),
+  steps AS (SELECT p_partkey, metric, fast, unnest(list_distinct(list_filter(CASE WHEN fast THEN [b, 8] ELSE [a, b, 8] END, lambda x: x > 0))) AS step_count FROM names)
+  SELECT p_partkey, step_count, metric, fast FROM steps""")
+def validation_plan(spark, sf):
+    """Every request as the metrics it asks for at each of its step counts; fast ones ask for less."""
+    size, part = (F.col("p_size") % 9 - 2).cast("int"), (F.col("p_partkey") % 4).cast("int")
+    asked = request(spark, sf).select(
+        "p_partkey", (F.col("p_size") % 2 == 0).alias("fast"), parsing.list_items(F.col("text")).alias("metrics"),
+        F.array(part).alias("fast_steps"), F.array(size, part).alias("steps"),
+    )
+    return runs.validation_plan(asked, F.lit(8)).select("p_partkey", "step_count", "metric", "fast")
+
+
 @query("q_norm_list", f"""WITH {REQUEST}, norm AS (SELECT p_partkey, list_filter(string_split_regex(replace(text, ',', ' '), '\\s+'), lambda x: x <> '') AS items,
     CASE p_size % 5 WHEN 0 THEN 'mini_snr' WHEN 1 THEN ' P2' WHEN 2 THEN 'EDM' WHEN 3 THEN 'min_snr' ELSE 'other' END AS scheme FROM request)
   SELECT p_partkey, array_to_string(items, '|') AS items, len(items) AS n_items,

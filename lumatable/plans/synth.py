@@ -251,6 +251,30 @@ def light_mask(spark, sf):
     return px.select("image_id", "y", "x", F.round(level, 8).alias("light"))
 
 
+def many_lights(part: str, scale: str = "1") -> str:
+    return between("image_id", f"'light/' || i || '/{part}'", *degrade.LIGHT[part]) + f" * {scale}"
+
+
+@query("q_light_sources", f"""WITH s AS (SELECT doc_id AS image_id, 200 + n_chars % 500 AS h, 200 + doc_id % 600 AS w FROM documents),
+  m AS (SELECT *, least(1, h * w / 262144.0::DOUBLE) AS share FROM s),
+  n AS (SELECT *, floor({u('image_id', repr('lights'))} * (CASE WHEN share < 0.35 THEN 1 WHEN share < 0.75 THEN 2 ELSE 4 END + 1))::INT AS n FROM m),
+  l AS (SELECT image_id, h, w, i, {many_lights('cx', 'w')} AS cx, {many_lights('cy', 'h')} AS cy, greatest({many_lights('rx', 'w')}, 1) AS rx,
+    greatest({many_lights('ry', 'h')}, 1) AS ry, {many_lights('sharpness')} AS sharp, {many_lights('intensity')} AS strength
+    FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n)),
+  g AS (SELECT image_id, count(*) AS n, sum(cx + cy + rx + ry) AS places, max(exp(-(pow((w / 2.0::DOUBLE - cx) / rx, 2) + pow((h / 2.0::DOUBLE - cy) / ry, 2)) * sharp) * strength) AS middle
+    FROM l GROUP BY image_id)
+  SELECT n.image_id, n.n AS n_lights, round(coalesce(places, 0), 6) AS places, round(coalesce(middle, 0), 8) AS middle FROM n LEFT JOIN g USING (image_id)""")
+def light_sources(spark, sf):
+    """Images of many sizes with none to four lights, and the level of light in their middle."""
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("image_id"), (F.col("n_chars") % 500 + 200).alias("h"), (F.col("doc_id") % 600 + 200).alias("w")
+    )
+    lit = docs.withColumn("lights", degrade.lights(F.col("image_id"), F.col("h"), F.col("w")))
+    places = F.aggregate("lights", F.lit(0.0), lambda acc, light: acc + light["cx"] + light["cy"] + light["rx"] + light["ry"])
+    middle = degrade.light_level(F.col("h") / 2.0, F.col("w") / 2.0, F.col("lights"))
+    return lit.select("image_id", F.size("lights").alias("n_lights"), F.round(places, 6).alias("places"), F.round(middle, 8).alias("middle"))
+
+
 def noise_sql(c: str) -> str:
     place = f"'{c}/' || y || '/' || x"
     return f"""floor(greatest(0, least(255, n_{c} / 0.02::DOUBLE + {gauss('image_id', "'read/' || " + place)} * 5 *
