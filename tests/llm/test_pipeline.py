@@ -31,7 +31,7 @@ def test_queries_with_sql(spark, name):
 
 
 def test_names():
-    assert [name.split("_")[0] for name in sorted(plans.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [name.split("_")[0] for name in sorted(plans.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_stages(spark):
