@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumatable.llm.common import content, worker_state
+from lumatable.llm.common import content, materialize, worker_state
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"  # what the library writes for a blank
@@ -76,7 +76,8 @@ def frequent_parts(df: DataFrame, path: str, sample_rows: int, entries: int) ->
         yield pd.DataFrame({"part": [p for p, _ in top], "n": [n for _, n in top]})
 
     counted = texts.mapInPandas(parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "part").limit(entries)
+    # Written first, so that the tasks' tops are merged by a task and only the last of them comes to the driver.
+    top = materialize(counted.orderBy(F.desc("n"), "part").limit(entries), "token-parts")
     return {row["part"]: lengths[row["part"]] for row in top.collect()}
 
 
