@@ -130,11 +130,14 @@ def test_keys_find_all_close_fingerprints():
     for k in range(len(other)):
         for b in rng.choice(64, int(rng.integers(0, 4)), replace=False):
             other[k] ^= np.uint64(1) << np.uint64(b)
-    row, key = simhash.stored_keys(prints)
-    stored = {}
-    for r, k in zip(row.tolist(), key.tolist(), strict=True):
-        stored.setdefault(r, set()).add(k)
-    assert all(stored[k] & set(probe) for k, probe in enumerate(simhash.probe_keys(other).tolist()))
+    stored, probes = ({}, {})
+    for held, (row, key) in ((stored, simhash.stored_keys(prints)), (probes, simhash.probe_keys(other))):
+        for r, k in zip(row.tolist(), key.tolist(), strict=True):
+            held.setdefault(r, set()).add(k)
+    assert all(stored[k] & probes[k] for k in range(len(prints)))
+    # Keys of the seven kinds never meet, and all are long.
+    assert {k >> 36 for held in stored.values() for k in held} == set(range(7))
+    assert sum(map(len, stored.values())) < 65 * len(prints) and sum(map(len, probes.values())) < 13 * len(prints)
 
 
 def groups(prints):
