@@ -18,6 +18,11 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return LUMA[0] * r + LUMA[1] * g + LUMA[2] * b
 
 
+def luma8_thousandths(r: Column, g: Column, b: Column) -> Column:
+    """Luma of 8-bit values times 1000: whole numbers, whose sums are exact."""
+    return 299 * r + 587 * g + 114 * b
+
+
 def hvi(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Intensity, red chroma, blue chroma."""
     intensity = luma(r, g, b)

@@ -243,10 +243,9 @@ def noise(px: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def exposure_stats(px: DataFrame, floor: float = EXPOSURE_FLOOR) -> DataFrame:
-    """Mean luma of both sides and their ratio, one row per image."""
-    source = colour.luma(*[F.col(c) for c in RGB])
-    dark = colour.luma(*[F.col(c) for c in DARK])
-    means = px.groupBy("image_id").agg(F.avg(source).alias("source_mean"), F.avg(dark).alias("dark_mean"))
+    """Mean luma of both sides of 8-bit pixels and their ratio, one row per image."""
+    source, dark = (F.avg(colour.luma8_thousandths(*[F.col(c) for c in side])) / 1000.0 for side in (RGB, DARK))
+    means = px.groupBy("image_id").agg(source.alias("source_mean"), dark.alias("dark_mean"))
     return means.withColumn("ratio", F.col("dark_mean") / F.greatest("source_mean", F.lit(floor)))
 
 
@@ -260,15 +259,24 @@ def guarded(source: Column, dark: Column, ratio: Column, low: float, high: float
 
 def exposure_guard(
     px: DataFrame, low: float = EXPOSURE_RANGE[0], high: float = EXPOSURE_RANGE[1],
-    floor: float = EXPOSURE_FLOOR, eight_bit: bool = True,
+    floor: float = EXPOSURE_FLOOR, eight_bit: bool = True, exact: bool = True,
 ) -> DataFrame:
     """Keep the luma ratio of every image inside [low, high].
 
     The means are windows over the image, so the pixels before them are made once and need no exchange.
+    Means of 8-bit values are sums of whole numbers, exact in any order of the pixels: a lifted value may be
+    whole, and the last bit of the ratio then decides what it is cut to. Without `exact` lumas are summed as
+    doubles, in the order of the rows.
     """
     image = Window.partitionBy("image_id")
-    source_mean = F.avg(colour.luma(*[F.col(c) for c in RGB])).over(image)
-    dark_mean = F.avg(colour.luma(*[F.col(c) for c in DARK])).over(image)
+
+    def mean(side: tuple[str, ...]) -> Column:
+        channels = [F.col(c) for c in side]
+        if eight_bit and exact:
+            return F.avg(colour.luma8_thousandths(*channels)).over(image) / 1000.0
+        return F.avg(colour.luma(*channels)).over(image)
+
+    source_mean, dark_mean = mean(RGB), mean(DARK)
     joined = px.withColumn("ratio", dark_mean / F.greatest(source_mean, F.lit(floor)))
     top = 255.0 if eight_bit else 1.0
     results = {}

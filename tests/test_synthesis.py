@@ -292,3 +292,21 @@ def test_a_broken_image_is_counted_and_fails_nothing(spark):
     assert errors == {0: None, 1: None, 2: None, 3: "expected 12 values, found 11", 4: "no data", 5: "no pixels", 6: "missing values", 7: "not decoded"}
     summed = runs.job_outcome(outcome, [], F.col("ok"), F.lit(2.0)).first()
     assert (summed["processed"], summed["failed"], summed["succeeded"], summed["items_per_sec"]) == (8, 5, 3, 4.0)
+
+
+def test_the_guard_does_not_depend_on_the_order_of_pixels(spark):
+    """A source of 160 lifts a dark 56 to just 56: floating sums of the lumas cut it to 55 in one order, to 56 in another."""
+    weights, rows, want = np.array([299, 587, 114]), [], {}
+    for seed in (1, 4, 6, 7, 8, 10):
+        rng, n = np.random.default_rng(seed), 24
+        source, dark = rng.integers(100, 256, (n, 3)), rng.integers(0, 25, (n, 3))
+        source[0], dark[0] = (160, 100, 140), (56, 35, 49)
+        ratio = (int((dark @ weights).sum()) / n / 1000) / (int((source @ weights).sum()) / n / 1000)
+        for order in range(12):
+            ident = 100 * seed + order
+            want[ident] = guard(source[0].astype(float), dark[0].astype(float), ratio, 0.10, 0.55, True).astype(int).tolist()
+            places = np.random.default_rng(1000 + order).permutation(n)
+            rows += [(ident, int(p), *map(int, source[p]), *map(int, dark[p])) for p in places]
+    px = spark.createDataFrame(rows, "image_id bigint, p int, r int, g int, b int, dr int, dg int, db int").repartition(1)
+    got = {row["image_id"]: [row[c] for c in degrade.DARK] for row in degrade.exposure_guard(px).where("p = 0").collect()}
+    assert got == want
