@@ -48,38 +48,39 @@ def normal(ident: Column, label: str | Column, seed: int = 42) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - first)) * F.cos(F.lit(2.0 * math.pi) * second)
 
 
+def poisson_steps(target: Column, mean: Column) -> Column:
+    """Number of steps, from the empty sum, in which a walk over a Poisson distribution passes the target (below 1).
+
+    Bernstein's inequality: a count exceeds its mean by t with a chance of at most exp(-t * t / (2 * (mean + t / 3))).
+    """
+    far = -F.log(F.lit(1.0) - target)
+    reach = far / 3.0 + F.sqrt(far * far / 9.0 + 2.0 * mean * far)
+    return F.ceil(mean + reach).cast("int") + 3
+
+
 def poisson(ident: Column, label: str | Column, mean: Column, seed: int = 42) -> Column:
     """Poisson draw by walking the cumulative distribution up to a uniform draw.
 
-    The walk is long enough for the smallest tail a 32-bit uniform can reach. Terms are kept
-    as logarithms, so that large means do not start from zero. Draw and mean travel in the
-    accumulator, so the hash is computed once.
+    The walk is as long as its draw needs, not as the smallest tail a 32-bit uniform can reach. Terms are kept
+    as logarithms, so that large means do not start from zero. The hash is computed once, and a step
+    uses the last step's results, so each logarithm and power is too.
     """
-    steps = F.ceil(mean + 12.0 * F.sqrt(mean) + 30.0).cast("int")
 
     def walk(given: Column) -> Column:
-        start = F.struct(
-            given["target"].alias("target"),
-            given["mean"].alias("mean"),
-            (-given["mean"]).alias("log"),
-            F.exp(-given["mean"]).alias("total"),
-            F.when(F.exp(-given["mean"]) <= given["target"], 1).otherwise(0).alias("n"),
-        )
+        steps = poisson_steps(given["target"], given["mean"])
+        # The logarithm of the next term, the sum of those before it, and how many sums lie below the draw: the first, of none, does.
+        start = F.struct((-given["mean"]).alias("log"), F.lit(0.0).alias("total"), F.lit(-1).alias("n"))
 
         def step(acc: Column, index: Column) -> Column:
-            log = acc["log"] + F.log(acc["mean"]) - F.log(index)
-            term = F.coalesce(F.exp(log), F.lit(0.0))  # a mean of zero has no logarithm
             return F.struct(
-                acc["target"].alias("target"),
-                acc["mean"].alias("mean"),
-                log.alias("log"),
-                (acc["total"] + term).alias("total"),
-                (acc["n"] + F.when(acc["total"] + term <= acc["target"], 1).otherwise(0)).alias("n"),
+                (acc["log"] + given["log_mean"] - F.log(index)).alias("log"),
+                # A mean of zero has no logarithm.
+                (acc["total"] + F.coalesce(F.exp(acc["log"]), F.lit(0.0))).alias("total"),
+                (acc["n"] + F.when(acc["total"] <= given["target"], 1).otherwise(0)).alias("n"),
             )
 
-        return F.aggregate(F.sequence(F.lit(1), given["steps"]), start, step, lambda acc: acc["n"])
+        return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["n"])
 
-    given = F.struct(
-        unit(ident, label, seed).alias("target"), mean.cast("double").alias("mean"), steps.alias("steps")
-    )
+    signal = mean.cast("double")
+    given = F.struct(unit(ident, label, seed).alias("target"), signal.alias("mean"), F.log(signal).alias("log_mean"))
     return bound(given, walk)

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -130,3 +132,20 @@ def test_label_maps_shuffle_one_row_per_image(spark, capsys):
     catalog.invalid_labels(df, catalog.TRAIN_IDS, "image_id").explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and "hashpartitioning(image_id" in plan
+
+
+def test_poisson_walks_no_further_than_the_draw(spark):
+    """Every walk holds the step that passes its draw, and ordinary draws from 8-bit signals take some ten steps, not fifty."""
+    targets = [0.0, 1e-9, 0.01, 0.3, 0.5, 0.9, 0.999, 1 - 1e-6, 1 - 2**-31, 1 - 2**-32]
+    means = [0.0, 1e-6, 0.02, 0.7, 2.5, 5.1, 10.2, 60.0, 700.0]
+    df = spark.createDataFrame([(t, m) for t in targets for m in means], "t double, m double")
+    for row in df.select("t", "m", draws.poisson_steps(F.col("t"), F.col("m")).alias("steps")).collect():
+        term = total = math.exp(-row["m"])
+        n = 0
+        while total <= row["t"]:
+            n += 1
+            term *= row["m"] / n
+            total += term
+        assert n + 2 <= row["steps"]
+    signals = spark.range(10000).select(draws.unit(F.col("id"), "t").alias("t"), (F.col("id") % 256 * 0.02).alias("m"))
+    assert signals.agg(F.avg(draws.poisson_steps(F.col("t"), F.col("m")))).first()[0] < 12
