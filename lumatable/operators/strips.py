@@ -74,12 +74,19 @@ def shifted(grid: np.ndarray, place: Place, dy: int, dx: int, border: str) -> np
 
 
 def along(grid: np.ndarray, place: Place, taps: np.ndarray, axis: str, border: str) -> np.ndarray:
-    """Correlation with a kernel along one axis."""
-    total, radius = np.zeros_like(grid), len(taps) // 2
+    """Correlation with a kernel along one axis: the grid is extended once, then summed in shifted slices."""
+    radius, n = len(taps) // 2, grid.shape[0 if axis == "y" else 1]
+    reached = np.arange(-radius, n + len(taps) - 1 - radius) + (place.first if axis == "y" else 0)
+    size = place.h if axis == "y" else place.w
+    held = np.clip(mirror(reached, size) - place.first, 0, n - 1) if axis == "y" else mirror(reached, size)
+    wide = grid[held] if axis == "y" else grid[:, held]
+    if border == "zero":
+        inside = (reached >= 0) & (reached < size)
+        wide = wide * (inside[:, None] if axis == "y" else inside)
+    total = np.zeros_like(grid)
     for k, weight in enumerate(taps):
         if weight:
-            step = k - radius
-            total += weight * shifted(grid, place, step if axis == "y" else 0, step if axis == "x" else 0, border)
+            total += weight * (wide[k : k + n] if axis == "y" else wide[:, k : k + n])
     return total
 
 
@@ -230,13 +237,18 @@ def map_pixels(
         return tuple(made[name][at] for name in outputs)
 
     done = _run_cells(stripped, list(inputs), settings or {}, result, finish)
+    # From here on only what leaves the strips: the stencil's inputs stay behind.
+    held = {name: F.col(f"_cells.{name}").alias(f"_c_{name}") for name in ("y", "x", *carry)}
+    made = {name: F.col(f"_out.{name}").alias(f"_o_{name}") for name in outputs}
+    own = (F.col("_strip") * F.col("_lines")).alias("_own")
+    done = done.select(*planes, "h", "w", *fixed, own, "_lines", *held.values(), *made.values())
     done = done.repartition(deal, *planes) if deal else done
-    zipped = F.arrays_zip(F.col("_cells").alias("cell"), *[F.col(f"_out.{name}").alias(name) for name in outputs])
-    flat = done.select(*planes, "h", "w", *fixed, (F.col("_strip") * F.col("_lines")).alias("_own"), "_lines", F.explode(zipped).alias("_v"))
-    mine = (F.col("_v.cell.y") >= F.col("_own")) & (F.col("_v.cell.y") < F.col("_own") + F.col("_lines"))
+    zipped = F.arrays_zip(*[f"_c_{name}" for name in held], *[f"_o_{name}" for name in made])
+    flat = done.select(*planes, "h", "w", *fixed, "_own", "_lines", F.explode(zipped).alias("_v"))
+    mine = (F.col("_v._c_y") >= F.col("_own")) & (F.col("_v._c_y") < F.col("_own") + F.col("_lines"))
     return flat.where(mine).select(
-        *planes, "h", "w", *fixed, "_v.cell.y", "_v.cell.x", *[F.col(f"_v.cell.{c}").alias(c) for c in carry],
-        *[F.col(f"_v.{name}").alias(name) for name in outputs],
+        *planes, "h", "w", *fixed, *[F.col(f"_v._c_{name}").alias(name) for name in held],
+        *[F.col(f"_v._o_{name}").alias(name) for name in made],
     )
 
 

@@ -1,5 +1,7 @@
 """Stencils give the same results when an image is cut into many strips."""
 
+import re
+
 import numpy as np
 import pytest
 import test_pixels as whole
@@ -81,3 +83,13 @@ def test_rows_do_not_grow_with_the_kernel(spark):
         stripped = strips._cells(px, {"v": F.col("v")}, pixels.blur_reach(F.lit(sigma)), ["image_id"], [], [], None)
         assert stripped.count() == 1
         assert pixels.gaussian_blur(px, F.lit(sigma), ["v"]).count() == 64 * 64
+
+
+def test_inputs_of_a_stencil_are_not_shuffled(spark, capsys):
+    """What is dealt out behind a stencil is coordinates, carried columns and results, not the cells it was made from."""
+    rows = spark.createDataFrame([(1, 4, 4, [float(v) for v in range(48)])], "image_id bigint, h int, w int, data array<double>")
+    px = pixels.rgb_pixels(pixels.by_image(rows, 2))
+    px = pixels.separable(px, np.array([0.25, 0.5, 0.25]), ["r"], "reflect", carry=["g"], deal=2)
+    px.explain(mode="formatted")
+    dealt = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", capsys.readouterr().out)
+    assert any("_o_r" in columns for columns in dealt) and not any("_cells#" in columns for columns in dealt)
