@@ -96,15 +96,20 @@ def star(seed: int = 42) -> Column:
 
 def render_gradient_sky(px: DataFrame, randomize: bool, seed: int = 42) -> DataFrame:
     """sky_r, sky_g, sky_b columns of a rendered night sky."""
-    names = [f"sky_{c}" for c in RGB]
     if not randomize:
-        return px.withColumns({name: gradient_sky(i) for i, name in enumerate(names)})
-    base = px.withColumns({name: noisy_sky(i, seed) for i, name in enumerate(names)}).withColumn("_star", star(seed))
+        return px.withColumns(rendered_sky(False))
     weights = strips.gaussian(STAR_SIZE, STAR_SIGMA)
-    carry = [c for c in base.columns if c not in ("image_id", "h", "w", "y", "x", "_star")]
-    lit = pixels.separable(base, weights, ["_star"], "reflect", carry=carry, deal=pixels.partition_count(px))
-    shine = {name: colour.clip(F.col(name) + F.col("_star") * STAR_COLOUR[i]) for i, name in enumerate(names)}
-    return lit.withColumns(shine).drop("_star")
+    carry = [c for c in px.columns if c not in ("image_id", "h", "w", "y", "x")]
+    starred = px.withColumn("_star", star(seed))
+    lit = pixels.separable(starred, weights, ["_star"], "reflect", carry=carry, deal=pixels.partition_count(px))
+    return lit.withColumns(rendered_sky(True, seed)).drop("_star")
+
+
+def rendered_sky(randomize: bool, seed: int = 42) -> dict[str, Column]:
+    """The sky's columns; a random one has noise and the blurred stars of column `_star`."""
+    if not randomize:
+        return {f"sky_{c}": gradient_sky(i) for i, c in enumerate(RGB)}
+    return {f"sky_{c}": colour.clip(noisy_sky(i, seed) + F.col("_star") * STAR_COLOUR[i]) for i, c in enumerate(RGB)}
 
 
 def pick_asset(ident: Column, n_assets: int, seed: int = 42) -> Column:
@@ -166,8 +171,11 @@ def near_field() -> Column:
     return colour.clip(0.10 + 0.90 * F.pow(height_share(), F.lit(1.6)))
 
 
-def blurred_maps(px: DataFrame, carry: list[str], fixed: list[str] = (), deal: int | None = None) -> DataFrame:
-    """Every blurred map of the synthesis in one pass; class masks ride along."""
+def blurred_maps(
+    px: DataFrame, carry: list[str], fixed: list[str] = (), deal: int | None = None,
+    stars: Column | None = None, with_masks: bool = True,
+) -> DataFrame:
+    """Every blurred map of the synthesis, and `_star` of given stars, in one pass; class masks ride along if asked to."""
     side = longer_side()
     widths = {
         "soft": side * SOFT_SIGMA,
@@ -182,6 +190,8 @@ def blurred_maps(px: DataFrame, carry: list[str], fixed: list[str] = (), deal: i
         "road_glow": ("road", F.col("_road")),
         "emissive": ("emissive", F.col("_emissive")),
     }
+    if stars is not None:  # a blur of this width has STAR_SIZE taps
+        widths["stars"], maps["_star"] = F.lit(STAR_SIGMA), ("stars", stars)
     mixed = px.withColumns(
         {
             "_pool": mix(FOCUS),
@@ -189,7 +199,7 @@ def blurred_maps(px: DataFrame, carry: list[str], fixed: list[str] = (), deal: i
             "_emissive": mix(EMISSIVE),
         }
     )
-    masks = [mask_name(g) for g in GROUPS]
+    masks = [mask_name(g) for g in GROUPS] if with_masks else []
     return pixels.blur_maps(mixed, widths, maps, carry=[*carry, *masks], fixed=fixed, deal=deal)
 
 
@@ -260,19 +270,22 @@ def synthesize(
     images holds (image_id, h, w) of the same images. Unpack px from rows partitioned
     by image: then only the sky pixels, per-image figures and asset pixels are shuffled.
     """
+    label = "label_id"
     masked = class_masks(require_labels(px, space), space)
     usable = sky_usable(masked, tile).select("image_id", "usable")
-    flagged = masked.join(usable, "image_id")
+    # One row per image, far fewer than pixels: those are streamed past it and not sorted.
+    flagged = masked.join(usable.hint("shuffle_hash"), "image_id")
     if assets is not None and n_assets:
         flagged = attach_assets(flagged, images, assets, n_assets, seed)
-    if "sky_r" in flagged.columns:
-        given = match_sky(flagged).withColumnsRenamed({f"sky_{c}": f"_given_{c}" for c in RGB})
-        rendered = render_gradient_sky(given, randomize, seed)
-        skies = rendered.withColumns({f"sky_{c}": F.coalesce(f"_given_{c}", f"sky_{c}") for c in RGB})
-    else:
-        skies = render_gradient_sky(flagged, randomize, seed)
-    sky_names = [f"sky_{c}" for c in RGB]
-    maps = blurred_maps(skies, [*RGB, *sky_names], ["usable"], pixels.partition_count(px))
+    given = [f"_given_{c}" for c in RGB] if "sky_r" in flagged.columns else []
+    if given:
+        flagged = match_sky(flagged).withColumnsRenamed({f"sky_{c}": f"_given_{c}" for c in RGB})
+    # Stars are blurred with the other maps; masks and the sky's noise are worked out again behind the strips, not carried.
+    carry = [*RGB, label, *[c for c in ("confidence",) if c in px.columns], *given]
+    stars = star(seed) if randomize else None
+    maps = class_masks(blurred_maps(flagged, carry, ["usable"], pixels.partition_count(px), stars, False), space, label)
+    skies = rendered_sky(randomize, seed)
+    maps = maps.withColumns({n: F.coalesce(f"_given_{n[-1]}", sky) if given else sky for n, sky in skies.items()})
     alpha = F.when(F.col("usable") == 1, F.col("soft_sky")).otherwise(0.0)
     working = maps.withColumns(
         {f"w{c}": colour.clip(F.col(c) * (1.0 - alpha) + F.col(f"sky_{c}") * alpha) for c in RGB}

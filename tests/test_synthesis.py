@@ -310,3 +310,12 @@ def test_the_guard_does_not_depend_on_the_order_of_pixels(spark):
     px = spark.createDataFrame(rows, "image_id bigint, p int, r int, g int, b int, dr int, dg int, db int").repartition(1)
     got = {row["image_id"]: [row[c] for c in degrade.DARK] for row in degrade.exposure_guard(px).where("p = 0").collect()}
     assert got == want
+
+
+def test_the_night_is_one_pass_over_strips(spark, capsys):
+    """Stars are blurred together with the other maps, so pixels become strips once."""
+    images, px = labelled(spark)
+    result = night.synthesize(px, images)
+    capsys.readouterr()
+    result.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
